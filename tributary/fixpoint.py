@@ -16,9 +16,23 @@ from tributary.tables import cut, keep, stored
 GROUP = "func_id"
 
 
+HOPS = 4
+SMALL = 200_000
+
+
 def edge_table(edges: DataFrame) -> DataFrame:
     """At most one edge per (graph, source, sink), stored once for all rounds."""
-    return keep(edges.select(GROUP, "src", "dst").distinct())
+    if getattr(edges, "_edge_table", False):
+        return edges
+    out = keep(edges.select(GROUP, "src", "dst").distinct())
+    out._edge_table = True
+    return out
+
+
+def with_stays(edges: DataFrame) -> DataFrame:
+    """Edges plus one from every sink to itself: rows can wait while others move on, and several hops fit into one job."""
+    stays = edges.select(GROUP, F.col("dst").alias("src"), "dst").distinct()
+    return keep(edges.filter("src <> dst").unionByName(stays))
 
 
 def propagate(
@@ -29,19 +43,19 @@ def propagate(
     never: DataFrame | None = None,
     within: DataFrame | None = None,
     depth: str | None = None,
-    max_rounds: int | None = None,
 ) -> DataFrame:
     """All (func_id, node, *tags) that follow from ``seed`` along ``edges``, each once.
 
     Rows matching ``stop`` (func_id, node and any of the tags) are kept but passed on no further; rows matching ``never`` are not
     taken up; where ``within`` is given, only rows matching it are. ``depth`` names an output column with the number of edges on a
-    shortest way. Semi-naive: a round joins only the rows that the last round found.
+    shortest way. Semi-naive: a round starts from what the last round found, and drops what is known. While little is found a job makes
+    several hops, since then jobs cost more than rows.
     """
     spark = seed.sparkSession
     key = [GROUP, "node", *tags]
-
-    def numbered(df: DataFrame, n: int) -> DataFrame:
-        return df.withColumn(depth, F.lit(n)) if depth else df
+    value = depth or "_depth"
+    edges = edge_table(edges)
+    edges_and_stays: DataFrame | None = None
 
     def allowed(df: DataFrame) -> DataFrame:
         if never is not None:
@@ -50,18 +64,29 @@ def propagate(
             df = df.join(within, within.columns, "left_semi")
         return df
 
-    frontier, n, path = cut(numbered(allowed(seed.select(*key).distinct()), 0))
-    schema, paths, rounds = frontier.schema, [path], 0
-    while n and (max_rounds is None or rounds < max_rounds):
-        rounds += 1
-        moving = frontier.select(*key)
+    def hop(rows: DataFrame, along: DataFrame, known: DataFrame) -> DataFrame:
         if stop is not None:
-            moving = moving.join(stop, stop.columns, "left_anti")
-        found = moving.withColumnRenamed("node", "src").join(edges, [GROUP, "src"]).select(GROUP, F.col("dst").alias("node"), *tags)
-        found = allowed(found.distinct()).join(stored(spark, schema, paths).select(*key), key, "left_anti")
-        frontier, n, path = cut(numbered(found, rounds))
+            rows = rows.join(stop.distinct().withColumn("_stop", F.lit(True)), stop.columns, "left")
+        rows = rows.withColumnRenamed("node", "src").join(along, [GROUP, "src"])
+        if stop is not None:
+            rows = rows.filter("_stop IS NULL OR src = dst")
+        far = F.col(value) + F.when(F.col("src") == F.col("dst"), 0).otherwise(1)
+        rows = rows.select(GROUP, F.col("dst").alias("node"), *tags, far.alias(value))
+        return allowed(rows.groupBy(*key).agg(F.min(value).alias(value))).join(known, key, "left_anti")
+
+    frontier, n, path = cut(allowed(seed.select(*key).distinct()).withColumn(value, F.lit(0)))
+    schema, paths = frontier.schema, [path]
+    while n:
+        known = stored(spark, schema, paths).select(*key)
+        found = hop(frontier, edges, known)
+        if n <= SMALL:
+            edges_and_stays = edges_and_stays or with_stays(edges)
+            for _ in range(HOPS - 1):
+                found = hop(found, edges_and_stays, known)
+        frontier, n, path = cut(found)
         paths.append(path)
-    return stored(spark, schema, paths)
+    out = stored(spark, schema, paths)
+    return out if depth else out.drop(value)
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -89,18 +114,18 @@ def jump(parents: DataFrame) -> DataFrame:
     ``parents(func_id, node, parent)`` holds each node once; a parent that is no node, or its own, ends the walk. No other cycles.
     """
     now = parents.select(GROUP, "node", "parent", F.when(F.col("node") == F.col("parent"), 0).otherwise(1).alias("steps"))
-    now = keep(now.withColumn("moved", F.lit(True)))
-    while not now.filter("moved").isEmpty():
+    now, n, _ = cut(now)
+    while n:
         up = now.filter("node <> parent").select(
             GROUP, F.col("node").alias("parent"), F.col("parent").alias("grand"), F.col("steps").alias("more")
         )
-        now = keep(
-            now.join(up, [GROUP, "parent"], "left").select(
-                GROUP,
-                "node",
-                F.coalesce("grand", "parent").alias("parent"),
-                (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
-                F.col("grand").isNotNull().alias("moved"),
-            )
+        now = now.join(up, [GROUP, "parent"], "left").select(
+            GROUP,
+            "node",
+            F.coalesce("grand", "parent").alias("parent"),
+            (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
+            F.col("grand").isNotNull().alias("moved"),
         )
-    return now.drop("moved")
+        now, n, _ = cut(now, F.col("moved"))
+        now = now.drop("moved")
+    return now

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tributary.fixpoint import GROUP, closure, edge_table, propagate
 from tributary.operators.graph import flipped, shortest_paths
-from tributary.tables import keep
+from tributary.tables import cut, keep
 
 
 def dominators(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -118,8 +118,8 @@ def loop_exits(edges: DataFrame, bodies: DataFrame, roots: DataFrame) -> DataFra
         before = asked.join(edges.select(GROUP, F.col("dst").alias("node"), "src"), [GROUP, "node"])
         inside = region.select(GROUP, "head", F.col("node").alias("src"), F.lit(True).alias("inside"))
         full = before.join(inside, [GROUP, "head", "src"], "left").groupBy(GROUP, "head", "node").agg(F.count_if(F.col("inside").isNull()).alias("out"))
-        taken = keep(full.filter("out = 0").select(GROUP, "head", "node"))
-        if taken.isEmpty():
+        taken, n, _ = cut(full.filter("out = 0").select(GROUP, "head", "node"))
+        if not n:
             return after
         region = keep(region.unionByName(taken))
         after = keep(region_successors(edges, region))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tributary.fixpoint import GROUP, closure, edge_table, jump, propagate
+from tributary.fixpoint import GROUP, HOPS, SMALL, closure, edge_table, jump, propagate, with_stays
 from tributary.tables import cut, keep, stored
 
 
@@ -65,15 +65,23 @@ def _answered(asked: DataFrame, got: DataFrame, names: list[str]) -> DataFrame:
 def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(func_id, node, path): of the shortest paths from any source the lexicographically smallest, as an array."""
     edges = edge_table(edges)
+    stays = with_stays(edges)
     spark = edges.sparkSession
-    start = sources.select(GROUP, "node").distinct().withColumn("path", F.array("node"))
-    frontier, n, path = cut(start)
+
+    def hop(rows: DataFrame, along: DataFrame, known: DataFrame) -> DataFrame:
+        step = rows.withColumnRenamed("node", "src").join(along, [GROUP, "src"])
+        longer = F.when(F.col("src") == F.col("dst"), F.col("path")).otherwise(F.concat("path", F.array("dst")))
+        step = step.select(GROUP, F.col("dst").alias("node"), F.struct(F.size(longer).alias("n"), longer.alias("path")).alias("p"))
+        return step.groupBy(GROUP, "node").agg(F.min("p").getField("path").alias("path")).join(known, [GROUP, "node"], "left_anti")
+
+    frontier, n, path = cut(sources.select(GROUP, "node").distinct().withColumn("path", F.array("node")))
     schema, paths = frontier.schema, [path]
     while n:
-        step = frontier.withColumnRenamed("node", "src").join(edges, [GROUP, "src"])
-        step = step.select(GROUP, F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        step = step.groupBy(GROUP, "node").agg(F.min("path").alias("path"))
-        frontier, n, path = cut(step.join(stored(spark, schema, paths).select(GROUP, "node"), [GROUP, "node"], "left_anti"))
+        known = stored(spark, schema, paths).select(GROUP, "node")
+        found = hop(frontier, edges.filter("src <> dst"), known)
+        for _ in range(HOPS - 1 if n <= SMALL else 0):
+            found = hop(found, stays, known)
+        frontier, n, path = cut(found)
         paths.append(path)
     return stored(spark, schema, paths)
 
@@ -135,10 +143,10 @@ def components(edges: DataFrame) -> DataFrame:
     A round hooks every node to the smallest node next to it, follows these hooks to their end by pointer jumping and contracts the
     edges, so that the edge table shrinks with every round. The grouping by node combines before the shuffle, which keeps hubs harmless.
     """
-    todo = keep(edges.select(GROUP, "src", "dst").filter("src <> dst").distinct())
+    todo, n, _ = cut(edges.select(GROUP, "src", "dst").filter("src <> dst").distinct())
     alone = nodes_of(edges)
     label: DataFrame | None = None
-    while not todo.isEmpty():
+    while n:
         both = todo.unionByName(flipped(todo))
         hook = both.groupBy(GROUP, F.col("src").alias("node")).agg(F.min("dst").alias("low"))
         hook = jump(hook.select(GROUP, "node", F.least("node", "low").alias("parent"))).drop("steps")
@@ -149,7 +157,8 @@ def components(edges: DataFrame) -> DataFrame:
             label = keep(label.join(up, [GROUP, "parent"], "left").select(GROUP, "node", F.coalesce("top", "parent").alias("parent")))
         ends = hook.select(GROUP, F.col("node").alias("src"), F.col("parent").alias("a"))
         moved = todo.join(ends, [GROUP, "src"]).join(ends.toDF(GROUP, "dst", "b"), [GROUP, "dst"])
-        todo = keep(moved.filter("a <> b").select(GROUP, F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
+        moved = moved.filter("a <> b").select(GROUP, F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+        todo, n, _ = cut(moved)
     if label is None:
         return alone.withColumn("component", F.col("node"))
     label = label.withColumnRenamed("parent", "component")

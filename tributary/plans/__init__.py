@@ -1,6 +1,6 @@
 """Registered queries: operators applied to the given tables."""
 
-from tributary.plans import graphs  # noqa: F401
-from tributary.plans.registry import ORACLES, QUERIES
+from tributary.plans import dataflow, graphs  # noqa: F401
+from tributary.plans.registry import QUERIES, statements
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["QUERIES", "statements"]

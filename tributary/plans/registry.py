@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tributary.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+BODIES: dict[str, str] = {}
 
 VIEWS = {
     "ev": """SELECT *, CAST(props->>'$.k' AS INTEGER) AS k,
@@ -59,19 +59,28 @@ def view(name: str, sql: str) -> None:
 
 
 def _with_views(body: str) -> str:
-    wanted: set[str] = set()
-    todo = [body]
-    while todo:
-        text = todo.pop()
+    """``body`` behind the views it names, directly or through others, each after those it needs."""
+    views: list[str] = []
+    done: set[str] = set()
+
+    def need(text: str) -> None:
         for name, sql in VIEWS.items():
-            if name not in wanted and re.search(rf"\b{name}\b", text):
-                wanted.add(name)
-                todo.append(sql)
-    views = [f"{name} AS ({sql})" for name, sql in VIEWS.items() if name in wanted]
+            if name not in done and re.search(rf"\b{name}\b", text):
+                done.add(name)
+                need(sql)
+                views.append(f"{name} AS ({sql})")
+
+    need(body)
     body = body.strip()
-    if body.upper().startswith("SELECT"):
-        return ("WITH RECURSIVE " + ",\n".join(views) + "\n" if views else "") + body
-    return "WITH RECURSIVE " + ",\n".join([*views, body])
+    if not body.upper().startswith("SELECT"):
+        views.append(body)
+        body = ""
+    return ("WITH RECURSIVE " + ",\n".join(views) + "\n" if views else "") + body
+
+
+def statements() -> dict[str, str]:
+    """The SQL of every query that has one."""
+    return {name: _with_views(body) for name, body in BODIES.items()}
 
 
 def query(name: str, sql: str | None = None):
@@ -80,7 +89,7 @@ def query(name: str, sql: str | None = None):
     def add(fn: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
         if sql is not None:
-            ORACLES[name] = _with_views(sql)
+            BODIES[name] = sql
         return fn
 
     return add

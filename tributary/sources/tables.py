@@ -10,6 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tributary.fixpoint import edge_table
 from tributary.functions.ordered import Ordered
 from tributary.tables import keep
 
@@ -71,7 +72,7 @@ class Tables:
 
     @cached_property
     def flow_edges(self) -> DataFrame:
-        return keep(self.flow_steps.select("func_id", "src", "dst").distinct())
+        return edge_table(self.flow_steps)
 
     @cached_property
     def flow_roots(self) -> DataFrame:

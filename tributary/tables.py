@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -27,12 +27,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> tuple[DataFrame, int, str]:
-    """Write ``df`` once; give the stored table, its row count and its path. The count comes with the write, not with a job."""
+def cut(df: DataFrame, where: Column | None = None) -> tuple[DataFrame, int, str]:
+    """Write ``df`` once; give the stored table, its row count (of rows ``where``) and its path. The count comes with the write."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    df.observe(seen, (F.count(F.lit(1)) if where is None else F.count_if(where)).alias("n")).write.parquet(path)
     return stored(spark, df.schema, [path]), seen.get.get("n", 0) or 0, path
 
 
