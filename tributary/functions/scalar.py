@@ -19,7 +19,6 @@ def wrap(value: Column, size: int, signed: Column | bool) -> Column:
 
 
 def _floor_div(a: Column, b: Column) -> Column:
-    q = F.expr  # noqa: F841
     cut = (a - a % b) / b
     return (F.when((a % b != 0) & ((a < 0) != (b < 0)), cut - 1).otherwise(cut)).cast(BIG)
 
@@ -39,9 +38,7 @@ def fold_constants(op: Column, left: Column, right: Column, size: int, signed: b
     sa, sb, ua, ub = wrap(a, size, True), wrap(b, size, True), wrap(a, size, False), wrap(b, size, False)
     own = wrap(a, size, signed)
     la, lb = left.cast("bigint"), right.cast("bigint")
-    power = F.expr("CAST(1 AS DECIMAL(38,0))")
     shift = F.when((lb >= 0) & (lb < 63), F.call_function("shiftleft", F.lit(1).cast("bigint"), lb.cast("int")).cast(BIG))
-    del power
     same = right_size is None or right_size == size
     strict = {
         "plus": a + b,
@@ -86,26 +83,25 @@ def clean_name(name: Column, address: Column) -> Column:
     return F.when(unusable, F.concat(F.lit("data_"), F.lower(F.hex(address)))).otherwise(plain)
 
 
-PRINTABLE = r"^[\t\n\r\x20-\x7e]+$"
+PRINTABLE = r"[\t\n\r\x20-\x7e]"
 
 
 def printable_string(raw: Column, widths: Sequence[int] = (1, 2, 4)) -> Column:
-    """struct(text, width): the zero-terminated text at the start of binary ``raw``, the first width with a printable one; else null.
+    """struct(text, width): the zero-terminated text at the start of binary ``raw``, by the first width that gives one; else null.
 
-    Only units up to 0x7e that are printable or tab, line feed, carriage return. The written form must have two characters; an escaped
-    control character, quote or backslash already has.
+    Units are little-endian and must be printable ASCII, tab, line feed or carriage return; the end of the data also ends the text. Its
+    written form needs two characters, which an escaped control character or backslash has by itself.
     """
     out = F.lit(None).cast("struct<text:string,width:int>")
-    digits = F.hex(raw)
+    chars = F.decode(raw, "ISO-8859-1")
     for width in reversed(widths):
-        unit = 2 * width
-        # units as little-endian hex: a low byte followed by zero bytes
-        units = F.regexp_extract_all(digits, F.lit("(" + "[0-9A-F]" * unit + ")"), F.lit(1))
-        end = F.array_position(units, "0" * unit)
-        head = F.slice(units, F.lit(1), F.greatest(end.cast("int") - 1, F.lit(0)))
-        fits = F.forall(head, lambda u: F.substring(u, 3, unit).eqNullSafe(F.lit("00" * (width - 1))))
-        text = F.unhex(F.array_join(F.transform(head, lambda u: F.substring(u, 1, 2)), "")).cast("string")
+        if width == 1:
+            text = F.substring_index(chars, "\0", 1)
+        else:
+            end = rf"(?:\x00{{{width}}}|[\s\S]{{0,{width - 1}}}$)"
+            units = F.regexp_extract(chars, rf"^((?:{PRINTABLE}\x00{{{width - 1}}})+){end}", 1)
+            text = F.translate(units, "\0", "")
         written = F.length(F.regexp_replace(text, r"[\t\n\r\\]", "xx"))
-        good = (end > 0) & fits & text.rlike(PRINTABLE) & (written >= 2)
+        good = text.rlike(rf"^{PRINTABLE}+$") & ~text.endswith("\0") & (written >= 2)
         out = F.when(good, F.struct(text.alias("text"), F.lit(width).alias("width"))).otherwise(out)
     return out

@@ -31,3 +31,16 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: Sequence[
     covered = intervals.withColumn("_at", F.explode(F.array_distinct(cover)))
     spot = F.transform(sizes, lambda i: F.struct(i.alias("level"), F.call_function("shiftright", F.col(at).cast("bigint"), i).alias("block")))
     return points.withColumn("_at", F.explode(spot)).join(covered, [*keys, "_at"]).drop("_at")
+
+
+def in_section(addresses: DataFrame, sections: DataFrame) -> DataFrame:
+    """(sample_id, address, in_section, in_read_only): sections hold ``start <= address < end``, read-only ones also their end."""
+    asked = addresses.select("sample_id", "address").distinct()
+    read_only = F.col("semantics") == "read_only"
+    spans = sections.select(
+        "sample_id", "start", (F.col("end") + read_only.cast("int")).alias("stop"), "end", read_only.alias("read_only")
+    )
+    met = points_in_intervals(asked, spans, ["sample_id"], "address", "start", "stop")
+    met = met.groupBy("sample_id", "address").agg(F.bool_or(F.col("address") < F.col("end")).alias("i"), F.bool_or("read_only").alias("r"))
+    out = asked.join(met, ["sample_id", "address"], "left")
+    return out.select("sample_id", "address", F.coalesce("i", F.lit(False)).alias("in_section"), F.coalesce("r", F.lit(False)).alias("in_read_only"))
