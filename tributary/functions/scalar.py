@@ -4,67 +4,81 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 BIG = "decimal(38,0)"
 
 
-def wrap(value: Column, size: int, signed: Column | bool) -> Column:
-    """Keep the low ``size`` (up to 64) bits of a decimal; negative if ``signed`` and the top bit is set."""
-    span = F.lit(2**size).cast(BIG)
-    low = value % span
-    low = F.when(low < 0, low + span).otherwise(low)
-    sign = signed if isinstance(signed, Column) else F.lit(signed)
-    return F.when(sign & (low >= F.lit(2 ** (size - 1)).cast(BIG)), low - span).otherwise(low).cast(BIG)
+def _wrapped(name: str, size: int, signed: bool) -> str:
+    """SQL: the low ``size`` (up to 64) bits of a whole number, read as signed or unsigned."""
+    if size < 64:
+        low = f"(CAST({name} AS BIGINT) & {2**size - 1}L)"
+        return f"shiftright(shiftleft({low}, {64 - size}), {64 - size})" if signed else low
+    span = f"CAST('{2**size}' AS DECIMAL(38,0))"
+    low = f"pmod(CAST({name} AS DECIMAL(38,0)), {span})"
+    return f"CAST(IF({low} >= {span} / 2, {low} - {span}, {low}) AS DECIMAL(38,0))" if signed else f"CAST({low} AS DECIMAL(38,0))"
 
 
-def _floor_div(a: Column, b: Column) -> Column:
-    cut = (a - a % b) / b
-    return (F.when((a % b != 0) & ((a < 0) != (b < 0)), cut - 1).otherwise(cut)).cast(BIG)
+def fold_constants(df: DataFrame, op: str, left: str, right: str, name: str, size: int = 32, signed: bool = True, right_size: int | None = None) -> DataFrame:
+    """``df`` with ``name``: the value of the operation in column ``op`` on the whole constants ``left`` and ``right``, wrapped to the size.
 
-
-def _floor_mod(a: Column, b: Column) -> Column:
-    m = a % b
-    return F.when((m != 0) & ((m < 0) != (b < 0)), m + b).otherwise(m)
-
-
-def fold_constants(op: Column, left: Column, right: Column, size: int, signed: bool, right_size: int | None = None) -> Column:
-    """The value of an operation on whole constants of ``size`` bits (32 or less, or 64 for sums and bits), wrapped to that size.
-
-    Division rounds down; a signed remainder takes the sign of the left operand times the floor remainder. Null where the reference has
-    an error: unknown operation, division by zero, negative shift, operands of different sizes other than for remainders and shifts.
+    Sizes up to 32 bits are worked out as BIGINT, 64 bits as DECIMAL. Division rounds down; a signed remainder is the floor remainder,
+    negated for a negative left operand. Null where there is no value: unknown operation, division by zero, negative shift, operands
+    of different sizes other than for remainders and shifts. Steps are columns of their own, so that generated code stays small.
     """
-    a, b = left.cast(BIG), right.cast(BIG)
-    sa, sb, ua, ub = wrap(a, size, True), wrap(b, size, True), wrap(a, size, False), wrap(b, size, False)
-    own = wrap(a, size, signed)
-    la, lb = left.cast("bigint"), right.cast("bigint")
-    shift = F.when((lb >= 0) & (lb < 63), F.call_function("shiftleft", F.lit(1).cast("bigint"), lb.cast("int")).cast(BIG))
-    same = right_size is None or right_size == size
+    if 32 < size < 64 or size > 64:
+        raise ValueError("sizes are at most 32, or 64")
+    number = "BIGINT" if size < 64 else "DECIMAL(38,0)"
+    half = 16 if size < 64 else 32
+    part = f"CAST({2**half} AS {number})"
+    out = df.withColumns(
+        {
+            "_a": F.expr(_wrapped(left, size, True)),
+            "_b": F.expr(_wrapped(right, size, True)),
+            "_ua": F.expr(_wrapped(left, size, False)),
+            "_ub": F.expr(_wrapped(right, size, False)),
+            "_n": F.col(right).cast("bigint"),
+        }
+    )
+    # what a shift multiplies or divides by
+    out = out.withColumn("_p", F.expr(f"CAST(shiftleft(1L, CAST(greatest(least(_n, 62), 0) AS INT)) AS {number})"))
+    out = out.withColumn("_own", F.col("_a" if signed else "_ua"))
+
+    def floor(a: str, b: str) -> tuple[str, str]:
+        rest = f"({a} % nullif({b}, 0))"
+        mod = f"({rest} + IF({rest} <> 0 AND ({rest} < 0) <> ({b} < 0), {b}, 0))"
+        whole = f"({a} - {mod})"
+        return (f"({whole} div nullif({b}, 0))" if size < 64 else f"CAST({whole} / nullif({b}, 0) AS DECIMAL(38,0))"), mod
+
+    out = out.withColumns({"_q": F.expr(floor("_a", "_b")[0]), "_uq": F.expr(floor("_ua", "_ub")[0])})
+    far = f"_n >= {size}"
     strict = {
-        "plus": a + b,
-        "minus": a - b,
-        "multiply": sa * sb,
-        "multiply_us": ua * ub,
-        "divide": F.when(sb != 0, _floor_div(sa, F.nullif(sb, F.lit(0)))),
-        "divide_us": F.when(ub != 0, _floor_div(ua, F.nullif(ub, F.lit(0)))),
-        "bitwise_or": la.bitwiseOR(lb).cast(BIG),
-        "bitwise_and": la.bitwiseAND(lb).cast(BIG),
-        "bitwise_xor": la.bitwiseXOR(lb).cast(BIG),
+        "plus": "_a + _b",
+        "minus": "_a - _b",
+        "multiply": "_a * _b",
+        "multiply_us": f"_ua * (_ub % {part}) + (_ua * CAST(floor(_ub / {part}) AS {number})) % ({part} * {part}) * {part}"
+        if size == 64
+        else f"_ua * (_ub & 65535L) + ((_ua * shiftright(_ub, 16)) & {2**size - 1}L) * 65536L",
+        "divide": "_q",
+        "divide_us": "_uq",
+        "bitwise_or": "CAST(_a AS BIGINT) | CAST(_b AS BIGINT)",
+        "bitwise_and": "CAST(_a AS BIGINT) & CAST(_b AS BIGINT)",
+        "bitwise_xor": "CAST(_a AS BIGINT) ^ CAST(_b AS BIGINT)",
     }
     loose = {
-        "modulo": F.when(sb != 0, F.when(sa < 0, -1).otherwise(1) * _floor_mod(sa, F.nullif(sb, F.lit(0)))),
-        "modulo_us": F.when(ub != 0, _floor_mod(ua, F.nullif(ub, F.lit(0)))),
-        # a shift by the size or more leaves nothing, whatever its exact amount
-        "left_shift": F.when(lb >= size, F.lit(0)).when(lb >= 0, own * shift),
-        "right_shift": F.when(lb >= size, F.when(own < 0, -1).otherwise(0)).when(lb >= 0, _floor_div(own, shift)),
-        "right_shift_us": F.when(lb >= size, F.lit(0)).when(lb >= 0, _floor_div(ua, shift)),
-        "negate": -a,
-        "bitwise_not": -a - 1,
+        "modulo": f"IF(_a < 0, -1, 1) * {floor('_a', '_b')[1]}",
+        "modulo_us": floor("_ua", "_ub")[1],
+        # a shift by the size or more leaves nothing but the sign
+        "left_shift": f"CASE WHEN {far} THEN 0 WHEN _n >= 0 THEN _own * _p END" if size < 64 else f"CASE WHEN {far} THEN 0 WHEN _n > 62 THEN _own % 2 * _p * 2 WHEN _n >= 0 THEN (_own % CAST(pow(2, 64 - _n) AS DECIMAL(38,0))) * _p END",
+        "right_shift": f"CASE WHEN {far} THEN IF(_own < 0, -1, 0) WHEN _n > 62 THEN IF(_own < 0, -1, CAST(floor(_own / _p / 2) AS {number})) WHEN _n >= 0 THEN {floor('_own', '_p')[0]} END",
+        "right_shift_us": f"CASE WHEN {far} THEN 0 WHEN _n > 62 THEN CAST(floor(_ua / _p / 2) AS {number}) WHEN _n >= 0 THEN {floor('_ua', '_p')[0]} END",
+        "negate": "-_a",
+        "bitwise_not": "-_a - 1",
     }
-    out = F.lit(None).cast(BIG)
-    for name, value in {**(strict if same else {}), **loose}.items():
-        out = F.when(op == name, value.cast(BIG)).otherwise(out)
-    return wrap(out, size, signed)
+    same = right_size is None or right_size == size
+    cases = " ".join(f"WHEN '{k}' THEN CAST({v} AS {number})" for k, v in {**(strict if same else {}), **loose}.items())
+    out = out.withColumn("_v", F.expr(f"CASE {op} {cases} END")).withColumn(name, F.expr(_wrapped("_v", size, signed)))
+    return out.drop("_a", "_b", "_ua", "_ub", "_n", "_p", "_own", "_q", "_uq", "_v")
 
 
 def bit_positions(mask: Column) -> Column:

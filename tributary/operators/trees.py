@@ -6,7 +6,7 @@ shuffle: a node may have any number of children.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,10 +15,13 @@ from tributary.functions.scalar import BIG, fold_constants
 from tributary.tables import cut, keep, stored
 
 
-def fold_tree(nodes: DataFrame, leaf: Sequence[Column], aggs: Sequence[Column], inner: Sequence[Column]) -> DataFrame:
+def fold_tree(
+    nodes: DataFrame, leaf: Sequence[Column], aggs: Sequence[Column], inner: Sequence[Column] | Callable[[DataFrame], DataFrame]
+) -> DataFrame:
     """Every node with results: ``leaf`` for nodes without children, ``inner`` over payload and ``aggs`` of the children for others.
 
-    ``leaf`` and ``inner`` name the same results. ``aggs`` see the children's columns and results.
+    ``leaf`` and ``inner`` name the same results; ``inner`` may be a function that adds them in several steps. ``aggs`` see the
+    children's columns and results.
     """
     nodes = keep(nodes)
     spark = nodes.sparkSession
@@ -33,7 +36,8 @@ def fold_tree(nodes: DataFrame, leaf: Sequence[Column], aggs: Sequence[Column],
         waiting = waiting.filter("need > 0")
         kids = stored(spark, schema, paths).join(ready.withColumnRenamed("node", "parent"), [GROUP, "parent"], "left_semi")
         kids = kids.groupBy(GROUP, F.col("parent").alias("node")).agg(*aggs)
-        now = nodes.join(kids, [GROUP, "node"]).select(*nodes.columns, *inner)
+        now = nodes.join(kids, [GROUP, "node"])
+        now = inner(now) if callable(inner) else now.select(*nodes.columns, *inner)
         # the written rounds share one schema, whatever type an expression widens to
         now = now.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
         done, n, path = cut(now)
@@ -103,9 +107,21 @@ def dependency_scores(nodes: DataFrame) -> DataFrame:
     return ends.groupBy(GROUP, F.col("node").alias("root"), "var").agg(F.sum("score").alias("score"))
 
 
-COMMUTATIVE = ("plus", "multiply", "bitwise_and", "bitwise_or", "bitwise_xor", "logical_and", "logical_or")
+COMMUTATIVE = ("plus", "multiply", "bitwise_and", "bitwise_or", "bitwise_xor")
+LOGICAL = ("logical_and", "logical_or")
 SHIFTS = ("left_shift", "right_shift", "right_shift_us")
 
+# what is known of a simplified expression: its value if constant, its text, and, for ``base op constant``, these three
+FORM = "struct<c:decimal(38,0),print:string,chain:string,base:string,k:decimal(38,0)>"
+
+
+def _form(c: str = "NULL", text: str = "NULL", chain: str = "NULL", base: str = "NULL", k: str = "NULL") -> str:
+    return f"CAST(named_struct('c', {c}, 'print', {text}, 'chain', {chain}, 'base', {base}, 'k', {k}) AS {FORM})"
+
+
+def _among(names: Sequence[str]) -> str:
+    return "(" + ", ".join(f"'{n}'" for n in names) + ")"
+
 
 def canonical_expressions(nodes: DataFrame, size: int = 32, signed: bool = True) -> DataFrame:
     """Nodes with ``print`` and ``fp``: the same for computations that simplify to the same form.
@@ -114,106 +130,76 @@ def canonical_expressions(nodes: DataFrame, size: int = 32, signed: bool = True)
     Constants go to the right of commutative operations and are folded, along chains too; a - b is a + (-b); double negation, neutral
     and absorbing constants, operations of a value with itself, and a dereferenced address vanish.
     """
-
-    def const(v: Column) -> dict[str, Column]:
-        none = F.lit(None).cast("string")
-        return {"c": v, "print": v.cast("string"), "chain": none, "base": none, "k": F.lit(None).cast(BIG)}
-
-    def struct(parts: dict[str, Column]) -> Column:
-        return F.struct(*[parts[name].alias(name) for name in ("c", "print", "chain", "base", "k")])
-
-    def same(side: Column) -> Column:
-        return F.struct(*[side.getField(n).alias(n) for n in ("c", "print", "chain", "base", "k")])
-
-    def text(op: Column, *parts: Column) -> Column:
-        return F.concat(op, F.lit("("), F.concat_ws(",", *parts), F.lit(")"))
-
-    def plain(printed: Column) -> Column:
-        none = F.lit(None)
-        return struct({"c": none.cast(BIG), "print": printed, "chain": none.cast("string"), "base": none.cast("string"), "k": none.cast(BIG)})
-
-    def chained(op: Column, base: Column, k: Column) -> Column:
-        none = F.lit(None).cast(BIG)
-        return struct({"c": none, "print": text(op, base, k.cast("string")), "chain": op, "base": base, "k": k})
-
-    def negated(side: Column) -> Column:
-        p = side.getField("print")
-        undone = plain(p.substr(F.lit(8), F.length(p) - 8))
-        folded = fold_constants(F.lit("negate"), side.getField("c"), F.lit(0).cast(BIG), size, signed)
-        return F.when(side.getField("c").isNotNull(), struct(const(folded))).when(p.startswith("negate("), undone).otherwise(plain(text(F.lit("negate"), p)))
-
-    zero, one = F.lit(0).cast(BIG), F.lit(1).cast(BIG)
-    commutes = F.col("op").isin(*COMMUTATIVE)
-    # a - b as a + (-b), then constants to the right
-    op = F.when(F.col("op") == "minus", F.lit("plus")).otherwise(F.col("op"))
-    second = F.when((F.col("op") == "minus") & F.col("_r").isNotNull(), negated(F.col("_r"))).otherwise(same(F.col("_r")))
-
-    def binary(o: Column, l: Column, r: Column) -> Column:
-        lc, rc, lp, rp = l.getField("c"), r.getField("c"), l.getField("print"), r.getField("print")
-        commuting = o.isin(*COMMUTATIVE)
-        logical = o.isin("logical_and", "logical_or")
-        both = fold_constants(o, lc, rc, size, signed)
-        truth = F.when(o == "logical_and", F.when((lc != 0) & (rc != 0), one).otherwise(zero)).otherwise(
-            F.when((lc != 0) | (rc != 0), one).otherwise(zero)
+    commuting = f"_op IN {_among(COMMUTATIVE)}"
+
+    def const(value: str) -> str:
+        return _form(c=value, text=f"CAST({value} AS STRING)")
+
+    def neutral(value: str) -> str:
+        zero = _among(("plus", "bitwise_or", "bitwise_xor", "logical_or", *SHIFTS))
+        one = _among(("multiply", "multiply_us", "divide", "divide_us"))
+        return f"((_op IN {zero} AND {value} = 0) OR (_op IN {one} AND {value} = 1) OR (_op = 'logical_and' AND {value} <> 0))"
+
+    def chained(base: str, k: str) -> str:
+        absorbed = f"_op IN ('multiply', 'bitwise_and') AND {k} = 0"
+        whole = _form(text=f"concat(_op, '(', {base}, ',', {k}, ')')", chain="_op", base=base, k=k)
+        return f"CASE WHEN {absorbed} THEN {const('0')} WHEN {neutral(k)} THEN {_form(text=base)} ELSE {whole} END"
+
+    def simplified(df: DataFrame) -> DataFrame:
+        # a - b becomes a + (-b)
+        df = df.withColumn("_neg", F.expr("op = 'minus' AND _r IS NOT NULL"))
+        df = df.withColumn("_n0", F.expr("IF(op = 'negate', _l, _r)")).withColumns({"_c": F.col("_n0.c"), "_negate": F.lit("negate")})
+        df = fold_constants(df, "_negate", "_c", "_c", "_minus", size, signed)
+        undone = _form(text="substring(_n0.print, 8, length(_n0.print) - 8)")
+        turned = f"CASE WHEN _c IS NOT NULL THEN {const('_minus')} WHEN startswith(_n0.print, 'negate(') THEN {undone} ELSE {_form(text="concat('negate(', _n0.print, ')')")} END"
+        df = df.withColumn("_turned", F.expr(turned))
+        df = df.withColumns({"_op": F.expr("IF(_neg, 'plus', op)"), "_y": F.expr("IF(_neg, _turned, _r)")})
+        # constants to the right
+        df = df.withColumn("_swap", F.expr(f"({commuting} OR _op IN {_among(LOGICAL)}) AND _l.c IS NOT NULL AND _y.c IS NULL AND _y IS NOT NULL"))
+        df = df.withColumns({"_x": F.expr("IF(_swap, _y, _l)"), "_z": F.expr("IF(_swap, _l, _y)")})
+        df = df.withColumns({"_xc": F.expr("_x.c"), "_zc": F.expr("_z.c"), "_unary": F.expr("_z IS NULL")})
+        # constants of both sides, and of chains of the same operation
+        df = df.withColumns(
+            {
+                "_xk": F.expr(f"IF({commuting} AND _x.chain = _op, _x.k, NULL)"),
+                "_zk": F.expr(f"IF({commuting} AND _z.chain = _op, _z.k, NULL)"),
+            }
         )
-        neutral = (
-            (o.isin("plus", "bitwise_or", "bitwise_xor", "logical_or", *SHIFTS) & (rc == 0))
-            | (o.isin("multiply", "multiply_us", "divide", "divide_us") & (rc == 1))
-            | ((o == "logical_and") & (rc != 0))
+        df = df.withColumns(
+            {
+                "_k2": F.expr("coalesce(_zc, _zk)"),
+                "_xb": F.expr("IF(_xk IS NULL, _x.print, _x.base)"),
+                "_zb": F.expr("IF(_zk IS NULL, _z.print, _z.base)"),
+            }
         )
-        absorbed = (o.isin("multiply", "multiply_us", "bitwise_and", "logical_and") & (rc == 0))
-        more = fold_constants(o, l.getField("k"), rc, size, signed)
-        goes_on = (l.getField("chain") == o) & ~logical & more.isNotNull()
-        rest = F.when((o.isin("plus", "bitwise_or", "bitwise_xor") & (more == 0)) | ((o == "multiply") & (more == 1)), plain(l.getField("base"))).otherwise(
-            chained(o, l.getField("base"), more)
-        )
-        on_const = (
-            F.when(lc.isNotNull() & logical, struct(const(truth)))
-            .when(lc.isNotNull() & both.isNotNull(), struct(const(both)))
-            .when(lc.isNull() & neutral, same(l))
-            .when(lc.isNull() & absorbed, struct(const(zero)))
-            .when((o == "logical_or") & lc.isNull() & (rc != 0), struct(const(one)))
-            .when(goes_on, rest)
-            .when(lc.isNull() & commuting, chained(o, lp, rc))
-            .otherwise(plain(text(o, lp, rp)))
-        )
-        lk, rk = F.when(l.getField("chain") == o, l.getField("k")), F.when(r.getField("chain") == o, r.getField("k"))
-        lb, rb = F.when(lk.isNotNull(), l.getField("base")).otherwise(lp), F.when(rk.isNotNull(), r.getField("base")).otherwise(rp)
-        k = F.when(lk.isNotNull() & rk.isNotNull(), fold_constants(o, lk, rk, size, signed)).otherwise(F.coalesce(lk, rk))
-        on_terms = (
-            F.when(o.isin("bitwise_or", "bitwise_and", "logical_or", "logical_and") & (lp == rp), same(l))
-            .when((o == "bitwise_xor") & (lp == rp), struct(const(zero)))
-            .when(commuting & ~logical & k.isNotNull() & ~((o.isin("plus", "bitwise_or", "bitwise_xor") & (k == 0)) | ((o == "multiply") & (k == 1))), chained(o, text(o, lb, rb), k))
-            .when(commuting & ~logical & k.isNotNull(), plain(text(o, lb, rb)))
-            .otherwise(plain(text(o, lp, rp)))
-        )
-        return F.when(rc.isNotNull(), on_const).otherwise(on_terms)
-
-    l = F.col("_l")
-    lone = l.getField("print")
-    unary_fold = fold_constants(F.col("op"), l.getField("c"), zero, size, signed)
-    unary = (
-        F.when((F.col("op") == "negate"), negated(l))
-        .when(l.getField("c").isNotNull() & unary_fold.isNotNull(), struct(const(unary_fold)))
-        .when((F.col("op") == "dereference") & lone.startswith("address("), plain(lone.substr(F.lit(9), F.length(lone) - 9)))
-        .otherwise(plain(text(F.col("op"), lone)))
-    )
-    leaf_const = struct(const(F.col("value").cast(BIG)))
-    leaf = F.when(F.col("value").isNotNull(), leaf_const).otherwise(plain(F.col("var")))
-    x, y = F.col("_l"), second
-    flip = (commutes | (F.col("op") == "minus")) & x.getField("c").isNotNull() & y.getField("c").isNull()
-    first_, second_ = F.when(flip, y).otherwise(same(x)), F.when(flip, same(x)).otherwise(y)
-    inner = F.when(F.col("_r").isNull(), unary).otherwise(_let(binary, op, first_, second_))
+        df = df.withColumns({"_u2": F.expr("IF(_unary, _xc, _zc)")})
+        df = fold_constants(df, "_op", "_xc", "_u2", "_both", size, signed)
+        df = fold_constants(df, "_op", "_xk", "_k2", "_chain", size, signed)
+        df = df.withColumn("_k", F.expr("IF(_xk IS NOT NULL AND _k2 IS NOT NULL, _chain, coalesce(_xk, _k2))"))
+        text = "concat(_op, '(', _x.print, IF(_unary, '', ','), IF(_unary, '', _z.print), ')')"
+        value = f"""CASE
+            WHEN op = 'negate' THEN _turned
+            WHEN _unary AND _xc IS NOT NULL AND _both IS NOT NULL THEN {const('_both')}
+            WHEN _unary AND op = 'dereference' AND startswith(_x.print, 'address(') THEN {_form(text="substring(_x.print, 9, length(_x.print) - 9)")}
+            WHEN _unary THEN {_form(text=text)}
+            WHEN _xc IS NOT NULL AND _zc IS NOT NULL AND _op = 'logical_and' THEN {const("IF(_xc <> 0 AND _zc <> 0, 1, 0)")}
+            WHEN _xc IS NOT NULL AND _zc IS NOT NULL AND _op = 'logical_or' THEN {const("IF(_xc <> 0 OR _zc <> 0, 1, 0)")}
+            WHEN _xc IS NOT NULL AND _zc IS NOT NULL AND _both IS NOT NULL THEN {const('_both')}
+            WHEN _xc IS NULL AND _zc IS NOT NULL AND {neutral('_zc')} THEN _x
+            WHEN _xc IS NULL AND _zc = 0 AND _op IN ('multiply', 'multiply_us', 'bitwise_and', 'logical_and') THEN {const('0')}
+            WHEN _xc IS NULL AND _zc <> 0 AND _op = 'logical_or' THEN {const('1')}
+            WHEN _xc IS NULL AND _zc IS NOT NULL AND {commuting} THEN {chained('_xb', '_k')}
+            WHEN _x.print = _z.print AND _op IN ('bitwise_or', 'bitwise_and', 'logical_or', 'logical_and') THEN _x
+            WHEN _x.print = _z.print AND _op = 'bitwise_xor' THEN {const('0')}
+            WHEN _xc IS NULL AND _zc IS NULL AND {commuting} AND _k IS NOT NULL THEN {chained("concat(_op, '(', _xb, ',', _zb, ')')", '_k')}
+            ELSE {_form(text=text)} END"""
+        return df.withColumn("form", F.expr(value))
+
+    leaf = F.expr(f"IF(value IS NOT NULL, {const('value')}, {_form(text='var')})")
     out = fold_tree(
         nodes,
         [leaf.alias("form")],
         [F.max_by("form", F.when(F.col("pos") == 0, 1)).alias("_l"), F.max_by("form", F.when(F.col("pos") == 1, 1)).alias("_r")],
-        [inner.alias("form")],
+        simplified,
     )
     return out.select(*nodes.columns, F.col("form.print").alias("print"), F.sha2(F.col("form.print"), 256).alias("fp"))
-
-
-def _let(fn, *values: Column) -> Column:
-    """``fn`` of columns that are worked out once: they pass through a one-element array."""
-    bound = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
-    return F.element_at(F.transform(F.array(bound), lambda s: fn(*[s.getField(f"v{i}") for i in range(len(values))])), 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tributary.functions import scalar as s
+from tributary.functions.ordered import Ordered
 from tributary.operators import mining as m
 from tributary.operators import trees as tr
 from tributary.plans.registry import query, view
@@ -183,8 +184,6 @@ def earliest_version(t):
     b AS (SELECT func_id, block, count(*) AS n_rows, arg_max(kind, idx) AS last_kind, min(position) FILTER (WHERE form = 'operation') AS first FROM p GROUP BY ALL)
     SELECT func_id, block, coalesce(first, CASE WHEN last_kind = 'branch' THEN n_rows - 1 ELSE n_rows END) AS position FROM b""")
 def insertion_index(t):
-    from tributary.functions.ordered import Ordered
-
     rows = keep(Ordered(t.flow_instr.select("func_id", "block", "idx", "kind", "form"), ["func_id", "block"], ["idx"]).row_number("pos"))
     blocks = rows.groupBy("func_id", "block").agg(F.count(F.lit(1)).alias("n_rows"), F.max_by("kind", "idx").alias("last_kind"))
     return m.insertion_index(blocks, rows.filter("form = 'operation'").select("func_id", "block", (F.col("pos") - 1).alias("position")))
@@ -284,13 +283,15 @@ def fold_constants(t):
     op = F.element_at(F.array(*map(F.lit, FOLDED)), F.col("l_linenumber") % 7 + 1)
     left = (F.col("l_partkey") - 900) * 1_500_007 % 2_147_483_648
     right = (F.col("l_suppkey") + 1) * F.when(F.col("l_linenumber") % 2 == 0, 1).otherwise(-1)
-    return t.line_rows.select("l_orderkey", "idx", s.fold_constants(op, left, right, 32, True).cast("bigint").alias("value"))
+    rows = t.line_rows.select("l_orderkey", "idx", op.alias("op"), left.alias("lhs"), right.alias("rhs"))
+    return s.fold_constants(rows, "op", "lhs", "rhs", "value").select("l_orderkey", "idx", "value")
 
 
 @query("bit_positions", """SELECT l_orderkey, idx, unnest(list_filter(range(0, 63), lambda i: (l_partkey * 65537 + l_suppkey) // CAST(pow(2, i) AS BIGINT) % 2 = 1)) AS bit FROM line_rows""")
 def bit_positions(t):
     mask = F.col("l_partkey") * 65537 + F.col("l_suppkey")
-    return t.line_rows.select("l_orderkey", "idx", F.explode(s.bit_positions(mask)).cast("bigint").alias("bit"))
+    bits = t.line_rows.select("l_orderkey", "idx", F.explode(s.bit_positions(mask)).alias("bit"))
+    return bits.withColumn("bit", F.col("bit").cast("bigint"))
 
 
 @query("clean_name", """SELECT p_partkey, CASE WHEN raw LIKE '??%' ESCAPE '!' AND starts_with(raw, '??') OR length(raw) > 64 THEN 'data_' || lower(to_hex(p_partkey))
