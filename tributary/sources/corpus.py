@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tributary.fixpoint import GROUP
 from tributary.functions.scalar import printable_string
 from tributary.operators.predicates import contains_any
-from tributary.schema import SCHEMAS
+from tributary.schema import schema_of
 
 # fixed values: helper functions that compilers and the C runtime add
 BLOCKLIST = (
@@ -34,13 +34,13 @@ IMPORTED = "ImportedFunctionSymbol"
 def write_corpus(tables: dict[str, DataFrame], folder: str) -> None:
     """One Parquet table per entry, with the corpus columns; missing ones are null."""
     for name, df in tables.items():
-        columns = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields]
+        columns = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema_of(name).fields]
         df.select(*columns).write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
 def read_corpus(spark: SparkSession, folder: str, names: Sequence[str] = ("functions", "blocks", "edges", "instr")) -> dict[str, DataFrame]:
     """The tables of a corpus. A constant jump that ends a block with one out-edge says nothing new, so it is left out of ``instr``."""
-    tables = {name: spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}") for name in names}
+    tables = {name: spark.read.schema(schema_of(name)).parquet(f"{folder}/{name}") for name in names}
     if {"edges", "instr"} <= tables.keys():
         outs = tables["edges"].groupBy(GROUP, F.col("src").alias("block")).agg(F.count(F.lit(1)).alias("n")).filter("n = 1")
         last = tables["instr"].groupBy(GROUP, "block").agg(F.max_by(F.struct("idx", "kind", "opcode"), "idx").alias("l"))
