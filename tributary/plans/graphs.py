@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tributary.operators import dominance as d
 from tributary.operators import graph as g
+from tributary.operators import visits
 from tributary.plans.registry import query, view
 from tributary.tables import keep
 
@@ -328,3 +329,31 @@ def contract(t):
     groups = t.flow_blocks.select("func_id", F.substring_index("block", "#", 1).alias("grp"), F.col("block").alias("node"))
     merged, conflicts = g.contract(pairs, groups)
     return merged.withColumn("conflict", F.lit(False)).unionByName(conflicts.withColumn("conflict", F.lit(True)))
+
+
+view("dfs_adj", "SELECT func_id, src, list(dst ORDER BY first, dst) AS next FROM (SELECT func_id, src, dst, min(idx) AS first FROM flow_steps GROUP BY ALL) GROUP BY ALL")
+view("dfs", """SELECT func_id, [root] AS way, [root] AS seen, root AS node, CAST(NULL AS VARCHAR) AS parent, CAST(0 AS BIGINT) AS pre, CAST(NULL AS BIGINT) AS post, 0 AS n_post
+    FROM flow_roots UNION ALL SELECT func_id, CASE WHEN nxt IS NULL THEN way[:-2] ELSE list_append(way, nxt) END, CASE WHEN nxt IS NULL THEN seen ELSE list_append(seen, nxt) END,
+      coalesce(nxt, way[-1]), CASE WHEN nxt IS NOT NULL THEN way[-1] END, CASE WHEN nxt IS NOT NULL THEN len(seen) END, CASE WHEN nxt IS NULL THEN n_post END,
+      CASE WHEN nxt IS NULL THEN n_post + 1 ELSE n_post END FROM
+    (SELECT d.*, list_filter(a.next, lambda c: NOT list_contains(d.seen, c))[1] AS nxt FROM dfs d LEFT JOIN dfs_adj a ON a.func_id = d.func_id AND a.src = d.way[-1]
+      WHERE len(d.way) > 0)""")
+view("dfs_done", "SELECT func_id, node, max(parent) AS parent, max(pre) AS pre, max(post) AS post FROM dfs GROUP BY ALL")
+
+
+def _first_steps(t):
+    return t.flow_steps.groupBy("func_id", "src", "dst").agg(F.min("idx").alias("ord"))
+
+
+@query("dfs_order", "SELECT func_id, node, parent, pre, post FROM dfs_done")
+def dfs_order(t):
+    """Blocks in the order of a depth-first visit that tries steps in the order of the log."""
+    return visits.dfs_order(_first_steps(t), t.flow_roots)
+
+
+@query("dfs_edge_classes", """SELECT e.func_id, e.src, e.dst, CASE WHEN b.pre <= a.pre AND b.post >= a.post THEN CASE WHEN m.node IS NULL THEN 'retreating' ELSE 'back' END
+      WHEN b.parent = e.src THEN 'tree' WHEN b.pre > a.pre AND b.post < a.post THEN 'forward' ELSE 'cross' END AS edge_class
+    FROM flow_edges e JOIN dfs_done a ON a.func_id = e.func_id AND a.node = e.src JOIN dfs_done b ON b.func_id = e.func_id AND b.node = e.dst
+    LEFT JOIN flow_dom m ON m.func_id = e.func_id AND m.node = e.src AND m.dom = e.dst""")
+def dfs_edge_classes(t):
+    return visits.dfs_edge_classes(_first_steps(t), t.flow_roots, _dom(t))

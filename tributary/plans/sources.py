@@ -271,7 +271,7 @@ def running_failures(t):
     """Failures per sample and ten days, counted as a stream; a late last row closes all windows."""
     path = _folder(t)
     reports = _report_table(t)
-    end = reports.limit(1).withColumn("timestamp", F.expr("timestamp'2100-01-01 00:00:00'"))
+    end = reports.agg(*[F.max(name).alias(name) for name in reports.columns]).withColumn("timestamp", F.expr("timestamp'2100-01-01 00:00:00'"))
     c.append_reports(reports, f"{path}/in")
     for more in (None, end):
         if more is not None:
