@@ -37,7 +37,7 @@ def fold_constants(df: DataFrame, op: str, left: str, right: str, name: str, siz
             "_b": F.expr(_wrapped(right, size, True)),
             "_ua": F.expr(_wrapped(left, size, False)),
             "_ub": F.expr(_wrapped(right, size, False)),
-            "_n": F.col(right).cast("bigint"),
+            "_n": F.expr(f"CAST(least(greatest({right}, -1), 1000) AS BIGINT)"),
         }
     )
     # what a shift multiplies or divides by
@@ -56,7 +56,7 @@ def fold_constants(df: DataFrame, op: str, left: str, right: str, name: str, siz
         "plus": "_a + _b",
         "minus": "_a - _b",
         "multiply": "_a * _b",
-        "multiply_us": f"_ua * (_ub % {part}) + (_ua * CAST(floor(_ub / {part}) AS {number})) % ({part} * {part}) * {part}"
+        "multiply_us": f"_ua * (_ub % {part}) + (_ua * CAST((_ub - _ub % {part}) / {part} AS {number})) % ({part} * {part}) * {part}"
         if size == 64
         else f"_ua * (_ub & 65535L) + ((_ua * shiftright(_ub, 16)) & {2**size - 1}L) * 65536L",
         "divide": "_q",
@@ -65,13 +65,15 @@ def fold_constants(df: DataFrame, op: str, left: str, right: str, name: str, siz
         "bitwise_and": "CAST(_a AS BIGINT) & CAST(_b AS BIGINT)",
         "bitwise_xor": "CAST(_a AS BIGINT) ^ CAST(_b AS BIGINT)",
     }
+    beyond = "_n > 62" if size == 64 else "false"
+    double = "(_p * 2)" if size == 64 else "_p"
     loose = {
         "modulo": f"IF(_a < 0, -1, 1) * {floor('_a', '_b')[1]}",
         "modulo_us": floor("_ua", "_ub")[1],
         # a shift by the size or more leaves nothing but the sign
         "left_shift": f"CASE WHEN {far} THEN 0 WHEN _n >= 0 THEN _own * _p END" if size < 64 else f"CASE WHEN {far} THEN 0 WHEN _n > 62 THEN _own % 2 * _p * 2 WHEN _n >= 0 THEN (_own % CAST(pow(2, 64 - _n) AS DECIMAL(38,0))) * _p END",
-        "right_shift": f"CASE WHEN {far} THEN IF(_own < 0, -1, 0) WHEN _n > 62 THEN IF(_own < 0, -1, CAST(floor(_own / _p / 2) AS {number})) WHEN _n >= 0 THEN {floor('_own', '_p')[0]} END",
-        "right_shift_us": f"CASE WHEN {far} THEN 0 WHEN _n > 62 THEN CAST(floor(_ua / _p / 2) AS {number}) WHEN _n >= 0 THEN {floor('_ua', '_p')[0]} END",
+        "right_shift": f"CASE WHEN {far} THEN IF(_own < 0, -1, 0) WHEN {beyond} THEN IF(_own < 0, -1, CAST((_own - _own % {double}) / {double} AS {number})) WHEN _n >= 0 THEN {floor('_own', '_p')[0]} END",
+        "right_shift_us": f"CASE WHEN {far} THEN 0 WHEN {beyond} THEN CAST((_ua - _ua % {double}) / {double} AS {number}) WHEN _n >= 0 THEN {floor('_ua', '_p')[0]} END",
         "negate": "-_a",
         "bitwise_not": "-_a - 1",
     }
