@@ -16,7 +16,7 @@ from tributary.tables import cut, keep, stored
 GROUP = "func_id"
 
 
-HOPS = 4
+HOPS = 3
 SMALL = 200_000
 
 

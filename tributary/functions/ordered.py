@@ -1,9 +1,10 @@
 """Running computations over ordered groups that may be of any size.
 
-A window puts a whole group into one task. Here groups above ``max_rows`` are first split at approximate quantiles of the leading order
-column; the window then runs inside (group, piece), and what an earlier piece hands to a later one is a row per piece. The handed-over
-table holds pieces of large groups only: at most rows / max_rows groups, times the pieces of the largest, which the raised limit in
-``_limit`` keeps small enough to broadcast.
+A window puts a whole group into one task. Here the rows of groups above ``max_rows`` are first range-partitioned by group and order, so
+that a large group spreads over many consecutive pieces; the window then runs inside (group, piece), and what earlier pieces hand to a
+later one is a row per piece. Pieces are stored with their number, which therefore survives a lost executor. At most
+``MOST_LARGE_GROUPS`` groups are large (the limit rises with the data to keep that true) and a piece holds about as many rows as the
+limit, so the handed-over table has a few hundred thousand rows at most, whatever the size of the data: small enough to broadcast.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tributary.tables import keep
+
 MAX_ROWS = 2_000_000
-MOST_LARGE_GROUPS = 1_000
+MOST_LARGE_GROUPS = 100_000
 PIECE = "_piece"
 
 
@@ -24,29 +27,17 @@ class Ordered:
         self.keys, self.order = list(keys), list(order)
         counts = df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n"))
         total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
-        limit = self._limit(total or 0, max_rows)
+        limit = max(max_rows, (total or 0) // MOST_LARGE_GROUPS)
         self.split = (largest or 0) > limit
-        self.df = self._pieces(df, counts, limit, largest) if self.split else df
-        self.part = [*self.keys, PIECE] if self.split else self.keys
-
-    @staticmethod
-    def _limit(total: int, max_rows: int) -> int:
-        return max(max_rows, total // MOST_LARGE_GROUPS)
-
-    def _pieces(self, df: DataFrame, counts: DataFrame, limit: int, largest: int) -> DataFrame:
-        n = -(-largest // limit) + 1
-        lead = self.order[0]
-        large = F.broadcast(counts.filter(F.col("_n") > limit).select(*self.keys))
-        fractions = [i / n for i in range(1, n)]
-        # the cuts are fixed on the driver (bounded: see above), so that every use of the plan sees the same pieces
-        rows = (
-            df.join(large, self.keys, "left_semi")
-            .groupBy(*self.keys)
-            .agg(F.percentile_approx(lead, fractions, max(10_000, 20 * n)).alias("_cuts"))
-        )
-        cuts = df.sparkSession.createDataFrame(rows.collect(), rows.schema)
-        passed = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(lead)))
-        return df.join(F.broadcast(cuts), self.keys, "left").withColumn(PIECE, F.coalesce(passed, F.lit(0))).drop("_cuts")
+        self.df, self.part = df, self.keys
+        if self.split:
+            self.large = keep(counts.filter(F.col("_n") > limit))
+            rows = self.large.agg(F.sum("_n")).first()[0]
+            names = F.broadcast(self.large.select(*self.keys))
+            spread = df.join(names, self.keys, "left_semi").repartitionByRange(2 * (rows // limit) + 1, *self.keys, *self.order)
+            spread = keep(spread.withColumn(PIECE, F.spark_partition_id()))
+            self.df = df.join(names, self.keys, "left_anti").withColumn(PIECE, F.lit(0)).unionByName(spread)
+            self.part = [*self.keys, PIECE]
 
     def _window(self):
         return Window.partitionBy(*self.part).orderBy(*self.order)
@@ -55,16 +46,15 @@ class Ordered:
         """Join ``_carry``: per piece, what ``carry`` makes of ``value`` over the earlier pieces of its group."""
         ahead = Window.partitionBy(*self.keys).orderBy(PIECE)
         per_piece = df.groupBy(*self.part).agg(value.alias("_value"))
-        large = df.filter(F.col(PIECE) > 0).select(*self.keys).distinct()
-        per_piece = per_piece.join(large, self.keys, "left_semi")
+        per_piece = per_piece.join(F.broadcast(self.large.select(*self.keys)), self.keys, "left_semi")
         return df.join(F.broadcast(per_piece.select(*self.part, carry(F.col("_value"), ahead).alias("_carry"))), self.part, "left")
 
     def row_number(self, name: str = "idx") -> DataFrame:
         """1-based position of every row in its group."""
-        df = self.df.withColumn(name, F.row_number().over(self._window()))
+        df = self.df.withColumn(name, F.row_number().over(self._window()).cast("bigint"))
         if self.split:
             df = self._hand_over(df, F.count(F.lit(1)), lambda v, w: F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-            df = df.withColumn(name, (F.col(name) + F.coalesce("_carry", F.lit(0))).cast("int")).drop("_carry", PIECE)
+            df = df.withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0))).drop("_carry", PIECE)
         return df
 
     def previous(self, column: str, name: str) -> DataFrame:

@@ -34,7 +34,7 @@ def ssa_violations(defs: DataFrame) -> DataFrame:
 def asof_def(defs: DataFrame, uses: DataFrame, inclusive: bool = True) -> DataFrame:
     """Uses with ``def_idx``: the last definition of the variable at (or, not inclusive, before) the use in its block."""
     key = [GROUP, "block", "var"]
-    points = uses.select(*key, "idx", F.lit(1).alias("is_use"), F.lit(None).cast("int").alias("at"))
+    points = uses.select(*key, "idx", F.lit(1).alias("is_use"), F.lit(None).cast("bigint").alias("at"))
     known = defs.select(*key, "idx", F.lit(0).alias("is_use"), F.col("idx").alias("at"))
     # at equal positions a definition counts if inclusive, so it goes first
     turn = F.col("is_use") if inclusive else -F.col("is_use")
@@ -114,9 +114,9 @@ def interference(edges: DataFrame, roots: DataFrame, defs: DataFrame, uses: Data
     last = defs.select(GROUP, "block", "idx").unionByName(uses.select(GROUP, "block", "idx"))
     last = last.groupBy(GROUP, "block").agg((F.max("idx") + 2).alias("hi"))
     final = live_out.join(last, [GROUP, "block"], "left").select(
-        GROUP, "block", "var", F.lit(None).cast("int").alias("lo"), F.coalesce("hi", F.lit(1)).alias("hi")
+        GROUP, "block", "var", F.lit(None).cast("bigint").alias("lo"), F.coalesce("hi", F.lit(1)).alias("hi")
     )
-    read = uses.select(GROUP, "block", "var", F.lit(None).cast("int").alias("lo"), (F.col("idx") + 1).alias("hi"))
+    read = uses.select(GROUP, "block", "var", F.lit(None).cast("bigint").alias("lo"), (F.col("idx") + 1).alias("hi"))
     spans = begin.unionByName(made).unionByName(final).unionByName(read).groupBy(GROUP, "block", "var").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     spans = keep(spans.filter("lo < hi AND block IS NOT NULL").withColumnRenamed("var", "other"))
     points = defs.select(GROUP, "block", "var", (F.col("idx") + 1).alias("at")).unionByName(merged.withColumn("at", F.lit(0)))
@@ -178,7 +178,7 @@ def unsafe_between(edges: DataFrame, pairs: DataFrame, danger: DataFrame) -> Dat
 def _next_danger(pairs: DataFrame, danger: DataFrame) -> DataFrame:
     """In-block pairs with the first danger at or after the definition."""
     # positions are negated, so that the next danger is the last one known
-    points = pairs.select(GROUP, F.col("def_block").alias("block"), (-F.col("def_idx")).alias("p"), F.lit(1).alias("ask"), F.lit(None).cast("int").alias("at"))
+    points = pairs.select(GROUP, F.col("def_block").alias("block"), (-F.col("def_idx")).alias("p"), F.lit(1).alias("ask"), F.lit(None).cast("bigint").alias("at"))
     known = danger.select(GROUP, "block", (-F.col("idx")).alias("p"), F.lit(0).alias("ask"), F.col("idx").alias("at"))
     rows = Ordered(points.distinct().unionByName(known), [GROUP, "block"], ["p", "ask"]).last_known(F.col("at"), "next_idx", True)
     found = rows.filter("ask = 1").select(GROUP, F.col("block").alias("def_block"), (-F.col("p")).alias("def_idx"), "next_idx")

@@ -23,26 +23,24 @@ def fold_tree(
     ``leaf`` and ``inner`` name the same results; ``inner`` may be a function that adds them in several steps. ``aggs`` see the
     children's columns and results.
     """
-    nodes = keep(nodes)
-    spark = nodes.sparkSession
-    parents = nodes.filter("parent IS NOT NULL").groupBy(GROUP, F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("need"))
-    parents = keep(parents)
-    done, n, path = cut(nodes.join(parents, [GROUP, "node"], "left_anti").select("*", *leaf))
-    schema, paths, waiting = done.schema, [path], parents
+    counts = nodes.filter("parent IS NOT NULL").groupBy(GROUP, F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("_need"))
+    columns = nodes.columns
+    nodes = keep(nodes.join(counts, [GROUP, "node"], "left"))
+    inner_nodes = nodes.filter("_need IS NOT NULL")
+    done, n, path = cut(nodes.filter("_need IS NULL").select(*columns, *leaf))
+    schema, paths, pending = done.schema, [path], done
     while n:
-        have = done.filter("parent IS NOT NULL").groupBy(GROUP, F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("have"))
-        waiting = keep(waiting.join(have, [GROUP, "node"], "left").select(GROUP, "node", (F.col("need") - F.coalesce("have", F.lit(0))).alias("need")))
-        ready = waiting.filter("need = 0").select(GROUP, "node")
-        waiting = waiting.filter("need > 0")
-        kids = stored(spark, schema, paths).join(ready.withColumnRenamed("node", "parent"), [GROUP, "parent"], "left_semi")
-        kids = kids.groupBy(GROUP, F.col("parent").alias("node")).agg(*aggs)
-        now = nodes.join(kids, [GROUP, "node"])
-        now = inner(now) if callable(inner) else now.select(*nodes.columns, *inner)
+        kids = pending.filter("parent IS NOT NULL").groupBy(GROUP, F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("_have"), *aggs)
+        now = inner_nodes.join(kids, [GROUP, "node"])
+        ready = now.filter("_need = _have").drop("_need", "_have")
+        ready = inner(ready) if callable(inner) else ready.select(*columns, *inner)
         # the written rounds share one schema, whatever type an expression widens to
-        now = now.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-        done, n, path = cut(now)
+        done, n, path = cut(ready.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]))
         paths.append(path)
-    return stored(spark, schema, paths)
+        # children whose parent still waits for others stay for the next round
+        late, n_late, _ = cut(now.filter("_need <> _have").select(GROUP, F.col("node").alias("parent")))
+        pending = done.unionByName(pending.join(late, [GROUP, "parent"], "left_semi").select(*done.columns)) if n_late else done
+    return stored(nodes.sparkSession, schema, paths)
 
 
 def complexity(nodes: DataFrame) -> DataFrame:

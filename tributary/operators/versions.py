@@ -19,7 +19,10 @@ def expand_mem_phi(phis: DataFrame, aliased: DataFrame) -> DataFrame:
 
 
 def missing_versions(aliased: DataFrame, memory: DataFrame, existing: DataFrame) -> DataFrame:
-    """(func_id, name, version): memory versions at which an aliased variable has no definition of its own."""
+    """(func_id, name, version): memory versions at which an aliased variable has no definition of its own.
+
+    Every variable of a function meets every version of it, because each such pair without a definition is a result.
+    """
     wanted = aliased.select(GROUP, "name").join(memory.select(GROUP, "version").distinct(), GROUP)
     return wanted.join(existing, [GROUP, "name", "version"], "left_anti")
 

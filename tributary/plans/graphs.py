@@ -160,7 +160,7 @@ def components(t):
 
 
 @query("degrees", """n AS (SELECT DISTINCT func_id, src, dst FROM page_links), e AS (SELECT func_id, src AS node, 0 AS i, 1 AS o FROM n UNION ALL
-    SELECT func_id, dst, 1, 0 FROM n) SELECT func_id, node, sum(i) AS n_in, sum(o) AS n_out, sum(i) = 0 AS is_root, sum(o) = 0 AS is_leaf,
+    SELECT func_id, dst, 1, 0 FROM n) SELECT func_id, node, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out, sum(i) = 0 AS is_root, sum(o) = 0 AS is_leaf,
     sum(i) > 1 OR sum(o) > 1 AS is_cross FROM e GROUP BY ALL""")
 def degrees(t):
     return g.degrees(t.page_links)

@@ -60,24 +60,24 @@ def _expr_uses(t):
     return keep(rows.select(F.col("l_orderkey").alias("func_id"), "idx", F.explode(entries).alias("e")).select("func_id", "idx", "e.*"))
 
 
-@query("common_expr", """SELECT func_id, fp, count(*) AS n_rows, sum(n) AS n FROM expr_uses WHERE NOT barred GROUP BY func_id, fp
+@query("common_expr", """SELECT func_id, fp, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS n FROM expr_uses WHERE NOT barred GROUP BY func_id, fp
     HAVING count(*) >= 2 AND (max(complexity) >= 2 OR max(length(text)) >= 8)""")
 def common_expr(t):
     return m.common_expr(_expr_uses(t))
 
 
-@query("common_expr_intra", """SELECT func_id, fp, count(*) AS n_rows, sum(n) AS n FROM expr_uses WHERE NOT barred GROUP BY func_id, fp
+@query("common_expr_intra", """SELECT func_id, fp, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS n FROM expr_uses WHERE NOT barred GROUP BY func_id, fp
     HAVING (max(complexity) >= 2 AND sum(n) >= 3) OR (max(length(text)) >= 8 AND sum(n) >= 2)""")
 def common_expr_intra(t):
     return m.common_expr(_expr_uses(t), threshold=3, intra=True)
 
 
 @query("common_expr_greedy", """u AS (SELECT * FROM expr_uses WHERE NOT barred),
-    big AS (SELECT func_id, fp, count(*) AS n_rows, sum(n) AS n FROM u WHERE complexity = 3 GROUP BY ALL HAVING count(*) >= 2),
+    big AS (SELECT func_id, fp, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS n FROM u WHERE complexity = 3 GROUP BY ALL HAVING count(*) >= 2),
     gone AS (SELECT u.func_id, split_part(substr(u.fp, 2), ')', 1) AS fp, u.idx, sum(u.n) AS c FROM u JOIN big USING (func_id, fp) GROUP BY ALL),
     small AS (SELECT u.func_id, u.fp, u.n - coalesce(g.c, 0) AS n FROM u LEFT JOIN gone g USING (func_id, fp, idx) WHERE u.complexity = 2)
-    SELECT * FROM big UNION ALL SELECT func_id, fp, count(*) FILTER (WHERE n > 0), sum(n) FROM small GROUP BY ALL HAVING count(*) FILTER (WHERE n > 0) >= 2
-    UNION ALL SELECT func_id, fp, count(*), sum(n) FROM u WHERE complexity = 1 AND length(text) >= 8 GROUP BY ALL HAVING count(*) >= 2""")
+    SELECT * FROM big UNION ALL SELECT func_id, fp, count(*) FILTER (WHERE n > 0), CAST(sum(n) AS BIGINT) FROM small GROUP BY ALL HAVING count(*) FILTER (WHERE n > 0) >= 2
+    UNION ALL SELECT func_id, fp, count(*), CAST(sum(n) AS BIGINT) FROM u WHERE complexity = 1 AND length(text) >= 8 GROUP BY ALL HAVING count(*) >= 2""")
 def common_expr_greedy(t):
     uses = _expr_uses(t)
     inner = F.regexp_extract("fp", r"^\(([^)]*)\)", 1)
@@ -155,7 +155,7 @@ def case_groups(t):
     return m.case_groups(t.lineitem.select(F.col("l_orderkey").alias("func_id"), F.col("l_returnflag").alias("expr"), F.col("l_linenumber").alias("constant")))
 
 
-@query("invert_map", """SELECT func_id, target, CAST(row_number() OVER (PARTITION BY func_id, target ORDER BY value) AS INTEGER) AS ord, value FROM
+@query("invert_map", """SELECT func_id, target, row_number() OVER (PARTITION BY func_id, target ORDER BY value) AS ord, value FROM
     (SELECT DISTINCT CAST(0 AS BIGINT) AS func_id, o_custkey AS target, o_orderkey AS value FROM orders)""")
 def invert_map(t):
     """Which orders lead to a customer."""
@@ -316,7 +316,7 @@ def _order_trees(t):
 
     def node(n, parent, pos, op, var, value):
         return F.struct(
-            n.cast("int").alias("node"), parent.cast("int").alias("parent"), pos.cast("int").alias("pos"), op.cast("string").alias("op"),
+            n.cast("bigint").alias("node"), parent.cast("bigint").alias("parent"), pos.cast("int").alias("pos"), op.cast("string").alias("op"),
             var.cast("string").alias("var"), value.cast("decimal(38,0)").alias("value"),
         )
 
@@ -396,4 +396,4 @@ def canonical_expressions(t):
     )
     nodes = t.line_rows.select(F.col("l_orderkey").alias("func_id"), F.explode(parts).alias("n")).select("func_id", "n.*")
     done = tr.canonical_expressions(nodes).filter("parent IS NULL")
-    return done.select(F.col("func_id").alias("l_orderkey"), F.substring_index("node", ":", 1).cast("int").alias("idx"), "print", "fp")
+    return done.select(F.col("func_id").alias("l_orderkey"), F.substring_index("node", ":", 1).cast("bigint").alias("idx"), "print", "fp")

@@ -19,7 +19,7 @@ VIEWS = {
     "ev": """SELECT *, CAST(props->>'$.k' AS INTEGER) AS k,
         user_id * 100 + CAST(floor(date_diff('second', TIMESTAMP '2024-01-01', ts) / 604800.0) AS BIGINT) AS func_id FROM events""",
     "flow_instr": """SELECT func_id, event_type || '#' || (k % 3) AS block,
-        CAST(row_number() OVER (PARTITION BY func_id ORDER BY ts, event_id) AS INTEGER) AS idx, event_id, k, value,
+        row_number() OVER (PARTITION BY func_id ORDER BY ts, event_id) AS idx, event_id, k, value,
         CASE WHEN k % 10 <= 5 THEN 'assignment' WHEN k % 10 = 6 THEN 'call' WHEN k % 10 = 7 THEN 'branch'
              WHEN k % 10 = 8 THEN 'relation' ELSE 'return' END AS kind,
         CASE k % 4 WHEN 0 THEN 'copy' WHEN 1 THEN 'operation' WHEN 2 THEN 'constant' ELSE 'address' END AS form,
@@ -46,8 +46,8 @@ VIEWS = {
     "hier_edges": """SELECT CAST(0 AS BIGINT) AS func_id, 'r:' || n_regionkey AS src, 'n:' || n_nationkey AS dst FROM nation
         UNION ALL SELECT 0, 'n:' || c_nationkey, 'c:' || c_custkey FROM customer
         UNION ALL SELECT 0, 'c:' || o_custkey, 'o:' || o_orderkey FROM orders""",
-    "line_rows": """SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey
-        ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS INTEGER) AS idx FROM lineitem""",
+    "line_rows": """SELECT *, row_number() OVER (PARTITION BY l_orderkey
+        ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS idx FROM lineitem""",
     "doc_lines": """SELECT DISTINCT CAST(0 AS BIGINT) AS func_id, 'd' || doc_id AS src, 'l' || md5(line) AS dst
         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> ''""",
 }

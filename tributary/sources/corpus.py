@@ -87,16 +87,14 @@ def scan_source(spark: SparkSession, path: str, pattern: str = TEST_FUNCTION) ->
     return spark.read.text(path).select(F.input_file_name().alias("file"), found.alias("name")).filter("name <> ''")
 
 
-LONGEST_SUFFIX = 4096
-
-
 def match_by_suffix(files: DataFrame, sources: DataFrame) -> DataFrame:
     """(file, source) where the file's name ends with the source's.
 
-    Instead of comparing all with all, every file is looked up by its endings of the lengths that sources have: an equi join. Path names
-    are at most ``LONGEST_SUFFIX`` characters, which bounds the lengths.
+    Instead of comparing all with all, every file is looked up by its endings of the lengths that sources have: an equi join. Lengths
+    above the longest file name cannot match, so there are at most as many as that name has characters.
     """
-    rows = sources.select(F.length("source").alias("n")).filter(F.col("n") <= LONGEST_SUFFIX).distinct().collect()
+    longest = files.agg(F.max(F.length("file"))).first()[0] or 0
+    rows = sources.select(F.length("source").alias("n")).filter(F.col("n") <= longest).distinct().collect()
     lengths = F.array(*[F.lit(r[0]) for r in sorted(rows)]) if rows else F.array().cast("array<int>")
     ends = files.withColumn("_n", F.explode(lengths)).filter(F.length("file") >= F.col("_n"))
     return ends.select("file", F.expr("right(file, _n)").alias("source")).join(sources.distinct(), "source").select("file", "source")

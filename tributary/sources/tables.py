@@ -94,7 +94,7 @@ class Tables:
     def ssa_uses(self) -> DataFrame:
         """Every use under the name of the last definition before it in the function; name#0 where there is none."""
         rows = self.flow_instr
-        points = rows.select("func_id", "idx", F.col("use_var").alias("name"), F.lit(0).alias("late"), F.lit(None).cast("int").alias("at"))
+        points = rows.select("func_id", "idx", F.col("use_var").alias("name"), F.lit(0).alias("late"), F.lit(None).cast("bigint").alias("at"))
         known = rows.select("func_id", "idx", F.col("def_var").alias("name"), F.lit(1).alias("late"), F.col("idx").alias("at"))
         seen = Ordered(points.unionByName(known), ["func_id", "name"], ["idx", "late"]).last_known(F.col("at"), "ver", False)
         uses = seen.filter("late = 0").select("func_id", "idx", "name", F.coalesce("ver", F.lit(0)).alias("ver"))
