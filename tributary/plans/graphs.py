@@ -8,7 +8,6 @@ from tributary.operators import dominance as d
 from tributary.operators import graph as g
 from tributary.operators import visits
 from tributary.plans.registry import query, view
-from tributary.tables import keep
 
 view("flow_reach", """SELECT func_id, root AS node FROM flow_roots UNION
     SELECT e.func_id, e.dst FROM flow_reach r JOIN flow_edges e ON e.func_id = r.func_id AND e.src = r.node""")
@@ -294,13 +293,12 @@ def noreturn_boundary(t):
     return d.noreturn_boundary(t.flow_edges.filter("src NOT LIKE 'error%'"), nodes, nodes.filter("node LIKE 'error%'"))
 
 
-@query("graph_equality", """a AS (SELECT DISTINCT src, dst FROM flow_edges WHERE func_id % 100 = 0), b AS (SELECT DISTINCT src, dst FROM flow_edges
-    WHERE func_id % 100 = 1) SELECT src, dst, 'left' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL
-    SELECT src, dst, 'right' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+@query("graph_equality", """a AS (SELECT func_id, src, dst FROM flow_edges), b AS (SELECT func_id, dst AS src, src AS dst FROM flow_edges)
+    SELECT func_id, src, dst, 'left' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL
+    SELECT func_id, src, dst, 'right' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def graph_equality(t):
-    """Steps seen in the first week only, or in the second only."""
-    week = keep(t.flow_edges.select((F.col("func_id") % 100).alias("week"), "src", "dst").distinct())
-    return g.graph_diff(week.filter("week = 0").select("src", "dst"), week.filter("week = 1").select("src", "dst"))
+    """What keeps a week's graph from being equal to its reverse."""
+    return g.graph_diff(t.flow_edges, g.flipped(t.flow_edges))
 
 
 @query("induced_subgraph", "SELECT func_id, src, dst FROM flow_edges WHERE src NOT LIKE 'error%' AND dst NOT LIKE 'error%'")
@@ -308,13 +306,13 @@ def induced_subgraph(t):
     return g.induced(t.flow_edges, _at(t.flow_blocks, "block").filter("node NOT LIKE 'error%'"))
 
 
-@query("symmetric_difference", """n AS (SELECT func_id // 100 AS user_id, func_id % 100 AS week, block FROM flow_blocks),
-    a AS (SELECT user_id, block FROM n WHERE week = 0), b AS (SELECT user_id, block FROM n WHERE week = 1)
+@query("symmetric_difference", """a AS (SELECT DISTINCT func_id, block FROM flow_instr WHERE form = 'address'),
+    b AS (SELECT DISTINCT func_id, block FROM flow_instr WHERE form = 'copy')
     SELECT * FROM ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION (SELECT * FROM b EXCEPT SELECT * FROM a))""")
 def symmetric_difference(t):
-    """Blocks a visitor met in exactly one of the first two weeks."""
-    n = t.flow_blocks.select(F.floor(F.col("func_id") / 100).alias("user_id"), (F.col("func_id") % 100).alias("week"), "block")
-    return g.graph_diff(n.filter("week = 0").drop("week"), n.filter("week = 1").drop("week")).drop("side")
+    """Blocks that take an address or make a copy, but not both."""
+    rows = t.flow_instr.select("func_id", "block", "form")
+    return g.graph_diff(rows.filter("form = 'address'").drop("form"), rows.filter("form = 'copy'").drop("form")).drop("side")
 
 
 @query("contract", """p AS (SELECT DISTINCT func_id, least(src, dst) AS a, greatest(src, dst) AS b FROM flow_edges WHERE src <> dst),
