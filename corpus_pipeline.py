@@ -6,11 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import line_rules
+from tributary.llm import line_rules, pareto_mix, piece_trie, quality_qda, signature_tree
 from tributary.tables import shared_folder
 
 STAGES = [
     ("quality_rules", line_rules.stage),
+    ("quality_classifier", quality_qda.stage),
+    ("near_duplicates", signature_tree.stage),
+    ("source_mix", pareto_mix.stage),
+    ("piece_encoding", piece_trie.stage),
 ]
 
 #: A trained discriminant and link components have no SQL; tests/llm compares every stage with brute force instead.
