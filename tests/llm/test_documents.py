@@ -69,7 +69,7 @@ def test_line_rules_counts(which, given, awkward):
 
 
 def test_line_rules_verdict(table, empty):
-    prose = "\n".join(f"This is sentence number {i} of a page that nobody would call a menu." for i in range(9))
+    prose = "\n".join(" ".join(f"word{i * j}" for j in range(7, 17)) + "." for i in range(1, 9))
     menu = "\n".join(["Home | About | Contact | News", "Login", "All rights reserved.", "wow!! such!! noise!! here!!", "no end of this line"] * 12)
     rows = {r.doc_id: r for r in line_rules.measure(table("doc_id int, text string", [(1, prose + "\nHome | About | Contact |\nAll rights reserved."), (2, menu + "\n" + prose[:200])])).collect()}
     assert rows[1].kept and rows[1].clean_text == prose

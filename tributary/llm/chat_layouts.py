@@ -82,6 +82,10 @@ UNION = (
 )
 
 
+def _has(name: str):
+    return lambda x: x[name].isNotNull()
+
+
 def filled_paths(schema: T.StructType, prefix: str = "") -> list[Column]:
     """A column per nested field: its path where a row fills it, else null. Of a list, the fields that any element fills."""
     found = []
@@ -91,7 +95,7 @@ def filled_paths(schema: T.StructType, prefix: str = "") -> list[Column]:
             found += filled_paths(field.dataType, f"{path}.")
         elif isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.StructType):
             names = field.dataType.elementType.fieldNames()
-            found += [F.when(F.exists(F.col(path), lambda x, n=n: x[n].isNotNull()), F.lit(f"{path}[].{n}")) for n in names]
+            found += [F.when(F.exists(F.col(path), _has(n)), F.lit(f"{path}[].{n}")) for n in names]
             bare = ~F.exists(F.col(path), lambda x: reduce(lambda a, b: a | b, [x[n].isNotNull() for n in names]))
             found.append(F.when(F.col(path).isNotNull() & bare, F.lit(path)))
         else:
