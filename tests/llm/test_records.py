@@ -112,9 +112,11 @@ def by_hand(rows):
 
 
 TRAP = "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\nWARC/1.1\r\nContent-Length: 99999999\r\n\r\nWARC/1.1\r\n"
+#: Ends where the record around it ends: its successor is a true one.
+INNER = "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello"
 PAGES = [
     (1, "http://a/", TRAP * 40), (2, "http://b/ c\r\nX: y", "same"), (3, None, "same"), (3, "http://d", "other"), (4, "u" * 100_000, None), (5, "é", ""),
-    (6, "http://e", "WARC/1.1\r\n" * 3000), (None, "http://f", "lone"), (7, "http://g", "big" * 50_000), (8, "h", "same"), (9, "i", "twice"), (9, "i", "twice"), (9, "j", "twice"),
+    (10, "http://x", INNER), (6, "http://e", "WARC/1.1\r\n" * 3000), (None, "http://f", "lone"), (7, "http://g", "big" * 50_000), (8, "h", "same"), (9, "i", "twice"), (9, "i", "twice"), (9, "j", "twice"),
 ]
 
 
@@ -130,6 +132,7 @@ def test_candidates_inside_payloads_are_rejected(spark, table):
     pages = table("page_id bigint, url string, html string", PAGES).coalesce(1)
     folder, archives, back = archived(spark, pages, 1 << 12)
     seen = warc_chain.candidates(archives, folder, 1 << 12)
+    assert seen.groupBy("name", "exit").count().filter("count > 1").count()
     assert seen.count() > len(PAGES) == back.count()
     texts = {r.page_id: bytes(r.payload).decode() for r in back.collect() if r.record_type == "response" and r.page_id in (1, 6, 7)}
     assert texts == {k: html for k, _, html in PAGES if k in (1, 6, 7)}

@@ -85,7 +85,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     lost = F.col("n_words") - F.col("n_kept_words")
     df = df.withColumn("kept", ~F.col("base_failed") & (100 * lost <= MAX_LOST * F.col("n_words")))
     df = df.withColumn("clean_text", F.array_join(F.transform("_passed", lambda x: x["line"]), "\n"))
-    return df.select(*docs.columns, *RESULT)
+    # a filter on a result must not be moved below the steps above, where it would repeat them for every element; rows have a number >= 0
+    df = df.withColumn("_row", F.monotonically_increasing_id())
+    return df.select(*docs.columns, *[F.when(F.col("_row") >= 0, F.col(c)).alias(c) for c in RESULT])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ Writing: records with equal payload (digest and length) form a group; the smalle
 refer to it and carry the digest and length of the full payload but no block.
 
 Defined results: null html is an empty payload; a null id is written without a number and reads back as null, last in its group; rows
-repeated with equal id are a response and revisits to the same id; an empty table gives an empty result; other columns are ignored.
+repeated with equal id are a response and revisits to the same id; a URL of over MAX_URL characters is stored as its hash; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from tributary.llm.token_files import file_system
 from tributary.tables import cut, keep, shared_folder, stored
 
 MAGIC = b"WARC/1.1\r\n"
-MAX_HEADER = 1 << 16
+MAX_HEADER, MAX_URL = 1 << 16, 1 << 14
 RANGE_BYTES = 4 << 20
 #: Rows of (id, id) that may be sent to every task; beyond it the pages are shuffled to them.
 MOST_SENT = 1_000_000
@@ -43,12 +43,15 @@ def digest(payload: bytes) -> str:
 def record(page, url: str, payload: bytes, first, revisit: bool) -> bytes:
     """One record with its closing blank lines; the id goes into the record's URN."""
     block = b"" if revisit else payload
+    url = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+    if len(url) > MAX_URL:
+        url = f"urn:sha1:{hashlib.sha1(url.encode()).hexdigest()}"
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: <urn:page:{'' if page is None else page}>",
         "WARC-Date: 2024-01-01T00:00:00Z",
-        "WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url),
+        f"WARC-Target-URI: {url}",
         f"WARC-Payload-Digest: sha1:{digest(payload)}",
         f"X-Payload-Length: {len(payload)}",
     ]
@@ -123,8 +126,8 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id") -> DataF
 
 def _ranges(archives: DataFrame, range_bytes: int) -> DataFrame:
     """(name, size, at): a row per range, dealt out over all tasks."""
-    starts = F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(range_bytes)))
-    ranges = archives.filter("size > 0").select("name", "size", starts.cast("bigint").alias("at"))
+    starts = F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(range_bytes).cast("bigint"))
+    ranges = archives.filter("size > 0").select("name", "size", F.explode(starts).alias("at"))
     return ranges.repartition("name", "at")
 
 
@@ -184,8 +187,10 @@ def entries(found: DataFrame) -> DataFrame:
     return reached
 
 
-def read_archives(archives: DataFrame, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of every reachable record."""
+def read_archives(archives: DataFrame, folder: str, range_bytes: int = RANGE_BYTES, payloads: bool = True) -> DataFrame:
+    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of every reachable record.
+
+    Without ``payloads`` they are read and digested, but not handed on."""
     starts = entries(candidates(archives, folder, range_bytes))
     number = re.compile(rb"<urn:page:(-?\d*)>")
 
@@ -206,7 +211,7 @@ def read_archives(archives: DataFrame, folder: str, range_bytes: int = RANGE_BYT
                         ids = [number.search(fields.get(k, b"<urn:page:>"))[1] for k in (b"WARC-Record-ID", b"WARC-Refers-To")]
                         full = int(fields[b"X-Payload-Length"]) if revisit else length
                         sha = fields[b"WARC-Payload-Digest"].decode().removeprefix("sha1:") if revisit else digest(whole)
-                        rows.append((ids[0].decode() or None, fields[b"WARC-Target-URI"].decode(), full, sha, "revisit" if revisit else "response", ids[1].decode() or None, None if revisit else whole))
+                        rows.append((ids[0].decode() or None, fields[b"WARC-Target-URI"].decode(), full, sha, "revisit" if revisit else "response", ids[1].decode() or None, None if revisit or not payloads else whole))
                         held += length
                         at = shift + block + length + 4
                         if held > range_bytes:
@@ -224,8 +229,5 @@ def read_archives(archives: DataFrame, folder: str, range_bytes: int = RANGE_BYT
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    read_back = read_archives(write_archives(pages, folder), folder)
+    read_back = read_archives(write_archives(pages, folder), folder, payloads=False)
     return read_back.drop("url", "payload")
-
-
-ORACLE_ROWS = "SELECT page_id, coalesce(html, '') AS html FROM pages"
