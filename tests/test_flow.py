@@ -169,8 +169,15 @@ def test_colouring_is_first_fit(table):
 
 
 def test_trivial_merges(table):
-    args = table("func_id bigint, var string, arg string", [(1, "a", "x"), (1, "a", "x"), (1, "b", "b"), (1, "c", "d"), (1, "d", "y"), (1, "d", "z"), (1, "e", "a")])
-    assert got(ver.trivial_phis(args), "var", "value", "action") == {("a", "x", "copy"), ("b", "b", "drop"), ("e", "a", "copy")}
+    rows = [("A", "a", "x"), ("A", "a", "x"), ("A", "b", "b"), ("A", "c", "d"), ("A", "d", "y"), ("A", "d", "z"), ("A", "e", "a"), ("A", "f", "g"), ("A", "g", "f"), ("A", "h", "b")]
+    # merged in another block and kept there: no dependency
+    rows += [("B", "t", "d"), ("B", "t", "d")]
+    args = table("func_id bigint, block string, var string, arg string", [(1, *r) for r in rows])
+    assert got(ver.trivial_phis(args), "block", "var", "value", "action") == {
+        ("A", "a", "x", "copy"), ("A", "b", "b", "drop"), ("A", "e", "a", "copy"), ("A", "h", "b", "copy"), ("B", "t", "d", "copy")
+    }
+    assert got(ver.phi_deps(args), "block", "src", "dst") == {("A", "c", "d"), ("A", "e", "a"), ("A", "f", "g"), ("A", "g", "f"), ("A", "h", "b")}
+    assert got(ver.phi_cycles(args), "block", "var") == {("A", "f"), ("A", "g")}
 
 
 def test_majority(table):

@@ -84,8 +84,8 @@ def fold_constants(df: DataFrame, op: str, left: str, right: str, name: str, siz
 
 
 def bit_positions(mask: Column) -> Column:
-    """Ascending positions of the set bits of a non-negative mask below 2**63."""
-    places = F.array(*[F.lit(i) for i in range(63)])
+    """Ascending positions of the set bits of a 64-bit mask; the sign is bit 63."""
+    places = F.array(*[F.lit(i) for i in range(64)])
     return F.filter(places, lambda i: F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)) == 1)
 
 

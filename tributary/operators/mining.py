@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -18,15 +20,19 @@ def var_registry(occurrences: DataFrame) -> DataFrame:
 
 def harmonize_type(occurrences: DataFrame) -> DataFrame:
     """Occurrences with ``type`` set to the first seen (by ``ord``) of their (name, ssa)."""
-    first = occurrences.groupBy(GROUP, "name", "ssa").agg(F.min_by("type", "ord").alias("first_type"))
-    out = occurrences.join(first, [GROUP, "name", "ssa"])
-    return out.withColumn("type", F.col("first_type")).drop("first_type")
+    return _of_group(occurrences, [GROUP, "name", "ssa"], "type", F.min_by("type", "ord"))
+
+
+def _of_group(rows: DataFrame, keys: Sequence[str], column: str, value: Column) -> DataFrame:
+    """``rows`` with ``column`` set to an aggregate over rows of equal keys; nulls are equal."""
+    per_key = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(value.alias("_value"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return rows.join(per_key, same).withColumn(column, F.col("_value")).select(*rows.columns)
 
 
 def harmonize_aliased(occurrences: DataFrame) -> DataFrame:
     """Occurrences with ``aliased`` set if any occurrence of their name is aliased."""
-    some = occurrences.groupBy(GROUP, "name").agg(F.bool_or("aliased").alias("any_aliased"))
-    return occurrences.join(some, [GROUP, "name"]).withColumn("aliased", F.col("any_aliased")).drop("any_aliased")
+    return _of_group(occurrences, [GROUP, "name"], "aliased", F.bool_or("aliased"))
 
 
 def common_expr(uses: DataFrame, threshold: int = 2, intra: bool = False, string_threshold: int = 2, min_length: int = 8) -> DataFrame:
@@ -106,7 +112,8 @@ def strided_access(accesses: DataFrame) -> DataFrame:
     base = base.select(*key, single.alias("stride"), "known").filter("stride IS NOT NULL AND (known = 0 OR known = stride)")
     rows = accesses.join(base, key)
     odd = rows.filter("cls = 'const' AND value % stride <> 0").select(*key).distinct()
-    index = F.when(F.col("cls") == "const", F.floor(F.col("value") / F.col("stride")))
+    # all constant offsets divide without rest; whole numbers above 2**53 would not survive a division of doubles
+    index = F.when(F.col("cls") == "const", F.expr("value div stride"))
     return rows.join(odd, key, "left_anti").select(*accesses.columns, "stride", index.alias("index"), (F.col("known") > 0).alias("confident"))
 
 

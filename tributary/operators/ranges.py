@@ -13,16 +13,17 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, low: str, high: str) -> DataFrame:
-    """Join on ``keys`` and ``low <= at < high``; all three are non-negative whole numbers. Other columns must not share names."""
+    """Join on ``keys`` and ``low <= at < high``; all three are whole numbers. Other columns must not share names."""
     longest = intervals.agg(F.max(F.col(high) - F.col(low))).first()[0] or 0
     top = max(int(longest).bit_length() - 1, 0)
 
     def blocks(level):
-        size = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
-        first = F.floor((F.col(low).cast("bigint") + size - 1) / size).cast("bigint")
-        last = F.floor(F.col(high).cast("bigint") / size).cast("bigint")
-        left = F.when((first < last) & (first % 2 == 1), first)
-        right = F.when((first < last) & (last % 2 == 1), last - 1)
+        # shifts round down, also below zero, and are exact over the whole range
+        shift = lambda x: F.call_function("shiftright", x, level)
+        first = shift(F.col(low).cast("bigint") - 1) + 1
+        last = shift(F.col(high).cast("bigint"))
+        left = F.when((first < last) & (first.bitwiseAND(F.lit(1)) == 1), first)
+        right = F.when((first < last) & (last.bitwiseAND(F.lit(1)) == 1), last - 1)
         return F.array(F.struct(level.alias("level"), left.alias("block")), F.struct(level.alias("level"), right.alias("block")))
 
     sizes = F.array(*[F.lit(i) for i in range(top + 1)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tributary.fixpoint import GROUP, closure, edge_table, propagate
 from tributary.operators.dominance import depth_in_tree
@@ -71,30 +71,37 @@ def shared_var(pairs: DataFrame, uses: DataFrame) -> DataFrame:
     return found.filter("n = 1").drop("n")
 
 
+def _placed(name: str) -> Column:
+    """A merge row as a node: what is merged under one name in two blocks are two rows."""
+    return F.struct("block", F.col(name).alias("var"))
+
+
 def phi_deps(phi_args: DataFrame) -> DataFrame:
-    """(func_id, src, dst): merge row ``src`` has merge row ``dst`` among its arguments; not itself."""
-    made = phi_args.select(GROUP, F.col("var").alias("arg")).distinct()
-    used = phi_args.filter("var <> arg").join(made, [GROUP, "arg"], "left_semi")
-    return used.select(GROUP, F.col("var").alias("src"), F.col("arg").alias("dst")).distinct()
+    """(func_id, block, src, dst): merge row ``src`` has the merge row ``dst`` of its block among its arguments; not itself."""
+    made = phi_args.select(GROUP, "block", F.col("var").alias("arg")).distinct()
+    used = phi_args.filter("var <> arg").join(made, [GROUP, "block", "arg"], "left_semi")
+    return used.select(GROUP, "block", F.col("var").alias("src"), F.col("arg").alias("dst")).distinct()
 
 
 def phi_cycles(phi_args: DataFrame) -> DataFrame:
-    """(func_id, var): merge rows that depend on themselves through others."""
-    return closure(keep(phi_deps(phi_args))).filter("src = dst").select(GROUP, F.col("src").alias("var"))
+    """(func_id, block, var): merge rows that depend on themselves through others of their block."""
+    deps = phi_deps(phi_args).select(GROUP, _placed("src").alias("src"), _placed("dst").alias("dst"))
+    return closure(keep(deps)).filter("src = dst").select(GROUP, "src.block", "src.var")
 
 
 def trivial_phis(phi_args: DataFrame) -> DataFrame:
-    """(func_id, var, value, action): merge rows with one distinct argument.
+    """(func_id, block, var, value, action): merge rows with one distinct argument.
 
-    ``drop`` where that is the row's own variable, else ``copy`` — unless the argument is made by another merge row that stays.
-    Removing one may free the next, so this repeats until nothing changes.
+    ``drop`` where that is the row's own variable, else ``copy`` if the argument is not made by another merge row of the same block, or by
+    one that goes. Removing one may free the next, so this repeats until nothing changes; rows that wait for each other stay.
     """
-    one = phi_args.groupBy(GROUP, "var").agg(F.min("arg").alias("value"), F.max("arg").alias("most"))
-    one = keep(one.select(GROUP, "var", "value", (F.col("value") == F.col("most")).alias("single")))
-    chosen = one.filter("single").select(GROUP, "var", "value")
-    kept = one.filter("NOT single").select(GROUP, F.col("var").alias("node"))
-    # blocked: the argument's own merge row stays, directly or because that one is blocked itself
-    uses = chosen.filter("var <> value").select(GROUP, F.col("value").alias("src"), F.col("var").alias("dst"))
-    blocked = propagate(kept, edge_table(uses)).withColumnRenamed("node", "var")
-    out = chosen.join(blocked, [GROUP, "var"], "left_anti")
+    one = phi_args.groupBy(GROUP, "block", "var").agg(F.min("arg").alias("value"), F.max("arg").alias("most"))
+    one = keep(one.select(GROUP, "block", "var", "value", (F.col("value") == F.col("most")).alias("single")))
+    chosen = one.filter("single").drop("single")
+    made = one.select(GROUP, "block", F.col("var").alias("value"))
+    outside = chosen.join(made, [GROUP, "block", "value"], "left_anti").select(chosen.columns)
+    free = chosen.filter("var = value").unionByName(outside).select(GROUP, _placed("var").alias("node"))
+    uses = chosen.filter("var <> value").select(GROUP, _placed("value").alias("src"), _placed("var").alias("dst"))
+    gone = propagate(free, edge_table(uses)).select(GROUP, "node.block", "node.var")
+    out = chosen.join(gone, [GROUP, "block", "var"])
     return out.withColumn("action", F.when(F.col("var") == F.col("value"), "drop").otherwise("copy"))

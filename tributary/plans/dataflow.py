@@ -310,30 +310,40 @@ def shared_var(t):
     return v.shared_var(pairs, uses).withColumnsRenamed({"a": "src", "b": "dst"})
 
 
-view("phi_dep", """SELECT DISTINCT p.func_id, p.var AS src, q.var AS dst FROM phi_args p JOIN phi_args q ON q.func_id = p.func_id AND q.var = p.arg
-    WHERE p.var <> q.var""")
+#: Merge rows in names that are not of single definition: an argument is the row's own variable, another one or a constant, by the last
+#: definition in the predecessor. So rows refer to themselves and to others of their block, in chains and in cycles.
+view("phi_rows", """SELECT DISTINCT p.func_id, p.block, p.name AS var,
+    CASE i.k % 3 WHEN 0 THEN i.use_var WHEN 1 THEN p.name ELSE p.name || '@' || (i.k % 2) END AS arg
+    FROM phi_args p JOIN last_def l ON l.func_id = p.func_id AND l.block = p.pred_block AND l.var = p.name
+    JOIN flow_instr i ON i.func_id = l.func_id AND i.idx = l.def_idx""")
+view("phi_dep", """SELECT DISTINCT p.func_id, p.block, p.var AS src, q.var AS dst FROM phi_rows p
+    JOIN phi_rows q ON q.func_id = p.func_id AND q.block = p.block AND q.var = p.arg WHERE p.var <> q.var""")
+
+
+def _phi_rows(t):
+    last = t.flow_instr.groupBy("func_id", F.col("block").alias("pred_block"), F.col("def_var").alias("name"))
+    last = last.agg(F.max_by(F.struct("k", "use_var"), "idx").alias("l"))
+    own = F.concat(F.col("name"), F.lit("@"), (F.col("l.k") % 2).cast("string"))
+    arg = F.when(F.col("l.k") % 3 == 0, F.col("l.use_var")).when(F.col("l.k") % 3 == 1, F.col("name")).otherwise(own)
+    rows = t.phi_args.join(last, ["func_id", "pred_block", "name"])
+    return rows.select("func_id", "block", F.col("name").alias("var"), arg.alias("arg")).distinct()
 
 
-@query("phi_deps", "SELECT func_id, src, dst FROM phi_dep")
+@query("phi_deps", "SELECT func_id, block, src, dst FROM phi_dep")
 def phi_deps(t):
-    return v.phi_deps(t.phi_args)
+    return v.phi_deps(_phi_rows(t))
 
 
-@query("phi_cycles", """c AS (SELECT func_id, src, dst FROM phi_dep UNION SELECT c.func_id, c.src, e.dst FROM c JOIN phi_dep e
-    ON e.func_id = c.func_id AND e.src = c.dst) SELECT func_id, src AS var FROM c WHERE src = dst""")
+@query("phi_cycles", """c AS (SELECT func_id, block, src, dst FROM phi_dep UNION SELECT c.func_id, c.block, c.src, e.dst FROM c JOIN phi_dep e
+    ON e.func_id = c.func_id AND e.block = c.block AND e.src = c.dst) SELECT func_id, block, src AS var FROM c WHERE src = dst""")
 def phi_cycles(t):
-    return v.phi_cycles(t.phi_args)
+    return v.phi_cycles(_phi_rows(t))
 
 
-@query("trivial_phis", """a AS (SELECT func_id, var, CASE WHEN count(DISTINCT x) = 1 THEN min(x) END AS value
-      FROM
-      (SELECT func_id, block || '/' || name AS var, name || '@' || k AS x FROM (SELECT DISTINCT p.func_id, p.block, p.name, i.k % 3 AS k
-        FROM phi_args p JOIN last_def l ON l.func_id = p.func_id AND l.block = p.pred_block AND l.var = p.name
-        JOIN flow_instr i ON i.func_id = l.func_id AND i.idx = l.def_idx)) GROUP BY ALL)
-    SELECT func_id, var, value, 'copy' AS action FROM a WHERE value IS NOT NULL""")
+@query("trivial_phis", """a AS (SELECT func_id, block, var, CASE WHEN count(DISTINCT arg) = 1 THEN min(arg) END AS value FROM phi_rows GROUP BY ALL),
+    gone AS (SELECT * FROM a WHERE value = var OR (value IS NOT NULL AND NOT EXISTS (SELECT 1 FROM a m
+        WHERE m.func_id = a.func_id AND m.block = a.block AND m.var = a.value))
+      UNION SELECT a.* FROM a JOIN gone g ON g.func_id = a.func_id AND g.block = a.block AND g.var = a.value)
+    SELECT func_id, block, var, value, CASE WHEN var = value THEN 'drop' ELSE 'copy' END AS action FROM gone""")
 def trivial_phis(t):
-    """Merge rows whose predecessors all leave the same value (last k modulo 3) in the variable."""
-    last = t.flow_instr.groupBy("func_id", "block", F.col("def_var").alias("name")).agg(F.max_by("k", "idx").alias("k"))
-    args = t.phi_args.join(last.withColumnRenamed("block", "pred_block"), ["func_id", "pred_block", "name"])
-    args = args.select("func_id", F.concat_ws("/", "block", "name").alias("var"), F.concat(F.col("name"), F.lit("@"), F.col("k") % 3).alias("arg"))
-    return v.trivial_phis(args)
+    return v.trivial_phis(_phi_rows(t))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tributary.fixpoint import GROUP
 from tributary.functions.scalar import printable_string
@@ -50,17 +50,23 @@ def read_corpus(spark: SparkSession, folder: str, names: Sequence[str] = ("funct
 
 
 def list_functions(functions: DataFrame, blocklist: Sequence[str] = BLOCKLIST) -> DataFrame:
-    """Functions worth a look: not on the list of helpers and not imported."""
-    return functions.filter(~F.col("name").isin(*blocklist) & (F.col("symbol_type") != IMPORTED))
+    """Functions worth a look: not on the list of helpers and not imported. What has no name or no type is neither."""
+    return functions.filter(_analysable(blocklist))
+
+
+def _analysable(blocklist: Sequence[str]) -> Column:
+    return ~F.coalesce(F.col("name").isin(*blocklist), F.lit(False)) & ~F.col("symbol_type").eqNullSafe(IMPORTED)
 
 
 def resolve_functions(functions: DataFrame, ids: DataFrame) -> DataFrame:
-    """``ids(id)`` with the function they name: by exact name, else by address in hexadecimal, possibly after ``sub_``; else null."""
+    """``ids(id)`` with the function they name: by exact name, else by address in hexadecimal, possibly after ``sub_``; else null.
+
+    Addresses have 64 bits; from 2**63 on they are stored as the negative number of the same bits.
+    """
     named = functions.groupBy(F.col("name").alias("id")).agg(F.min("func_id").alias("by_name"))
     digits = F.regexp_replace("id", "^sub_", "")
-    # at most 15 digits fit into a signed 64-bit address
-    digits = F.regexp_extract(digits, "^(?:0[xX])?0*([0-9a-fA-F]{1,15})$", 1)
-    asked = ids.withColumn("_at", F.when(digits != "", F.conv(digits, 16, 10).cast("bigint")))
+    digits = F.regexp_extract(digits, "^(?:0[xX])?0*([0-9a-fA-F]{1,16})$", 1)
+    asked = ids.withColumn("_at", F.when(digits != "", F.conv(digits, 16, -10).cast("bigint")))
     placed = functions.groupBy(F.col("address").alias("_at")).agg(F.min("func_id").alias("by_address"))
     out = asked.join(named, "id", "left").join(placed, "_at", "left")
     return out.select(*ids.columns, F.coalesce("by_name", "by_address").alias("func_id"))
@@ -108,8 +114,7 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 
 def sample_info(samples: DataFrame, functions: DataFrame, blocklist: Sequence[str] = BLOCKLIST) -> DataFrame:
     """(sample_id, sample_name, sample_hash, total, analysable) from ``samples(sample_id, name, content)``."""
-    fit = ~F.col("name").isin(*blocklist) & (F.col("symbol_type") != IMPORTED)
-    counts = functions.groupBy("sample_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(fit).alias("analysable"))
+    counts = functions.groupBy("sample_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(_analysable(blocklist)).alias("analysable"))
     infos = samples.select("sample_id", F.col("name").alias("sample_name"), F.sha2("content", 256).alias("sample_hash"))
     return infos.join(counts, "sample_id", "left").na.fill(0, ["total", "analysable"])
 
@@ -120,7 +125,7 @@ MARKERS = ("rustc", "cargo")
 
 def has_marker(df: DataFrame, column: str, markers: Sequence[str] = MARKERS) -> DataFrame:
     """Rows with ``marked``: the text holds one of the markers."""
-    return df.withColumn("marked", contains_any(column, markers))
+    return df.withColumn("marked", F.coalesce(contains_any(column, markers), F.lit(False)))
 
 
 def classify_string(df: DataFrame, column: str) -> DataFrame:
@@ -134,8 +139,9 @@ def report_unsupported(rows: DataFrame, tokens: Sequence[str], threshold: int =
 
     A count joined back, not a window: a function may have any number of rows.
     """
-    counts = rows.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n_unsupported"))
-    return rows.join(counts, GROUP).filter((F.col("n_unsupported") <= threshold) | contains_any("text", tokens))
+    counts = rows.groupBy(F.col(GROUP).alias("_group")).agg(F.count(F.lit(1)).alias("n_unsupported"))
+    met = rows.join(counts, F.col(GROUP).eqNullSafe(F.col("_group"))).drop("_group")
+    return met.filter((F.col("n_unsupported") <= threshold) | F.coalesce(contains_any("text", tokens), F.lit(False)))
 
 
 def append_reports(reports: DataFrame, path: str) -> None:
