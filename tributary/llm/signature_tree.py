@@ -6,16 +6,16 @@ A document's set is the hashes of its distinct five-word shingles; documents wit
 Roots. Tokens below a hash limit, which falls with the set's size, are *routes*. If ``b`` is not larger than ``a`` and both link, ``a`` lacks at
 most ``|b| // 7`` tokens of ``b``; so of any ``|b| // 7 + 1`` routes of ``b`` that are routes of every such ``a``, one is shared. ``b`` asks
 by the rarest of its routes. Ordinary texts have enough routes of their own and ask nobody; passages that many texts share are asked for
-only by texts that consist of little else.
+only by texts that consist of little else. Whoever asks, or is asked, does so again by all tokens, which leaves few questions.
 
 Clusters. Every class first compares itself with one other, of those that share a frequent route the one whose routes are shared most;
 linked classes grow together into clusters. Groups of thousands of near copies mostly become one cluster this way, in as many comparisons as
 they have members, and pairs inside a cluster need no further look: the result is components.
 
 Tree. Clusters are the roots of signature trees, with chunks of about ``FAN`` classes below and classes as leaves. A node holds the OR of its
-members' token bitmaps, the range of their sizes and the largest number of tokens that a member's bitmap does not tell apart (``slack``).
-Root pairs come from the routes; dual traversal goes down pairs of nodes and drops a pair if the sizes exclude a link, or if the maximum
-possible overlap, ``min(slack) + bits in common``, is below ``3/7`` of the smallest sizes together. What is left at the leaves is compared by
+members' token bitmaps, the range of their sizes, the largest number of tokens of a member that others have (``most``) and the largest number
+that a member's bitmap does not tell apart (``slack``). Root pairs come from the routes; dual traversal goes down pairs of nodes and drops a pair if the sizes exclude a link, or if the maximum
+possible overlap, ``min(slack) + bits in common`` or the smaller ``most``, is below ``3/7`` of the smallest sizes together. What is left at the leaves is compared by
 whole texts.
 
 Should a set have too few routes (the limits leave a chance of about 1 to 10^9), the limits are doubled and the search repeated.
@@ -205,14 +205,14 @@ def _ones(bits: str) -> Column:
 
 
 def tree(classes: DataFrame, clusters: DataFrame) -> list[DataFrame]:
-    """Stored levels, roots first: (node, up, lo, hi, slack, bits). A node's name is unique in its level, ``up`` names it above."""
+    """Stored levels, roots first: (node, up, lo, hi, most, slack, bits). A node's name is unique in its level, ``up`` names it above."""
     leaves = classes.join(clusters, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     sizes = leaves.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
     leaves = leaves.join(sizes, "root")
     place = F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / FAN))
     # the chunk is named by its root and place: a hash of both would do but for collisions
-    leaves = keep(leaves.select(F.col("rep").cast("string").alias("node"), F.concat_ws("/", "root", place).alias("up"), F.col("root").cast("string").alias("root"), F.col("n").alias("lo"), F.col("n").alias("hi"), (F.col("n") - _ones("bits")).alias("slack"), "bits"))
-    merged = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("slack").alias("slack"), _or()]
+    leaves = keep(leaves.select(F.col("rep").cast("string").alias("node"), F.concat_ws("/", "root", place).alias("up"), F.col("root").cast("string").alias("root"), F.col("n").alias("lo"), F.col("n").alias("hi"), "most", (F.col("n") - _ones("bits")).alias("slack"), "bits"))
+    merged = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("most").alias("most"), F.max("slack").alias("slack"), _or()]
     chunks = keep(leaves.groupBy(F.col("up").alias("node"), F.col("root").alias("up")).agg(*merged))
     roots = keep(chunks.groupBy(F.col("up").alias("node")).agg(*merged).withColumn("up", F.lit(None).cast("string")))
     return [roots, chunks, leaves.drop("root")]
@@ -220,12 +220,12 @@ def tree(classes: DataFrame, clusters: DataFrame) -> list[DataFrame]:
 
 def _may_link(pairs: DataFrame, level: DataFrame) -> DataFrame:
     """Of pairs (a, b) of nodes of a level, those with possible links below them."""
-    columns = ["node", "lo", "hi", "slack", "bits"]
+    columns = ["node", "lo", "hi", "most", "slack", "bits"]
     left, right = (level.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns[1:]]) for s in ("a", "b"))
     met = pairs.join(left, "a").join(right, "b")
     sizes = (4 * F.col("hi_a") >= 3 * F.col("lo_b")) & (4 * F.col("hi_b") >= 3 * F.col("lo_a"))
     common = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseAND(F.get("bits_b", F.lit(i)))) for i in range(LONGS)), F.lit(0))
-    possible = F.least("slack_a", "slack_b") + common
+    possible = F.least(F.least("slack_a", "slack_b") + common, "most_a", "most_b")
     return met.filter(sizes & (7 * possible >= 3 * (F.col("lo_a") + F.col("lo_b")))).select("a", "b")
 
 
@@ -244,14 +244,22 @@ def _root_pairs(routes: DataFrame, classes: DataFrame, clusters: DataFrame) -> D
     named = lambda df: df.join(clusters, "rep", "left").withColumn("root", F.coalesce("root", "rep")).drop("rep")
     asked = named(_questions(routes, classes).join(classes.select("rep", F.col("n").alias("lo")), "rep"))
     asked = asked.groupBy("token", "root").agg(F.min("lo").alias("lo"), F.max("lo").alias("hi"))
-    have = named(routes.select("token", "rep", "n"))
-    have = have.groupBy("token", "root").agg(F.min("n").alias("from"), F.max("n").alias("to"))
+    # what others have of the larger set must reach 3/7 of both sizes together
+    have = named(routes.select("token", "rep", "n", F.expr("(7 * most - 3 * n) div 3").alias("limit")))
+    have = have.groupBy("token", "root").agg(F.min("n").alias("from"), F.max(F.least("n", "limit")).alias("to"))
     met = asked.join(have.withColumnRenamed("root", "other"), "token").filter("root <> other")
     # the one that asks is not the larger
     met = met.filter("to >= lo AND 3 * from <= 4 * hi").select(F.least("root", "other").alias("a"), F.greatest("root", "other").alias("b"))
     return met.distinct().select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
 
 
+def shared_routes(sets: DataFrame) -> DataFrame:
+    """(rep, n, is_inner, token, df) of sets (rep, n, inner, routes): the routes that several have. Others say nothing about pairs."""
+    rows = sets.select("rep", "n", "inner", F.posexplode("routes").alias("at", "token"))
+    df = F.count(F.lit(1)).over(Window.partitionBy("token"))
+    return rows.select("rep", "n", (F.col("at") < F.col("inner")).alias("is_inner"), "token", df.alias("df")).filter("df > 1")
+
+
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets, classes, links): sets per row; classes (rep, n, ...) with the smallest id as rep and (n, d1, d2); enough links (a, b) between
     classes to connect every class with all that it links to."""
@@ -267,14 +275,19 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     copies, n, _ = cut(sets.filter("n > 0").select("doc_id", *digest).join(classes, digest).filter("doc_id <> rep").select("doc_id").distinct())
     first = sets.filter("n > 0").join(_sent(copies, n), "doc_id", "left_anti")
     first = first.select(F.col("doc_id").alias("rep"), "n", "inner", F.size("routes").alias("total"), "bits", "routes")
-    # whoever has a route, and how many; what only one has says nothing about pairs
-    by_token = Window.partitionBy("token")
-    routes = first.select("rep", "n", "inner", F.posexplode("routes").alias("at", "token"))
-    routes = routes.select("rep", "n", (F.col("at") < F.col("inner")).alias("is_inner"), "token", F.count(F.lit(1)).over(by_token).alias("df"))
-    routes = keep(routes.filter("df > 1"))
+    routes = keep(shared_routes(first))
     known = keep(first.drop("routes").join(routes.select("rep").distinct(), "rep"))
     near = _first_links(routes, known, docs)
     clusters = _clusters(near)
+    # a sample of tokens lets many ask in vain: those who ask, and those who have what is asked for, do it again with all their tokens
+    asked = _questions(routes, known).select("token").distinct()
+    met, n, _ = cut(routes.join(asked, "token", "left_semi").select(F.col("rep").alias("doc_id")).distinct())
+    whole = token_sets(docs.join(_sent(met, n), "doc_id", "left_semi"), widening=float("inf"))
+    routes = keep(shared_routes(whole.select(F.col("doc_id").alias("rep"), "n", "inner", "routes")))
+    shared = routes.groupBy("rep").agg(F.count(F.lit(1)).alias("most"))
+    # no link without three quarters of the tokens, and those that nobody else has are no part of any overlap
+    known = keep(known.withColumn("inner", F.col("n").cast("int")).join(shared, "rep").filter("4 * most >= 3 * n"))
+    routes = routes.join(known.select("rep", "most"), "rep")
     rest = verify(traverse(_root_pairs(routes, known, clusters), tree(known, clusters)), docs)
     return sets, classes, near.unionByName(rest)
 
