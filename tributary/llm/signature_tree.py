@@ -12,7 +12,7 @@ Clusters. Every class first compares itself with one other, of those that share
 linked classes grow together into clusters. Groups of thousands of near copies mostly become one cluster this way, in as many comparisons as
 they have members, and pairs inside a cluster need no further look: the result is components.
 
-Tree. Clusters are the roots of signature trees, with chunks of about ``FAN`` classes below and classes as leaves. A node holds the OR of its
+Tree. Clusters are the roots of signature trees, with levels of chunks of about ``FAN`` nodes below and classes as leaves. A node holds the OR of its
 members' token bitmaps, the range of their sizes, the largest number of tokens of a member that others have (``most``) and the largest number
 that a member's bitmap does not tell apart (``slack``). Root pairs come from the routes; dual traversal goes down pairs of nodes and drops a pair if the sizes exclude a link, or if the maximum
 possible overlap, ``min(slack) + bits in common`` or the smaller ``most``, is below ``3/7`` of the smallest sizes together. What is left at the leaves is compared by
@@ -38,7 +38,8 @@ from tributary.tables import cut, keep
 WIDTH = 5
 LONGS = 32
 BITS = 64 * LONGS
-FAN = 32
+#: Nodes below a node, and levels of chunks between roots and leaves.
+FAN, HEIGHT = 8, 2
 #: Part of the hash range that makes a route: LIMIT + LIMIT_SMALL / size.
 LIMIT, LIMIT_SMALL = 0.22, 25.0
 #: Ids that may be sent to every task; beyond it the documents are shuffled to them.
@@ -209,13 +210,19 @@ def tree(classes: DataFrame, clusters: DataFrame) -> list[DataFrame]:
     leaves = classes.join(clusters, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     sizes = leaves.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
     leaves = leaves.join(sizes, "root")
+    # chunks are numbered within their root; FAN of them in a row are one of the next level
     place = F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / FAN))
-    # the chunk is named by its root and place: a hash of both would do but for collisions
-    leaves = keep(leaves.select(F.col("rep").cast("string").alias("node"), F.concat_ws("/", "root", place).alias("up"), F.col("root").cast("string").alias("root"), F.col("n").alias("lo"), F.col("n").alias("hi"), "most", (F.col("n") - _ones("bits")).alias("slack"), "bits"))
-    merged = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("most").alias("most"), F.max("slack").alias("slack"), _or()]
-    chunks = keep(leaves.groupBy(F.col("up").alias("node"), F.col("root").alias("up")).agg(*merged))
-    roots = keep(chunks.groupBy(F.col("up").alias("node")).agg(*merged).withColumn("up", F.lit(None).cast("string")))
-    return [roots, chunks, leaves.drop("root")]
+    root = F.col("root").cast("string")
+    names = [F.concat_ws("/", "root", F.lit(height), F.floor(place / FAN ** (height - 1))) for height in range(1, HEIGHT + 1)] + [root]
+    slack = (F.col("n") - _ones("bits")).alias("slack")
+    above = [name.alias(f"up_{i}") for i, name in enumerate(names)]
+    level = F.col("rep").cast("string").alias("node"), F.col("n").alias("lo"), F.col("n").alias("hi"), "most", slack, "bits", *above
+    levels = [keep(leaves.select(*level))]
+    for height in range(HEIGHT + 1):
+        up = [F.first(f"up_{i}").alias(f"up_{i}") for i in range(height + 1, HEIGHT + 1)]
+        merged = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("most").alias("most"), F.max("slack").alias("slack"), _or()]
+        levels.append(keep(levels[-1].groupBy(F.col(f"up_{height}").alias("node")).agg(*merged, *up)))
+    return [df.withColumn("up", F.col(f"up_{i}") if i <= HEIGHT else F.lit(None).cast("string")) for i, df in enumerate(levels)][::-1]
 
 
 def _may_link(pairs: DataFrame, level: DataFrame) -> DataFrame:
