@@ -227,6 +227,19 @@ def test_canonical_expressions(table):
     assert {roots[n]: p for n, p in out} == cases
 
 
+def test_all_operands_and_kinds_count(table):
+    schema = "func_id bigint, node string, parent string, pos int, op string, var string, value decimal(38,0)"
+    lists = [("f", "x", "y"), ("f", "x", "z"), ("f", "x"), ("f", "x", "y", "z"), ("f", "x", "z", "y"), ("f", "x", "y"), ("5",), (5,), ("negate(a)",), ("b`(",)]
+    rows = []
+    for i, parts in enumerate(lists):
+        rows.append((i, "r", None, 0, "call", None, None))
+        rows += [(i, f"n{k}", "r", k, None, p if isinstance(p, str) else None, __import__("decimal").Decimal(p) if isinstance(p, int) else None) for k, p in enumerate(parts)]
+    fp = dict(got(tr.canonical_expressions(table(schema, rows)).filter("parent IS NULL"), "func_id", "fp"))
+    assert fp[0] == fp[5] and len(set(fp.values())) == len(lists) - 1
+    three = [(1, "r", None, 0, "plus", None, None), (1, "a", "r", 0, None, "a", None), (1, "b", "r", 1, None, None, __import__("decimal").Decimal(0)), (1, "c", "r", 2, None, "c", None)]
+    assert got(tr.canonical_expressions(table(schema, three)).filter("parent IS NULL"), "print") != {"a"}
+
+
 def test_fingerprints_of_branches(table):
     schema = "func_id bigint, node string, parent string, pos int, label string"
     one = [(1, "r", None, 0, "if"), (1, "x", "r", 0, "A"), (1, "y", "r", 0, "B")]

@@ -124,7 +124,9 @@ def _among(names: Sequence[str]) -> str:
 def canonical_expressions(nodes: DataFrame, size: int = 32, signed: bool = True) -> DataFrame:
     """Nodes with ``print`` and ``fp``: the same for computations that simplify to the same form.
 
-    ``nodes(func_id, node, parent, pos, op, var, value)``: leaves have ``var`` or ``value``, operations one or two operands at 0 and 1.
+    ``nodes(func_id, node, parent, pos, op, var, value)``: leaves have ``var`` or ``value``, operations any number of operands from 0 on.
+    The rules below hold for one and two; of longer lists the operands behind the second stand in the form by number and digest. Names that
+    could be taken for a number or an operation are quoted.
     Constants go to the right of commutative operations and are folded, along chains too; a - b is a + (-b); double negation, neutral
     and absorbing constants, operations of a value with itself, and a dereferenced address vanish.
     """
@@ -175,7 +177,9 @@ def canonical_expressions(nodes: DataFrame, size: int = 32, signed: bool = True)
         df = fold_constants(df, "_op", "_xk", "_k2", "_chain", size, signed)
         df = df.withColumn("_k", F.expr("IF(_xk IS NOT NULL AND _k2 IS NOT NULL, _chain, coalesce(_xk, _k2))"))
         text = "concat(_op, '(', _x.print, IF(_unary, '', ','), IF(_unary, '', _z.print), ')')"
+        longer = "concat(op, '(', coalesce(_l.print, ''), ',', coalesce(_r.print, ''), ';', _more, ':', _d0, ':', _d1, ')')"
         value = f"""CASE
+            WHEN _more > 0 THEN {_form(text=longer)}
             WHEN op = 'negate' THEN _turned
             WHEN _unary AND _xc IS NOT NULL AND _both IS NOT NULL THEN {const('_both')}
             WHEN _unary AND op = 'dereference' AND startswith(_x.print, 'address(') THEN {_form(text="substring(_x.print, 9, length(_x.print) - 9)")}
@@ -193,11 +197,16 @@ def canonical_expressions(nodes: DataFrame, size: int = 32, signed: bool = True)
             ELSE {_form(text=text)} END"""
         return df.withColumn("form", F.expr(value))
 
-    leaf = F.expr(f"IF(value IS NOT NULL, {const('value')}, {_form(text='var')})")
+    name = "IF(var RLIKE '^[A-Za-z_.$@#][^(),;`]*$', var, concat('`', replace(var, '`', '``'), '`'))"
+    leaf = F.expr(f"IF(value IS NOT NULL, {const('value')}, {_form(text=name)})")
+    behind = F.col("pos") >= 2
+    # sums of digests by place: a list of any length is added up before the shuffle
+    digests = _digest(F.concat_ws(":", "pos", "form.print"))
+    rest = [F.sum(F.when(behind, d)).cast("string").alias(f"_d{i}") for i, d in enumerate(digests)]
     out = fold_tree(
         nodes,
         [leaf.alias("form")],
-        [F.max_by("form", F.when(F.col("pos") == 0, 1)).alias("_l"), F.max_by("form", F.when(F.col("pos") == 1, 1)).alias("_r")],
+        [F.max_by("form", F.when(F.col("pos") == 0, 1)).alias("_l"), F.max_by("form", F.when(F.col("pos") == 1, 1)).alias("_r"), F.count_if(behind).alias("_more"), *rest],
         simplified,
     )
     return out.select(*nodes.columns, F.col("form.print").alias("print"), F.sha2(F.col("form.print"), 256).alias("fp"))
