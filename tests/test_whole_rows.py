@@ -52,3 +52,21 @@ def test_index_of_large_offsets(table):
     rows = [(1, "p", "mul", 8, 8), (1, "p", "const", 2**61 + 8, 8), (1, "p", "const", -16, 8)]
     out = mining.strided_access(table("func_id bigint, base string, cls string, value bigint, element bigint", rows))
     assert got(out.filter("cls = 'const'"), "index") == {2**58 + 1, -2}
+
+
+def test_jumping_ends_on_cycles(table):
+    from tributary.fixpoint import jump
+
+    rows = [(1, "a", "b"), (1, "b", "c"), (1, "c", "a"), (1, "t", "a"), (1, "x", "y"), (1, "y", "z"), (2, "p", "p")]
+    out = {(g, n): p for g, n, p in got(jump(table("func_id bigint, node string, parent string", rows)), "func_id", "node", "parent")}
+    assert out[1, "x"] == out[1, "y"] == "z" and out[2, "p"] == "p" and {out[1, n] for n in "abct"} <= set("abc")
+
+
+def test_visits_need_one_root(table, edges):
+    from tributary.operators import visits
+
+    both = edges("a>b c>d").unionByName(edges("e>f", 2))
+    roots = table("func_id bigint, root string", [(1, "a"), (1, "c")])
+    want = {(1, "a", 0, 1), (1, "b", 1, 0)}
+    assert got(visits.dfs_order(both, roots), "func_id", "node", "pre", "post") == want
+    assert got(visits.dfs_order(both, roots, max_edges=0), "func_id", "node", "pre", "post") == want

@@ -111,11 +111,15 @@ def closure(edges: DataFrame) -> DataFrame:
 def jump(parents: DataFrame) -> DataFrame:
     """(func_id, node, parent, steps): the last parent of every node and the way to it. Pointer jumping, logarithmic rounds.
 
-    ``parents(func_id, node, parent)`` holds each node once; a parent that is no node, or its own, ends the walk. No other cycles.
+    ``parents(func_id, node, parent)`` holds each node once; a parent that is no node, or its own, ends the walk. On and behind a cycle
+    there is no last parent; such nodes end with one of the cycle. Without cycles ever fewer nodes move, so the walk is over when as many
+    move as in the round before.
     """
     now = parents.select(GROUP, "node", "parent", F.when(F.col("node") == F.col("parent"), 0).otherwise(1).alias("steps"))
     now, n, _ = cut(now)
-    while n:
+    before = None
+    while n and n != before:
+        before = n
         up = now.filter("node <> parent").select(
             GROUP, F.col("node").alias("parent"), F.col("parent").alias("grand"), F.col("steps").alias("more")
         )

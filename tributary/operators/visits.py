@@ -16,7 +16,12 @@ MAX_EDGES = 100_000
 
 
 def dfs_order(edges: DataFrame, roots: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
-    """(func_id, node, parent, pre, post): numbers from 0 in the order of first and last touch; children by ``ord``, then name."""
+    """(func_id, node, parent, pre, post): numbers from 0 in the order of first and last touch; children by ``ord``, then name.
+
+    The visit starts at the smallest root of a graph; a graph without one is not visited.
+    """
+    roots = roots.groupBy(GROUP).agg(F.min("root").alias("root")).filter("root IS NOT NULL")
+    edges = edges.join(roots.select(GROUP), GROUP, "left_semi")
     edges = keep(edges.groupBy(GROUP, "src", "dst").agg(F.min("ord").alias("ord")))
     size = edges.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n"))
     large, n_large, _ = cut(size.filter(F.col("n") > max_edges).select(GROUP))

@@ -28,12 +28,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, where: Column | None = None) -> tuple[DataFrame, int, str]:
-    """Write ``df`` once; give the stored table, its row count (of rows ``where``) and its path. The count comes with the write."""
+    """Write ``df`` once; give the stored table, its row count (of rows ``where``) and its path.
+
+    The count comes with the write. Metrics may get lost on their way; then the stored rows are counted, as loops end by this number.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     seen = Observation()
     df.observe(seen, (F.count(F.lit(1)) if where is None else F.count_if(where)).alias("n")).write.parquet(path)
-    return stored(spark, df.schema, [path]), seen.get.get("n", 0) or 0, path
+    table = stored(spark, df.schema, [path])
+    n = seen.get.get("n")
+    if n is None:
+        n = (table if where is None else table.filter(where)).count()
+    return table, n, path
 
 
 def stored(spark: SparkSession, schema, paths: list[str]) -> DataFrame:
