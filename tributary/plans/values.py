@@ -154,7 +154,21 @@ def color_groups(t):
     return v.color_groups(t.flow_blocks.select("func_id", F.col("block").alias("node"), cls), _clashes(t))
 
 
-@query("merge_by_score")
+#: A round of the recursion holds the group of every node of a function as a list; pairs that no better pair touches are merged.
+@query("merge_by_score", """n AS (SELECT func_id, block AS node, row_number() OVER (PARTITION BY func_id ORDER BY block) AS i FROM flow_blocks),
+    s AS (SELECT func_id, least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS score FROM flow_steps WHERE src <> dst GROUP BY ALL),
+    p AS (SELECT s.func_id, list({'a': x.i, 'b': y.i, 's': score, 'c': split_part(a, '#', 1) = split_part(b, '#', 1)}) AS pairs FROM s
+      JOIN n x ON x.func_id = s.func_id AND x.node = a JOIN n y ON y.func_id = s.func_id AND y.node = b GROUP BY ALL),
+    w AS (SELECT func_id, 0 AS round, list(i ORDER BY i) AS g, true AS more FROM n GROUP BY func_id UNION ALL
+      SELECT func_id, round + 1, list_transform(g, lambda v: coalesce(list_filter(mutual, lambda m: m.y = v)[1].x, v)), len(mutual) > 0 FROM
+      (SELECT *, list_filter(pairs_now, lambda k: len(list_filter(pairs_now, lambda o: (o.x IN (k.x, k.y) OR o.y IN (k.x, k.y)) AND {'s': o.s, 'x': o.x, 'y': o.y} > {'s': k.s, 'x': k.x, 'y': k.y})) = 0) AS mutual FROM
+      (SELECT *, list_filter(list_transform(keys, lambda k: {'x': k.x, 'y': k.y, 's': list_sum(list_transform(list_filter(q, lambda o: o.x = k.x AND o.y = k.y), lambda o: o.s)),
+        'c': list_bool_or(list_transform(list_filter(q, lambda o: o.x = k.x AND o.y = k.y), lambda o: o.c))}), lambda k: k.s > 0 AND NOT k.c) AS pairs_now FROM
+      (SELECT *, list_distinct(list_transform(q, lambda o: {'x': o.x, 'y': o.y})) AS keys FROM
+      (SELECT w.func_id, w.round, w.g, list_filter(list_transform(p.pairs, lambda o: {'x': least(w.g[o.a], w.g[o.b]), 'y': greatest(w.g[o.a], w.g[o.b]), 's': o.s, 'c': o.c}), lambda o: o.x <> o.y) AS q
+        FROM w JOIN p ON p.func_id = w.func_id WHERE w.more))))),
+    z AS (SELECT func_id, arg_max(g, round) AS g FROM w GROUP BY func_id)
+    SELECT n.func_id, n.node, m.node AS grp FROM n JOIN z ON z.func_id = n.func_id JOIN n m ON m.func_id = n.func_id AND m.i = z.g[n.i]""")
 def merge_by_score(t):
     """Blocks merged by how often a step joins them; a step inside an event type keeps its blocks apart."""
     steps = t.flow_steps.filter("src <> dst").select("func_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
