@@ -211,7 +211,17 @@ def loop_bodies(t):
     return d.loop_bodies(_classes(t))
 
 
-@query("loop_exits")
+@query("loop_exits", """es AS (SELECT func_id, list({'s': src, 'd': dst}) AS es FROM flow_edges GROUP BY func_id),
+    w AS (SELECT func_id, head, 0 AS round, list(node) AS region, true AS more FROM loop_body GROUP BY func_id, head UNION ALL
+      SELECT func_id, head, round + 1, list_concat(region, taken), len(taken) > 0 FROM
+      (SELECT *, CASE WHEN len(later) > 1 THEN list_filter(later, lambda n: n <> root AND len(list_filter(es, lambda e: e.d = n AND NOT list_contains(region, e.s))) = 0)
+        ELSE [] END AS taken FROM
+      (SELECT w.func_id, w.head, w.round, w.region, es.es, r.root, list_distinct(list_transform(list_filter(es.es,
+          lambda e: list_contains(w.region, e.s) AND NOT list_contains(w.region, e.d)), lambda e: e.d)) AS later
+        FROM w JOIN es ON es.func_id = w.func_id JOIN flow_roots r ON r.func_id = w.func_id WHERE w.more))),
+    z AS (SELECT func_id, head, arg_max(region, round) AS region FROM w GROUP BY func_id, head)
+    SELECT DISTINCT z.func_id, z.head, e.dst AS node FROM z JOIN flow_edges e
+      ON e.func_id = z.func_id AND list_contains(z.region, e.src) AND NOT list_contains(z.region, e.dst)""")
 def loop_exits(t):
     return d.loop_exits(t.flow_edges, d.loop_bodies(_classes(t)), t.flow_roots)
 
