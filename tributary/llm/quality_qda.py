@@ -2,12 +2,12 @@
 
 Every text becomes one short vector: rates of characters, words and lines, each transformed so that it is roughly symmetric. Per class
 the labelled vectors give a count, a mean and a covariance; these moments are summed by Spark over all labelled training rows, so the
-driver only sees two small matrices. A class covariance is shrunk towards the pooled one (``POOL``), and that towards a multiple of the
-identity (``RIDGE``). Its Cholesky factor is taken once, inverted once and sent to the tasks; the score of a row is the logistic of the
+driver only sees two small matrices. A class covariance is shrunk towards the pooled one (``POOL``), and its
+diagonal is raised by ``RIDGE`` times the pooled variances. Its Cholesky factor is taken once, inverted once and sent to the tasks; the score of a row is the logistic of the
 difference of log densities, from Mahalanobis distances ``|L^-1 (x - mean)|^2``, plus the log odds of the classes.
 
 Defined results: null text is an empty text, and has a score like any other; labels that are null or not 0/1 are ignored; a document with
-several label rows counts once per row; a null id is held out or not by the hash of the empty text; without rows of both classes the
+several label rows counts once per row; a null id is held out or not by the hash of the empty text; with fewer than two rows of a class the
 score of every row is the share of label 1 (0.5 without labels). Extra columns of the input pass through ``score`` untouched, unless
 named like a result column, which win.
 """
@@ -24,7 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tributary.tables import keep
 
-POOL, RIDGE = 0.25, 0.02
+POOL, RIDGE = 0.5, 0.02
+#: Words added to every text's number in rates, so that a few words more or less do not tell a short text apart.
+SMOOTH = 20
 SYMBOLS = b"#*$%&|<>"
 #: Character classes: 0 other ASCII, 1 lower case, 2 upper case, 3 digit, 4 space, 5 full stop, 6 comma, 7 other end marks, 8 symbol, 9 not ASCII.
 CLASSES = np.zeros(256, np.uint8)
@@ -45,7 +47,7 @@ def statistics(text: str) -> list[float]:
     words = text.split()
     n, chars = len(words), max(1, len(data) - counts[4])
     lines = [x for x in text.split("\n") if x]
-    rate = lambda k: (k / max(1, n)) ** 0.5
+    rate = lambda k: (k / (n + SMOOTH)) ** 0.5
     return [
         np.log1p(n),
         np.log1p(chars / max(1, n)),
