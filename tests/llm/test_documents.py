@@ -130,6 +130,17 @@ def test_token_files(which, spark, given, awkward):
     assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == want
 
 
+def test_units_are_encoded_on_their_own():
+    import random
+
+    path, rng = TOKENIZERS.path("byte_bpe_50k.json"), random.Random(1)
+    encoder = token_files.Encoder(path, "<u2")
+    parts = [*"ab Z.,!?'s  \n\n-_é日1 2\t\x85", "'s", "don't", "<|endoftext|>", ".,", "!!", " .", "\n "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(2000)]
+    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder(texts)] == want
+
+
 def test_token_files_wide_and_empty(spark, empty, table):
     path = TOKENIZERS.path("byte_bpe_50k.json")
     assert token_files.encode_table(spark, empty, path, 50_257).count() == 0

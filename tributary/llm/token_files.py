@@ -15,8 +15,10 @@ id); repeated rows are encoded each; an empty table gives no shards and an empty
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -31,7 +33,7 @@ NULL_ID = np.iinfo(np.int64).min
 UNIT = re.compile(r"[ \n]+(?![^ \n])| ?[^ \n]+|[ \n]")
 #: Texts with other white space, or with what may be a special token, are encoded in one call.
 WHOLE = re.compile(r"[^\S \n]|[᠎​﻿]|<\|")
-CACHE_UNITS, BATCH_CHARS = 400_000, 1_000_000
+CACHE_UNITS, BATCH_CHARS = 1_000_000, 1_000_000
 
 
 def file_system(address: str):
@@ -56,14 +58,19 @@ class Encoder:
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+        kind = "H" if self.dtype == "<u2" else "I"
+        parts = [array(kind, e.ids) for e in found]
+        if sys.byteorder == "big":
+            for part in parts:
+                part.byteswap()
+        return [part.tobytes() for part in parts]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         parts = [None if WHOLE.search(t) else UNIT.findall(t) for t in texts]
         if len(self.known) > CACHE_UNITS:
             self.known = {}
         known = self.known
-        new = list({u for p in parts if p is not None for u in p}.difference(known))
+        new = list(set().union(*[p for p in parts if p is not None]).difference(known))
         known.update(zip(new, self._ids(new)))
         return [self._ids([t])[0] if p is None else b"".join([known[u] for u in p]) for t, p in zip(texts, parts)]
 
