@@ -6,7 +6,8 @@ A document's set is the hashes of its distinct five-word shingles; documents wit
 Roots. Tokens below a hash limit, which falls with the set's size, are *routes*. If ``b`` is not larger than ``a`` and both link, ``a`` lacks at
 most ``|b| // 7`` tokens of ``b``; so of any ``|b| // 7 + 1`` routes of ``b`` that are routes of every such ``a``, one is shared. ``b`` asks
 by the rarest of its routes. Ordinary texts have enough routes of their own and ask nobody; passages that many texts share are asked for
-only by texts that consist of little else. Whoever asks, or is asked, does so again by all tokens, which leaves few questions.
+only by texts that consist of little else. Sets with more than a quarter of tokens that nobody else has link to nothing and are left out.
+Whoever asks, or is asked, does so again by all tokens, which leaves few questions.
 
 Clusters. Every class first compares itself with one other, of those that share a frequent route the one whose routes are shared most;
 linked classes grow together into clusters. Groups of thousands of near copies mostly become one cluster this way, in as many comparisons as
@@ -41,10 +42,12 @@ BITS = 64 * LONGS
 #: Nodes below a node, and levels of chunks between roots and leaves.
 FAN, HEIGHT = 8, 2
 #: Part of the hash range that makes a route: LIMIT + LIMIT_SMALL / size.
-LIMIT, LIMIT_SMALL = 0.22, 25.0
+LIMIT, LIMIT_SMALL = 0.34, 25.0
 #: Ids that may be sent to every task; beyond it the documents are shuffled to them.
 MOST_SENT = 1_000_000
 NO_ID = np.iinfo(np.int64).max
+#: Numbers that a task hands over at once.
+MOST_HELD = 250_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
@@ -110,20 +113,25 @@ SETS = "doc_id bigint, n bigint, d1 bigint, d2 bigint, inner int, routes array<b
 def token_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", widening: float = 1.0) -> DataFrame:
     """A row of SETS per row of ``docs``: size, digest, routes in order (the first ``inner`` are routes of all that may link), bitmap."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for value in batch:
+            rows, held = [], 0
+            for doc, value in zip(batch["doc_id"], batch["text"]):
                 s = shingles(value)
                 n = len(s)
                 own, far = route_limit(n, widening), route_limit(4 * n // 3, widening)
                 routes = s[: np.searchsorted(s, own, "right")]
                 digest = [int(_mix(s, seed).sum(dtype=np.uint64).astype(np.int64)) for seed in (1, 2)]
-                rows.append((n, *digest, int(np.searchsorted(s, far, "right")), routes.view(np.int64), bitmap(s)))
-            yield pd.DataFrame(rows, columns=["n", "d1", "d2", "inner", "routes", "bits"])
+                rows.append((doc, n, *digest, int(np.searchsorted(s, far, "right")), routes.view(np.int64), bitmap(s)))
+                held += len(routes) + LONGS
+                if held >= MOST_HELD:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
-    described = F.pandas_udf(run, SETS.removeprefix("doc_id bigint, "), F.PandasUDFType.SCALAR_ITER)(F.coalesce(F.col(text), F.lit("")))
-    return docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(int(NO_ID))).alias("doc_id"), described.alias("_s")).select("doc_id", "_s.*")
+    names = [x.split()[0] for x in SETS.split(", ")]
+    rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(int(NO_ID))).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows.mapInPandas(run, SETS)
 
 
 # pairs
@@ -169,8 +177,7 @@ def _clusters(links: DataFrame) -> DataFrame:
 
 def _first_links(routes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links of every class with the best of the classes that lead one of its routes."""
-    shared = routes.groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
-    known = keep(classes.join(shared, "rep").select("rep", "n", "inner", (F.col("shared") / F.col("total")).alias("part")))
+    known = classes.select("rep", "n", "inner", (F.col("shared") / F.col("total")).alias("part"))
     rows = routes.select("token", "rep").join(known.select("rep", "part"), "rep")
     lead = rows.groupBy("token").agg(F.max(F.struct("part", (-F.col("rep")).alias("rep")))["rep"].alias("lead"))
     rows = rows.join(lead.select("token", (-F.col("lead")).alias("lead")), "token").filter("rep <> lead")
@@ -225,24 +232,25 @@ def tree(classes: DataFrame, clusters: DataFrame) -> list[DataFrame]:
     return [df.withColumn("up", F.col(f"up_{i}") if i <= HEIGHT else F.lit(None).cast("string")) for i, df in enumerate(levels)][::-1]
 
 
-def _may_link(pairs: DataFrame, level: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of nodes of a level, those with possible links below them."""
-    columns = ["node", "lo", "hi", "most", "slack", "bits"]
-    left, right = (level.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns[1:]]) for s in ("a", "b"))
-    met = pairs.join(left, "a").join(right, "b")
+def _may_link(pairs: DataFrame, level: DataFrame, by: str) -> DataFrame:
+    """Of the pairs of nodes that pairs (a, b) name ``by`` themselves or what is above them, those with possible links below them."""
+    sides = []
+    for s in ("a", "b"):
+        columns = [F.col(c).alias(f"{c}_{s}") for c in ("node", "lo", "hi", "most", "slack", "bits")]
+        sides.append(level.select(F.col(by).alias(s), *columns))
+    met = pairs.join(sides[0], "a").join(sides[1], "b")
     sizes = (4 * F.col("hi_a") >= 3 * F.col("lo_b")) & (4 * F.col("hi_b") >= 3 * F.col("lo_a"))
     common = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseAND(F.get("bits_b", F.lit(i)))) for i in range(LONGS)), F.lit(0))
     possible = F.least(F.least("slack_a", "slack_b") + common, "most_a", "most_b")
-    return met.filter(sizes & (7 * possible >= 3 * (F.col("lo_a") + F.col("lo_b")))).select("a", "b")
+    met = met.filter(sizes & (7 * possible >= 3 * (F.col("lo_a") + F.col("lo_b"))))
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def traverse(pairs: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """Dual traversal: pairs of leaves below pairs of roots that may link."""
-    pairs = keep(_may_link(pairs, levels[0]))
+    pairs = keep(_may_link(pairs, levels[0], "node"))
     for level in levels[1:]:
-        children = level.select("node", "up")
-        down = pairs.join(children.toDF("child_a", "a"), "a").join(children.toDF("child_b", "b"), "b")
-        pairs = keep(_may_link(down.select(F.col("child_a").alias("a"), F.col("child_b").alias("b")), level))
+        pairs = keep(_may_link(pairs, level, "up"))
     return pairs.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
 
 
@@ -283,7 +291,10 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     first = sets.filter("n > 0").join(_sent(copies, n), "doc_id", "left_anti")
     first = first.select(F.col("doc_id").alias("rep"), "n", "inner", F.size("routes").alias("total"), "bits", "routes")
     routes = keep(shared_routes(first))
-    known = keep(first.drop("routes").join(routes.select("rep").distinct(), "rep"))
+    shared = routes.groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
+    # a set lacks at most a quarter of its tokens in one that it links to, and what nobody else has is lacking everywhere
+    known = keep(first.drop("routes").join(shared, "rep").filter("4 * (total - shared) <= n"))
+    routes = keep(routes.join(known.select("rep"), "rep", "left_semi"))
     near = _first_links(routes, known, docs)
     clusters = _clusters(near)
     # a sample of tokens lets many ask in vain: those who ask, and those who have what is asked for, do it again with all their tokens
@@ -292,8 +303,7 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     whole = token_sets(docs.join(_sent(met, n), "doc_id", "left_semi"), widening=float("inf"))
     routes = keep(shared_routes(whole.select(F.col("doc_id").alias("rep"), "n", "inner", "routes")))
     shared = routes.groupBy("rep").agg(F.count(F.lit(1)).alias("most"))
-    # no link without three quarters of the tokens, and those that nobody else has are no part of any overlap
-    known = keep(known.withColumn("inner", F.col("n").cast("int")).join(shared, "rep").filter("4 * most >= 3 * n"))
+    known = keep(known.drop("shared").withColumn("inner", F.col("n").cast("int")).join(shared, "rep").filter("4 * most >= 3 * n"))
     routes = routes.join(known.select("rep", "most"), "rep")
     rest = verify(traverse(_root_pairs(routes, known, clusters), tree(known, clusters)), docs)
     return sets, classes, near.unionByName(rest)
