@@ -28,6 +28,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tributary.llm.known import Known, kept
+
 MARK = "▁"
 ZIPF, UNKNOWN_PENALTY = 2.7, 10.0
 #: With a blank put before the text: words with the blank before them, line ends, literal marks.
@@ -101,14 +103,12 @@ class Encoder:
     """Ids of texts as bytes of little-endian 32-bit integers."""
 
     def __init__(self, model_file: str):
-        self.pieces, self.known = Pieces(model_file), {}
+        self.pieces, self.known = kept(Pieces, model_file), Known(CACHE_WORDS)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         units = [UNIT.findall(" " + t) if t else [] for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
         known = self.known
-        new = set().union(*units).difference(known)
+        new = set(known.missing(set().union(*units)))
         for unit in new & {MARK, "\n"}:
             known[unit] = np.array(self.pieces.spell(unit), "<u4").tobytes()
         marked = {MARK + u[1:] if u[0] == " " else u: u for u in new - {MARK, "\n"}}
@@ -133,7 +133,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids
     """``docs`` with ``ids`` (array of int) in place of ``text``."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(model_file)
+        encoder = kept(Encoder, model_file)
         for batch in batches:
             yield pd.Series([np.frombuffer(x, "<i4") for texts in _chunks(batch) for x in encoder(texts)], dtype=object)
 
@@ -145,7 +145,7 @@ def decode(encoded: DataFrame, model_file: str, ids: str = "ids", text: str = "t
     """``encoded`` with ``text`` in place of ``ids``."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = Pieces(model_file)
+        pieces = kept(Pieces, model_file)
         for batch in batches:
             yield pd.Series(["" if x is None else pieces.decode(x.tolist()) for x in batch], dtype=object)
 
@@ -160,7 +160,7 @@ def digests(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "
     """Per document: its ids' number and crc32 (of little-endian unsigned 32-bit integers), and the text decoded from them."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(model_file)
+        encoder = kept(Encoder, model_file)
         for batch in batches:
             rows = []
             for texts in _chunks(batch):

@@ -15,10 +15,8 @@ id); repeated rows are encoded each; an empty table gives no shards and an empty
 from __future__ import annotations
 
 import re
-import sys
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -26,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tributary.llm.known import Known, kept
 from tributary.tables import keep, shared_folder
 
 NULL_ID = np.iinfo(np.int64).min
@@ -33,7 +32,7 @@ NULL_ID = np.iinfo(np.int64).min
 UNIT = re.compile(r"[ \n]+(?![^ \n])| ?[^ \n]+|[ \n]")
 #: Texts with other white space, or with what may be a special token, are encoded in one call.
 WHOLE = re.compile(r"[^\S \n]|[᠎​﻿]|<\|")
-CACHE_UNITS, BATCH_CHARS = 1_000_000, 1_000_000
+CACHE_UNITS, BATCH_CHARS, JOINED = 500_000, 1_000_000, 1000
 
 
 def file_system(address: str):
@@ -54,24 +53,37 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.known = Tokenizer.from_file(tokenizer_file), dtype, {}
+        self.tokenizer, self.dtype, self.known = Tokenizer.from_file(tokenizer_file), np.dtype(dtype), Known(CACHE_UNITS)
+        vocabulary = self.tokenizer.get_vocab()
+        self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.starts[[i for piece, i in vocabulary.items() if piece[0] == "Ġ"]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        kind = "H" if self.dtype == "<u2" else "I"
-        parts = [array(kind, e.ids) for e in found]
-        if sys.byteorder == "big":
-            for part in parts:
-                part.byteswap()
-        return [part.tobytes() for part in parts]
+        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+
+    def _joined_ids(self, units: list[str]) -> list[bytes]:
+        """Of units that are a blank and a word: many are encoded as one text, in which a piece with a blank begins each of them."""
+        found, size = [], self.dtype.itemsize
+        for i in range(0, len(units), JOINED):
+            some = units[i : i + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            starts = np.flatnonzero(self.starts[ids])
+            if len(starts) != len(some):
+                found += self._ids(some)
+                continue
+            data, ends = ids.tobytes(), [*(starts * size).tolist(), len(ids) * size]
+            found += [data[a:b] for a, b in zip(ends, ends[1:])]
+        return found
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         parts = [None if WHOLE.search(t) else UNIT.findall(t) for t in texts]
-        if len(self.known) > CACHE_UNITS:
-            self.known = {}
         known = self.known
-        new = list(set().union(*[p for p in parts if p is not None]).difference(known))
-        known.update(zip(new, self._ids(new)))
+        new = known.missing(set().union(*[p for p in parts if p is not None]))
+        words = [u for u in new if u[0] == " " and len(u) > 1]
+        others = [u for u in new if u[0] != " " or len(u) == 1]
+        known.update(zip(words, self._joined_ids(words)))
+        known.update(zip(others, self._ids(others)))
         return [self._ids([t])[0] if p is None else b"".join([known[u] for u in p]) for t, p in zip(texts, parts)]
 
 
@@ -102,7 +114,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, vocabulary:
         out, ids, lengths, first = None, [], [], None
         for batch in batches:
             if out is None and len(batch):
-                encode, out, first = Encoder(tokenizer_file, dtype), filesystem.open_output_stream(f"{own}.bin"), batch["id"].iloc[0]
+                encode, out, first = kept(Encoder, tokenizer_file, dtype), filesystem.open_output_stream(f"{own}.bin"), batch["id"].iloc[0]
             ids.append(batch["id"].to_numpy(np.int64))
             for _, texts in _chunks(batch["text"]):
                 for found in encode(texts):
