@@ -145,5 +145,10 @@ def report_unsupported(rows: DataFrame, tokens: Sequence[str], threshold: int =
 
 
 def append_reports(reports: DataFrame, path: str) -> None:
-    """Add rows to a report table; nothing that is there changes."""
-    reports.write.mode("append").parquet(path)
+    """Add rows to a report table, in its 19 columns; nothing that is there changes. What is not known of a row is null."""
+    fields = schema_of("reports").fields
+    unknown = set(reports.columns) - {f.name for f in fields}
+    if unknown:
+        raise ValueError(f"no columns of a report: {sorted(unknown)}")
+    columns = [(F.col(f.name) if f.name in reports.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+    reports.select(*columns).write.mode("append").parquet(path)
