@@ -26,7 +26,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tributary.llm.known import Known, kept
 
@@ -34,7 +35,7 @@ MARK = "▁"
 ZIPF, UNKNOWN_PENALTY = 2.7, 10.0
 #: With a blank put before the text: words with the blank before them, line ends, literal marks.
 UNIT = re.compile(r" [^ \n▁]*|[^ \n▁]+|\n|▁")
-CACHE_WORDS, BATCH_CHARS = 400_000, 1_000_000
+CACHE_WORDS, BATCH_CHARS = 150_000, 1_000_000
 
 
 class Pieces:
@@ -117,10 +118,10 @@ class Encoder:
         return [b"".join([known[u] for u in x]) for x in units]
 
 
-def _chunks(texts: Iterable[str | None]) -> Iterator[list[str]]:
+def _chunks(texts: Iterable) -> Iterator[list[str]]:
     held, chars = [], 0
     for t in texts:
-        held.append(t or "")
+        held.append((t.as_py() if isinstance(t, pa.Scalar) else t) or "")
         chars += len(held[-1])
         if chars >= BATCH_CHARS:
             yield held
@@ -130,15 +131,23 @@ def _chunks(texts: Iterable[str | None]) -> Iterator[list[str]]:
 
 
 def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with ``ids`` (array of int) in place of ``text``."""
+    """``docs`` with ``ids`` (array of int) in place of ``text``. A task hands over the ids of about BATCH_CHARS characters at a time."""
+    others = [c for c in docs.columns if c not in (text, ids)]
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(Encoder, model_file)
         for batch in batches:
-            yield pd.Series([np.frombuffer(x, "<i4") for texts in _chunks(batch) for x in encoder(texts)], dtype=object)
-
-    others = [c for c in docs.columns if c not in (text, ids)]
-    return docs.select(*others, F.pandas_udf(run, "array<int>", F.PandasUDFType.SCALAR_ITER)(F.coalesce(F.col(text), F.lit(""))).alias(ids))
+            at = 0
+            for texts in _chunks(batch.column(batch.num_columns - 1)):
+                found = encoder(texts)
+                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(found), "<i4")))
+                rest = batch.slice(at, len(texts)).columns[:-1]
+                yield pa.RecordBatch.from_arrays([*rest, lists], names=[*others, ids])
+                at += len(texts)
+
+    schema = T.StructType([*[docs.schema[c] for c in others], T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    return docs.select(*others, F.coalesce(F.col(text), F.lit("")).alias(text)).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model_file: str, ids: str = "ids", text: str = "text") -> DataFrame:
