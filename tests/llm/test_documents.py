@@ -359,6 +359,21 @@ def test_near_duplicates_at_the_threshold(table, awkward, empty):
     assert signature_tree.join_components(awkward).count() == len(AWKWARD)
 
 
+def test_near_duplicates_that_extend_short_texts(table):
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(800):
+        n = rng.randrange(35, 50)
+        m = min(65, 4 * n // 3 - rng.randrange(0, 3))
+        w = [f"w{rng.randrange(10**9)}" for _ in range(m + 4)]
+        rows += [(2 * i, " ".join(w[: n + 4])), (2 * i + 1, " ".join(w))]
+    docs = table("doc_id bigint, text string", rows)
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in signature_tree.join_components(docs).collect())
+    assert got == brute_components(rows)
+
+
 def test_shingles_are_those_of_the_words(given):
     for _, text, _ in given[1][:60]:
         assert len(signature_tree.shingles(text)) == len(sets_of(text))

@@ -6,7 +6,8 @@ A document's set is the hashes of its distinct five-word shingles; documents wit
 Roots. Tokens below a hash limit, which falls with the set's size, are *routes*. If ``b`` is not larger than ``a`` and both link, ``a`` lacks at
 most ``|b| // 7`` tokens of ``b``; so of any ``|b| // 7 + 1`` routes of ``b`` that are routes of every such ``a``, one is shared. ``b`` asks
 by the rarest of its routes. Ordinary texts have enough routes of their own and ask nobody; passages that many texts share are asked for
-only by texts that consist of little else. Sets with more than a quarter of tokens that nobody else has link to nothing and are left out.
+only by texts that consist of little else. Sets link to nothing and are left out if more than a quarter of their tokens are routes of every
+set that may link, and nobody else has them.
 Whoever asks, or is asked, does so again by all tokens, which leaves few questions.
 
 Clusters. Every class first compares itself with one other, of those that share a frequent route the one whose routes are shared most;
@@ -291,9 +292,10 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     first = sets.filter("n > 0").join(_sent(copies, n), "doc_id", "left_anti")
     first = first.select(F.col("doc_id").alias("rep"), "n", "inner", F.size("routes").alias("total"), "bits", "routes")
     routes = keep(shared_routes(first))
-    shared = routes.groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
-    # a set lacks at most a quarter of its tokens in one that it links to, and what nobody else has is lacking everywhere
-    known = keep(first.drop("routes").join(shared, "rep").filter("4 * (total - shared) <= n"))
+    shared = routes.groupBy("rep").agg(F.count(F.lit(1)).alias("shared"), F.count_if("is_inner").alias("shared_inner"))
+    # a set lacks at most a quarter of its tokens in one that it links to, and an inner route that nobody else has as a route is lacking
+    # everywhere; of the other routes a larger set may have some without their being its routes
+    known = keep(first.drop("routes").join(shared, "rep").filter("4 * (inner - shared_inner) <= n").drop("shared_inner"))
     routes = keep(routes.join(known.select("rep"), "rep", "left_semi"))
     near = _first_links(routes, known, docs)
     clusters = _clusters(near)
