@@ -374,6 +374,27 @@ def test_near_duplicates_that_extend_short_texts(table):
     assert got == brute_components(rows)
 
 
+def test_near_duplicates_of_rows_that_share_ids(table):
+    import random
+
+    rng = random.Random(12)
+    fresh = lambda n=80: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    near = lambda text: " ".join([*text.split()[:-4], *fresh(4)])
+    T, U, V, W, X, Y, Z = (" ".join(fresh()) for _ in range(7))
+    rows = [(1, T), (2, T), (2, U), (3, near(U))]
+    # a row without id that is a copy, and others without id that are not
+    rows += [(None, T), (None, V), (9, near(V)), (None, W), (None, near(W))]
+    # two texts of one id, each with a near copy
+    rows += [(20, X), (20, Y), (21, near(X)), (22, near(Y))]
+    rows += [(30, Z)] * 40 + [(31, near(Z)), (31, near(Z))]
+    docs = table("doc_id bigint, text string", rows).repartition(5)
+    named = lambda x: 10**6 if x is None else x
+    got = sorted((str(named(r.doc_id)), r.n_shingles, named(r.component_id)) for r in signature_tree.join_components(docs).collect())
+    assert got == brute_components([(named(d), t) for d, t in rows])
+    left = collections.Counter((r.doc_id, r.text) for r in signature_tree.stage(None, docs, "").collect())
+    assert left == collections.Counter((d, t) for d, t in rows if (d, t) in {(1, T), (2, U), (9, rows[6][1]), (20, X), (20, Y), (30, Z)} or d is None)
+
+
 def test_shingles_are_those_of_the_words(given):
     for _, text, _ in given[1][:60]:
         assert len(signature_tree.shingles(text)) == len(sets_of(text))

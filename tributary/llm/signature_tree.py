@@ -22,8 +22,9 @@ whole texts.
 
 Should a set have too few routes (the limits leave a chance of about 1 to 10^9), the limits are doubled and the search repeated.
 
-Defined results: null, empty and wordless texts have an empty set, link to nothing and are components of their own; rows with equal id count as one
-document; a null id is one document, named null unless linked with others; an empty table gives an empty result; extra columns are ignored.
+Defined results: null, empty and wordless texts have an empty set, link to nothing and are components of their own; every row is judged by its own
+text, so rows with equal id or without one are in one component only if their texts are; a component is named by its smallest id, null if it has
+none; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -108,22 +109,28 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view("<i8")
 
 
-SETS = "doc_id bigint, n bigint, d1 bigint, d2 bigint, inner int, routes array<bigint>, bits array<bigint>"
+SETS = "rep bigint, doc_id bigint, h bigint, n bigint, d1 bigint, d2 bigint, inner int, routes array<bigint>, bits array<bigint>"
 
 
-def token_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", widening: float = 1.0) -> DataFrame:
-    """A row of SETS per row of ``docs``: size, digest, routes in order (the first ``inner`` are routes of all that may link), bitmap."""
+def hashed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, h, text): ids and texts without nulls, and a hash of the text; rows of equal doc_id and h are the same."""
+    docs = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(int(NO_ID))).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+
+
+def token_sets(docs: DataFrame, widening: float = 1.0) -> DataFrame:
+    """A row of SETS per row (rep, doc_id, h, text): size, digest, routes in order (the first ``inner`` are routes of all that may link), bitmap."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, held = [], 0
-            for doc, value in zip(batch["doc_id"], batch["text"]):
+            for rep, doc, h, value in zip(batch["rep"], batch["doc_id"], batch["h"], batch["text"]):
                 s = shingles(value)
                 n = len(s)
                 own, far = route_limit(n, widening), route_limit(4 * n // 3, widening)
                 routes = s[: np.searchsorted(s, own, "right")]
                 digest = [int(_mix(s, seed).sum(dtype=np.uint64).astype(np.int64)) for seed in (1, 2)]
-                rows.append((doc, n, *digest, int(np.searchsorted(s, far, "right")), routes.view(np.int64), bitmap(s)))
+                rows.append((rep, doc, h, n, *digest, int(np.searchsorted(s, far, "right")), routes.view(np.int64), bitmap(s)))
                 held += len(routes) + LONGS
                 if held >= MOST_HELD:
                     yield pd.DataFrame(rows, columns=names)
@@ -131,8 +138,7 @@ def token_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", widenin
             yield pd.DataFrame(rows, columns=names)
 
     names = [x.split()[0] for x in SETS.split(", ")]
-    rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(int(NO_ID))).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, SETS)
+    return docs.select("rep", "doc_id", "h", "text").mapInPandas(run, SETS)
 
 
 # pairs
@@ -145,14 +151,20 @@ def _sent(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MOST_SENT else df
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The stored pairs (a, b) whose texts link, compared by their whole sets."""
-    ids, n, _ = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts, rows, _ = cut(docs.join(_sent(ids, n), "doc_id", "left_semi"))
+def _rows(reps: DataFrame, names: DataFrame, docs: DataFrame) -> tuple[DataFrame, int]:
+    """The rows (rep, doc_id, h, text) of ``docs`` that stand for classes, as many as the input repeats them; the number of classes."""
+    named, n, _ = cut(names.join(reps, "rep", "left_semi").select("rep", "doc_id", "h"))
+    return docs.join(_sent(named, n), ["doc_id", "h"]).select("rep", "doc_id", "h", "text"), n
+
+
+def verify(pairs: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
+    """The stored pairs (a, b) of classes whose texts link, compared by their whole sets."""
+    found, n = _rows(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), names, docs)
+    texts, rows, _ = cut(found.select("rep", "text"))
     if rows > n:
-        texts = keep(texts.groupBy("doc_id").agg(F.min("text").alias("text")))
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-    both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+        texts = keep(texts.groupBy("rep").agg(F.min("text").alias("text")))
+    both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("x")), "a")
+    both = both.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in batches:
@@ -176,7 +188,7 @@ def _clusters(links: DataFrame) -> DataFrame:
     return keep(components(edges).select(F.col("node").alias("rep"), F.col("component").alias("root")))
 
 
-def _first_links(routes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _first_links(routes: DataFrame, classes: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
     """Links of every class with the best of the classes that lead one of its routes."""
     known = classes.select("rep", "n", "inner", (F.col("shared") / F.col("total")).alias("part"))
     rows = routes.select("token", "rep").join(known.select("rep", "part"), "rep")
@@ -190,7 +202,7 @@ def _first_links(routes: DataFrame, classes: DataFrame, docs: DataFrame) -> Data
     possible = n - F.greatest(inner - F.col("common"), F.lit(0))
     pairs = pairs.filter(_fits(F.col("n"), F.col("m")) & (7 * possible >= 3 * (F.col("n") + F.col("m"))))
     best = pairs.groupBy("rep").agg(F.max(F.struct("common", (-F.col("lead")).alias("lead")))["lead"].alias("lead"))
-    return verify(keep(best.select(F.least("rep", -F.col("lead")).alias("a"), F.greatest("rep", -F.col("lead")).alias("b")).distinct()), docs)
+    return verify(keep(best.select(F.least("rep", -F.col("lead")).alias("a"), F.greatest("rep", -F.col("lead")).alias("b")).distinct()), names, docs)
 
 
 def _questions(routes: DataFrame, classes: DataFrame) -> DataFrame:
@@ -276,49 +288,61 @@ def shared_routes(sets: DataFrame) -> DataFrame:
     return rows.select("rep", "n", (F.col("at") < F.col("inner")).alias("is_inner"), "token", df.alias("df")).filter("df > 1")
 
 
-def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sets, classes, links): sets per row; classes (rep, n, ...) with the smallest id as rep and (n, d1, d2); enough links (a, b) between
-    classes to connect every class with all that it links to."""
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets, classes, links) of ``hashed`` documents: sets per row; classes (n, d1, d2, rep, doc_id, h) with the key of one of their rows, its
+    id, which is the smallest of the class, and its hash; enough links (a, b) between classes to connect every class with all that it links to."""
     widening = 1.0
     while True:
-        sets, unlucky, _ = cut(token_sets(docs, key, text, widening), F.expr("n > 0 AND inner <= n div 7"))
+        # the key of a row is stored with its set, and is not made again
+        sets, unlucky, _ = cut(token_sets(docs.withColumn("rep", F.monotonically_increasing_id()), widening), F.expr("n > 0 AND inner <= n div 7"))
         if not unlucky:
             break
         widening *= 2
-    docs = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(int(NO_ID))).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     digest = ["n", "d1", "d2"]
-    classes = keep(sets.filter("n > 0").groupBy(*digest).agg(F.min("doc_id").alias("rep")))
-    copies, n, _ = cut(sets.filter("n > 0").select("doc_id", *digest).join(classes, digest).filter("doc_id <> rep").select("doc_id").distinct())
-    first = sets.filter("n > 0").join(_sent(copies, n), "doc_id", "left_anti")
-    first = first.select(F.col("doc_id").alias("rep"), "n", "inner", F.size("routes").alias("total"), "bits", "routes")
+    classes = sets.filter("n > 0").groupBy(*digest).agg(F.min(F.struct("doc_id", "h", "rep")).alias("_first"))
+    classes = keep(classes.select(*digest, "_first.rep", "_first.doc_id", "_first.h"))
+    others = classes.select(*digest, F.col("rep").alias("_rep"), F.struct("doc_id", "h").alias("_name"))
+    others = sets.filter("n > 0").select("rep", F.struct("doc_id", "h").alias("name"), *digest).join(others, digest).filter("rep <> _rep")
+    copies, n, _ = cut(others.select("rep", (F.col("name") == F.col("_name")).alias("twin")))
+    first = sets.filter("n > 0").join(_sent(copies.select("rep"), n), "rep", "left_anti")
+    first = first.select("rep", "n", "inner", F.size("routes").alias("total"), "bits", "routes")
     routes = keep(shared_routes(first))
     shared = routes.groupBy("rep").agg(F.count(F.lit(1)).alias("shared"), F.count_if("is_inner").alias("shared_inner"))
     # a set lacks at most a quarter of its tokens in one that it links to, and an inner route that nobody else has as a route is lacking
     # everywhere; of the other routes a larger set may have some without their being its routes
     known = keep(first.drop("routes").join(shared, "rep").filter("4 * (inner - shared_inner) <= n").drop("shared_inner"))
     routes = keep(routes.join(known.select("rep"), "rep", "left_semi"))
-    near = _first_links(routes, known, docs)
+    near = _first_links(routes, known, classes, docs)
     clusters = _clusters(near)
     # a sample of tokens lets many ask in vain: those who ask, and those who have what is asked for, do it again with all their tokens
     asked = _questions(routes, known).select("token").distinct()
-    met, n, _ = cut(routes.join(asked, "token", "left_semi").select(F.col("rep").alias("doc_id")).distinct())
-    whole = token_sets(docs.join(_sent(met, n), "doc_id", "left_semi"), widening=float("inf"))
-    routes = keep(shared_routes(whole.select(F.col("doc_id").alias("rep"), "n", "inner", "routes")))
+    met, _ = _rows(routes.join(asked, "token", "left_semi").select("rep").distinct(), classes, docs)
+    if copies.filter("twin").limit(1).count():
+        met = met.groupBy("rep", "doc_id", "h").agg(F.min("text").alias("text"))
+    routes = keep(shared_routes(token_sets(met, float("inf")).select("rep", "n", "inner", "routes")))
     shared = routes.groupBy("rep").agg(F.count(F.lit(1)).alias("most"))
     known = keep(known.drop("shared").withColumn("inner", F.col("n").cast("int")).join(shared, "rep").filter("4 * most >= 3 * n"))
     routes = routes.join(known.select("rep", "most"), "rep")
-    rest = verify(traverse(_root_pairs(routes, known, clusters), tree(known, clusters)), docs)
+    rest = verify(traverse(_root_pairs(routes, known, clusters), tree(known, clusters)), classes, docs)
     return sets, classes, near.unionByName(rest)
 
 
+def _components(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, n, component) per row of ``hashed`` documents."""
+    sets, classes, found = links(docs)
+    clusters = _clusters(found)
+    lowest = clusters.join(classes.select("rep", "doc_id"), "rep").groupBy("root").agg(F.min("doc_id").alias("lowest"))
+    named = classes.join(clusters.join(lowest, "root").select("rep", "lowest"), "rep", "left")
+    named = named.select("n", "d1", "d2", F.coalesce("lowest", "doc_id").alias("component"))
+    out = sets.select("doc_id", "h", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
+    return out.select("doc_id", "h", "n", F.coalesce("component", "doc_id").alias("component"))
+
+
 def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) per row of ``docs``."""
-    sets, classes, found = links(docs, key, text)
-    clusters = _clusters(found)
-    named = classes.join(clusters, "rep", "left").select("n", "d1", "d2", F.coalesce("root", "rep").alias("component"))
-    out = sets.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
-    back = lambda c: F.when(c != F.lit(int(NO_ID)), c)
-    return out.select(back(F.col("doc_id")).alias(key), F.col("n").alias("n_shingles"), back(F.coalesce("component", "doc_id")).alias("component_id"))
+    back = lambda c: F.when(F.col(c) != F.lit(int(NO_ID)), F.col(c))
+    out = _components(hashed(docs, key, text))
+    return out.select(back("doc_id").alias(key), F.col("n").alias("n_shingles"), back("component").alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,9 +350,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with the smallest id. Texts without words stay."""
-    found = join_components(docs.select("doc_id", "text"))
-    gone, n, _ = cut(found.filter("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(_sent(gone, n), "doc_id", "left_anti").select(*docs.columns)
-
-
+    """One document of each component: the rows with its smallest id. Texts without words and rows without an id stay."""
+    found = _components(hashed(docs))
+    gone, n, _ = cut(found.filter((F.col("doc_id") != F.lit(int(NO_ID))) & (F.col("doc_id") != F.col("component"))).select("doc_id", "h").distinct())
+    # rows of one id with different texts may be in different components
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    same = (F.col("doc_id").cast("bigint") == F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_h"))
+    return docs.join(_sent(gone, n), same, "left_anti").select(*docs.columns)
