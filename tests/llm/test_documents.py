@@ -78,6 +78,17 @@ def test_line_rules_verdict(table, empty):
     assert line_rules.stage(None, empty, "").columns == empty.columns
 
 
+def test_line_rules_see_any_space_at_the_end_of_a_line(table):
+    prose = [" ".join(f"word{i * j}" for j in range(7, 17)) + "." for i in range(1, 9)]
+    menu = "Home | About | Contact |"
+    texts = {"unix": "\n".join(prose), "windows": "\r\n".join(prose), "tabs": "\t \n".join(prose), "feeds": "\x0b\x0c\n".join(prose)}
+    mixed = "\r\n".join([*prose[:4], menu]) + "\n" + "\n".join(prose[4:])
+    rows = {r.name: r for r in line_rules.measure(table("name string, text string", [*texts.items(), ("mixed", mixed)])).collect()}
+    for name, text in texts.items():
+        assert rows[name].kept and rows[name].clean_text == text and rows[name].n_kept_words == rows["unix"].n_words
+    assert rows["mixed"].kept and rows["mixed"].clean_text == "\r\n".join(prose[:4]) + "\r\n" + "\n".join(prose[4:])
+
+
 # mix
 
 

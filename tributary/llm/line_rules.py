@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 NON_SPACE = r"[^\x20\x09-\x0D]"
+BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
 #: What a line of prose may end with, spaces after it aside; a line cut inside a sentence passes if an earlier sentence ends in it.
@@ -47,7 +48,7 @@ def line_fails(line: Column, low: Column, words: Column) -> Column:
     """Whether a line (``low``: in lower case) of ``words`` words goes: menu, boilerplate, mark noise, or prose that ends nowhere."""
     any_of = lambda column, parts: reduce(or_, (column.contains(p) for p in parts))
     return (words > 0) & (
-        ~(F.substring(F.rtrim(line), -1, 1).isin(*TERMINAL) | any_of(line, ENDED))
+        ~(F.substring(F.rtrim(line, F.lit(BLANKS)), -1, 1).isin(*TERMINAL) | any_of(line, ENDED))
         | (_count(line, SEPARATOR) >= MIN_SEPARATORS)
         | any_of(low, BOILERPLATE)
         | (100 * _count(line, NOISE) > MAX_NOISE * words)
