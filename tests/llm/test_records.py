@@ -189,4 +189,4 @@ def test_pipeline_is_its_stages(spark):
 
 
 def test_duckdb_is_here():
-    assert duckdb.sql("SELECT 1").fetchone() == (1,)
+    assert duckdb.connect().execute("SELECT 1").fetchall() == [(1,)]

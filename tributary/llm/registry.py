@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from tributary.llm import (
-    avi_mjpeg, chat_layouts, license_diagonals, line_rules, pareto_mix, piece_trie, quality_qda, signature_tree, token_files, warc_chain,
+    avi_mjpeg, benchmark_automaton, chat_layouts, license_diagonals, line_rules, pareto_mix, piece_trie, quality_qda, signature_tree, source_trees,
+    square_catchers, token_files, warc_chain,
 )
 
 QUERIES = {
@@ -17,11 +18,16 @@ QUERIES = {
     "op8_piece_trie": piece_trie.query,
     "op9_warc_chain": warc_chain.query,
     "op10_pareto_mix": pareto_mix.query,
+    "op11_square_catchers": square_catchers.query,
+    "op12_source_trees": source_trees.query,
+    "op13_benchmark_automaton": benchmark_automaton.query,
 }
 
 ORACLES = {
     "op1_chat_layouts": chat_layouts.ORACLE,
     "op10_pareto_mix": pareto_mix.ORACLE,
+    "op12_source_trees": source_trees.ORACLE,
+    "op13_benchmark_automaton": benchmark_automaton.ORACLE,
 }
 
 
