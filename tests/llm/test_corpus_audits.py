@@ -189,14 +189,16 @@ def test_counts_are_handed_over_in_parts(given):
 def test_tree_shares_paths(table):
     texts = {"a": "p q r s", "b": "p q r s t", "c": "p q u", "d": "p"}
     docs = table("lang string, source string, text string", [("x", s, t) for s, t in texts.items()])
-    nodes = source_trees.Audit(source_trees.term_counts(docs), 1).nodes().collect()
+    audited = source_trees.Audit(source_trees.term_counts(docs), 1)
+    share = {r.rank: r.p for r in audited.counts.select("rank", "p").distinct().collect()}  # every term occurs once per source
+    nodes = audited.nodes().collect()
     paths = defaultdict(int)
     order = {s: i for i, s in enumerate("dcab", 1)}  # fewest occurrences first
     for term in "pqrstu":
-        path = sorted((order[s], 1) for s, t in texts.items() if term in t)
+        path = sorted((order[s] << source_trees.SHARE_BITS) + share[order[s]] for s, t in texts.items() if term in t)
         for d in range(1, len(path) + 1):
             paths[tuple(path[:d])] += 1
-    assert {tuple(map(tuple, r.path)): r.m for r in nodes} == paths
+    assert {tuple(r.path): r.m for r in nodes} == paths
 
 
 # decontamination
