@@ -16,8 +16,12 @@ from tributary.tables import cut, keep, stored
 GROUP = "func_id"
 
 
-HOPS = 3
-SMALL = 200_000
+#: Up to so many rows found, a job makes so many hops: then jobs cost more than rows. More rows make one.
+HOPS = ((2_000, 6), (200_000, 3))
+
+
+def hops(n: int) -> int:
+    return next((h for rows, h in HOPS if n <= rows), 1)
 
 
 def edge_table(edges: DataFrame) -> DataFrame:
@@ -64,7 +68,7 @@ def propagate(
             df = df.join(within, within.columns, "left_semi")
         return df
 
-    def hop(rows: DataFrame, along: DataFrame, known: DataFrame) -> DataFrame:
+    def hop(rows: DataFrame, along: DataFrame) -> DataFrame:
         if stop is not None:
             rows = rows.join(stop.distinct().withColumn("_stop", F.lit(True)), stop.columns, "left")
         rows = rows.withColumnRenamed("node", "src").join(along, [GROUP, "src"])
@@ -72,23 +76,59 @@ def propagate(
             rows = rows.filter("_stop IS NULL OR src = dst")
         far = F.col(value) + F.when(F.col("src") == F.col("dst"), 0).otherwise(1)
         rows = rows.select(GROUP, F.col("dst").alias("node"), *tags, far.alias(value))
-        return allowed(rows.groupBy(*key).agg(F.min(value).alias(value))).join(known, key, "left_anti")
+        return allowed(rows.groupBy(*key).agg(F.min(value).alias(value)))
 
     frontier, n, path = cut(allowed(seed.select(*key).distinct()).withColumn(value, F.lit(0)))
     schema, paths = frontier.schema, [path]
     while n:
         known = stored(spark, schema, paths).select(*key)
-        found = hop(frontier, edges, known)
-        if n <= SMALL:
+        found = hop(frontier, edges)
+        for _ in range(hops(n) - 1):
             edges_and_stays = edges_and_stays or with_stays(edges)
-            for _ in range(HOPS - 1):
-                found = hop(found, edges_and_stays, known)
-        frontier, n, path = cut(found)
+            found = hop(found, edges_and_stays)
+        # what was known before has been followed before, so it is enough to drop it once a job
+        frontier, n, path = cut(found.join(known, key, "left_anti"))
         paths.append(path)
     out = stored(spark, schema, paths)
     return out if depth else out.drop(value)
 
 
+LOGS = 16
+
+
+def least(edges: DataFrame, start: DataFrame, largest: bool = False) -> DataFrame:
+    """(func_id, node, label): the smallest (or largest) label that reaches a node, its own included; ``start(func_id, node, label)``.
+
+    The state is a log: a round appends the nodes whose label fell and goes on from them; the smallest entry of a node counts. Now and then
+    the log is written anew.
+    """
+    spark = edges.sparkSession
+    key = [GROUP, "node"]
+    edges = edge_table(edges)
+    stays: DataFrame | None = None
+    best = (F.max if largest else F.min)("label").alias("label")
+    better = "old IS NULL OR label > old" if largest else "old IS NULL OR label < old"
+
+    def step(rows: DataFrame, along: DataFrame) -> DataFrame:
+        moved = rows.withColumnRenamed("node", "src").join(along, [GROUP, "src"])
+        return moved.groupBy(GROUP, F.col("dst").alias("node")).agg(best)
+
+    changed, n, path = cut(start.groupBy(*key).agg(best))
+    schema, paths = changed.schema, [path]
+    while n:
+        now = stored(spark, schema, paths).groupBy(*key).agg(best).withColumnRenamed("label", "old")
+        found = step(changed, edges)
+        for _ in range(hops(n) - 1):
+            stays = stays or with_stays(edges)
+            found = step(found, stays)
+        found = found.join(now, key, "left").filter(better).drop("old")
+        changed, n, path = cut(found)
+        paths.append(path)
+        if n and len(paths) > LOGS:
+            paths = [cut(stored(spark, schema, paths).groupBy(*key).agg(best))[2]]
+    return stored(spark, schema, paths).groupBy(*key).agg(best)
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """(func_id, src, dst) for every path of at least one edge, by doubling: rounds grow with the logarithm of the longest path."""
     spark = edges.sparkSession
@@ -111,25 +151,48 @@ def closure(edges: DataFrame) -> DataFrame:
 def jump(parents: DataFrame) -> DataFrame:
     """(func_id, node, parent, steps): the last parent of every node and the way to it. Pointer jumping, logarithmic rounds.
 
-    ``parents(func_id, node, parent)`` holds each node once; a parent that is no node, or its own, ends the walk. On and behind a cycle
-    there is no last parent; such nodes end with one of the cycle. Without cycles ever fewer nodes move, so the walk is over when as many
-    move as in the round before.
+    ``parents(func_id, node, parent)`` holds each node once; a parent that is no node, or its own, ends the walk. A cycle ends at its smallest
+    node, for the nodes on it as for those behind it.
     """
-    now = parents.select(GROUP, "node", "parent", F.when(F.col("node") == F.col("parent"), 0).otherwise(1).alias("steps"))
-    now, n, _ = cut(now)
-    before = None
-    while n and n != before:
+    parents = parents.select(GROUP, "node", "parent")
+    own = F.col("node").eqNullSafe(F.col("parent"))
+    now, n, _ = cut(parents.withColumns({"steps": F.when(own, 0).otherwise(1), "own": own, "moved": ~own}))
+    before = size = None
+    length = 1  # every parent is so many steps away, or the last one
+    while n:
+        if n == before:  # without cycles ever fewer nodes move
+            size = size or now.groupBy(GROUP).count().agg(F.max("count")).first()[0]
+            if length >= size:
+                break
         before = n
-        up = now.filter("node <> parent").select(
-            GROUP, F.col("node").alias("parent"), F.col("parent").alias("grand"), F.col("steps").alias("more")
-        )
-        now = now.join(up, [GROUP, "parent"], "left").select(
-            GROUP,
-            "node",
-            F.coalesce("grand", "parent").alias("parent"),
-            (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
-            F.col("grand").isNotNull().alias("moved"),
-        )
-        now, n, _ = cut(now, F.col("moved"))
-        now = now.drop("moved")
-    return now
+        now, n, _ = cut(_doubled(_doubled(now)), F.col("moved"))
+        length *= 4
+    if not n:
+        return now.drop("moved", "own")
+    stuck = now.filter("moved").select(GROUP, "node")
+    ring = keep(parents.join(now.filter("moved").select(GROUP, F.col("parent").alias("node")).distinct(), [GROUP, "node"], "left_semi"))
+    low = ring.withColumn("low", F.least("node", "parent"))
+    length = 1
+    while length < size:
+        ahead = low.select(GROUP, F.col("node").alias("parent"), F.col("parent").alias("far"), F.col("low").alias("there"))
+        low = keep(low.join(ahead, [GROUP, "parent"]).select(GROUP, "node", F.col("far").alias("parent"), F.least("low", "there").alias("low")))
+        length *= 2
+    ends = low.filter("node = low").select(GROUP, "node", F.lit(True).alias("ends"))
+    opened = parents.join(stuck, [GROUP, "node"], "left_semi").join(ends, [GROUP, "node"], "left")
+    opened = opened.select(GROUP, "node", F.when(F.col("ends"), F.col("node")).otherwise(F.col("parent")).alias("parent"))
+    return now.filter("NOT moved").drop("moved", "own").unionByName(jump(opened))
+
+
+def _doubled(now: DataFrame) -> DataFrame:
+    """Every walk goes on by as many steps as it has made."""
+    up = now.filter("NOT own").select(
+        GROUP, F.col("node").alias("parent"), F.col("parent").alias("grand"), F.col("steps").alias("more")
+    )
+    return now.join(up, [GROUP, "parent"], "left").select(
+        GROUP,
+        "node",
+        F.coalesce("grand", "parent").alias("parent"),
+        (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
+        "own",
+        F.col("grand").isNotNull().alias("moved"),
+    )

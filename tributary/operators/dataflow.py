@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tributary.fixpoint import GROUP, edge_table, propagate
+from tributary.fixpoint import GROUP, edge_table, least, propagate
 from tributary.functions.ordered import Ordered
+from tributary.operators.dominance import tree_of
 from tributary.operators.graph import flipped
 from tributary.operators.ranges import points_in_intervals
 from tributary.tables import keep
@@ -150,8 +151,8 @@ def unsafe_between(edges: DataFrame, pairs: DataFrame, danger: DataFrame) -> Dat
     """Rows of ``pairs(func_id, pair, def_block, def_idx, use_block, use_idx)`` with a ``danger(func_id, block, idx)`` row between.
 
     In one block the danger lies at or after the definition and before the use. Otherwise before the use in its block, after the
-    definition in its block, or in a third block on a way between the two. Four joins, each only as large as its result: per block the
-    first and last danger decide, and the ways are followed from the definitions' blocks, not for all blocks.
+    definition in its block, or in a third block on a way between the two. Per block the first and last danger decide. For third blocks
+    the graph is walked with what was met on the way, per definition's block and only where a way leads to one of its uses.
     """
     pairs = keep(pairs)
     danger = keep(danger.select(GROUP, "block", "idx").distinct())
@@ -161,20 +162,37 @@ def unsafe_between(edges: DataFrame, pairs: DataFrame, danger: DataFrame) -> Dat
     apart = keep(pairs.filter("def_block <> use_block"))
     in_use = apart.join(ends.withColumnRenamed("block", "use_block"), [GROUP, "use_block"]).filter("first < use_idx")
     in_def = apart.join(ends.withColumnRenamed("block", "def_block"), [GROUP, "def_block"]).filter("last > def_idx")
-    # a third block: reached from the definition's block, and reaching the use's block
-    starts = apart.select(GROUP, F.col("def_block").alias("node"), F.col("def_block").alias("start")).distinct()
-    ahead = propagate(starts, edges, tags=["start"])
-    via = ahead.join(ends.select(GROUP, F.col("block").alias("node")), [GROUP, "node"]).withColumnRenamed("node", "mid")
-    mids = via.select(GROUP, F.col("mid").alias("node"), F.col("mid").alias("third")).distinct()
-    onward = propagate(mids, edges, tags=["third"]).select(GROUP, F.col("third").alias("mid"), F.col("node").alias("use_block"))
-    asked = apart.select(GROUP, F.col("def_block").alias("start"), "use_block").distinct()
-    hit = asked.join(via, [GROUP, "start"]).filter("mid <> start AND mid <> use_block").join(onward, [GROUP, "mid", "use_block"], "left_semi")
-    hit = hit.select(GROUP, F.col("start").alias("def_block"), "use_block").distinct()
+    # a third block: between the definition's block and the use's; per definition's block only nodes on ways to its own uses
+    asked = keep(apart.select(GROUP, F.col("def_block").alias("start"), "use_block").distinct())
+    edges = edge_table(edges)
+    starts = asked.select(GROUP, F.col("start").alias("node"), "start").distinct()
+    uses = asked.select(GROUP, F.col("use_block").alias("node"), "start")
+    ways = propagate(uses, edge_table(flipped(edges)), tags=["start"], within=propagate(starts, edges, tags=["start"]))
+    met = _dangers_met(edges, keep(ways), ends.select(GROUP, F.col("block").alias("node")))
+    hit = asked.join(met.withColumnRenamed("node", "use_block"), [GROUP, "start", "use_block"]).filter("low <> use_block OR high <> use_block")
+    hit = hit.select(GROUP, F.col("start").alias("def_block"), "use_block")
     third = apart.join(hit, [GROUP, "def_block", "use_block"], "left_semi")
     names = pairs.columns
     return nxt.select(names).unionByName(in_use.select(names)).unionByName(in_def.select(names)).unionByName(third.select(names)).distinct()
 
 
+def _dangers_met(edges: DataFrame, ways: DataFrame, danger: DataFrame) -> DataFrame:
+    """(func_id, start, node, low, high): first and last by name of the danger blocks on ways to a node, the start's own left out.
+
+    ``ways(func_id, node, start)``. A state is a node and what was met before it; two names tell whether there is one besides any given
+    block, so the table has a row per way's node, however many dangers there are.
+    """
+    step = ways.withColumnRenamed("node", "src").join(edges, [GROUP, "src"])
+    step = keep(step.join(ways.withColumnRenamed("node", "dst"), [GROUP, "start", "dst"], "left_semi").select(GROUP, "start", "src", "dst"))
+    met = keep(ways.join(danger, [GROUP, "node"], "left_semi").filter("node <> start").select(GROUP, "start", "node"))
+    place = F.struct(GROUP, "start").alias(GROUP)
+    along = edge_table(step.select(place, "src", "dst"))
+    start = met.select(place, "node", F.col("node").alias("label"))
+    low = least(along, start).withColumnRenamed("label", "low")
+    both = low.join(least(along, start, largest=True).withColumnRenamed("label", "high"), [GROUP, "node"])
+    return both.select(F.col(f"{GROUP}.{GROUP}").alias(GROUP), F.col(f"{GROUP}.start").alias("start"), "node", "low", "high")
+
+
 def _next_danger(pairs: DataFrame, danger: DataFrame) -> DataFrame:
     """In-block pairs with the first danger at or after the definition."""
     # positions are negated, so that the next danger is the last one known
@@ -216,8 +234,8 @@ def dead_loops(edges: DataFrame, dom: DataFrame, branches: DataFrame, phi_values
     winning one never leads back.
     """
     asked = branches.join(phi_values, [GROUP, "var"])
-    below = dom.select(GROUP, F.col("dom").alias("src"), F.col("node").alias("pred_block"), F.lit(True).alias("below"))
-    up = asked.join(below, [GROUP, "src", "pred_block"], "left").filter("pred_block = src OR below IS NULL")
+    below = tree_of(dom).above(asked.select(GROUP, "src", "pred_block").distinct(), "src", "pred_block")
+    up = asked.join(below.withColumn("below", F.lit(True)), [GROUP, "src", "pred_block"], "left").filter("pred_block = src OR below IS NULL")
     up = up.groupBy(GROUP, "src", "constant", "equal").agg(F.count(F.lit(1)).alias("n"), F.first("value").alias("value")).filter("n = 1 AND value IS NOT NULL")
     won = (F.col("value") == F.col("constant")) == F.col("equal")
     decided = keep(up.select(GROUP, "src", F.when(won, "true").otherwise("false").alias("taken")))

@@ -4,49 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tributary.fixpoint import GROUP, closure, edge_table, propagate
-from tributary.operators.graph import flipped, shortest_paths
+from tributary.fixpoint import GROUP, edge_table, propagate
+from tributary.operators.cycles import strong_components
+from tributary.operators.domtree import Forest, dominator_tree
+from tributary.operators.graph import flipped
 from tributary.tables import cut, keep
 
 
 def dominators(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(func_id, node, dom, pos): every dominator of every node that its root reaches, nodes dominating themselves included.
 
-    The nodes on one path from the root are a superset of the dominators. From them those are taken away that some other way round
-    avoids: a candidate fails at a node if a predecessor lacks it, and a failure is passed on along edges up to the candidate itself.
-    The table stays as large as the paths are long, and a round touches the new failures only. ``pos`` is the place on that path, so
-    the immediate dominator is the last one before the node.
+    ``pos`` counts dominators from the root, so the immediate dominator is the last one before the node. The relation is expanded from the dominator
+    tree where its rows are read; what follows from the tree alone (``tree_of``) does not make them.
     """
-    edges = edge_table(edges)
-    paths = shortest_paths(edges, roots.select(GROUP, F.col("root").alias("node")))
-    first = keep(paths.select(GROUP, "node", F.posexplode("path").alias("pos", "dom")))
-    strict = keep(first.filter("node <> dom").select(GROUP, "node", "dom"))
-    reached = first.filter("node = dom").select(GROUP, F.col("node").alias("src"))
-    into = edges.join(reached, [GROUP, "src"], "left_semi").select(GROUP, "src", F.col("dst").alias("node"))
-    held = first.select(GROUP, F.col("node").alias("src"), "dom")
-    failed = into.join(strict, [GROUP, "node"]).join(held, [GROUP, "src", "dom"], "left_anti").select(GROUP, "node", "dom")
-    failed = propagate(failed, edges, tags=["dom"], within=strict)
-    return keep(first.join(failed, [GROUP, "node", "dom"], "left_anti").select(GROUP, "node", "dom", "pos"))
+    tree = dominator_tree(edges, roots)
+    dom = tree.relation()
+    dom._tree = tree
+    return dom
+
+
+def tree_of(dom: DataFrame) -> Forest:
+    """The tree behind a table of dominators, rebuilt where the table comes from elsewhere."""
+    tree = getattr(dom, "_tree", None)
+    if tree is None:
+        above = dom.filter("node <> dom").groupBy(GROUP, "node").agg(F.max_by("dom", "pos").alias("parent"))
+        tree = Forest(dom.filter("node = dom").select(GROUP, "node").join(above, [GROUP, "node"], "left"))
+    return tree
 
 
 def immediate(dom: DataFrame) -> DataFrame:
     """(func_id, node, idom): the dominator tree."""
-    return dom.filter("node <> dom").groupBy(GROUP, "node").agg(F.max_by("dom", "pos").alias("idom"))
+    return tree_of(dom).nodes.filter("parent IS NOT NULL").select(GROUP, "node", F.col("parent").alias("idom"))
 
 
 def depth_in_tree(dom: DataFrame) -> DataFrame:
     """(func_id, node, depth) in the dominator tree, the root at 1."""
-    return dom.groupBy(GROUP, "node").agg(F.count(F.lit(1)).alias("depth"))
+    return tree_of(dom).nodes.select(GROUP, "node", "depth")
 
 
 def common_dominator(dom: DataFrame, groups: DataFrame) -> DataFrame:
     """(func_id, grp, dom): the nearest node dominating all nodes of ``groups(func_id, grp, node)``."""
+    tree = tree_of(dom)
     groups = keep(groups.select(GROUP, "grp", "node").distinct())
-    size = groups.groupBy(GROUP, "grp").agg(F.count(F.lit(1)).alias("size"))
-    shared = groups.join(dom, [GROUP, "node"]).groupBy(GROUP, "grp", "dom").agg(F.count(F.lit(1)).alias("n"))
-    shared = shared.join(size, [GROUP, "grp"]).filter("n = size")
-    deep = depth_in_tree(dom).withColumnRenamed("node", "dom")
-    return shared.join(deep, [GROUP, "dom"]).groupBy(GROUP, "grp").agg(F.max_by("dom", "depth").alias("dom"))
+    lost = groups.join(tree.nodes, [GROUP, "node"], "left_anti").select(GROUP, "grp").distinct()
+    found = tree.common(groups.join(lost, [GROUP, "grp"], "left_anti"), [GROUP, "grp"], "node")
+    return found.filter("meet IS NOT NULL").select(GROUP, "grp", F.col("meet").alias("dom"))
 
 
 def dom_children(dom: DataFrame) -> DataFrame:
@@ -54,6 +56,11 @@ def dom_children(dom: DataFrame) -> DataFrame:
     return immediate(dom).select(GROUP, F.col("idom").alias("node"), F.col("node").alias("child"))
 
 
+def dom_sizes(dom: DataFrame) -> DataFrame:
+    """(func_id, head, n_nodes): how many nodes a head dominates, itself included."""
+    return tree_of(dom).places().select(GROUP, F.col("node").alias("head"), ((F.col("leave") - F.col("place") + 1) / 2).cast("bigint").alias("n_nodes"))
+
+
 def dom_region(dom: DataFrame) -> DataFrame:
     """(func_id, head, node): all nodes a head dominates, itself included."""
     return dom.select(GROUP, F.col("dom").alias("head"), "node")
@@ -64,14 +71,17 @@ def edge_classes(edges: DataFrame, dom: DataFrame) -> DataFrame:
 
     ``back``: the sink dominates the source; ``irreducible``: still on a cycle without the back edges; else ``acyclic``.
     """
-    seen = dom.filter("node = dom").select(GROUP, F.col("node").alias("src"))
+    tree = tree_of(dom)
+    seen = tree.nodes.select(GROUP, F.col("node").alias("src"))
     edges = edge_table(edges.join(seen, [GROUP, "src"], "left_semi"))
-    back = edges.join(dom.select(GROUP, F.col("node").alias("src"), F.col("dom").alias("dst"), F.lit(True).alias("back")), [GROUP, "src", "dst"], "left")
-    back = keep(back)
-    rest = back.filter("back IS NULL").select(GROUP, "src", "dst")
-    cyclic = closure(rest).select(GROUP, F.col("src").alias("dst"), F.col("dst").alias("src"), F.lit(True).alias("cyclic"))
-    named = F.when(F.col("back"), "back").when(F.col("cyclic"), "irreducible").otherwise("acyclic")
-    return keep(back.join(cyclic, [GROUP, "src", "dst"], "left").select(GROUP, "src", "dst", named.alias("edge_class")))
+    back = keep(tree.above(edges, "dst", "src"))
+    ring = strong_components(edges.join(back, [GROUP, "src", "dst"], "left_anti"))
+    # without the back edges an edge is on a cycle if both ends are in one component
+    inside = edges.join(ring.select(GROUP, F.col("node").alias("src"), F.col("component").alias("a")), [GROUP, "src"])
+    inside = inside.join(ring.select(GROUP, F.col("node").alias("dst"), F.col("component").alias("b")), [GROUP, "dst"]).filter("a = b").select(GROUP, "src", "dst")
+    marks = back.withColumn("kind", F.lit(0)).unionByName(inside.withColumn("kind", F.lit(1))).groupBy(GROUP, "src", "dst").agg(F.min("kind").alias("kind"))
+    named = F.when(F.col("kind") == 0, "back").when(F.col("kind") == 1, "irreducible").otherwise("acyclic")
+    return keep(edges.join(marks, [GROUP, "src", "dst"], "left").select(GROUP, "src", "dst", named.alias("edge_class")))
 
 
 def loop_edges(classes: DataFrame) -> DataFrame:
@@ -145,8 +155,8 @@ def regions(edges: DataFrame, dom: DataFrame) -> DataFrame:
     """
     edges = edge_table(edges)
     region = keep(dom_region(dom))
-    size = region.groupBy(GROUP, "head").agg(F.count(F.lit(1)).alias("n_nodes"))
-    graph = dom.filter("node = dom").groupBy(GROUP).agg(F.count(F.lit(1)).alias("total"))
+    size = dom_sizes(dom)
+    graph = tree_of(dom).nodes.groupBy(GROUP).agg(F.count(F.lit(1)).alias("total"))
     size = size.join(graph, GROUP).filter("(total >= 3 AND n_nodes >= 3) OR (total = 2 AND n_nodes = 2)").drop("total")
     inside = region.select(GROUP, "head", F.col("node").alias("dst"), F.lit(True).alias("inside"))
     out = region.join(edges.withColumnRenamed("src", "node"), [GROUP, "node"]).join(inside, [GROUP, "head", "dst"], "left").filter("inside IS NULL")
@@ -186,8 +196,9 @@ def noreturn_boundary(edges: DataFrame, nodes: DataFrame, noreturn: DataFrame) -
         .unionByName(bad.select(GROUP, F.lit(END).alias("src"), F.lit(MERGED).alias("dst")).distinct())
         .unionByName(good.select(GROUP, F.lit(END).alias("src"), F.col("node").alias("dst")))
     )
-    dom = dominators(back, leaves.select(GROUP, F.lit(END).alias("root")).distinct())
-    doomed = keep(dom.filter(F.col("dom") == MERGED).select(GROUP, F.col("node").alias("dst")))
+    tree = dominator_tree(back, leaves.select(GROUP, F.lit(END).alias("root")).distinct())
+    merged = tree.nodes.select(GROUP, F.lit(MERGED).alias("above"), F.col("node").alias("dst"))
+    doomed = keep(tree.above(merged, "above", "dst").select(GROUP, "dst"))
     into = edges.join(doomed, [GROUP, "dst"], "left_semi")
     # a doomed successor but not doomed itself: such a node is the frontier
     return into.join(doomed.withColumnRenamed("dst", "src"), [GROUP, "src"], "left_anti")

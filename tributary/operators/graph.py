@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tributary.fixpoint import GROUP, HOPS, SMALL, closure, edge_table, jump, propagate, with_stays
+from tributary.fixpoint import GROUP, edge_table, hops, jump, propagate, with_stays
+from tributary.operators import orders
 from tributary.tables import cut, keep, stored
 
 
@@ -79,7 +80,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     while n:
         known = stored(spark, schema, paths).select(GROUP, "node")
         found = hop(frontier, edges.filter("src <> dst"), known)
-        for _ in range(HOPS - 1 if n <= SMALL else 0):
+        for _ in range(hops(n) - 1):
             found = hop(found, stays, known)
         frontier, n, path = cut(found)
         paths.append(path)
@@ -107,21 +108,7 @@ def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_h
 def levels(edges: DataFrame) -> DataFrame:
     """(func_id, node, level): length of a longest path from a root; null for nodes on or behind a cycle."""
     edges = edge_table(edges)
-    spark = edges.sparkSession
-    nodes, left, _ = cut(nodes_of(edges))
-    ready, n, path = cut(nodes.join(edges.select(GROUP, F.col("dst").alias("node")), [GROUP, "node"], "left_anti").withColumn("level", F.lit(0)))
-    schema, paths, level = ready.schema, [path], 0
-    waiting = keep(edges.groupBy(GROUP, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("need")))
-    while n:
-        level += 1
-        done = edges.join(ready.select(GROUP, F.col("node").alias("src")), [GROUP, "src"], "left_semi")
-        done = done.groupBy(GROUP, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("have"))
-        now = waiting.join(done, [GROUP, "node"], "left").select(GROUP, "node", (F.col("need") - F.coalesce("have", F.lit(0))).alias("need"))
-        now = keep(now)
-        ready, n, path = cut(now.filter("need = 0").select(GROUP, "node", F.lit(level).alias("level")))
-        waiting = now.filter("need > 0")
-        paths.append(path)
-    return nodes.join(stored(spark, schema, paths), [GROUP, "node"], "left")
+    return orders.levels(edges, keep(nodes_of(edges)))
 
 
 def is_acyclic(edges: DataFrame) -> DataFrame:
@@ -132,9 +119,8 @@ def is_acyclic(edges: DataFrame) -> DataFrame:
 def reduce_dag(edges: DataFrame) -> DataFrame:
     """Edges of an acyclic graph that no longer path replaces."""
     edges = edge_table(edges)
-    further = closure(edges).select(GROUP, F.col("src").alias("mid"), "dst")
-    detour = edges.select(GROUP, "src", F.col("dst").alias("mid")).join(further, [GROUP, "mid"]).select(GROUP, "src", "dst")
-    return edges.join(detour, [GROUP, "src", "dst"], "left_anti")
+    longer = orders.longer_ways(edges, keep(levels(edges)))
+    return edges.join(longer.select(GROUP, F.col("a").alias("src"), F.col("b").alias("dst")), [GROUP, "src", "dst"], "left_anti")
 
 
 def components(edges: DataFrame) -> DataFrame:

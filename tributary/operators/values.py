@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tributary.fixpoint import GROUP, edge_table, jump, propagate
 from tributary.operators.dataflow import unsafe_between
-from tributary.operators.dominance import depth_in_tree, dominators, immediate
+from tributary.operators.dominance import common_dominator, tree_of
+from tributary.operators.domtree import dominator_tree
 from tributary.operators.graph import components, flipped
 from tributary.tables import cut, keep
 
@@ -71,9 +72,9 @@ def identity_groups(edges: DataFrame, phis: DataFrame, defined: DataFrame, confl
                 counted = counted.unionByName(leaves.join(named.join(clash, [GROUP, "component"], "left_semi"), [GROUP, "node"], "left_semi").select(GROUP, "node"))
             counted = counted.distinct()
             back = flipped(left).unionByName(counted.select(GROUP, F.lit(LEAF).alias("src"), F.col("node").alias("dst")))
-            dom = dominators(back, counted.select(GROUP, F.lit(LEAF).alias("root")).distinct())
+            tree = dominator_tree(back, counted.select(GROUP, F.lit(LEAF).alias("root")).distinct())
             several = left.groupBy(GROUP, F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-            split = immediate(dom).filter(F.col("idom") == LEAF).join(phis, [GROUP, "node"], "left_semi").join(several, [GROUP, "node"], "left_semi")
+            split = tree.nodes.filter(F.col("parent") == LEAF).join(phis, [GROUP, "node"], "left_semi").join(several, [GROUP, "node"], "left_semi")
             new, n, _ = cut(split.select(GROUP, "node").join(cutoff, [GROUP, "node"], "left_anti"))
             if not n:
                 break
@@ -128,29 +129,33 @@ def type_groups(edges: DataFrame, types: DataFrame, primitive: Column, unknown:
 def placement(dom: DataFrame, uses: DataFrame) -> DataFrame:
     """(func_id, grp, block): nearest block before all uses that holds no merge use itself; ``uses(func_id, grp, node, in_phi)``."""
     blocks = keep(uses.groupBy(GROUP, "grp", "node").agg(F.bool_or("in_phi").alias("in_phi")))
-    size = blocks.groupBy(GROUP, "grp").agg(F.count(F.lit(1)).alias("size"))
-    shared = blocks.join(dom, [GROUP, "node"]).groupBy(GROUP, "grp", "dom").agg(F.count(F.lit(1)).alias("n"))
-    shared = shared.join(size, [GROUP, "grp"]).filter("n = size")
-    shared = shared.join(blocks.filter("in_phi").select(GROUP, "grp", F.col("node").alias("dom")), [GROUP, "grp", "dom"], "left_anti")
-    deep = depth_in_tree(dom).withColumnRenamed("node", "dom")
-    return shared.join(deep, [GROUP, "dom"]).groupBy(GROUP, "grp").agg(F.max_by("dom", "depth").alias("block"))
+    shared = keep(common_dominator(dom, blocks.select(GROUP, "grp", "node")))
+    # from there up the tree, past blocks with a merge use
+    steps = blocks.filter("in_phi").join(tree_of(dom).nodes, [GROUP, "node"])
+    steps = jump(steps.select(GROUP, F.struct("grp", "node").alias("node"), F.struct("grp", F.col("parent").alias("node")).alias("parent")))
+    past = steps.select(GROUP, "node.grp", F.col("node.node").alias("dom"), F.col("parent.node").alias("past"), F.lit(True).alias("held"))
+    out = shared.join(past, [GROUP, "grp", "dom"], "left")
+    return out.select(GROUP, "grp", F.when(F.col("held"), F.col("past")).otherwise(F.col("dom")).alias("block")).filter("block IS NOT NULL")
 
 
 def reuse_pairs(edges: DataFrame, dom: DataFrame, rows: DataFrame, danger: DataFrame) -> DataFrame:
     """(func_id, idx, def_idx): rows whose expression an earlier row, on every way before, has computed.
 
     ``rows(func_id, block, idx, fp, usable, aliased)``: ``usable`` rows may serve as the earlier one. The first such row on the way from
-    the root counts; if aliased, no danger row may lie between. Candidates are one row per block and expression, met over the
-    dominators of the using block, so a frequent expression does not pair all its rows.
+    the root counts; if aliased, no danger row may lie between. Candidates are one row per block and expression; the one nearest to the root is
+    found along the dominator tree, so a frequent expression does not pair its rows.
     """
     rows = keep(rows)
     first = rows.filter("usable").groupBy(GROUP, "block", "fp").agg(F.min(F.struct("idx", "aliased")).alias("d"))
     first = first.select(GROUP, F.col("block").alias("def_block"), "fp", F.col("d.idx").alias("def_idx"), F.col("d.aliased").alias("fragile"))
-    ranked = dom.join(depth_in_tree(dom).withColumnRenamed("node", "dom"), [GROUP, "dom"])
-    ranked = ranked.select(GROUP, F.col("node").alias("block"), F.col("dom").alias("def_block"), "depth")
-    met = rows.join(ranked, [GROUP, "block"]).join(first, [GROUP, "def_block", "fp"]).filter("def_block <> block OR def_idx < idx")
-    best = met.groupBy(GROUP, "block", "idx").agg(F.min(F.struct("depth", "def_idx", "def_block", "fragile")).alias("d"))
-    best = keep(best.select(GROUP, "block", "idx", "d.def_idx", "d.def_block", "d.fragile"))
+    first = keep(first)
+    asked = rows.select(GROUP, F.col("block").alias("node"), "fp").distinct()
+    near, above = tree_of(dom).nearest(asked, first.select(GROUP, F.col("def_block").alias("node"), "fp"), ["fp"])
+    top = jump(above.select(GROUP, F.struct("fp", "node").alias("node"), F.struct("fp", F.coalesce("above", "node").alias("node")).alias("parent")))
+    top = top.select(GROUP, "node.fp", F.col("node.node").alias("at"), F.col("parent.node").alias("def_block"))
+    near = near.join(top, [GROUP, "fp", "at"]).select(GROUP, "fp", F.col("node").alias("block"), "def_block")
+    met = rows.join(near, [GROUP, "fp", "block"]).join(first, [GROUP, "def_block", "fp"]).filter("def_block <> block OR def_idx < idx")
+    best = keep(met.select(GROUP, "block", "idx", "def_idx", "def_block", "fragile"))
     pairs = best.filter("fragile").select(
         GROUP, F.col("idx").alias("pair"), "def_block", "def_idx", F.col("block").alias("use_block"), F.col("idx").alias("use_idx")
     )

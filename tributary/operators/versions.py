@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tributary.fixpoint import GROUP, closure, edge_table, propagate
-from tributary.operators.dominance import depth_in_tree
+from tributary.fixpoint import GROUP, edge_table, propagate
+from tributary.operators.cycles import strong_components
+from tributary.operators.dominance import tree_of
 from tributary.tables import keep
 
 
@@ -30,11 +31,11 @@ def missing_versions(aliased: DataFrame, memory: DataFrame, existing: DataFrame)
 def nearest_dominating(points: DataFrame, known: DataFrame, dom: DataFrame) -> DataFrame:
     """(func_id, block, name, version, …): per point the highest version of the nearest block dominating it that has one."""
     best = keep(known.groupBy(GROUP, "block", "name").agg(F.max("version").alias("version")))
-    ranked = dom.join(depth_in_tree(dom).withColumnRenamed("node", "dom"), [GROUP, "dom"])
-    ranked = ranked.select(GROUP, F.col("node").alias("block"), F.col("dom").alias("def_block"), "depth")
-    hits = points.join(ranked, [GROUP, "block"]).join(best.withColumnRenamed("block", "def_block"), [GROUP, "def_block", "name"])
-    near = hits.groupBy(*points.columns).agg(F.max(F.struct("depth", "version")).alias("m"))
-    return near.select(*points.columns, "m.version")
+    asked = points.select(GROUP, F.col("block").alias("node"), "name").distinct()
+    near, _ = tree_of(dom).nearest(asked, best.select(GROUP, F.col("block").alias("node"), "name"), ["name"])
+    near = near.select(GROUP, F.col("node").alias("block"), "name", F.col("at").alias("def_block"))
+    near = near.join(best.withColumnRenamed("block", "def_block"), [GROUP, "def_block", "name"])
+    return points.distinct().join(near, [GROUP, "block", "name"]).select(*points.columns, "version")
 
 
 def phi_origins(phis: DataFrame, edges: DataFrame, known: DataFrame, dom: DataFrame) -> DataFrame:
@@ -44,13 +45,11 @@ def phi_origins(phis: DataFrame, edges: DataFrame, known: DataFrame, dom: DataFr
     """
     args = phis.join(edges.select(GROUP, F.col("dst").alias("block"), F.col("src").alias("pred_block")).distinct(), [GROUP, "block"])
     args = keep(args)
-    best = known.groupBy(GROUP, F.col("block").alias("def_block"), "name").agg(F.max("version").alias("version"))
-    ranked = dom.join(depth_in_tree(dom).withColumnRenamed("node", "dom"), [GROUP, "dom"])
-    ranked = ranked.select(GROUP, F.col("node").alias("pred_block"), F.col("dom").alias("def_block"), "depth")
-    asked = args.select(GROUP, "pred_block", "name").distinct()
-    hits = asked.join(ranked, [GROUP, "pred_block"]).join(best, [GROUP, "def_block", "name"])
-    near = hits.groupBy(GROUP, "pred_block", "name").agg(F.max(F.struct("depth", "version", "def_block")).alias("m"))
-    near = near.select(GROUP, "pred_block", "name", "m.version", "m.def_block")
+    best = keep(known.groupBy(GROUP, F.col("block").alias("def_block"), "name").agg(F.max("version").alias("version")))
+    asked = args.select(GROUP, F.col("pred_block").alias("node"), "name").distinct()
+    near, _ = tree_of(dom).nearest(asked, best.select(GROUP, F.col("def_block").alias("node"), "name"), ["name"])
+    near = near.select(GROUP, F.col("node").alias("pred_block"), "name", F.col("at").alias("def_block"))
+    near = near.join(best, [GROUP, "def_block", "name"])
     return args.join(near, [GROUP, "pred_block", "name"], "left").select(GROUP, "block", "name", "pred_block", "version", "def_block")
 
 
@@ -86,7 +85,7 @@ def phi_deps(phi_args: DataFrame) -> DataFrame:
 def phi_cycles(phi_args: DataFrame) -> DataFrame:
     """(func_id, block, var): merge rows that depend on themselves through others of their block."""
     deps = phi_deps(phi_args).select(GROUP, _placed("src").alias("src"), _placed("dst").alias("dst"))
-    return closure(keep(deps)).filter("src = dst").select(GROUP, "src.block", "src.var")
+    return strong_components(keep(deps)).select(GROUP, "node.block", "node.var")
 
 
 def trivial_phis(phi_args: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tributary.fixpoint import GROUP
+from tributary.operators.dominance import tree_of
 from tributary.tables import cut, keep
 
 MAX_EDGES = 100_000
@@ -87,7 +88,7 @@ def dfs_edge_classes(edges: DataFrame, roots: DataFrame, dom: DataFrame, max_edg
     a = visit.select(GROUP, F.col("node").alias("src"), F.col("pre").alias("a_pre"), F.col("post").alias("a_post"))
     b = visit.select(GROUP, F.col("node").alias("dst"), F.col("parent").alias("up"), F.col("pre").alias("b_pre"), F.col("post").alias("b_post"))
     rows = edges.select(GROUP, "src", "dst").distinct().join(a, [GROUP, "src"]).join(b, [GROUP, "dst"])
-    head = dom.select(GROUP, F.col("node").alias("src"), F.col("dom").alias("dst"), F.lit(True).alias("dominated"))
+    head = tree_of(dom).above(edges.select(GROUP, "src", "dst").distinct(), "dst", "src").withColumn("dominated", F.lit(True))
     rows = rows.join(head, [GROUP, "src", "dst"], "left")
     above = (F.col("b_pre") <= F.col("a_pre")) & (F.col("b_post") >= F.col("a_post"))
     below = (F.col("b_pre") > F.col("a_pre")) & (F.col("b_post") < F.col("a_post"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tributary.fixpoint import closure as transitive
 from tributary.operators import dominance as d
 from tributary.operators import graph as g
 from tributary.operators import visits
@@ -130,7 +131,7 @@ def is_acyclic(t):
 
 @query("closure", "SELECT func_id, src, dst FROM flow_closure")
 def closure(t):
-    return g.closure(t.flow_edges)
+    return transitive(t.flow_edges)
 
 
 view("dag", """SELECT func_id, src, dst FROM hier_edges UNION SELECT a.func_id, a.src, b.dst FROM hier_edges a JOIN hier_edges b ON b.src = a.dst""")
@@ -192,7 +193,7 @@ def dom_children(t):
 
 @query("dom_region_size", "SELECT func_id, dom AS head, count(*) AS n_nodes FROM flow_dom GROUP BY ALL")
 def dom_region_size(t):
-    return d.dom_region(_dom(t)).groupBy("func_id", "head").agg(F.count(F.lit(1)).alias("n_nodes"))
+    return d.dom_sizes(_dom(t))
 
 
 @query("edge_classes", "SELECT func_id, src, dst, edge_class FROM flow_classes")
