@@ -14,6 +14,7 @@ id); repeated rows are encoded each; an empty table gives no shards and an empty
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
 import zlib
@@ -28,10 +29,14 @@ from tributary.llm.known import Known, kept
 from tributary.tables import keep, shared_folder
 
 NULL_ID = np.iinfo(np.int64).min
-#: Units of text that the byte-level split rule never joins: a word with the blank before it, or blanks.
-UNIT = re.compile(r"[ \n]+(?![^ \n])| ?[^ \n]+|[ \n]")
-#: Texts with other white space, or with what may be a special token, are encoded in one call.
+#: Texts are cut before blanks and line ends. The byte-level split rule cuts there too, unless three of them follow each other or two end a text.
+RUNS = tuple(map("".join, itertools.product(" \n", repeat=3)))
+ENDS = tuple(map("".join, itertools.product(" \n", repeat=2)))
+#: So are not texts with other white space, or with what may be a special token: they are encoded in one call.
 WHOLE = re.compile(r"[^\S \n]|[᠎​﻿]|<\|")
+IN_ONE = object()
+#: Bytes of ids that a task reads back.
+READ_BYTES, MOST_TASKS = 16 << 20, 20_000
 CACHE_UNITS, BATCH_CHARS, JOINED = 500_000, 1_000_000, 1000
 
 
@@ -45,7 +50,10 @@ def file_system(address: str):
 
 
 class Encoder:
-    """Ids by the tokenizers library, each distinct unit once while it stays in a cache of bounded size."""
+    """Ids by the tokenizers library, each distinct piece once while it stays in a cache of bounded size.
+
+    A piece is what follows a blank, or a line end with what follows it; the first piece of a text is marked by a blank, which no other holds.
+    """
 
     def __init__(self, tokenizer_file: str, dtype: str):
         import os
@@ -76,15 +84,35 @@ class Encoder:
             found += [data[a:b] for a, b in zip(ends, ends[1:])]
         return found
 
+    def _learn(self, pieces: list[str]) -> None:
+        known, words, others = self.known, [], []
+        for piece in pieces:
+            if WHOLE.search(piece):
+                known[piece] = IN_ONE
+            elif piece and piece[0] not in " \n":
+                words.append(piece)
+            else:
+                others.append(piece)
+        known.update(zip(words, self._joined_ids([" " + w for w in words])))
+        # a line end begins its piece, a blank in front marks the first piece, and an empty piece is a blank
+        known.update(zip(others, self._ids([(p[1:] if p[0] == " " else p) if p else " " for p in others])))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [None if WHOLE.search(t) else UNIT.findall(t) for t in texts]
-        known = self.known
-        new = known.missing(set().union(*[p for p in parts if p is not None]))
-        words = [u for u in new if u[0] == " " and len(u) > 1]
-        others = [u for u in new if u[0] != " " or len(u) == 1]
-        known.update(zip(words, self._joined_ids(words)))
-        known.update(zip(others, self._ids(others)))
-        return [self._ids([t])[0] if p is None else b"".join([known[u] for u in p]) for t, p in zip(texts, parts)]
+        parts = []
+        for t in texts:
+            if any(run in t for run in RUNS) or t.endswith(ENDS):
+                parts.append(None)
+            else:
+                pieces = t.replace("\n", " \n").split(" ")
+                pieces[0] = " " + pieces[0]
+                parts.append(pieces)
+        known, every = self.known, set().union(*[p for p in parts if p is not None])
+        self._learn(known.missing(every))
+        whole = {p for p in every if known[p] is IN_ONE}
+        find = known.__getitem__
+        return [
+            self._ids([t])[0] if p is None or not whole.isdisjoint(p) else b"".join(map(find, p)) for t, p in zip(texts, parts)
+        ]
 
 
 def _chunks(texts: pd.Series) -> Iterator[tuple[int, list[str]]]:
@@ -181,10 +209,10 @@ def read_shards(shards: DataFrame, folder: str, vocabulary: int) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for number, base in zip(batch["shard"], batch["base"]):
+            for number, base, start, end in zip(batch["shard"], batch["base"], batch["start"], batch["end"]):
                 shard = Shard(folder, int(number), dtype)
-                for at in range(0, len(shard), 10_000):
-                    some = range(at, min(at + 10_000, len(shard)))
+                for at in range(start, end, 10_000):
+                    some = range(at, min(at + 10_000, end))
                     crc = [zlib.crc32(np.ascontiguousarray(shard[i], "<u4").data) for i in some]
                     ids = shard.docs[some.start : some.stop]
                     yield pd.DataFrame(
@@ -196,7 +224,12 @@ def read_shards(shards: DataFrame, folder: str, vocabulary: int) -> DataFrame:
                         }
                     )
 
-    spread = with_bases(shards).repartition("shard")
+    # a row per range of a shard's documents, dealt out by number: what is named by a key only may be put together again
+    parts = F.ceil(F.col("n_tokens") * int(dtype[-1]) / READ_BYTES)
+    ranges = with_bases(shards).withColumn("parts", parts).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    edge = lambda i: F.floor(F.col("n_docs") * i / F.col("parts")).cast("bigint")
+    ranges = keep(ranges.select("shard", "base", edge(F.col("i")).alias("start"), edge(F.col("i") + 1).alias("end")))
+    spread = ranges.repartition(max(1, min(ranges.count(), MOST_TASKS)))
     return spread.mapInPandas(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 

@@ -31,8 +31,9 @@ from tributary.tables import cut, keep, shared_folder, stored
 MAGIC = b"WARC/1.1\r\n"
 MAX_HEADER, MAX_URL = 1 << 16, 1 << 14
 RANGE_BYTES = 4 << 20
-#: Rows of (id, id) that may be sent to every task; beyond it the pages are shuffled to them.
-MOST_SENT = 1_000_000
+#: Rows of (id, id, 20 bytes) that may be sent to every task, about 30 MB; beyond it the pages are shuffled to them.
+MOST_SENT = 300_000
+MOST_TASKS = 20_000
 LENGTH = re.compile(rb"\r\nContent-Length: (\d{1,18})\r\n")
 
 
@@ -66,7 +67,7 @@ def _revisits(pages: DataFrame, key: str) -> tuple[DataFrame, int]:
 
     ``n`` is 0 where all rows of that id are revisits, 1 where one of several rows with the group's smallest id is the response."""
     payload = F.coalesce(F.col("html"), F.lit(""))
-    ids = keep(pages.select(F.col(key), F.sha1(payload.cast("binary")).alias("sha"), F.octet_length(payload).alias("size")))
+    ids = keep(pages.select(F.col(key), F.unhex(F.sha1(payload.cast("binary"))).alias("sha"), F.octet_length(payload).alias("size")))
     order = F.struct(F.col(key).isNull(), F.col(key))
     groups = ids.groupBy("sha", "size").agg(F.min(order)[key].alias("first"), F.count(F.lit(1)).alias("rows"))
     groups = groups.filter("rows > 1")
@@ -81,7 +82,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id") -> DataF
     revisits, n = _revisits(pages, key)
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(key, F.coalesce(F.col("url"), F.lit("")).alias("url"), payload.alias("html"))
-    rows = rows.withColumn("_sha", F.sha1(F.col("html").cast("binary")))
+    rows = rows.withColumn("_sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
     known = revisits.select(F.col(key).alias("_key"), F.col("sha").alias("_s"), "first", F.col("n").alias("_n"))
     known = F.broadcast(known) if n <= MOST_SENT else known
     rows = rows.join(known, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_sha") == F.col("_s")), "left")
@@ -125,10 +126,15 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id") -> DataF
 
 
 def _ranges(archives: DataFrame, range_bytes: int) -> DataFrame:
-    """(name, size, at): a row per range, dealt out over all tasks."""
+    """(name, size, at): a row per range, a task each."""
     starts = F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(range_bytes).cast("bigint"))
     ranges = archives.filter("size > 0").select("name", "size", F.explode(starts).alias("at"))
-    return ranges.repartition("name", "at")
+    return _dealt(keep(ranges))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Stored rows dealt out by number; what is dealt by a key only may be put together again."""
+    return rows.repartition(max(1, min(rows.count(), MOST_TASKS)))
 
 
 def _header(data: bytes, at: int) -> tuple[bytes, int, int] | None:
@@ -221,7 +227,7 @@ def read_archives(archives: DataFrame, folder: str, range_bytes: int = RANGE_BYT
                         yield pd.DataFrame(rows, columns=names)
 
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-    walks = starts.join(archives, "name").filter("offset < size").select("name", "size", "offset").repartition("name", "offset")
+    walks = _dealt(keep(starts.join(archives, "name").filter("offset < size").select("name", "size", "offset")))
     read_back = walks.mapInPandas(read, "page_id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, payload binary")
     return read_back.withColumn("page_id", F.col("page_id").cast("bigint")).withColumn("refers_to", F.col("refers_to").cast("bigint"))
 
