@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tributary.tables import cut, keep, stored
+from tributary.tables import cut, drop, keep, stored
 
 GROUP = "func_id"
 
@@ -164,18 +164,22 @@ def jump(parents: DataFrame) -> DataFrame:
             size = size or now.groupBy(GROUP).count().agg(F.max("count")).first()[0]
             if length >= size:
                 break
-        before = n
+        before, last = n, now
         now, n, _ = cut(_doubled(_doubled(now)), F.col("moved"))
+        drop(last)
         length *= 4
     if not n:
-        return now.drop("moved", "own")
+        out = now.drop("moved", "own")
+        out._path = now._path
+        return out
     stuck = now.filter("moved").select(GROUP, "node")
     ring = keep(parents.join(now.filter("moved").select(GROUP, F.col("parent").alias("node")).distinct(), [GROUP, "node"], "left_semi"))
     low = ring.withColumn("low", F.least("node", "parent"))
     length = 1
     while length < size:
         ahead = low.select(GROUP, F.col("node").alias("parent"), F.col("parent").alias("far"), F.col("low").alias("there"))
-        low = keep(low.join(ahead, [GROUP, "parent"]).select(GROUP, "node", F.col("far").alias("parent"), F.least("low", "there").alias("low")))
+        last, low = low, keep(low.join(ahead, [GROUP, "parent"]).select(GROUP, "node", F.col("far").alias("parent"), F.least("low", "there").alias("low")))
+        drop(last)
         length *= 2
     ends = low.filter("node = low").select(GROUP, "node", F.lit(True).alias("ends"))
     opened = parents.join(stuck, [GROUP, "node"], "left_semi").join(ends, [GROUP, "node"], "left")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tributary.fixpoint import GROUP, edge_table, hops, jump, propagate, with_stays
 from tributary.operators import orders
-from tributary.tables import cut, keep, stored
+from tributary.tables import cut, drop, keep, stored
 
 
 def flipped(edges: DataFrame) -> DataFrame:
@@ -133,9 +133,11 @@ def components(edges: DataFrame) -> DataFrame:
     alone = nodes_of(edges)
     label: DataFrame | None = None
     while n:
+        last, old = todo, label
         both = todo.unionByName(flipped(todo))
         hook = both.groupBy(GROUP, F.col("src").alias("node")).agg(F.min("dst").alias("low"))
-        hook = jump(hook.select(GROUP, "node", F.least("node", "low").alias("parent"))).drop("steps")
+        jumped = jump(hook.select(GROUP, "node", F.least("node", "low").alias("parent")))
+        hook = jumped.drop("steps")
         if label is None:
             label = keep(hook)
         else:
@@ -145,6 +147,7 @@ def components(edges: DataFrame) -> DataFrame:
         moved = todo.join(ends, [GROUP, "src"]).join(ends.toDF(GROUP, "dst", "b"), [GROUP, "dst"])
         moved = moved.filter("a <> b").select(GROUP, F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
         todo, n, _ = cut(moved)
+        drop(last, jumped, *([] if old is None else [old]))
     if label is None:
         return alone.withColumn("component", F.col("node"))
     label = label.withColumnRenamed("parent", "component")

@@ -7,6 +7,7 @@ table brings real sizes to the optimizer, so a small frontier is broadcast by Sp
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,7 @@ def cut(df: DataFrame, where: Column | None = None) -> tuple[DataFrame, int, str
     seen = Observation()
     df.observe(seen, (F.count(F.lit(1)) if where is None else F.count_if(where)).alias("n")).write.parquet(path)
     table = stored(spark, df.schema, [path])
+    table._path = path
     n = seen.get.get("n")
     if n is None:
         n = (table if where is None else table.filter(where)).count()
@@ -48,6 +50,22 @@ def stored(spark: SparkSession, schema, paths: list[str]) -> DataFrame:
     return spark.read.schema(schema).parquet(*paths)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` or ``keep`` that nothing reads any more; what was derived from them must be stored before."""
+    for table in tables:
+        path = getattr(table, "_path", None)
+        if path:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, which lets executors delete the shuffles of plans that are gone."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def keep(df: DataFrame) -> DataFrame:
     """``cut`` for callers that only want the table."""
     return cut(df)[0]
