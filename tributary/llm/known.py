@@ -28,7 +28,7 @@ class Known(dict):
             self.before = dict(self)
             self.clear()
         found = []
-        for name in set(names).difference(self):
+        for name in (names if isinstance(names, set) else set(names)).difference(self):
             value = self.before.get(name)
             if value is None:
                 found.append(name)

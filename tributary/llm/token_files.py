@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tributary.llm.known import Known, kept
+from tributary.llm.known import kept
 from tributary.tables import keep, shared_folder
 
 NULL_ID = np.iinfo(np.int64).min
@@ -34,10 +34,14 @@ RUNS = tuple(map("".join, itertools.product(" \n", repeat=3)))
 ENDS = tuple(map("".join, itertools.product(" \n", repeat=2)))
 #: So are not texts with other white space, or with what may be a special token: they are encoded in one call.
 WHOLE = re.compile(r"[^\S \n]|[᠎​﻿]|<\|")
-IN_ONE = object()
+IN_ONE = 1
+#: Marks that the split rule separates from a word of Latin letters before them.
+MARKS, LATIN_END = ".,;:!?", "\u0250"
 #: Bytes of ids that a task reads back.
 READ_BYTES, MOST_TASKS = 16 << 20, 20_000
-CACHE_UNITS, BATCH_CHARS, JOINED = 500_000, 1_000_000, 1000
+CACHE_UNITS, CACHE_MARKS, BATCH_CHARS, JOINED, LONGEST, SEGMENT = 1_000_000, 100_000, 2_000_000, 1000, 1 << 16, 1_000_000
+#: A byte that no text in UTF-8 holds.
+END_OF_TEXT = b"\xff"
 
 
 def file_system(address: str):
@@ -49,10 +53,17 @@ def file_system(address: str):
     return fs.FileSystem.from_uri(address)
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places ``start .. start + count - 1`` of every range, one after the other."""
+    after = np.cumsum(counts)
+    return np.arange(int(after[-1]) if len(after) else 0) + np.repeat(starts - (after - counts), counts)
+
+
 class Encoder:
     """Ids by the tokenizers library, each distinct piece once while it stays in a cache of bounded size.
 
-    A piece is what follows a blank, or a line end with what follows it; the first piece of a text is marked by a blank, which no other holds.
+    A piece is a blank or line end with what follows it, or what a text begins with. The pieces of many texts are hashed and numbered together; a number's
+    bytes are looked up once, and all pieces are compared with those of their number, so that equal hashes prove nothing.
     """
 
     def __init__(self, tokenizer_file: str, dtype: str):
@@ -61,58 +72,139 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.known = Tokenizer.from_file(tokenizer_file), np.dtype(dtype), Known(CACHE_UNITS)
+        self.tokenizer, self.dtype = Tokenizer.from_file(tokenizer_file), np.dtype(dtype)
+        self.marks: dict[str, np.ndarray] = {}
+        self.weights = np.random.default_rng(1).integers(1, 2**63, LONGEST, np.uint64) | np.uint64(1)
+        self._forget()
         vocabulary = self.tokenizer.get_vocab()
         self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
         self.starts[[i for piece, i in vocabulary.items() if piece[0] == "Ġ"]] = True
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _forget(self) -> None:
+        """Start the cache anew: a piece's number, and by number its place and length among the ids of all."""
+        self.known: dict[bytes, int] = {END_OF_TEXT: 0}
+        self.places, self.counts, self.ids = np.zeros(2, np.int64), np.array([0, -1], np.int64), np.zeros(0, self.dtype)
+        #: number 0 has no ids; number IN_ONE is that of all pieces that may not stand alone
+
+    def _add(self, pieces: list[bytes], counts: np.ndarray, ids: np.ndarray) -> None:
+        n = len(self.counts)
+        self.known.update(zip(pieces, range(n, n + len(pieces))))
+        self.places = np.concatenate([self.places, len(self.ids) + np.cumsum(counts) - counts])
+        self.counts = np.concatenate([self.counts, counts])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+        return [np.array(e.ids, self.dtype) for e in found]
 
-    def _joined_ids(self, units: list[str]) -> list[bytes]:
-        """Of units that are a blank and a word: many are encoded as one text, in which a piece with a blank begins each of them."""
-        found, size = [], self.dtype.itemsize
+    def _joined_ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(counts, ids) of units that are a blank and a word: many are encoded as one text, in which a piece with a blank begins each of them."""
+        counts, found = [], []
         for i in range(0, len(units), JOINED):
             some = units[i : i + JOINED]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, self.dtype)
             starts = np.flatnonzero(self.starts[ids])
-            if len(starts) != len(some):
-                found += self._ids(some)
-                continue
-            data, ends = ids.tobytes(), [*(starts * size).tolist(), len(ids) * size]
-            found += [data[a:b] for a, b in zip(ends, ends[1:])]
-        return found
-
-    def _learn(self, pieces: list[str]) -> None:
-        known, words, others = self.known, [], []
-        for piece in pieces:
-            if WHOLE.search(piece):
-                known[piece] = IN_ONE
-            elif piece and piece[0] not in " \n":
-                words.append(piece)
+            if len(starts) == len(some):
+                counts.append(np.diff(np.append(starts, len(ids))))
+                found.append(ids)
+            else:
+                each = self._ids(some)
+                counts.append(np.array([len(x) for x in each], np.int64))
+                found += each
+        return np.concatenate([np.zeros(0, np.int64), *counts]), np.concatenate([np.zeros(0, self.dtype), *found])
+
+    def _learn(self, new: list[bytes]) -> None:
+        known, words, others, marked = self.known, [], [], []
+        for raw in new:
+            piece = raw.decode()
+            base = piece.rstrip(MARKS)
+            if len(base) < len(piece) and base[:1] == " " and base[1:].isalpha() and (base.isascii() or max(base) < LATIN_END):
+                marked.append((raw, base.encode(), piece[len(base) :]))
+            elif WHOLE.search(piece):
+                known[raw] = IN_ONE
             else:
-                others.append(piece)
-        known.update(zip(words, self._joined_ids([" " + w for w in words])))
-        # a line end begins its piece, a blank in front marks the first piece, and an empty piece is a blank
-        known.update(zip(others, self._ids([(p[1:] if p[0] == " " else p) if p else " " for p in others])))
+                (words if len(piece) > 1 and piece[0] == " " else others).append(piece)
+        # a word and the marks behind it are split by rule, and the word is often known
+        raw_words = [w.encode() for w in words]
+        bases = {base for _, base, _ in marked}.difference(known, raw_words)
+        self._add(raw_words + list(bases), *self._joined_ids(words + [b.decode() for b in bases]))
+        each = self._ids(others)
+        self._add([p.encode() for p in others], np.array([len(x) for x in each], np.int64), np.concatenate([np.zeros(0, self.dtype), *each]))
+        if marked:
+            if len(self.marks) > CACHE_MARKS:
+                self.marks = {}
+            marks = list({m for *_, m in marked}.difference(self.marks))
+            self.marks.update(zip(marks, self._ids(marks)))
+            numbers = np.fromiter((known[base] for _, base, _ in marked), np.int64, len(marked))
+            behind = [self.marks[m] for *_, m in marked]
+            counts, more = self.counts[numbers], np.array([len(x) for x in behind], np.int64)
+            ends = np.cumsum(counts + more)
+            ids = np.empty(int(ends[-1]), self.dtype)
+            ids[_ranges(ends - more - counts, counts)] = self.ids[_ranges(self.places[numbers], counts)]
+            ids[_ranges(ends - more, more)] = np.concatenate(behind)
+            self._add([raw for raw, *_ in marked], counts + more, ids)
+
+    def _numbered(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of every piece, place of the first piece of every number)."""
+        offsets = np.arange(len(raw), dtype=np.int64) - np.repeat(starts, lengths)
+        hashes = np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * self.weights[offsets % LONGEST], starts) + lengths.astype(np.uint64) * self.weights[0]
+        numbers, distinct = pd.factorize(hashes)
+        first = np.empty(len(distinct), np.int64)
+        first[numbers[::-1]] = np.arange(len(numbers))[::-1]
+        like = first[numbers]
+        # a place beyond the raw bytes belongs to a piece of other length, which differs anyway
+        same = (lengths == lengths[like]).all() and (raw[np.minimum(np.repeat(starts[like], lengths) + offsets, len(raw) - 1)] == raw).all()
+        if not same:
+            texts = [raw[a : a + n].tobytes() for a, n in zip(starts.tolist(), lengths.tolist())]
+            numbers, distinct = pd.factorize(pd.Series(texts, dtype=object))
+            first = np.empty(len(distinct), np.int64)
+            first[numbers[::-1]] = np.arange(len(numbers))[::-1]
+        return numbers, first
+
+    def _encode(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of texts that may be cut; None for one with a piece that may not stand alone."""
+        data = b"".join([t.encode() + END_OF_TEXT for t in texts])
+        raw = np.frombuffer(data, np.uint8)
+        ends = np.flatnonzero(raw == END_OF_TEXT[0])
+        begins = (raw == 32) | (raw == 10)
+        begins[ends] = True
+        begins[0] = True
+        begins[ends[:-1] + 1] = True
+        starts = np.flatnonzero(begins)
+        lengths = np.diff(np.append(starts, len(raw)))
+        numbers, first = self._numbered(raw, starts, lengths)
+        distinct = [data[a : a + n] for a, n in zip(starts[first].tolist(), lengths[first].tolist())]
+        if len(self.known) > CACHE_UNITS:
+            self._forget()
+        self._learn(list(set(distinct).difference(self.known)))
+        number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        bad, counts = number == IN_ONE, np.maximum(self.counts[number], 0)[numbers]
+        after = np.cumsum(counts)
+        out = self.ids[_ranges(self.places[number][numbers], counts)].tobytes()
+        at_end = np.searchsorted(starts, ends)
+        stops = after[at_end] * self.dtype.itemsize
+        spoilt = np.add.reduceat(bad[numbers], np.concatenate([[0], at_end[:-1] + 1])) > 0
+        begin, result = 0, []
+        for stop, no in zip(stops.tolist(), spoilt.tolist()):
+            result.append(None if no else out[begin:stop])
+            begin = stop
+        return result
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = []
-        for t in texts:
-            if any(run in t for run in RUNS) or t.endswith(ENDS):
-                parts.append(None)
-            else:
-                pieces = t.replace("\n", " \n").split(" ")
-                pieces[0] = " " + pieces[0]
-                parts.append(pieces)
-        known, every = self.known, set().union(*[p for p in parts if p is not None])
-        self._learn(known.missing(every))
-        whole = {p for p in every if known[p] is IN_ONE}
-        find = known.__getitem__
-        return [
-            self._ids([t])[0] if p is None or not whole.isdisjoint(p) else b"".join(map(find, p)) for t, p in zip(texts, parts)
-        ]
+        parts, at = [], []
+        for i, t in enumerate(texts):
+            if not (any(run in t for run in RUNS) or t.endswith(ENDS)):
+                begin = 0
+                while len(t) - begin > SEGMENT and (cut := t.find(" ", begin + SEGMENT)) > 0:
+                    parts.append(t[begin:cut])
+                    at.append(i)
+                    begin = cut
+                parts.append(t[begin:] if begin else t)
+                at.append(i)
+        found: list[list[bytes] | None] = [None] * len(texts)
+        for i, ids in zip(at, self._encode(parts) if parts else []):
+            found[i] = [*(found[i] or []), ids]
+        return [self._ids([t])[0].tobytes() if x is None or None in x else b"".join(x) if len(x) > 1 else x[0] for t, x in zip(texts, found)]
 
 
 def _chunks(texts: pd.Series) -> Iterator[tuple[int, list[str]]]:
