@@ -11,7 +11,7 @@ reversibly, ``\\`` as ``\\e``, ``<`` as ``\\l``, ``[`` as ``\\b`` and ``]`` as `
 
 Defined results: null text or role is empty; a row that fills no known layout keeps its id, with layout null and no turns; an empty list
 of messages gives no turns; rows of equal id and turn follow each other by role and text; an empty table gives an empty result; columns
-that no layout mentions are no part of the fingerprint and are dropped.
+that no layout mentions are no part of the fingerprint and are dropped. Texts may be of any length; a conversation of n turns costs n, and a little of n * n / BLOCK.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from tributary.tables import keep
 
 ESCAPES = (("\\", "\\e"), ("<", "\\l"), ("[", "\\b"), ("]", "\\c"))
 OPEN, CLOSE = "<s>[", "</s>"
+#: Turns, or spans, that are added up or cut out together.
+BLOCK = 256
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -141,7 +143,7 @@ def format_turns(df: DataFrame, turns: str = "turns") -> DataFrame:
     pieces = F.transform(turns, lambda x: F.struct(head(x).alias("head"), escape(F.coalesce(x["text"], F.lit(""))).alias("body"), (x["role"] == "assistant").alias("loss")))
     df = df.select(*others, pieces.alias("_pieces"))
     whole = F.array_join(F.transform("_pieces", lambda x: F.concat(x["head"], x["body"], F.lit(CLOSE))), "")
-    # the end of every turn so far, added up once
+    # the end of every turn so far, added up in blocks of turns: a list that grows is copied with each turn, so none grows long
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
 
     def add(a: Column, x: Column) -> Column:
@@ -150,7 +152,18 @@ def format_turns(df: DataFrame, turns: str = "turns") -> DataFrame:
         span = F.array(F.struct(begin.alias("start"), end.alias("end")))
         return F.struct((end + len(CLOSE)).alias("at"), F.when(x["loss"], F.concat(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
 
-    return df.select(*others, whole.alias("formatted"), F.aggregate("_pieces", start, add, lambda a: a["spans"]).alias("loss_mask"))
+    blocks = F.transform(_blocks(F.size("_pieces")), lambda i: F.aggregate(F.slice("_pieces", i, F.lit(BLOCK)), start, add))
+    df = df.select(*others, whole.alias("formatted"), blocks.alias("_blocks"))
+    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+    begins = F.aggregate("_blocks", first, lambda a, b: F.struct((a["at"] + b["at"]).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")), lambda a: a["starts"])
+    df = df.select(*others, "formatted", "_blocks", begins.alias("_begins"))
+    moved = lambda b, at: F.transform(b["spans"], lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end")))
+    return df.select(*others, "formatted", F.flatten(F.zip_with("_blocks", "_begins", moved)).alias("loss_mask"))
+
+
+def _blocks(n: Column) -> Column:
+    """The places (from 1) at which blocks of BLOCK among ``n`` elements start."""
+    return F.when(n > 0, F.sequence(F.lit(1), n, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
 
 
 def read_back(df: DataFrame) -> DataFrame:
@@ -159,8 +172,18 @@ def read_back(df: DataFrame) -> DataFrame:
     body = lambda x: F.substr(x, F.lit(len(OPEN) + 1))
     head = lambda x: F.substring_index(body(x), "]\n", 1)
     turn = lambda x: F.struct(unescape(head(x)).alias("role"), unescape(F.substr(body(x), F.length(head(x)) + 3)).alias("text"))
-    cut = lambda s: F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
-    return df.withColumn("turns", F.transform(pieces, turn)).withColumn("loss_text", F.array_join(F.transform("loss_mask", lambda s: unescape(cut(s))), ""))
+    cut = lambda t, s, at: F.substr(t, (s["start"] - at + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+    # a place in a text is found by counting from its start: blocks of spans are cut out first, spans from these
+
+    def block(i: Column) -> Column:
+        spans = F.slice("loss_mask", i, F.lit(BLOCK))
+        begin = F.get(spans, F.lit(0))["start"]
+        whole = F.struct(begin.alias("start"), F.element_at(spans, -1)["end"].alias("end"))
+        return F.struct(cut(F.col("formatted"), whole, F.lit(0)).alias("t"), begin.alias("at"), spans.alias("spans"))
+
+    blocks = F.transform(_blocks(F.size("loss_mask")), block)
+    texts = F.transform(blocks, lambda b: F.array_join(F.transform(b["spans"], lambda s: unescape(cut(b["t"], s, b["at"]))), ""))
+    return df.withColumn("turns", F.transform(pieces, turn)).withColumn("loss_text", F.array_join(texts, ""))
 
 
 def digests(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
