@@ -152,6 +152,16 @@ def test_units_are_encoded_on_their_own():
     assert [np.frombuffer(x, "<u2").tolist() for x in encoder(texts)] == want
 
 
+@pytest.mark.parametrize("units", [20, 10**6])
+def test_long_texts_are_encoded_in_segments(monkeypatch, units):
+    monkeypatch.setattr(token_files, "SEGMENT", 50)
+    monkeypatch.setattr(token_files, "CACHE_UNITS", units)
+    encoder = token_files.Encoder(TOKENIZERS.path("byte_bpe_50k.json"), "<u2")
+    texts = ["one two, three. " * 40 + "end", "x" * 1000, "a\nb " * 99 + "c\td", "long" * 5000 + " " + "word " * 20 + ".", "", "tail of\n"]
+    for some in (texts, texts[::-1], texts[:1]):
+        assert [np.frombuffer(x, "<u2").tolist() for x in encoder(some)] == [e.ids for e in encoder.tokenizer.encode_batch(some, add_special_tokens=False)]
+
+
 def test_token_files_wide_and_empty(spark, empty, table):
     path = TOKENIZERS.path("byte_bpe_50k.json")
     assert token_files.encode_table(spark, empty, path, 50_257).count() == 0
@@ -270,6 +280,33 @@ def test_licence_spans(table, empty):
     assert license_diagonals.scan(empty).count() == 0
 
 
+def test_whole_licences_are_templates(table):
+    whole = " ".join(f"word{i * 7 % 401}" for i in range(400))
+    short = "licensed under the apache license version 2 0"
+    touched = whole.replace("word70 ", "other ").replace("word301 ", "one more ")
+    texts = [whole, "x y " + touched, " ".join(whole.split()[:200]), short.replace("2 0", "2 1"), short.replace("apache", "b").replace("under", "c")]
+    docs = table("doc_id int, text string", list(enumerate(texts)))
+    rows = {r.doc_id: r for r in license_diagonals.scan(docs, templates=[("long", whole), ("short", short)]).collect()}
+    assert [rows[i].labels for i in range(5)] == ["long", "long", "", "apache-2,short", ""]
+    assert rows[0].score == 1 and 0.99 < rows[1].score < 1 and rows[3].score == 1 and rows[3].base_labels == "apache-2"
+
+
+def test_licences_in_long_texts(table):
+    """Twice the words take about twice the time: a row per word that carries its text would take four times."""
+    import time
+
+    def scanned(n):
+        start = time.time()
+        docs = table("doc_id int, n int", [(1, n)]).selectExpr("doc_id", "concat(repeat('some word ', n div 2), 'under the MIT license') AS text")
+        (row,) = license_diagonals.scan(docs).collect()
+        assert (row.n_words, row.first_word, row.labels) == (n + 4, n, "mit")
+        return time.time() - start
+
+    scanned(1000)
+    once = scanned(160_000)
+    assert scanned(320_000) < 2 * once + 5
+
+
 # pieces
 
 
@@ -421,3 +458,34 @@ def test_tree_bound_holds(given):
         for b, y in zip(sets, maps):
             slack = min(len(s) - int(np.bitwise_count(m).sum()) for s, m in ((a, x), (b, y)))
             assert len(np.intersect1d(a, b)) <= slack + int(np.bitwise_count(x & y).sum())
+
+
+def test_near_duplicates_of_a_crowd(table):
+    """Two thousand texts of one template: half of them link in long chains, the others share much with all and link with none."""
+    pick = np.random.default_rng(5)
+    core = [f"core{i}" for i in range(60)]
+    texts = []
+    for i in range(2000):
+        own = [f"own{i}x{j}" for j in range(45)] if i % 2 else [f"all{(i // 2 + j) // 40}x{j}" for j in range(45)]
+        w = core + own
+        if i % 2 == 0:
+            w[int(pick.integers(60))] = f"odd{i}"
+        texts.append(" ".join(w))
+    docs = table("doc_id int, text string", list(enumerate(texts)))
+    found = {r.doc_id: r.component_id for r in signature_tree.join_components(docs).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    up = list(range(2000))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x] = up[up[x]]
+        return x
+
+    for a in range(0, 2000, 2):  # texts with words of their own link with none
+        for b in range(a + 2, 2000, 2):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    assert found == {i: top(i) for i in range(2000)}
+    assert all(100 * len(sets[a] & sets[b]) < 75 * len(sets[a] | sets[b]) for a in range(1, 60, 2) for b in range(2000) if a != b)

@@ -7,6 +7,7 @@ import uuid
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from check import database, rows_of
@@ -58,6 +59,25 @@ def test_awkward_turns(table):
         assert back[k].formatted.count("</s>") == len(turns) == back[k].formatted.count("<s>[")
 
 
+def test_long_conversations(spark):
+    """Twice the turns take about twice the time, and every assistant text is under the mask."""
+    import time
+
+    def formatted(n):
+        start = time.time()
+        turn = spark.range(n).selectExpr("CASE WHEN id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role", "concat('text <', id, '>') AS text", "id")
+        whole = turn.groupBy().agg(F.sort_array(F.collect_list(F.struct("id", "role", "text"))).alias("t")).select(F.lit(1).alias("conv_id"), F.expr("transform(t, x -> struct(x.role AS role, x.text AS text)) AS turns"))
+        (row,) = chat_layouts.digests(chat_layouts.format_turns(whole)).collect()
+        loss = "".join(f"text <{i}>" for i in range(1, n, 2))
+        assert (row.n_turns, row.loss_chars, row.loss_sha256) == (n, len(loss), sha(loss))
+        return time.time() - start
+
+    for n in (1, 255, 256, 257, 513, 1000):
+        formatted(n)
+    once = formatted(25_000)
+    assert formatted(50_000) < 2 * once + 5
+
+
 def test_layouts_are_told_by_fingerprints(spark, tmp_path):
     (tmp_path / "mixed.json").write_text(
         "\n".join(

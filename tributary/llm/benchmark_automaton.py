@@ -50,7 +50,7 @@ def windows(items: DataFrame, key: str = "item_id", text: str = "text", size: in
     held = held.filter(F.size("_words") > 0).withColumn("n", F.least(F.size("_words"), F.lit(size)))
     starts = F.sequence(F.lit(1), F.size("_words") - F.col("n") + 1)
     found = F.transform(starts, lambda i: F.array_join(F.slice("_words", i, F.col("n")), " "))
-    return held.select("item", "n", F.explode(found).alias("window")).distinct()
+    return held.select("item", "n", F.explode_outer(found).alias("window")).distinct()
 
 
 class Automaton:

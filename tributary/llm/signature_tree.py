@@ -11,8 +11,10 @@ set that may link, and nobody else has them.
 Whoever asks, or is asked, does so again by all tokens, which leaves few questions.
 
 Clusters. Every class first compares itself with one other, of those that share a frequent route the one whose routes are shared most;
-linked classes grow together into clusters. Groups of thousands of near copies mostly become one cluster this way, in as many comparisons as
-they have members, and pairs inside a cluster need no further look: the result is components.
+linked classes grow together into clusters. Pairs inside a cluster need no further look: the result is components. Where a token that is asked for would
+still bring together many clusters with many, every class that has it compares itself once more, with the best by bitmap of a few others of other clusters that are
+drawn anew each time. This goes on while it joins clusters, in as many comparisons as there are members. So groups of thousands of near copies become few
+clusters before any pairs of clusters are formed.
 
 Tree. Clusters are the roots of signature trees, with levels of chunks of about ``FAN`` nodes below and classes as leaves. A node holds the OR of its
 members' token bitmaps, the range of their sizes, the largest number of tokens of a member that others have (``most``) and the largest number
@@ -36,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tributary.operators.graph import components
-from tributary.tables import cut, keep
+from tributary.tables import cut, drop, keep, release
 
 WIDTH = 5
 LONGS = 32
@@ -45,6 +47,8 @@ BITS = 64 * LONGS
 FAN, HEIGHT = 8, 2
 #: Part of the hash range that makes a route: LIMIT + LIMIT_SMALL / size.
 LIMIT, LIMIT_SMALL = 0.34, 25.0
+#: Clusters that a token may bring together without more ado, and the part of them that a further comparison may at most leave.
+CROWD, ENOUGH = 8, 0.95
 #: Ids that may be sent to every task; beyond it the documents are shuffled to them.
 MOST_SENT = 1_000_000
 NO_ID = np.iinfo(np.int64).max
@@ -179,7 +183,9 @@ def verify(pairs: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
             yield pd.Series(out, dtype=bool)
 
     links = F.pandas_udf(run, "boolean", F.PandasUDFType.SCALAR_ITER)("x", "y")
-    return keep(both.withColumn("_link", links).filter("_link").select("a", "b"))
+    linked = keep(both.withColumn("_link", links).filter("_link").select("a", "b"))
+    drop(texts)
+    return linked
 
 
 def _clusters(links: DataFrame) -> DataFrame:
@@ -205,6 +211,46 @@ def _first_links(routes: DataFrame, classes: DataFrame, names: DataFrame, docs:
     return verify(keep(best.select(F.least("rep", -F.col("lead")).alias("a"), F.greatest("rep", -F.col("lead")).alias("b")).distinct()), names, docs)
 
 
+def _crowded(members: DataFrame, questions: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The stored rows (token, rep, root) of tokens by which many clusters would meet many."""
+    named = lambda df: df.join(clusters, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    have = members.select("token", "rep", F.lit(0).alias("asks")).unionByName(questions.select("token", "rep", F.lit(1).alias("asks")))
+    roots = named(have).groupBy("token", "root").agg(F.max("asks").alias("asks"))
+    meet = roots.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("asks").alias("asks"))
+    return keep(named(members.join(meet.filter((F.col("asks") > CROWD) & (F.col("n") > CROWD)).select("token"), "token", "left_semi")))
+
+
+def _drawn_links(rows: DataFrame, classes: DataFrame, names: DataFrame, docs: DataFrame, turn: int) -> DataFrame:
+    """Links of every class of ``rows(token, rep, root)`` with the best of the classes of other clusters that were drawn for its tokens, one or two each."""
+    rows = rows.withColumn("draw", F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "root"))
+    one = rows.groupBy("token").agg(F.max("draw").alias("one"))
+    rows = keep(rows.join(one, "token"))
+    two = rows.filter("root <> one.root").groupBy("token").agg(F.max("draw").alias("two"))
+    drawn = rows.join(two, "token").select("rep", F.when(F.col("root") != F.col("one.root"), F.col("one.rep")).otherwise(F.col("two.rep")).alias("other")).distinct()
+    sides = classes.select("rep", "n", "bits")
+    pairs = drawn.join(sides, "rep").join(sides.select(F.col("rep").alias("other"), F.col("n").alias("m"), F.col("bits").alias("bits_m")), "other")
+    common = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseAND(F.get("bits_m", F.lit(i)))) for i in range(LONGS)), F.lit(0))
+    likely = (common / (F.col("n") + F.col("m"))).alias("likely")
+    best = pairs.filter(_fits(F.col("n"), F.col("m"))).groupBy("rep").agg(F.max(F.struct(likely, "other"))["other"].alias("other"))
+    return verify(keep(best.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()), names, docs)
+
+
+def _joined_crowds(near: DataFrame, routes: DataFrame, questions: DataFrame, classes: DataFrame, names: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, clusters) after classes that share crowded tokens have found each other."""
+    clusters, turn = _clusters(near), 0
+    members = keep(routes.join(questions.select("token").distinct(), "token", "left_semi").select("token", "rep"))
+    while True:
+        rows = _crowded(members, questions, clusters)
+        before = rows.select("root").distinct().count()
+        if not before:
+            return near, clusters
+        near = keep(near.unionByName(_drawn_links(rows, classes, names, docs, turn)))
+        clusters, turn = _clusters(near), turn + 1
+        after = rows.select("rep").distinct().join(clusters, "rep", "left").select(F.coalesce("root", "rep")).distinct().count()
+        if after > ENOUGH * before:
+            return near, clusters
+
+
 def _questions(routes: DataFrame, classes: DataFrame) -> DataFrame:
     """(token, rep): the rarest inner routes of each class, one more than a linked class may lack, as far as others have them."""
     inner = routes.filter("is_inner")
@@ -263,14 +309,15 @@ def traverse(pairs: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """Dual traversal: pairs of leaves below pairs of roots that may link."""
     pairs = keep(_may_link(pairs, levels[0], "node"))
     for level in levels[1:]:
-        pairs = keep(_may_link(pairs, level, "up"))
+        last, pairs = pairs, keep(_may_link(pairs, level, "up"))
+        drop(last)
     return pairs.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
 
 
-def _root_pairs(routes: DataFrame, classes: DataFrame, clusters: DataFrame) -> DataFrame:
+def _root_pairs(routes: DataFrame, questions: DataFrame, classes: DataFrame, clusters: DataFrame) -> DataFrame:
     """(a, b) of different clusters, a < b, one of which asks for a route that the other has."""
     named = lambda df: df.join(clusters, "rep", "left").withColumn("root", F.coalesce("root", "rep")).drop("rep")
-    asked = named(_questions(routes, classes).join(classes.select("rep", F.col("n").alias("lo")), "rep"))
+    asked = named(questions.join(classes.select("rep", F.col("n").alias("lo")), "rep"))
     asked = asked.groupBy("token", "root").agg(F.min("lo").alias("lo"), F.max("lo").alias("hi"))
     # what others have of the larger set must reach 3/7 of both sizes together
     have = named(routes.select("token", "rep", "n", F.expr("(7 * most - 3 * n) div 3").alias("limit")))
@@ -301,30 +348,40 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     digest = ["n", "d1", "d2"]
     classes = sets.filter("n > 0").groupBy(*digest).agg(F.min(F.struct("doc_id", "h", "rep")).alias("_first"))
     classes = keep(classes.select(*digest, "_first.rep", "_first.doc_id", "_first.h"))
+    whole, sets = sets, keep(sets.select("rep", "doc_id", "h", *digest))
     others = classes.select(*digest, F.col("rep").alias("_rep"), F.struct("doc_id", "h").alias("_name"))
     others = sets.filter("n > 0").select("rep", F.struct("doc_id", "h").alias("name"), *digest).join(others, digest).filter("rep <> _rep")
     copies, n, _ = cut(others.select("rep", (F.col("name") == F.col("_name")).alias("twin")))
-    first = sets.filter("n > 0").join(_sent(copies.select("rep"), n), "rep", "left_anti")
+    first = whole.filter("n > 0").join(_sent(copies.select("rep"), n), "rep", "left_anti")
     first = first.select("rep", "n", "inner", F.size("routes").alias("total"), "bits", "routes")
     routes = keep(shared_routes(first))
     shared = routes.groupBy("rep").agg(F.count(F.lit(1)).alias("shared"), F.count_if("is_inner").alias("shared_inner"))
     # a set lacks at most a quarter of its tokens in one that it links to, and an inner route that nobody else has as a route is lacking
     # everywhere; of the other routes a larger set may have some without their being its routes
     known = keep(first.drop("routes").join(shared, "rep").filter("4 * (inner - shared_inner) <= n").drop("shared_inner"))
-    routes = keep(routes.join(known.select("rep"), "rep", "left_semi"))
+    last, routes = routes, keep(routes.join(known.select("rep"), "rep", "left_semi"))
+    drop(whole, last)
+    release(docs.sparkSession)
     near = _first_links(routes, known, classes, docs)
-    clusters = _clusters(near)
     # a sample of tokens lets many ask in vain: those who ask, and those who have what is asked for, do it again with all their tokens
     asked = _questions(routes, known).select("token").distinct()
     met, _ = _rows(routes.join(asked, "token", "left_semi").select("rep").distinct(), classes, docs)
     if copies.filter("twin").limit(1).count():
         met = met.groupBy("rep", "doc_id", "h").agg(F.min("text").alias("text"))
-    routes = keep(shared_routes(token_sets(met, float("inf")).select("rep", "n", "inner", "routes")))
+    last, routes = routes, keep(shared_routes(token_sets(met, float("inf")).select("rep", "n", "inner", "routes")))
+    drop(last)
     shared = routes.groupBy("rep").agg(F.count(F.lit(1)).alias("most"))
-    known = keep(known.drop("shared").withColumn("inner", F.col("n").cast("int")).join(shared, "rep").filter("4 * most >= 3 * n"))
-    routes = routes.join(known.select("rep", "most"), "rep")
-    rest = verify(traverse(_root_pairs(routes, known, clusters), tree(known, clusters)), classes, docs)
-    return sets, classes, near.unionByName(rest)
+    last, known = known, keep(known.drop("shared").withColumn("inner", F.col("n").cast("int")).join(shared, "rep").filter("4 * most >= 3 * n"))
+    drop(last)
+    release(docs.sparkSession)
+    last, routes = routes, keep(routes.join(known.select("rep", "most"), "rep"))
+    drop(last)
+    questions = keep(_questions(routes, known))
+    near, clusters = _joined_crowds(near, routes, questions, known, classes, docs)
+    levels = tree(known, clusters)
+    met = traverse(_root_pairs(routes, questions, known, clusters), levels)
+    drop(routes, questions, *levels)
+    return sets, classes, near.unionByName(verify(met, classes, docs))
 
 
 def _components(docs: DataFrame) -> DataFrame:
