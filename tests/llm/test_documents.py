@@ -324,6 +324,7 @@ def test_segmentation_is_the_best(given):
     pieces = piece_trie.Pieces(piece_trie.model_path())
     score = {i: s for s, i in pieces.ids.values()}
     sample = {"▁" + w for _, text, _ in given[1][:12] for w in words(text)[:40]} | {"▁日本語", "x", "▁", "▁a🙂b"}
+    sample |= {"▁" * n + w for n in range(1, 40) for w in ("", "return", "x")}
 
     def best(word):
         top = [0.0] + [-math.inf] * len(word)
@@ -340,6 +341,7 @@ def test_segmentation_is_the_best(given):
     assert got.keys() == sample
     for word, ids in got.items():
         assert pieces.decode([pieces.ids["x"][1], *ids]).replace(" ", "▁") == word
+        assert not word.startswith("▁" * 20) or len(ids) < len(word) / 4  # runs of blanks have pieces
         spelt = sum(len(c.encode()) for c in word if c not in pieces.ids)
         assert math.isclose(sum(score.get(i, 0) for i in ids) + pieces.unknown * sum(c not in pieces.ids for c in word), best(word))
         assert sum(i in set(pieces.bytes.values()) for i in ids) == spelt

@@ -10,7 +10,8 @@ goes by the ``idx1`` index to each frame chunk. A shot starts where the histogra
 the last WINDOW differences by DEVIATIONS standard deviations, and FLOOR.
 
 Defined results: null text is an empty payload, one block of zeros; equal texts give equal files; repeated rows give equal rows; an empty
-table gives an empty result; extra columns are ignored by the query and carried by ``clips`` under their names.
+table gives an empty result; extra columns are ignored by the query and carried by ``clips`` under their names. Texts
+may be of any length up to what one file holds in memory.
 """
 
 from __future__ import annotations

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
+
+import pyarrow as pa
 
 _kept: dict = {}
 
@@ -15,6 +19,23 @@ def kept(make: Callable, *key):
     return _kept[at]
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for a task's batches; behind it the worker, which stays for later tasks, gives the memory back that it no longer uses."""
+
+    @wraps(run)
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not this C library
+                pass
+
+    return tidied
+
+
 class Known(dict):
     """At most ``2 * most`` entries, plus those of one call: when one generation is full, the one before is forgotten."""
 

@@ -3,7 +3,8 @@
 All of it is native column work on one row at a time: no shuffle, no Python. Word windows are compared by a 64-bit hash inside one text.
 
 Defined results: null text counts as empty; an empty text has no words and fails the base rules; rows repeated in the input are judged
-one by one; further columns of the input pass through ``clean`` untouched unless named like one of the result columns, which win.
+one by one; further columns of the input pass through ``clean`` untouched unless named like one of the result columns, which win. An empty table
+gives an empty one. Texts may be of any length; a text is judged in its own row, at the cost of its words.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ only the documents of the one cell in which the rest runs out are ordered. The t
 
 Defined results: null text has size 0; such documents take nothing. Rows with equal id are sampled on their own and, being equal in rank,
 fall in order of size (equal in size too: taken or left together); a null id is an id of its own. A null source is a source, last in order. An empty table gives an empty result.
-Extra columns are not carried: the result is keyed by the id, columns named like results are replaced.
+Extra columns are not carried: the result is keyed by the id, columns named like results are replaced. Texts may be of any
+length: only their number of words counts.
 """
 
 from __future__ import annotations

@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding by shared-prefix Viterbi.
 
-A text is cut into marked words (a blank becomes the mark in front of the next word), which no piece used here crosses, so the best
+A text is cut into marked words (blanks become marks in front of the next word), which no piece used here crosses, so the best
 segmentation of a text is that of its words. The distinct words of a stretch of texts are sorted, which is a depth-first walk of their
-trie: a word keeps the forward scores of the prefix it shares with the word before and only extends them behind it. Segmentation
+trie: a word keeps the forward scores of the prefix it shares with the word before and only extends them behind it. The pieces that end at a place are
+found by walking back from it in a trie of reversed pieces, as far as any piece goes. Segmentation
 maximises the sum of piece scores; equal sums go to the longer last piece. Characters without a piece are spelt in byte pieces.
 
 Pieces come from a model file of the sentencepiece library. The scores of a merge model are ranks; they are read as Zipf's law,
@@ -13,7 +14,8 @@ Encoding is reversible: blanks and line ends are kept one by one, and the mark i
 Spark deals out the texts, tasks need no state but the pieces and a cache of bounded size, and no rows move.
 
 Defined results: null and empty texts have no ids and decode to the empty text; repeated rows give equal rows; an empty table gives an
-empty result; other columns pass through ``encode`` and ``decode``, unless they are called like the result column, which wins.
+empty result; other columns pass through ``encode`` and ``decode``, unless they are called like the result column, which wins. Texts may be of any
+length; a word costs its length times that of the longest piece.
 """
 
 from __future__ import annotations
@@ -29,15 +31,22 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tributary.llm.known import Known, kept
+from tributary.llm.known import Known, kept, tidy
 
 MARK = "▁"
 ZIPF, UNKNOWN_PENALTY = 2.7, 10.0
-#: With a blank put before the text: words with the blank before them, line ends, literal marks.
-UNIT = re.compile(r" [^ \n▁]*|[^ \n▁]+|\n|▁")
+#: With a blank put before the text: words with the blanks before them, blanks before none, line ends, literal marks.
+UNIT = re.compile(r" *[^ \n▁]+| +|\n|▁")
 CACHE_WORDS, BATCH_CHARS = 150_000, 1_000_000
 
 
+def _without_own_leaves(node: list, empty: dict) -> None:
+    """All nodes that nothing stands before share one empty dictionary."""
+    for below in node[0].values():
+        _without_own_leaves(below, empty)
+    node[0] = node[0] or empty
+
+
 class Pieces:
     """Scores and ids of a model file, ready for segmentation; made once per task."""
 
@@ -56,12 +65,19 @@ class Pieces:
                 self.text.append(bytes([int(piece[3:5], 16)]))
                 continue
             self.text.append(b"" if model.is_control(i) or model.is_unknown(i) else piece.replace(MARK, " ").encode())
-            # pieces that hold a mark behind their first character would cross words
-            if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or MARK in piece[1:]):
+            # pieces that hold a mark behind other characters would cross words
+            if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or MARK in piece.lstrip(MARK)):
                 self.ids[piece] = (-math.log(-score + ZIPF) if merges else score, i)
         if len(self.bytes) != 256:
             raise ValueError("the model has no byte pieces")
-        self.longest = max(map(len, self.ids))
+        #: a node is [nodes by the character before, score, id], the last two of the piece that begins here, if one does
+        self.ending: list = [{}, None, -1]
+        for piece, (score, i) in self.ids.items():
+            node = self.ending
+            for c in reversed(piece):
+                node = node[0].setdefault(c, [{}, None, -1])
+            node[1:] = score, i
+        _without_own_leaves(self.ending, {})
         self.unknown = min(s for s, _ in self.ids.values()) - UNKNOWN_PENALTY
 
     def spell(self, character: str) -> list[int]:
@@ -69,7 +85,7 @@ class Pieces:
 
     def segment(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """(word, ids) of every word, in sorted order; scores along the path from the trie's root are kept on a stack."""
-        ids, longest, unknown = self.ids, self.longest, self.unknown
+        ids, ending, unknown = self.ids, self.ending, self.unknown
         best, back, path = [0.0], [(0, 0)], ""
         for word in sorted(words):
             shared = 0
@@ -79,11 +95,14 @@ class Pieces:
                 shared += 1
             del best[shared + 1 :], back[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                most, step = -math.inf, None
-                for start in range(max(0, end - longest), end):
-                    found = ids.get(word[start:end])
-                    if found is not None and (score := best[start] + found[0]) > most:
-                        most, step = score, (start, found[1])
+                most, step, node, start = -math.inf, None, ending, end
+                while start:
+                    start -= 1
+                    node = node[0].get(word[start])
+                    if node is None:
+                        break
+                    if node[1] is not None and (score := best[start] + node[1]) >= most:
+                        most, step = score, (start, node[2])
                 if word[end - 1] not in ids and best[end - 1] + unknown > most:
                     most, step = best[end - 1] + unknown, (end - 1, -1)
                 best.append(most)
@@ -112,7 +131,7 @@ class Encoder:
         new = set(known.missing(set().union(*units)))
         for unit in new & {MARK, "\n"}:
             known[unit] = np.array(self.pieces.spell(unit), "<u4").tobytes()
-        marked = {MARK + u[1:] if u[0] == " " else u: u for u in new - {MARK, "\n"}}
+        marked = {u.replace(" ", MARK): u for u in new - {MARK, "\n"}}
         for word, ids in self.pieces.segment(marked):
             known[marked[word]] = np.array(ids, "<u4").tobytes()
         return [b"".join([known[u] for u in x]) for x in units]
@@ -134,6 +153,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids
     """``docs`` with ``ids`` (array of int) in place of ``text``. A task hands over the ids of about BATCH_CHARS characters at a time."""
     others = [c for c in docs.columns if c not in (text, ids)]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(Encoder, model_file)
         for batch in batches:

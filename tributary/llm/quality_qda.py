@@ -9,7 +9,7 @@ difference of log densities, from Mahalanobis distances ``|L^-1 (x - mean)|^2``,
 Defined results: null text is an empty text, and has a score like any other; labels that are null or not 0/1 are ignored; a document with
 several label rows counts once per row; a null id is held out or not by the hash of the empty text; with fewer than two rows of a class the
 score of every row is the share of label 1 (0.5 without labels). Extra columns of the input pass through ``score`` untouched, unless
-named like a result column, which win.
+named like a result column, which win. An empty table gives an empty one. Texts may be of any length; their statistics are of one size.
 """
 
 from __future__ import annotations

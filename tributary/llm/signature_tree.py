@@ -26,7 +26,7 @@ Should a set have too few routes (the limits leave a chance of about 1 to 10^9),
 
 Defined results: null, empty and wordless texts have an empty set, link to nothing and are components of their own; every row is judged by its own
 text, so rows with equal id or without one are in one component only if their texts are; a component is named by its smallest id, null if it has
-none; an empty table gives an empty result; extra columns are ignored.
+none; an empty table gives an empty result; extra columns are ignored. Texts may be of any length; a set is held whole by one task.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tributary.llm.known import tidy
 from tributary.operators.graph import components
 from tributary.tables import cut, drop, keep, release
 
@@ -125,6 +126,7 @@ def hashed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def token_sets(docs: DataFrame, widening: float = 1.0) -> DataFrame:
     """A row of SETS per row (rep, doc_id, h, text): size, digest, routes in order (the first ``inner`` are routes of all that may link), bitmap."""
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, held = [], 0
@@ -170,6 +172,7 @@ def verify(pairs: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
     both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("x")), "a")
     both = both.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("y")), "b")
 
+    @tidy
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in batches:
             known: tuple[str, np.ndarray] | None = None

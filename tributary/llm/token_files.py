@@ -9,7 +9,8 @@ is moved into place when complete: a lost executor's task simply writes again. F
 address; readers map local ones into memory and read ranges of others.
 
 Defined results: null text is an empty text, which still has its end id; a null id sorts first and reads back as null (a flag beside the
-id); repeated rows are encoded each; an empty table gives no shards and an empty result; further columns are ignored.
+id); repeated rows are encoded each; an empty table gives no shards and an empty result; further columns are ignored. Texts may be of any
+length: long ones are cut before blanks, unless white space of other kinds or the name of a special token forbids it.
 """
 
 from __future__ import annotations

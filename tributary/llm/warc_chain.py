@@ -11,7 +11,8 @@ Writing: records with equal payload (digest and length) form a group; the smalle
 refer to it and carry the digest and length of the full payload but no block.
 
 Defined results: null html is an empty payload; a null id is written without a number and reads back as null, last in its group; rows
-repeated with equal id are a response and revisits to the same id; a URL of over MAX_URL characters is stored as its hash; an empty table gives an empty result; other columns are ignored.
+repeated with equal id are a response and revisits to the same id; a URL of over MAX_URL characters is stored as its hash; an empty table gives an empty result; other columns are ignored. Payloads
+may be of any length that a task can hold.
 """
 
 from __future__ import annotations
