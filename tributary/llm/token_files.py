@@ -40,7 +40,7 @@ IN_ONE = 1
 MARKS, LATIN_END = ".,;:!?", "\u0250"
 #: Bytes of ids that a task reads back.
 READ_BYTES, MOST_TASKS = 16 << 20, 20_000
-CACHE_UNITS, CACHE_MARKS, BATCH_CHARS, JOINED, LONGEST, SEGMENT = 1_000_000, 100_000, 2_000_000, 1000, 1 << 16, 1_000_000
+CACHE_UNITS, CACHE_MARKS, BATCH_CHARS, JOINED, LONGEST, SEGMENT = 1_500_000, 100_000, 2_000_000, 1000, 1 << 16, 1_000_000
 #: A byte that no text in UTF-8 holds.
 END_OF_TEXT = b"\xff"
 
@@ -115,18 +115,26 @@ class Encoder:
         return np.concatenate([np.zeros(0, np.int64), *counts]), np.concatenate([np.zeros(0, self.dtype), *found])
 
     def _learn(self, new: list[bytes]) -> None:
-        known, words, others, marked = self.known, [], [], []
+        known, words, raw_words, others, marked = self.known, [], [], [], []
         for raw in new:
             piece = raw.decode()
-            base = piece.rstrip(MARKS)
-            if len(base) < len(piece) and base[:1] == " " and base[1:].isalpha() and (base.isascii() or max(base) < LATIN_END):
-                marked.append((raw, base.encode(), piece[len(base) :]))
+            body = piece[1:] if piece[0] == " " else ""
+            if body.isalpha():
+                words.append(piece)
+                raw_words.append(raw)
+                continue
+            base = body.rstrip(MARKS)
+            if base.isalpha() and (base.isascii() or max(base) < LATIN_END):
+                marks = body[len(base) :]
+                marked.append((raw, raw[: -len(marks)], marks))
             elif WHOLE.search(piece):
                 known[raw] = IN_ONE
+            elif body:
+                words.append(piece)
+                raw_words.append(raw)
             else:
-                (words if len(piece) > 1 and piece[0] == " " else others).append(piece)
+                others.append(piece)
         # a word and the marks behind it are split by rule, and the word is often known
-        raw_words = [w.encode() for w in words]
         bases = {base for _, base, _ in marked}.difference(known, raw_words)
         self._add(raw_words + list(bases), *self._joined_ids(words + [b.decode() for b in bases]))
         each = self._ids(others)
@@ -177,8 +185,13 @@ class Encoder:
         distinct = [data[a : a + n] for a, n in zip(starts[first].tolist(), lengths[first].tolist())]
         if len(self.known) > CACHE_UNITS:
             self._forget()
-        self._learn(list(set(distinct).difference(self.known)))
-        number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        held = list(map(self.known.get, distinct))
+        missing = [i for i, k in enumerate(held) if k is None]
+        new = [distinct[i] for i in missing]
+        self._learn(new)
+        for i, piece in zip(missing, new):
+            held[i] = self.known[piece]
+        number = np.array(held, np.int64)
         bad, counts = number == IN_ONE, np.maximum(self.counts[number], 0)[numbers]
         after = np.cumsum(counts)
         out = self.ids[_ranges(self.places[number][numbers], counts)].tobytes()
