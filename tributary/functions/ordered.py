@@ -57,6 +57,14 @@ class Ordered:
             df = df.withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0))).drop("_carry", PIECE)
         return df
 
+    def running_sum(self, column: str, name: str) -> DataFrame:
+        """Sum of ``column`` over the rows of the group up to and including the row."""
+        df = self.df.withColumn(name, F.sum(column).over(self._window().rowsBetween(Window.unboundedPreceding, 0)))
+        if self.split:
+            df = self._hand_over(df, F.sum(column), lambda v, w: F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+            df = df.withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0))).drop("_carry", PIECE)
+        return df
+
     def previous(self, column: str, name: str) -> DataFrame:
         """Value of ``column`` (never null) in the row before."""
         df = self.df.withColumn(name, F.lag(column).over(self._window()))

@@ -37,16 +37,17 @@ def unreachable(edges: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFra
     return nodes.join(reach(edges, roots).drop("depth"), [GROUP, "node"], "left_anti")
 
 
-def has_path(edges: DataFrame, pairs: DataFrame, no_edge: bool = False) -> DataFrame:
-    """``pairs(func_id, src, dst)`` with ``found``. A node without edges is reached by none but itself, an unknown node by none.
+def has_path(edges: DataFrame, pairs: DataFrame, no_edge: bool = False, nodes: DataFrame | None = None) -> DataFrame:
+    """``pairs(func_id, src, dst)`` with ``found``. A node reaches itself, an unknown node neither reaches nor is reached.
 
-    ``no_edge`` asks for a way besides the direct edge, that is, a simple path of two edges or more.
+    Known are the ends of edges, and ``nodes(func_id, node)`` where given. ``no_edge`` asks for a way besides the direct edge, that is, a simple path of two edges or more.
     """
     edges = edge_table(edges)
     asked = keep(pairs.select(GROUP, F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
     if not no_edge:
         seed = asked.select(GROUP, F.col("a").alias("node"), "a").distinct()
-        seed = seed.join(nodes_of(edges), [GROUP, "node"], "left_semi")
+        known = nodes_of(edges) if nodes is None else nodes_of(edges).unionByName(nodes.select(GROUP, "node"))
+        seed = seed.join(known, [GROUP, "node"], "left_semi")
         got = propagate(seed, edges, tags=["a"]).withColumnRenamed("node", "b")
         return _answered(asked, got, ["a", "b"])
     first = asked.join(edges.withColumnRenamed("src", "a"), [GROUP, "a"]).filter("dst <> a AND dst <> b")

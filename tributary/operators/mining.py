@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tributary.fixpoint import GROUP
-from tributary.functions.ordered import Ordered
-from tributary.tables import cut, keep
+from tributary.fixpoint import GROUP, edge_table
+from tributary.functions.ordered import MAX_ROWS, Ordered
+from tributary.operators.graph import levels
+from tributary.tables import cut, keep, stored
 
 
 def var_registry(occurrences: DataFrame) -> DataFrame:
@@ -63,28 +64,31 @@ def common_expr_greedy(
 ) -> DataFrame:
     """As ``common_expr``, the most complex first: what is chosen takes its uses away from the expressions inside it.
 
-    ``parts(func_id, fp, part, n)``: how often an expression holds a part. One round per level of complexity.
+    ``parts(func_id, fp, part, n)``: how often an expression holds a part. An expression is decided when all that hold it are, so there are as many
+    rounds as expressions are nested. What is taken away is logged, and looked up by the round that needs it.
     """
-    left = keep(uses.filter("NOT barred").groupBy(GROUP, "fp", "idx").agg(F.sum("n").alias("n"), F.max("complexity").alias("complexity"), F.max("text").alias("text")))
-    # the levels are few: an expression of complexity c has c leaves
-    levels = [r[0] for r in left.select("complexity").distinct().orderBy(F.desc("complexity")).toLocalIterator()]
     spark = uses.sparkSession
-    chosen: DataFrame | None = None
-    for level in levels:
-        here = left.filter(F.col("complexity") == level).withColumn("barred", F.lit(False))
-        found = _candidates(_per_expr(here), threshold, intra, string_threshold, min_length).select(GROUP, "fp", "n_rows", "n")
-        found, n, _ = cut(found)
-        chosen = found if chosen is None else chosen.unionByName(found)
-        rest = left.filter(F.col("complexity") < level)
-        if n:
+    left = uses.filter("NOT barred").groupBy(GROUP, "fp", "idx").agg(F.sum("n").alias("n"), F.max("complexity").alias("complexity"), F.max("text").alias("text"))
+    inside = edge_table(parts.select(GROUP, F.col("fp").alias("src"), F.col("part").alias("dst")).filter("src <> dst"))
+    nested = levels(inside).select(GROUP, F.col("node").alias("fp"), "level")
+    left = keep(left.join(nested, [GROUP, "fp"], "left").withColumn("level", F.coalesce("level", F.lit(0))))
+    deepest = left.agg(F.max("level")).first()[0]
+    chosen, logs, log_schema = [], [], None
+    for level in range(-1 if deepest is None else deepest + 1):
+        here = left.filter(F.col("level") == level).drop("level").withColumn("barred", F.lit(False))
+        if logs:
+            minus = stored(spark, log_schema, logs).groupBy(GROUP, "fp", "idx").agg(F.sum("minus").alias("minus"))
+            here = here.join(minus, [GROUP, "fp", "idx"], "left").withColumn("n", F.col("n") - F.coalesce("minus", F.lit(0))).drop("minus")
+        found, n, _ = cut(_candidates(_per_expr(here), threshold, intra, string_threshold, min_length).select(GROUP, "fp", "n_rows", "n"))
+        chosen.append(found)
+        if n and level < deepest:
             taken = here.join(found.select(GROUP, "fp"), [GROUP, "fp"], "left_semi").select(GROUP, "fp", "idx", F.col("n").alias("times"))
-            taken = taken.join(parts.withColumnRenamed("n", "per"), [GROUP, "fp"]).groupBy(GROUP, F.col("part").alias("fp"), "idx").agg(
-                F.sum("times").alias("minus")
-            )
-            rest = rest.join(taken, [GROUP, "fp", "idx"], "left").withColumn("n", F.col("n") - F.coalesce("minus", F.lit(0))).drop("minus")
-            rest = keep(rest)
-        left = rest
-    return chosen if chosen is not None else spark.createDataFrame([], f"{GROUP} bigint, fp string, n_rows bigint, n bigint")
+            taken = taken.join(parts.withColumnRenamed("n", "per"), [GROUP, "fp"]).groupBy(GROUP, F.col("part").alias("fp"), "idx").agg(F.sum(F.col("times") * F.col("per")).alias("minus"))
+            taken, n, path = cut(taken)
+            logs, log_schema = [*logs, path], taken.schema
+    if not chosen:
+        return left.select(GROUP, "fp", F.col("n").alias("n_rows"), "n").limit(0)
+    return reduce(DataFrame.unionByName, chosen)
 
 
 def hot_expr(uses: DataFrame) -> DataFrame:
@@ -123,23 +127,51 @@ def modal_class(occurrences: DataFrame, allowed: Sequence[str]) -> DataFrame:
     return counted.groupBy(GROUP, "name").agg(F.min_by("cls", F.struct(-F.col("n"), F.col("cls"))).alias("cls"))
 
 
-def report_summary(reports: DataFrame, dims: Sequence[str]) -> DataFrame:
+def percentiles(values: DataFrame, keys: Sequence[str], column: str, wanted: Mapping[str, float], max_rows: int = MAX_ROWS) -> DataFrame:
+    """(*keys, one column per name of ``wanted``): exact percentiles of ``column``, interpolated between neighbours; nulls do not count.
+
+    Equal values are counted first. The counts of a group are then added up in order of value, in pieces where it has many values, and the rows
+    are picked in which the wanted places lie: no task holds the values of a group.
+    """
+    # as fields of a struct, null keys are equal to each other
+    values = values.select(F.struct(*keys).alias("_key"), column).filter(F.col(column).isNotNull())
+    counted = keep(values.groupBy("_key", column).agg(F.count(F.lit(1)).alias("_n")))
+    total = counted.groupBy("_key").agg(F.sum("_n").alias("_total"))
+    rows = Ordered(counted, ["_key"], [column], max_rows).running_sum("_n", "_end").join(total, "_key")
+    picked, results = [], []
+    for name, part in wanted.items():
+        at = F.lit(part) * (F.col("_total") - 1)
+        for side, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            inside = (F.col("_end") - F.col("_n") <= place) & (place < F.col("_end"))
+            picked.append(F.max(F.when(inside, F.col(column))).cast("double").alias(f"_{name}_{side}"))
+        share = F.lit(part) * (F.col("_total") - 1) - F.floor(F.lit(part) * (F.col("_total") - 1))
+        results.append((F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * share).alias(name))
+    return rows.groupBy("_key", "_total").agg(*picked).select(*[F.col(f"_key.{k}").alias(k) for k in keys], *results)
+
+
+def report_summary(reports: DataFrame, dims: Sequence[str], max_rows: int = MAX_ROWS) -> DataFrame:
     """Rolled up over ``dims``: rows, success rate, time (mean, median, 90th percentile, largest) and size (mean, largest).
 
-    Rows per failure are kept apart in ``failure_top``. Times are whole seconds under a limit, so the percentiles, which count rows per
-    distinct time, need a row per second.
+    Rows per failure are kept apart in ``failure_top``.
     """
-    return reports.rollup(*dims).agg(
+    out = reports.rollup(*dims).agg(
+        F.grouping_id().alias("_set"),
         F.count(F.lit(1)).alias("n"),
         F.count_if("is_successful").alias("n_ok"),
         (F.count_if("is_successful") / F.count(F.lit(1))).alias("success_rate"),
         F.avg("seconds").alias("avg_seconds"),
-        F.percentile("seconds", F.lit(0.5)).alias("median_seconds"),
-        F.percentile("seconds", F.lit(0.9)).alias("p90_seconds"),
         F.max("seconds").alias("max_seconds"),
         F.avg("function_size").alias("avg_size"),
         F.max("function_size").alias("max_size"),
     )
+    # the same rows, once per set of the roll-up
+    sets = [F.struct(F.lit(2**k - 1).cast("bigint").alias("_set"), *[F.col(d) if i < len(dims) - k else F.lit(None).cast(reports.schema[d].dataType).alias(d) for i, d in enumerate(dims)]) for k in range(len(dims) + 1)]
+    spread = reports.select(F.explode(F.array(*sets)).alias("_s"), "seconds").select("_s.*", "seconds")
+    times = percentiles(spread, ["_set", *dims], "seconds", {"median_seconds": 0.5, "p90_seconds": 0.9}, max_rows)
+    times = times.toDF("_set2", *[f"_{d}" for d in dims], "median_seconds", "p90_seconds")
+    same = [F.col("_set") == F.col("_set2"), *[F.col(d).eqNullSafe(F.col(f"_{d}")) for d in dims]]
+    out = out.join(times, reduce(and_, same), "left")
+    return out.select(*dims, "n", "n_ok", "success_rate", "avg_seconds", "median_seconds", "p90_seconds", "max_seconds", "avg_size", "max_size")
 
 
 def failure_top(reports: DataFrame, k: int) -> DataFrame:

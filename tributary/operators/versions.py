@@ -10,12 +10,29 @@ from tributary.operators.dominance import tree_of
 from tributary.tables import keep
 
 
+#: Rows of a product that a task is to make; a function with more is spread over several.
+PRODUCT = 1_000_000
+
+
+def product(left: DataFrame, right: DataFrame, per_task: int = PRODUCT) -> DataFrame:
+    """Every row of ``left`` with every row of ``right`` of its function.
+
+    Where a function's product is large its left rows are dealt out over as many salts as that takes, and its right rows are repeated for each of them.
+    """
+    a, b = (df.groupBy(GROUP).agg(F.count(F.lit(1)).alias(n)) for df, n in ((left, "_a"), (right, "_b")))
+    salts = F.least(F.ceil(F.col("_a") * F.col("_b") / per_task), F.col("_a")).cast("int")
+    sizes = keep(a.join(b, GROUP).select(GROUP, salts.alias("_salts")))
+    dealt = left.join(sizes, GROUP).withColumn("_salt", F.pmod(F.xxhash64(*left.columns), "_salts").cast("int")).drop("_salts")
+    repeated = right.join(sizes, GROUP).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    return dealt.join(repeated, [GROUP, "_salt"]).drop("_salt")
+
+
 def expand_mem_phi(phis: DataFrame, aliased: DataFrame) -> DataFrame:
     """One merge argument per aliased variable: ``phis(func_id, block, idx, pred_block, ver)`` x ``aliased(func_id, name)``.
 
     All memory merge rows of a block are expanded. Functions without aliased variables lose theirs.
     """
-    out = phis.join(aliased, GROUP)
+    out = product(phis, aliased)
     return out.select(GROUP, "block", "name", F.concat_ws("#", "name", "idx").alias("var"), "pred_block", F.concat_ws("#", "name", "ver").alias("arg"))
 
 
@@ -24,7 +41,7 @@ def missing_versions(aliased: DataFrame, memory: DataFrame, existing: DataFrame)
 
     Every variable of a function meets every version of it, because each such pair without a definition is a result.
     """
-    wanted = aliased.select(GROUP, "name").join(memory.select(GROUP, "version").distinct(), GROUP)
+    wanted = product(memory.select(GROUP, "version").distinct(), aliased.select(GROUP, "name")).select(GROUP, "name", "version")
     return wanted.join(existing, [GROUP, "name", "version"], "left_anti")
 
 

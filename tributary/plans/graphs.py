@@ -77,13 +77,17 @@ def unreachable(t):
     return g.unreachable(t.flow_edges, nodes.filter("node LIKE 'signup%'").withColumnRenamed("node", "root").select("func_id", F.col("root").alias("node")), nodes)
 
 
-@query("has_path", """pairs AS (SELECT r.func_id, b.block AS src, r.root AS dst FROM flow_roots r JOIN flow_blocks b USING (func_id))
-    SELECT p.func_id, p.src, p.dst, p.src = p.dst OR c.func_id IS NOT NULL AS found FROM pairs p LEFT JOIN flow_closure c USING (func_id, src, dst)
-    WHERE p.func_id IN (SELECT func_id FROM flow_edges)""")
+@query("has_path", """pairs AS (SELECT r.func_id, b.block AS src, r.root AS dst FROM flow_roots r JOIN flow_blocks b USING (func_id) UNION
+      SELECT func_id, root, 'purchase#0' FROM flow_roots UNION SELECT func_id, 'purchase#0', 'purchase#0' FROM flow_roots)
+    SELECT p.func_id, p.src, p.dst, n.func_id IS NOT NULL OR c.func_id IS NOT NULL AS found FROM pairs p LEFT JOIN flow_closure c USING (func_id, src, dst)
+    LEFT JOIN flow_blocks n ON p.src = p.dst AND n.func_id = p.func_id AND n.block = p.src""")
 def has_path(t):
-    """From which blocks a visitor comes back to the first one."""
-    pairs = t.flow_blocks.join(t.flow_roots, "func_id").join(t.flow_edges.select("func_id").distinct(), "func_id", "left_semi")
-    return g.has_path(t.flow_edges, pairs.select("func_id", F.col("block").alias("src"), F.col("root").alias("dst")))
+    """From which blocks a visitor comes back to the first one, and whether the first one leads to a certain purchase, which many weeks do not have."""
+    first, end = F.col("root"), F.lit("purchase#0")
+    back = t.flow_blocks.join(t.flow_roots, "func_id").select("func_id", F.col("block").alias("src"), first.alias("dst"))
+    pairs = back.unionByName(t.flow_roots.select("func_id", first.alias("src"), end.alias("dst")))
+    pairs = pairs.unionByName(t.flow_roots.select("func_id", end.alias("src"), end.alias("dst")))
+    return g.has_path(t.flow_edges, pairs, nodes=t.flow_blocks.select("func_id", F.col("block").alias("node")))
 
 
 @query("has_detour", """w AS (SELECT p.func_id, p.src AS a, p.dst AS b, e.dst AS node FROM flow_edges p JOIN flow_edges e
@@ -286,22 +290,17 @@ def chains(t):
     return g.chains(t.hier_edges)
 
 
-view("cut_steps", "SELECT DISTINCT func_id, src, dst FROM flow_edges WHERE src NOT LIKE 'error%'")
-
-
-@query("noreturn_boundary", """leaf AS (SELECT func_id, block AS node FROM flow_blocks SEMI JOIN (SELECT func_id FROM flow_blocks GROUP BY 1
-      HAVING count(*) > 1) USING (func_id) ANTI JOIN cut_steps c ON c.func_id = flow_blocks.func_id AND c.src = flow_blocks.block),
-    ok AS (SELECT func_id, node FROM leaf WHERE node NOT LIKE 'error%' UNION
-      SELECT c.func_id, c.src FROM ok JOIN cut_steps c ON c.func_id = ok.func_id AND c.dst = ok.node),
-    bad AS (SELECT func_id, node FROM leaf WHERE node LIKE 'error%' UNION
-      SELECT c.func_id, c.src FROM bad JOIN cut_steps c ON c.func_id = bad.func_id AND c.dst = bad.node),
+@query("noreturn_boundary", """n AS (SELECT src AS node FROM hier_edges UNION SELECT dst FROM hier_edges),
+    leaf AS (SELECT node, node IN (SELECT 'o:' || o_orderkey FROM orders WHERE o_orderstatus = 'F') AS lost FROM n WHERE node NOT IN (SELECT src FROM hier_edges)),
+    ok AS (SELECT node FROM leaf WHERE NOT lost UNION SELECT c.src FROM ok JOIN hier_edges c ON c.dst = ok.node),
+    bad AS (SELECT node FROM leaf WHERE lost UNION SELECT c.src FROM bad JOIN hier_edges c ON c.dst = bad.node),
     doomed AS (SELECT * FROM bad EXCEPT SELECT * FROM ok)
-    SELECT c.func_id, c.src, c.dst FROM cut_steps c JOIN doomed x ON x.func_id = c.func_id AND x.node = c.dst
-    ANTI JOIN doomed y ON y.func_id = c.func_id AND y.node = c.src""")
+    SELECT func_id, src, dst FROM hier_edges WHERE dst IN (SELECT node FROM doomed) AND src NOT IN (SELECT node FROM doomed)""")
 def noreturn_boundary(t):
-    """Steps after which a week can only end in an error, when an error ends it."""
-    nodes = _at(t.flow_blocks, "block")
-    return d.noreturn_boundary(t.flow_edges.filter("src NOT LIKE 'error%'"), nodes, nodes.filter("node LIKE 'error%'"))
+    """Steps down the hierarchy after which there are only filled orders."""
+    nodes = g.nodes_of(t.hier_edges)
+    filled = t.orders.filter("o_orderstatus = 'F'").select(F.lit(0).cast("bigint").alias("func_id"), F.concat(F.lit("o:"), "o_orderkey").alias("node"))
+    return d.noreturn_boundary(t.hier_edges, nodes, filled)
 
 
 @query("graph_equality", """a AS (SELECT func_id, src, dst FROM flow_edges), b AS (SELECT func_id, dst AS src, src AS dst FROM flow_edges)

@@ -191,19 +191,19 @@ def edge_conditions(t):
     return p.edge_conditions(t.flow_blocks.select("func_id", F.col("block").alias("node")), _kind_edges(t))
 
 
-@query("noreturn_leaves", """SELECT b.func_id, b.block AS node FROM flow_blocks b ANTI JOIN cut_steps c ON c.func_id = b.func_id AND c.src = b.block
+@query("noreturn_leaves", """SELECT b.func_id, b.block AS node FROM flow_blocks b ANTI JOIN flow_edges c ON c.func_id = b.func_id AND c.src = b.block
     SEMI JOIN (SELECT func_id, block FROM flow_instr WHERE kind = 'call' GROUP BY ALL HAVING count(*) = 1 AND NOT bool_or(k % 4 > 0)) i
       ON i.func_id = b.func_id AND i.block = b.block""")
 def noreturn_leaves(t):
-    """Errors and last blocks with one call, whose callee (one in four) does not return."""
+    """Last blocks with one call, whose callee (one in four) does not return."""
     calls = t.flow_instr.filter("kind = 'call'").select("func_id", F.col("block").alias("node"), (F.col("k") % 4 > 0).alias("can_return"))
-    return p.noreturn_leaves(t.flow_blocks.select("func_id", F.col("block").alias("node")), t.flow_edges.filter("src NOT LIKE 'error%'"), calls)
+    return p.noreturn_leaves(t.flow_blocks.select("func_id", F.col("block").alias("node")), t.flow_edges, calls)
 
 
-@query("guard_leaves", """leaf AS (SELECT b.func_id, b.block FROM flow_blocks b ANTI JOIN cut_steps c ON c.func_id = b.func_id AND c.src = b.block)
+@query("guard_leaves", """leaf AS (SELECT b.func_id, b.block FROM flow_blocks b ANTI JOIN flow_edges c ON c.func_id = b.func_id AND c.src = b.block)
     SELECT l.func_id, l.block AS node FROM leaf l WHERE EXISTS (SELECT 1 FROM flow_instr i WHERE i.func_id = l.func_id AND i.block = l.block AND i.k = 71)
       OR EXISTS (SELECT 1 FROM kind_edges e JOIN flow_blocks g ON g.func_id = e.func_id AND g.block = e.src JOIN flow_instr x ON x.func_id = g.func_id
-        AND x.idx = g.last_idx WHERE e.func_id = l.func_id AND e.dst = l.block AND e.src NOT LIKE 'error%' AND x.def_var IN ('v1', 'v2')
+        AND x.idx = g.last_idx WHERE e.func_id = l.func_id AND e.dst = l.block AND x.def_var IN ('v1', 'v2')
         AND ((x.k % 2 = 0 AND e.kind = 'false') OR (x.k % 2 = 1 AND e.kind = 'true')))""")
 def guard_leaves(t):
     nodes = t.flow_blocks.select("func_id", F.col("block").alias("node"))
@@ -212,7 +212,7 @@ def guard_leaves(t):
     guarded = last.select(
         "func_id", F.col("block").alias("src"), F.when(F.col("k") % 2 == 0, "equal").otherwise("not_equal").alias("op"), F.col("def_var").isin("v1", "v2").alias("operand_fits")
     )
-    return p.guard_leaves(nodes, _kind_edges(t).filter("src NOT LIKE 'error%'"), texts, "<71>", guarded)
+    return p.guard_leaves(nodes, _kind_edges(t), texts, "<71>", guarded)
 
 
 @query("over_complexity", """SELECT func_id, idx FROM flow_instr WHERE complexity > CASE kind WHEN 'assignment' THEN 4 WHEN 'call' THEN 1 WHEN 'return' THEN 3 END""")
