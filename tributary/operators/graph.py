@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tributary.fixpoint import GROUP, edge_table, hops, jump, propagate, with_stays
+from tributary.fixpoint import GROUP, closure, edge_table, hops, jump, propagate, with_stays  # noqa: F401 (closure is asked for here)
 from tributary.operators import orders
 from tributary.tables import cut, drop, keep, stored
 
