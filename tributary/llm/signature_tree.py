@@ -8,7 +8,7 @@ most ``|b| // 7`` tokens of ``b``; so of any ``|b| // 7 + 1`` routes of ``b`` th
 by the rarest of its routes. Ordinary texts have enough routes of their own and ask nobody; passages that many texts share are asked for
 only by texts that consist of little else. Sets link to nothing and are left out if more than a quarter of their tokens are routes of every
 set that may link, and nobody else has them.
-Whoever asks, or is asked, does so again by all tokens, which leaves few questions.
+Whoever asks, or is asked, does so again by all tokens, which leaves few questions; then the larger set, too, is found only by its rarest quarter.
 
 Clusters. Every class first compares itself with one other, of those that share a frequent route the one whose routes are shared most;
 linked classes grow together into clusters. Pairs inside a cluster need no further look: the result is components. Where a token that is asked for would
@@ -49,7 +49,7 @@ FAN, HEIGHT = 8, 2
 #: Part of the hash range that makes a route: LIMIT + LIMIT_SMALL / size.
 LIMIT, LIMIT_SMALL = 0.34, 25.0
 #: Clusters that a token may bring together without more ado, and the part of them that a further comparison may at most leave.
-CROWD, ENOUGH = 8, 0.95
+CROWD, ENOUGH = 8, 0.9
 #: Ids that may be sent to every task; beyond it the documents are shuffled to them.
 MOST_SENT = 1_000_000
 NO_ID = np.iinfo(np.int64).max
@@ -266,6 +266,18 @@ def _questions(routes: DataFrame, classes: DataFrame) -> DataFrame:
     return ranked.filter("_at <= asks").select("token", "rep")
 
 
+def _prefixes(routes: DataFrame) -> DataFrame:
+    """(token, rep, n, most, asks): of all tokens of a set the rarest ones, by which it is found.
+
+    Sets of n tokens and m >= n that link share 3/7 of n + m tokens at least, which is 6/7 of n and 3/4 of m. In any one order of all tokens the first
+    ``n - 6/7 n + 1`` of the one and the first ``m - 3/4 m + 1`` of the other then have one in common. Tokens of one set only come first in the order of
+    rarity, and need no row.
+    """
+    at = F.row_number().over(Window.partitionBy("rep").orderBy("df", "token")) + F.col("n") - F.col("most")
+    rows = routes.withColumn("_at", at).filter(F.col("_at") <= F.floor(F.col("n") / 4) + 1)
+    return rows.select("token", "rep", "n", "most", (F.col("_at") <= F.floor(F.col("n") / 7) + 1).alias("asks"))
+
+
 def _or(column: str = "bits") -> Column:
     return F.array(*[F.bit_or(F.get(column, F.lit(i))) for i in range(LONGS)]).alias(column)
 
@@ -377,9 +389,9 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     last, known = known, keep(known.drop("shared").withColumn("inner", F.col("n").cast("int")).join(shared, "rep").filter("4 * most >= 3 * n"))
     drop(last)
     release(docs.sparkSession)
-    last, routes = routes, keep(routes.join(known.select("rep", "most"), "rep"))
+    last, routes = routes, keep(_prefixes(routes.join(known.select("rep", "most"), "rep")))
     drop(last)
-    questions = keep(_questions(routes, known))
+    questions = keep(routes.filter("asks").select("token", "rep"))
     near, clusters = _joined_crowds(near, routes, questions, known, classes, docs)
     levels = tree(known, clusters)
     met = traverse(_root_pairs(routes, questions, known, clusters), levels)
