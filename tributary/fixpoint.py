@@ -11,25 +11,42 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tributary.tables import cut, drop, keep, stored
+from tributary.tables import cut, drop, keep, real_sizes, stored
 
 GROUP = "func_id"
 
 
-#: Up to so many rows found, a job makes so many hops: then jobs cost more than rows. More rows make one.
-HOPS = ((2_000, 6), (200_000, 3))
+#: Up to ``FEW`` rows found, a job makes six hops, up to ``SMALL`` three: then jobs cost more than rows. More rows make one, or three where they are dealt out.
+FEW, SMALL = 2_000, 200_000
+#: Tables above so many rows are dealt out by graph, if no graph has more edges than this: then a job shuffles each table once for all its hops.
+DEAL, GRAPH = 50_000, 10_000
 
 
-def hops(n: int) -> int:
-    return next((h for rows, h in HOPS if n <= rows), 1)
+def hops(n: int, dealt: bool = False) -> int:
+    if n <= min(FEW, SMALL):
+        return 6
+    return 3 if n <= SMALL or dealt else 1
+
+
+def dealer(dealt: bool):
+    """What deals rows out by graph, where that is worth it."""
+    return (lambda df: df.repartition(GROUP)) if dealt else (lambda df: df)
+
+
+def small_graphs(table: DataFrame, n: int) -> bool:
+    """Whether a stored table of ``n`` rows is worth dealing out by graph, and none is too large for that."""
+    if n <= DEAL:
+        return False
+    return table.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] <= GRAPH
 
 
 def edge_table(edges: DataFrame) -> DataFrame:
     """At most one edge per (graph, source, sink), stored once for all rounds."""
     if getattr(edges, "_edge_table", False):
         return edges
-    out = keep(edges.select(GROUP, "src", "dst").distinct())
-    out._edge_table = True
+    real_sizes(edges.sparkSession)
+    out, n, _ = cut(edges.select(GROUP, "src", "dst").distinct())
+    out._edge_table, out._small_graphs = True, small_graphs(out, n)
     return out
 
 
@@ -60,34 +77,38 @@ def propagate(
     value = depth or "_depth"
     edges = edge_table(edges)
     edges_and_stays: DataFrame | None = None
+    dealt = edges._small_graphs
 
     def allowed(df: DataFrame) -> DataFrame:
         if never is not None:
-            df = df.join(never, never.columns, "left_anti")
+            df = df.join(deal(never), never.columns, "left_anti")
         if within is not None:
-            df = df.join(within, within.columns, "left_semi")
+            df = df.join(deal(within), within.columns, "left_semi")
         return df
 
     def hop(rows: DataFrame, along: DataFrame) -> DataFrame:
         if stop is not None:
-            rows = rows.join(stop.distinct().withColumn("_stop", F.lit(True)), stop.columns, "left")
-        rows = rows.withColumnRenamed("node", "src").join(along, [GROUP, "src"])
+            rows = rows.join(deal(stop).distinct().withColumn("_stop", F.lit(True)), stop.columns, "left")
+        rows = rows.withColumnRenamed("node", "src").join(deal(along), [GROUP, "src"])
         if stop is not None:
             rows = rows.filter("_stop IS NULL OR src = dst")
         far = F.col(value) + F.when(F.col("src") == F.col("dst"), 0).otherwise(1)
         rows = rows.select(GROUP, F.col("dst").alias("node"), *tags, far.alias(value))
         return allowed(rows.groupBy(*key).agg(F.min(value).alias(value)))
 
-    frontier, n, path = cut(allowed(seed.select(*key).distinct()).withColumn(value, F.lit(0)))
+    deal = dealer(dealt)
+    frontier, n, path = cut(allowed(deal(seed.select(*key)).distinct()).withColumn(value, F.lit(0)), dealt=dealt)
     schema, paths = frontier.schema, [path]
     while n:
-        known = stored(spark, schema, paths).select(*key)
-        found = hop(frontier, edges)
-        for _ in range(hops(n) - 1):
+        dealt = edges._small_graphs and n > DEAL
+        deal = dealer(dealt)
+        known = deal(stored(spark, schema, paths).select(*key))
+        found = hop(deal(frontier), edges)
+        for _ in range(hops(n, dealt) - 1):
             edges_and_stays = edges_and_stays or with_stays(edges)
             found = hop(found, edges_and_stays)
         # what was known before has been followed before, so it is enough to drop it once a job
-        frontier, n, path = cut(found.join(known, key, "left_anti"))
+        frontier, n, path = cut(found.join(known, key, "left_anti"), dealt=dealt)
         paths.append(path)
     out = stored(spark, schema, paths)
     return out if depth else out.drop(value)
@@ -110,19 +131,21 @@ def least(edges: DataFrame, start: DataFrame, largest: bool = False) -> DataFram
     better = "old IS NULL OR label > old" if largest else "old IS NULL OR label < old"
 
     def step(rows: DataFrame, along: DataFrame) -> DataFrame:
-        moved = rows.withColumnRenamed("node", "src").join(along, [GROUP, "src"])
+        moved = rows.withColumnRenamed("node", "src").join(deal(along), [GROUP, "src"])
         return moved.groupBy(GROUP, F.col("dst").alias("node")).agg(best)
 
     changed, n, path = cut(start.groupBy(*key).agg(best))
     schema, paths = changed.schema, [path]
     while n:
-        now = stored(spark, schema, paths).groupBy(*key).agg(best).withColumnRenamed("label", "old")
-        found = step(changed, edges)
-        for _ in range(hops(n) - 1):
+        dealt = edges._small_graphs and n > DEAL
+        deal = dealer(dealt)
+        now = deal(stored(spark, schema, paths)).groupBy(*key).agg(best).withColumnRenamed("label", "old")
+        found = step(deal(changed), edges)
+        for _ in range(hops(n, dealt) - 1):
             stays = stays or with_stays(edges)
             found = step(found, stays)
         found = found.join(now, key, "left").filter(better).drop("old")
-        changed, n, path = cut(found)
+        changed, n, path = cut(found, dealt=dealt)
         paths.append(path)
         if n and len(paths) > LOGS:
             paths = [cut(stored(spark, schema, paths).groupBy(*key).agg(best))[2]]

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tributary.fixpoint import GROUP, edge_table, least
+from tributary.fixpoint import GROUP, dealer, edge_table, least, small_graphs
 from tributary.tables import cut, keep
 
 
@@ -30,10 +30,11 @@ def _inner(edges: DataFrame) -> DataFrame:
 def trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
     """The edges on cycles or on ways between them, hardly more, and their number."""
     edges, n, _ = cut(edges.select(GROUP, "src", "dst").filter("src <> dst").distinct())
-    before = None
+    before, dealt = None, small_graphs(edges, n)
+    deal = dealer(dealt)
     while n and (before is None or n < WORTH * before):
         before = n
-        edges, n, _ = cut(_inner(_inner(edges)))
+        edges, n, _ = cut(_inner(_inner(deal(edges))), dealt=dealt)
     return edges, n
 
 

@@ -74,7 +74,7 @@ def edge_classes(edges: DataFrame, dom: DataFrame) -> DataFrame:
     tree = tree_of(dom)
     seen = tree.nodes.select(GROUP, F.col("node").alias("src"))
     edges = edge_table(edges.join(seen, [GROUP, "src"], "left_semi"))
-    back = keep(tree.above(edges, "dst", "src"))
+    back = keep(tree.above(edges, "dst", "src"), tree.dealt)
     ring = strong_components(edges.join(back, [GROUP, "src", "dst"], "left_anti"))
     # without the back edges an edge is on a cycle if both ends are in one component
     inside = edges.join(ring.select(GROUP, F.col("node").alias("src"), F.col("component").alias("a")), [GROUP, "src"])
@@ -198,7 +198,7 @@ def noreturn_boundary(edges: DataFrame, nodes: DataFrame, noreturn: DataFrame) -
     )
     tree = dominator_tree(back, leaves.select(GROUP, F.lit(END).alias("root")).distinct())
     merged = tree.nodes.select(GROUP, F.lit(MERGED).alias("above"), F.col("node").alias("dst"))
-    doomed = keep(tree.above(merged, "above", "dst").select(GROUP, "dst"))
+    doomed = keep(tree.above(merged, "above", "dst").select(GROUP, "dst"), tree.dealt)
     into = edges.join(doomed, [GROUP, "dst"], "left_semi")
     # a doomed successor but not doomed itself: such a node is the frontier
     return into.join(doomed.withColumnRenamed("dst", "src"), [GROUP, "src"], "left_anti")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tributary.fixpoint import edge_table
 from tributary.functions.ordered import Ordered
-from tributary.tables import keep
+from tributary.tables import keep, real_sizes
 
 WEEK = 604_800
 
@@ -22,6 +22,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        real_sizes(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
