@@ -56,3 +56,12 @@ def test_dealing_by_graph_changes_no_result(graphs, table, spark, monkeypatch):
     assert spark.conf.get(SUBSET) == "true"
     monkeypatch.setattr(fixpoint, "GRAPH", 3)
     assert all_of() == want
+
+
+def test_graph_diff_is_one_grouping(table):
+    a = table(EDGE, [(1, "x", "y"), (1, "x", "y"), (1, None, "y"), (2, "x", None), (3, "p", "q")])
+    b = table(EDGE, [(1, "x", "y"), (1, None, "y"), (2, "x", "z"), (2, "x", "z")])
+    diff = g.graph_diff(a, b)
+    assert plan(diff).count("Exchange hashpartitioning") == 1
+    rows = [tuple(r) for r in diff.collect()]
+    assert sorted(rows, key=str) == sorted([(2, "x", None, "left"), (3, "p", "q", "left"), (2, "x", "z", "right")], key=str)

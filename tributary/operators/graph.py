@@ -204,8 +204,9 @@ def chains(edges: DataFrame) -> DataFrame:
 
 def graph_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of two node or edge tables that only one of them has, with ``side``; empty means equal graphs."""
-    only = left.distinct().exceptAll(right.distinct()).withColumn("side", F.lit("left"))
-    return only.unionByName(right.distinct().exceptAll(left.distinct()).withColumn("side", F.lit("right")))
+    both = left.withColumn("_side", F.lit(0)).union(right.withColumn("_side", F.lit(1)))
+    seen = both.groupBy(*left.columns).agg(F.min("_side").alias("_low"), F.max("_side").alias("_high")).filter("_low = _high")
+    return seen.select(*left.columns, F.when(F.col("_low") == 0, "left").otherwise("right").alias("side"))
 
 
 def contract(pairs: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
