@@ -11,26 +11,27 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tributary.tables import cut, drop, keep, real_sizes, stored
+from tributary.tables import Rounds, cut, drop, keep, real_sizes, settled, stored
 
 GROUP = "func_id"
 
 
 #: Up to ``FEW`` rows found, a job makes six hops, up to ``SMALL`` three: then jobs cost more than rows. More rows make one, or three where they are dealt out.
 FEW, SMALL = 2_000, 200_000
-#: Tables above so many rows are dealt out by graph, if no graph has more edges than this: then a job shuffles each table once for all its hops.
+#: Tables above so many rows are dealt out by graph, if no graph has more edges than this: they are stored in buckets by graph, and what is joined
+#: with them on (graph, node) and stored likewise needs no shuffle, however many rounds there are.
 DEAL, GRAPH = 50_000, 10_000
 
 
-def hops(n: int, dealt: bool = False) -> int:
+def hops(n: int, dealt: int = 0) -> int:
     if n <= min(FEW, SMALL):
         return 6
     return 3 if n <= SMALL or dealt else 1
 
 
-def dealer(dealt: bool):
-    """What deals rows out by graph, where that is worth it."""
-    return (lambda df: df.repartition(GROUP)) if dealt else (lambda df: df)
+def buckets(spark) -> int:
+    """Buckets of what is dealt out by graph: as many as a shuffle of the session has partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def small_graphs(table: DataFrame, n: int) -> bool:
@@ -40,20 +41,25 @@ def small_graphs(table: DataFrame, n: int) -> bool:
     return table.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] <= GRAPH
 
 
-def edge_table(edges: DataFrame) -> DataFrame:
-    """At most one edge per (graph, source, sink), stored once for all rounds."""
+def edge_table(edges: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """At most one edge per (graph, source, sink), stored once for all rounds; dealt out as ``like`` if that is, else where it is worth it."""
     if getattr(edges, "_edge_table", False):
         return edges
     real_sizes(edges.sparkSession)
-    out, n, _ = cut(edges.select(GROUP, "src", "dst").distinct())
-    out._edge_table, out._small_graphs = True, small_graphs(out, n)
+    dealt = getattr(like, "_dealt", 0)
+    out, n, _ = cut(edges.select(GROUP, "src", "dst").distinct(), dealt=dealt)
+    if not dealt and small_graphs(out, n):
+        dealt = buckets(edges.sparkSession)
+        last, out = out, keep(out, dealt)
+        drop(last)
+    out._edge_table, out._small_graphs, out._dealt = True, bool(dealt), dealt
     return out
 
 
 def with_stays(edges: DataFrame) -> DataFrame:
     """Edges plus one from every sink to itself: rows can wait while others move on, and several hops fit into one job."""
     stays = edges.select(GROUP, F.col("dst").alias("src"), "dst").distinct()
-    return keep(edges.filter("src <> dst").unionByName(stays))
+    return keep(edges.filter("src <> dst").unionByName(stays), getattr(edges, "_dealt", 0))
 
 
 def propagate(
@@ -72,46 +78,46 @@ def propagate(
     shortest way. Semi-naive: a round starts from what the last round found, and drops what is known. While little is found a job makes
     several hops, since then jobs cost more than rows.
     """
-    spark = seed.sparkSession
     key = [GROUP, "node", *tags]
     value = depth or "_depth"
     edges = edge_table(edges)
     edges_and_stays: DataFrame | None = None
-    dealt = edges._small_graphs
+    dealt = edges._dealt
+    stop, never, within = (settled(df, dealt) for df in (stop if stop is None else stop.distinct(), never, within))
 
     def allowed(df: DataFrame) -> DataFrame:
         if never is not None:
-            df = df.join(deal(never), never.columns, "left_anti")
+            df = df.join(never, never.columns, "left_anti")
         if within is not None:
-            df = df.join(deal(within), within.columns, "left_semi")
+            df = df.join(within, within.columns, "left_semi")
         return df
 
     def hop(rows: DataFrame, along: DataFrame) -> DataFrame:
         if stop is not None:
-            rows = rows.join(deal(stop).distinct().withColumn("_stop", F.lit(True)), stop.columns, "left")
-        rows = rows.withColumnRenamed("node", "src").join(deal(along), [GROUP, "src"])
+            rows = rows.join(stop.withColumn("_stop", F.lit(True)), stop.columns, "left")
+        rows = rows.withColumnRenamed("node", "src").join(along, [GROUP, "src"])
         if stop is not None:
             rows = rows.filter("_stop IS NULL OR src = dst")
         far = F.col(value) + F.when(F.col("src") == F.col("dst"), 0).otherwise(1)
         rows = rows.select(GROUP, F.col("dst").alias("node"), *tags, far.alias(value))
         return allowed(rows.groupBy(*key).agg(F.min(value).alias(value)))
 
-    deal = dealer(dealt)
-    frontier, n, path = cut(allowed(deal(seed.select(*key)).distinct()).withColumn(value, F.lit(0)), dealt=dealt)
-    schema, paths = frontier.schema, [path]
+    rounds = Rounds(dealt)
+    frontier, n = rounds.add(allowed(seed.select(*key).distinct()).withColumn(value, F.lit(0)))
     while n:
-        dealt = edges._small_graphs and n > DEAL
-        deal = dealer(dealt)
-        known = deal(stored(spark, schema, paths).select(*key))
-        found = hop(deal(frontier), edges)
+        known = rounds.all().select(*key)
+        found = hop(frontier, edges)
         for _ in range(hops(n, dealt) - 1):
             edges_and_stays = edges_and_stays or with_stays(edges)
             found = hop(found, edges_and_stays)
         # what was known before has been followed before, so it is enough to drop it once a job
-        frontier, n, path = cut(found.join(known, key, "left_anti"), dealt=dealt)
-        paths.append(path)
-    out = stored(spark, schema, paths)
-    return out if depth else out.drop(value)
+        frontier, n = rounds.add(found.join(known, key, "left_anti"))
+    out = rounds.all()
+    if depth:
+        return out
+    out = out.drop(value)
+    out._dealt = dealt
+    return out
 
 
 LOGS = 16
@@ -123,7 +129,6 @@ def least(edges: DataFrame, start: DataFrame, largest: bool = False) -> DataFram
     The state is a log: a round appends the nodes whose label fell and goes on from them; the smallest entry of a node counts. Now and then
     the log is written anew.
     """
-    spark = edges.sparkSession
     key = [GROUP, "node"]
     edges = edge_table(edges)
     stays: DataFrame | None = None
@@ -131,25 +136,25 @@ def least(edges: DataFrame, start: DataFrame, largest: bool = False) -> DataFram
     better = "old IS NULL OR label > old" if largest else "old IS NULL OR label < old"
 
     def step(rows: DataFrame, along: DataFrame) -> DataFrame:
-        moved = rows.withColumnRenamed("node", "src").join(deal(along), [GROUP, "src"])
+        moved = rows.withColumnRenamed("node", "src").join(along, [GROUP, "src"])
         return moved.groupBy(GROUP, F.col("dst").alias("node")).agg(best)
 
-    changed, n, path = cut(start.groupBy(*key).agg(best))
-    schema, paths = changed.schema, [path]
+    dealt = edges._dealt
+    rounds = Rounds(dealt)
+    changed, n = rounds.add(start.groupBy(*key).agg(best))
     while n:
-        dealt = edges._small_graphs and n > DEAL
-        deal = dealer(dealt)
-        now = deal(stored(spark, schema, paths)).groupBy(*key).agg(best).withColumnRenamed("label", "old")
-        found = step(deal(changed), edges)
+        now = rounds.all().groupBy(*key).agg(best).withColumnRenamed("label", "old")
+        found = step(changed, edges)
         for _ in range(hops(n, dealt) - 1):
             stays = stays or with_stays(edges)
             found = step(found, stays)
         found = found.join(now, key, "left").filter(better).drop("old")
-        changed, n, path = cut(found, dealt=dealt)
-        paths.append(path)
-        if n and len(paths) > LOGS:
-            paths = [cut(stored(spark, schema, paths).groupBy(*key).agg(best))[2]]
-    return stored(spark, schema, paths).groupBy(*key).agg(best)
+        changed, n = rounds.add(found)
+        if n and rounds.n > LOGS:
+            last, rounds = rounds, Rounds(dealt)
+            rounds.add(last.all().groupBy(*key).agg(best))
+    out = keep(rounds.all().groupBy(*key).agg(best), dealt) if dealt else rounds.all().groupBy(*key).agg(best)
+    return out
 
 
 def closure(edges: DataFrame) -> DataFrame:

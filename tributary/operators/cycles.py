@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tributary.fixpoint import GROUP, dealer, edge_table, least, small_graphs
+from tributary.fixpoint import GROUP, buckets, edge_table, least, small_graphs
 from tributary.tables import cut, keep
 
 
@@ -27,14 +27,16 @@ def _inner(edges: DataFrame) -> DataFrame:
     return edges.join(into, [GROUP, "src"], "left_semi").join(out, [GROUP, "dst"], "left_semi").select(GROUP, "src", "dst")
 
 
-def trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
+def trimmed(edges: DataFrame, dealt: int = 0) -> tuple[DataFrame, int]:
     """The edges on cycles or on ways between them, hardly more, and their number."""
-    edges, n, _ = cut(edges.select(GROUP, "src", "dst").filter("src <> dst").distinct())
-    before, dealt = None, small_graphs(edges, n)
-    deal = dealer(dealt)
+    edges, n, _ = cut(edges.select(GROUP, "src", "dst").filter("src <> dst").distinct(), dealt=dealt)
+    if not dealt and small_graphs(edges, n):
+        dealt = buckets(edges.sparkSession)
+        edges = keep(edges, dealt)
+    before = None
     while n and (before is None or n < WORTH * before):
         before = n
-        edges, n, _ = cut(_inner(_inner(deal(edges))), dealt=dealt)
+        edges, n, _ = cut(_inner(_inner(edges)), dealt=dealt)
     return edges, n
 
 
@@ -44,29 +46,33 @@ def _labelled(edges: DataFrame, turn: int) -> DataFrame:
     nodes = ends.groupBy(GROUP, F.col("e.node").alias("node")).agg((-F.sum("e.o") * F.sum(1 - F.col("e.o"))).alias("w"))
     nodes = nodes.withColumn("label", F.struct("w", F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("n")))
     # both directions in one run: a graph and its reverse side by side
-    ahead, behind = F.struct(GROUP, F.lit(0).alias("side")).alias(GROUP), F.struct(GROUP, F.lit(1).alias("side")).alias(GROUP)
-    both = edges.select(ahead, "src", "dst").unionByName(edges.select(behind, F.col("dst").alias("src"), F.col("src").alias("dst")))
-    start = nodes.select(ahead, "node", "label").unionByName(nodes.select(behind, "node", "label"))
-    found = least(edge_table(both), start).select(F.col(f"{GROUP}.{GROUP}").alias(GROUP), "node", F.col(f"{GROUP}.side").alias("side"), "label")
+    def at(side: int, node: str, name: str):
+        return F.struct(F.lit(side).alias("side"), F.col(node).alias("node")).alias(name)
+
+    sides_of = F.explode(F.array(F.struct(at(0, "src", "src"), at(0, "dst", "dst")), F.struct(at(1, "dst", "src"), at(1, "src", "dst")))).alias("e")
+    both = edges.select(GROUP, sides_of).select(GROUP, "e.src", "e.dst")
+    start = nodes.select(GROUP, F.explode(F.array(at(0, "node", "node"), at(1, "node", "node"))).alias("node"), "label")
+    found = least(edge_table(both, edges), start).select(GROUP, "node.node", "node.side", "label")
     sides = [F.max(F.when(F.col("side") == i, F.col("label"))).alias(n) for i, n in enumerate(("ahead", "behind"))]
-    return keep(found.groupBy(GROUP, "node").agg(*sides))
+    return keep(found.groupBy(GROUP, "node").agg(*sides), getattr(edges, "_dealt", 0))
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, dealt: int = 0) -> DataFrame:
     """(func_id, node, component): the nodes on cycles, self-loops included; a component is named by its smallest node."""
     alone = edges.filter("src = dst").select(GROUP, F.col("src").alias("node")).distinct()
-    inside, n = trimmed(edges)
+    inside, n = trimmed(edges, dealt)
     turn, done = 0, None
     while n:
         labels = _labelled(inside, turn)
         owned = labels.filter("ahead = behind").select(GROUP, "node", "ahead")
         names = owned.groupBy(GROUP, "ahead").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         found = owned.join(names, [GROUP, "ahead"]).select(GROUP, "node", "component")
-        done = keep(found if done is None else done.unionByName(found))
+        dealt = getattr(inside, "_dealt", 0)
+        done = keep(found if done is None else done.unionByName(found), dealt)
         labels = labels.filter("ahead <> behind")
         a = labels.select(GROUP, F.col("node").alias("src"), F.col("ahead").alias("a1"), F.col("behind").alias("b1"))
         b = labels.select(GROUP, F.col("node").alias("dst"), F.col("ahead").alias("a2"), F.col("behind").alias("b2"))
-        inside, n = trimmed(inside.join(a, [GROUP, "src"]).join(b, [GROUP, "dst"]).filter("a1 = a2 AND b1 = b2"))
+        inside, n = trimmed(inside.join(a, [GROUP, "src"]).join(b, [GROUP, "dst"]).filter("a1 = a2 AND b1 = b2"), dealt)
         turn += 1
     if done is None:
         return alone.withColumn("component", F.col("node"))

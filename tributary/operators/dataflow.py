@@ -6,7 +6,7 @@ and ``uses(func_id, block, idx, var)`` list what they write and read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tributary.fixpoint import GROUP, edge_table, least, propagate
 from tributary.functions.ordered import Ordered
@@ -56,32 +56,38 @@ def liveness(edges: DataFrame, defs: DataFrame, uses: DataFrame, phi_defs: DataF
     ``phi_defs(func_id, block, var)``; ``phi_uses(func_id, block, var)`` belong to the predecessor, a null block being the outside.
     A block that defines a variable does not take it in; a merge row's own variable is live in its block only if used.
     """
-    back = edge_table(flipped(edges))
-    wrote = keep(defs.select(GROUP, F.col("block").alias("node"), "var").distinct())
-    merged = keep(phi_defs.select(GROUP, F.col("block").alias("node"), "var").distinct())
+    back = edge_table(flipped(edges), edges)
+    dealt = back._dealt
+    wrote = keep(defs.select(GROUP, F.col("block").alias("node"), "var").distinct(), dealt)
+    merged = keep(phi_defs.select(GROUP, F.col("block").alias("node"), "var").distinct(), dealt)
     read = uses.select(GROUP, F.col("block").alias("node"), "var").unionByName(
         phi_uses.filter("block IS NOT NULL").select(GROUP, F.col("block").alias("node"), "var")
     )
     live = propagate(read, back, tags=["var"], stop=merged, never=wrote)
     passed = live.join(merged, [GROUP, "node", "var"], "left_anti").withColumnRenamed("node", "dst")
     out = passed.join(edges.select(GROUP, "src", "dst").distinct(), [GROUP, "dst"]).select(GROUP, F.col("src").alias("block"), "var")
-    return live.withColumnRenamed("node", "block"), keep(out.unionByName(phi_uses.select(GROUP, "block", "var")).distinct())
+    return live.withColumnRenamed("node", "block"), keep(out.unionByName(phi_uses.select(GROUP, "block", "var")).distinct(), dealt)
 
 
 def reaching_defs(edges: DataFrame, defs: DataFrame) -> DataFrame:
     """(func_id, block, var, def_idx): definitions that reach the start of a block."""
     edges = edge_table(edges)
-    last = keep(defs.groupBy(GROUP, "block", "var").agg(F.max("idx").alias("def_idx")))
+    last = keep(defs.groupBy(GROUP, "block", "var").agg(F.max("idx").alias("def_idx")), edges._dealt)
     seed = last.withColumnRenamed("block", "src").join(edges, [GROUP, "src"]).select(GROUP, F.col("dst").alias("node"), "var", "def_idx")
     kills = last.select(GROUP, F.col("block").alias("node"), "var")
-    return propagate(seed, edges, tags=["var", "def_idx"], stop=kills).withColumnRenamed("node", "block")
+    reached = propagate(seed, edges, tags=["var", "def_idx"], stop=kills)
+    out = reached.withColumnRenamed("node", "block")
+    out._dealt = edges._dealt
+    return out
 
 
 def reaching_out(edges: DataFrame, defs: DataFrame, reach_in: DataFrame) -> DataFrame:
     """(func_id, block, var, def_idx): definitions that reach the end of a block."""
     last = defs.groupBy(GROUP, "block", "var").agg(F.max("idx").alias("def_idx"))
+    dealt = getattr(reach_in, "_dealt", 0)
+    last = keep(last, dealt)
     through = reach_in.join(last.drop("def_idx"), [GROUP, "block", "var"], "left_anti")
-    return through.unionByName(last)
+    return keep(through.unionByName(last), dealt) if dealt else through.unionByName(last)
 
 
 def reaching_uses(edges: DataFrame, defs: DataFrame, uses: DataFrame) -> DataFrame:
@@ -105,8 +111,11 @@ def interference(edges: DataFrame, roots: DataFrame, defs: DataFrame, uses: Data
     Two such variables meet at the definition of one of them, or are both live where a way begins. So every definition is joined with
     what is live after it, and pairs are formed otherwise only among variables live at a start (undefined ones, parameters).
     """
+    edges = edge_table(edges)
+    dealt = edges._dealt
+    defs, uses = (keep(df.select(GROUP, "block", "var", "idx"), dealt) for df in (defs, uses))
     live_in, live_out = liveness(edges, defs, uses, phi_defs, phi_uses)
-    live_in = keep(live_in)
+    live_in = keep(live_in, dealt)
     # a merge row acts before the block's rows (position 0), what is live at the end outlives them all
     begin = live_in.select(GROUP, "block", "var", F.lit(0).alias("lo"), F.lit(1).alias("hi"))
     merged = phi_defs.select(GROUP, "block", "var").distinct()
@@ -119,7 +128,7 @@ def interference(edges: DataFrame, roots: DataFrame, defs: DataFrame, uses: Data
     )
     read = uses.select(GROUP, "block", "var", F.lit(None).cast("bigint").alias("lo"), (F.col("idx") + 1).alias("hi"))
     spans = begin.unionByName(made).unionByName(final).unionByName(read).groupBy(GROUP, "block", "var").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    spans = keep(spans.filter("lo < hi AND block IS NOT NULL").withColumnRenamed("var", "other"))
+    spans = keep(spans.filter("lo < hi AND block IS NOT NULL").withColumnRenamed("var", "other"), dealt)
     points = defs.select(GROUP, "block", "var", (F.col("idx") + 1).alias("at")).unionByName(merged.withColumn("at", F.lit(0)))
     met = points_in_intervals(points, spans, [GROUP, "block"], "at", "lo", "hi").select(GROUP, F.col("var").alias("x"), F.col("other").alias("y"))
 
@@ -127,10 +136,11 @@ def interference(edges: DataFrame, roots: DataFrame, defs: DataFrame, uses: Data
     begins = live_in.join(seen, [GROUP, "block"], "left_anti").unionByName(
         live_in.join(roots.select(GROUP, F.col("root").alias("block")), [GROUP, "block"], "left_semi")
     ).unionByName(live_out.filter("block IS NULL").withColumn("block", F.lit("")))
-    begins = keep(begins.distinct())
+    begins = keep(begins.distinct(), dealt)
     both = begins.withColumnRenamed("var", "x").join(begins.withColumnRenamed("var", "y"), [GROUP, "block"]).filter("x < y").select(GROUP, "x", "y")
     pairs = met.unionByName(both).filter("x <> y")
-    return pairs.select(GROUP, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = pairs.select(GROUP, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return keep(pairs, dealt) if dealt else pairs
 
 
 def dead_rows(sinks: DataFrame, results: DataFrame, depends: DataFrame) -> DataFrame:
@@ -154,26 +164,28 @@ def unsafe_between(edges: DataFrame, pairs: DataFrame, danger: DataFrame) -> Dat
     definition in its block, or in a third block on a way between the two. Per block the first and last danger decide. For third blocks
     the graph is walked with what was met on the way, per definition's block and only where a way leads to one of its uses.
     """
-    pairs = keep(pairs)
-    danger = keep(danger.select(GROUP, "block", "idx").distinct())
-    ends = keep(danger.groupBy(GROUP, "block").agg(F.min("idx").alias("first"), F.max("idx").alias("last")))
+    edges = edge_table(edges)
+    dealt = edges._dealt
+    pairs = keep(pairs, dealt)
+    danger = keep(danger.select(GROUP, "block", "idx").distinct(), dealt)
+    ends = keep(danger.groupBy(GROUP, "block").agg(F.min("idx").alias("first"), F.max("idx").alias("last")), dealt)
     same = pairs.filter("def_block = use_block")
     nxt = _next_danger(same, danger).filter("next_idx < use_idx")
-    apart = keep(pairs.filter("def_block <> use_block"))
+    apart = keep(pairs.filter("def_block <> use_block"), dealt)
     in_use = apart.join(ends.withColumnRenamed("block", "use_block"), [GROUP, "use_block"]).filter("first < use_idx")
     in_def = apart.join(ends.withColumnRenamed("block", "def_block"), [GROUP, "def_block"]).filter("last > def_idx")
     # a third block: between the definition's block and the use's; per definition's block only nodes on ways to its own uses
-    asked = keep(apart.select(GROUP, F.col("def_block").alias("start"), "use_block").distinct())
-    edges = edge_table(edges)
+    asked = keep(apart.select(GROUP, F.col("def_block").alias("start"), "use_block").distinct(), dealt)
     starts = asked.select(GROUP, F.col("start").alias("node"), "start").distinct()
     uses = asked.select(GROUP, F.col("use_block").alias("node"), "start")
-    ways = propagate(uses, edge_table(flipped(edges)), tags=["start"], within=propagate(starts, edges, tags=["start"]))
-    met = _dangers_met(edges, keep(ways), ends.select(GROUP, F.col("block").alias("node")))
+    ways = propagate(uses, edge_table(flipped(edges), edges), tags=["start"], within=propagate(starts, edges, tags=["start"]))
+    met = _dangers_met(edges, ways if dealt else keep(ways), ends.select(GROUP, F.col("block").alias("node")))
     hit = asked.join(met.withColumnRenamed("node", "use_block"), [GROUP, "start", "use_block"]).filter("low <> use_block OR high <> use_block")
     hit = hit.select(GROUP, F.col("start").alias("def_block"), "use_block")
     third = apart.join(hit, [GROUP, "def_block", "use_block"], "left_semi")
     names = pairs.columns
-    return nxt.select(names).unionByName(in_use.select(names)).unionByName(in_def.select(names)).unionByName(third.select(names)).distinct()
+    found = nxt.select(names).unionByName(in_use.select(names)).unionByName(in_def.select(names)).unionByName(third.select(names)).distinct()
+    return keep(found, dealt) if dealt else found
 
 
 def _dangers_met(edges: DataFrame, ways: DataFrame, danger: DataFrame) -> DataFrame:
@@ -183,14 +195,17 @@ def _dangers_met(edges: DataFrame, ways: DataFrame, danger: DataFrame) -> DataFr
     block, so the table has a row per way's node, however many dangers there are.
     """
     step = ways.withColumnRenamed("node", "src").join(edges, [GROUP, "src"])
-    step = keep(step.join(ways.withColumnRenamed("node", "dst"), [GROUP, "start", "dst"], "left_semi").select(GROUP, "start", "src", "dst"))
-    met = keep(ways.join(danger, [GROUP, "node"], "left_semi").filter("node <> start").select(GROUP, "start", "node"))
-    place = F.struct(GROUP, "start").alias(GROUP)
-    along = edge_table(step.select(place, "src", "dst"))
-    start = met.select(place, "node", F.col("node").alias("label"))
+    step = step.join(ways.withColumnRenamed("node", "dst"), [GROUP, "start", "dst"], "left_semi")
+    met = keep(ways.join(danger, [GROUP, "node"], "left_semi").filter("node <> start").select(GROUP, "start", "node"), edges._dealt)
+
+    def at(node: str) -> Column:
+        return F.struct("start", F.col(node).alias("node"))
+
+    along = edge_table(step.select(GROUP, at("src").alias("src"), at("dst").alias("dst")), edges)
+    start = met.select(GROUP, at("node").alias("node"), F.col("node").alias("label"))
     low = least(along, start).withColumnRenamed("label", "low")
     both = low.join(least(along, start, largest=True).withColumnRenamed("label", "high"), [GROUP, "node"])
-    return both.select(F.col(f"{GROUP}.{GROUP}").alias(GROUP), F.col(f"{GROUP}.start").alias("start"), "node", "low", "high")
+    return both.select(GROUP, "node.start", "node.node", "low", "high")
 
 
 def _next_danger(pairs: DataFrame, danger: DataFrame) -> DataFrame:

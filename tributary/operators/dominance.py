@@ -73,15 +73,17 @@ def edge_classes(edges: DataFrame, dom: DataFrame) -> DataFrame:
     """
     tree = tree_of(dom)
     seen = tree.nodes.select(GROUP, F.col("node").alias("src"))
-    edges = edge_table(edges.join(seen, [GROUP, "src"], "left_semi"))
-    back = keep(tree.above(edges, "dst", "src"), tree.dealt)
-    ring = strong_components(edges.join(back, [GROUP, "src", "dst"], "left_anti"))
+    edges = edge_table(edges.join(seen, [GROUP, "src"], "left_semi"), tree.nodes)
+    dealt = edges._dealt
+    back = tree.above(edges, "dst", "src")
+    back = back if tree.dealt else keep(back, dealt)
+    ring = strong_components(edges.join(back, [GROUP, "src", "dst"], "left_anti"), dealt)
     # without the back edges an edge is on a cycle if both ends are in one component
     inside = edges.join(ring.select(GROUP, F.col("node").alias("src"), F.col("component").alias("a")), [GROUP, "src"])
     inside = inside.join(ring.select(GROUP, F.col("node").alias("dst"), F.col("component").alias("b")), [GROUP, "dst"]).filter("a = b").select(GROUP, "src", "dst")
     marks = back.withColumn("kind", F.lit(0)).unionByName(inside.withColumn("kind", F.lit(1))).groupBy(GROUP, "src", "dst").agg(F.min("kind").alias("kind"))
     named = F.when(F.col("kind") == 0, "back").when(F.col("kind") == 1, "irreducible").otherwise("acyclic")
-    return keep(edges.join(marks, [GROUP, "src", "dst"], "left").select(GROUP, "src", "dst", named.alias("edge_class")))
+    return keep(edges.join(marks, [GROUP, "src", "dst"], "left").select(GROUP, "src", "dst", named.alias("edge_class")), dealt)
 
 
 def loop_edges(classes: DataFrame) -> DataFrame:
@@ -93,13 +95,14 @@ def loop_edges(classes: DataFrame) -> DataFrame:
 
 def loop_bodies(classes: DataFrame) -> DataFrame:
     """(func_id, head, node): per head the nodes on ways from it to its latching nodes that use no loop edge."""
-    loops = keep(classes.filter("edge_class <> 'acyclic'"))
-    plain = edge_table(classes.filter("edge_class = 'acyclic'"))
+    dealt = getattr(classes, "_dealt", 0)
+    loops = keep(classes.filter("edge_class <> 'acyclic'"), dealt)
+    plain = edge_table(classes.filter("edge_class = 'acyclic'"), classes)
     heads = loops.select(GROUP, F.col("dst").alias("node"), F.col("dst").alias("head")).distinct()
     latches = loops.select(GROUP, F.col("src").alias("node"), F.col("dst").alias("head"))
     ahead = propagate(heads, plain, tags=["head"])
-    behind = propagate(latches, edge_table(flipped(plain)), tags=["head"], within=ahead)
-    return keep(behind.unionByName(heads).distinct().select(GROUP, "head", "node"))
+    behind = propagate(latches, edge_table(flipped(plain), plain), tags=["head"], within=ahead)
+    return keep(behind.unionByName(heads).distinct().select(GROUP, "head", "node"), dealt)
 
 
 def region_successors(edges: DataFrame, regions: DataFrame) -> DataFrame:
@@ -112,7 +115,13 @@ def region_sinks(edges: DataFrame, regions: DataFrame) -> DataFrame:
     """(func_id, head, node): region nodes without successor, or with one outside the region."""
     inside = regions.select(GROUP, "head", F.col("node").alias("dst"), F.lit(True).alias("inside"))
     after = regions.join(edges.withColumnRenamed("src", "node"), [GROUP, "node"], "left").join(inside, [GROUP, "head", "dst"], "left")
-    return after.filter("inside IS NULL").select(GROUP, "head", "node").distinct()
+    return _stored(after.filter("inside IS NULL").select(GROUP, "head", "node").distinct(), regions)
+
+
+def _stored(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """What follows from a dealt table, stored where its joins need no shuffle; else as it is."""
+    dealt = getattr(like, "_dealt", 0)
+    return keep(rows, dealt) if dealt else rows
 
 
 def loop_exits(edges: DataFrame, bodies: DataFrame, roots: DataFrame) -> DataFrame:
@@ -121,18 +130,19 @@ def loop_exits(edges: DataFrame, bodies: DataFrame, roots: DataFrame) -> DataFra
     While a loop has several successors, those whose predecessors all lie inside are taken into the region, all of a round at once.
     """
     edges = edge_table(edges)
-    region, after = keep(bodies), keep(region_successors(edges, bodies))
+    dealt = edges._dealt
+    region, after, roots = keep(bodies, dealt), keep(region_successors(edges, bodies), dealt), keep(roots, dealt)
     while True:
         several = after.groupBy(GROUP, "head").count().filter("count > 1").select(GROUP, "head")
         asked = after.join(several, [GROUP, "head"], "left_semi").join(roots.select(GROUP, F.col("root").alias("node")), [GROUP, "node"], "left_anti")
         before = asked.join(edges.select(GROUP, F.col("dst").alias("node"), "src"), [GROUP, "node"])
         inside = region.select(GROUP, "head", F.col("node").alias("src"), F.lit(True).alias("inside"))
         full = before.join(inside, [GROUP, "head", "src"], "left").groupBy(GROUP, "head", "node").agg(F.count_if(F.col("inside").isNull()).alias("out"))
-        taken, n, _ = cut(full.filter("out = 0").select(GROUP, "head", "node"))
+        taken, n, _ = cut(full.filter("out = 0").select(GROUP, "head", "node"), dealt=dealt)
         if not n:
             return after
-        region = keep(region.unionByName(taken))
-        after = keep(region_successors(edges, region))
+        region = keep(region.unionByName(taken), dealt)
+        after = keep(region_successors(edges, region), dealt)
 
 
 def irregular_loops(edges: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -144,7 +154,8 @@ def irregular_loops(edges: DataFrame, bodies: DataFrame) -> DataFrame:
     entries = entries.groupBy(GROUP, "head").agg(F.countDistinct("node").alias("n_entries"))
     exits = region_successors(edges, bodies).groupBy(GROUP, "head").agg(F.count(F.lit(1)).alias("n_exits"))
     size = bodies.groupBy(GROUP, "head").agg(F.count(F.lit(1)).alias("n_nodes"))
-    return size.join(entries, [GROUP, "head"], "left").join(exits, [GROUP, "head"], "left").na.fill(0, ["n_entries", "n_exits"])
+    out = size.join(entries, [GROUP, "head"], "left").join(exits, [GROUP, "head"], "left").na.fill(0, ["n_entries", "n_exits"])
+    return _stored(out, bodies)
 
 
 def regions(edges: DataFrame, dom: DataFrame) -> DataFrame:
@@ -154,26 +165,28 @@ def regions(edges: DataFrame, dom: DataFrame) -> DataFrame:
     ways from the head to it are exactly the region.
     """
     edges = edge_table(edges)
-    region = keep(dom_region(dom))
-    size = dom_sizes(dom)
+    dealt = edges._dealt
+    region = keep(dom_region(dom), dealt)
+    # every node's region is made here anyway; counting it takes no walk around the tree
+    size = region.groupBy(GROUP, "head").agg(F.count(F.lit(1)).alias("n_nodes"))
     graph = tree_of(dom).nodes.groupBy(GROUP).agg(F.count(F.lit(1)).alias("total"))
     size = size.join(graph, GROUP).filter("(total >= 3 AND n_nodes >= 3) OR (total = 2 AND n_nodes = 2)").drop("total")
     inside = region.select(GROUP, "head", F.col("node").alias("dst"), F.lit(True).alias("inside"))
     out = region.join(edges.withColumnRenamed("src", "node"), [GROUP, "node"]).join(inside, [GROUP, "head", "dst"], "left").filter("inside IS NULL")
-    out = keep(out.select(GROUP, "head", "node", "dst").distinct())
+    out = keep(out.select(GROUP, "head", "node", "dst").distinct(), dealt)
     left = out.groupBy(GROUP, "head").agg(F.countDistinct("node").alias("exits"), F.countDistinct("dst").alias("targets"), F.min("dst").alias("succ"))
-    left = keep(size.join(left, [GROUP, "head"], "left").na.fill(0, ["exits", "targets"]))
+    left = keep(size.join(left, [GROUP, "head"], "left").na.fill(0, ["exits", "targets"]), dealt)
     simple = left.filter("exits <= 1 OR targets = 0")
     # several exit nodes but one successor: compare the slice head..successor with the region
-    ask = keep(left.filter("exits > 1 AND targets = 1").select(GROUP, "head", "succ", "n_nodes"))
+    ask = keep(left.filter("exits > 1 AND targets = 1").select(GROUP, "head", "succ", "n_nodes"), dealt)
     ahead = propagate(ask.select(GROUP, F.col("head").alias("node"), "head"), edges, tags=["head"])
-    behind = propagate(ask.select(GROUP, F.col("succ").alias("node"), "head"), edge_table(flipped(edges)), tags=["head"], within=ahead)
+    behind = propagate(ask.select(GROUP, F.col("succ").alias("node"), "head"), edge_table(flipped(edges), edges), tags=["head"], within=ahead)
     sliced = behind.join(ask, [GROUP, "head"]).join(region.withColumn("inside", F.lit(1)), [GROUP, "head", "node"], "left")
     sliced = sliced.groupBy(GROUP, "head", "n_nodes").agg(
         F.count("inside").alias("common"), F.count_if(F.col("inside").isNull() & (F.col("node") != F.col("succ"))).alias("other")
     )
     exact = sliced.filter("common = n_nodes AND other = 0")
-    return simple.select(GROUP, "head", "n_nodes").unionByName(exact.select(GROUP, "head", "n_nodes"))
+    return _stored(simple.select(GROUP, "head", "n_nodes").unionByName(exact.select(GROUP, "head", "n_nodes")), edges)
 
 
 MERGED, END = "<no return>", "<end>"
@@ -198,7 +211,7 @@ def noreturn_boundary(edges: DataFrame, nodes: DataFrame, noreturn: DataFrame) -
     )
     tree = dominator_tree(back, leaves.select(GROUP, F.lit(END).alias("root")).distinct())
     merged = tree.nodes.select(GROUP, F.lit(MERGED).alias("above"), F.col("node").alias("dst"))
-    doomed = keep(tree.above(merged, "above", "dst").select(GROUP, "dst"), tree.dealt)
+    doomed = keep(tree.above(merged, "above", "dst").select(GROUP, "dst"))
     into = edges.join(doomed, [GROUP, "dst"], "left_semi")
     # a doomed successor but not doomed itself: such a node is the frontier
     return into.join(doomed.withColumnRenamed("dst", "src"), [GROUP, "src"], "left_anti")

@@ -10,10 +10,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tributary.fixpoint import DEAL, GROUP, dealer, edge_table, hops, jump, propagate
+from tributary.fixpoint import DEAL, GROUP, edge_table, hops, jump, propagate  # noqa: F401 (tests set DEAL here, too)
 from tributary.functions.ordered import Ordered
 from tributary.operators import orders
-from tributary.tables import cut, keep, stored
+from tributary.tables import Rounds, cut, keep
 
 RADIX, DIGIT = 16, 4
 #: Nodes are contracted into their only predecessor while this share of the nodes has one.
@@ -25,14 +25,14 @@ SHALLOW = 10
 class Forest:
     """``parents(func_id, node, parent)``, parent null at a root, with depth (roots at 1) and jump tables."""
 
-    def __init__(self, parents: DataFrame, dealt: bool = False):
-        #: whether the graphs are small enough to deal rows out by graph, see ``fixpoint.small_graphs``
-        self.dealt, self.deal = dealt, dealer(dealt)
+    def __init__(self, parents: DataFrame, dealt: int = 0):
+        #: the number of buckets by graph, where the graphs are dealt out, see ``fixpoint.edge_table``
+        self.dealt = dealt
         level = parents.select(GROUP, "node", F.col("parent").alias("u1"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("s"))
         self.levels: list[DataFrame] = []
         self._places: DataFrame | None = None
         while True:
-            level, n, _ = cut(self._doubled(self.deal(level)), F.col(f"u{RADIX}").isNotNull(), dealt)
+            level, n, _ = cut(self._doubled(level), F.col(f"u{RADIX}").isNotNull(), dealt)
             self.levels.append(level)
             if not n:
                 break
@@ -40,7 +40,8 @@ class Forest:
         depth = level.select(GROUP, "node", (F.col("s") + 1).alias("depth"))
         above = self.levels[0].select(GROUP, "node", F.col("u1").alias("parent"), "s")
         #: (func_id, node, parent, depth)
-        self.nodes = keep(above.join(depth, [GROUP, "node"]).drop("s")) if len(self.levels) > 1 else above.withColumn("depth", F.col("s") + 1).drop("s")
+        self.nodes = keep(above.join(depth, [GROUP, "node"]).drop("s"), dealt) if len(self.levels) > 1 else above.withColumn("depth", F.col("s") + 1).drop("s")
+        self.nodes._dealt = dealt
 
     @staticmethod
     def _doubled(level: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ class Forest:
     def _at(self, rows: DataFrame, column: str, digit: int, steps: list[str]) -> DataFrame:
         """``rows`` with the jumps of ``column`` on one level."""
         table = self.levels[digit].select(GROUP, F.col("node").alias(column), *[F.col(f"u{i}").alias(s) for i, s in enumerate(steps, 1)])
-        return rows.join(self.deal(table), [GROUP, column], "left")
+        return rows.join(table, [GROUP, column], "left")
 
     def lifted(self, rows: DataFrame, column: str, by: Column) -> DataFrame:
         """``rows`` with ``column`` replaced by its ancestor so many steps above; a null there stays null."""
@@ -73,17 +74,18 @@ class Forest:
     def above(self, pairs: DataFrame, a: str, b: str) -> DataFrame:
         """``pairs`` in which ``a`` is ``b`` or an ancestor of it."""
         given = pairs.columns
-        nodes = self.deal(self.nodes.select(GROUP, "node", "depth"))
-        rows = self.deal(pairs).join(nodes.select(GROUP, F.col("node").alias(a), F.col("depth").alias("_da")), [GROUP, a])
+        nodes = self.nodes.select(GROUP, "node", "depth")
+        rows = pairs.join(nodes.select(GROUP, F.col("node").alias(a), F.col("depth").alias("_da")), [GROUP, a])
         rows = rows.join(nodes.select(GROUP, F.col("node").alias(b), F.col("depth").alias("_db")), [GROUP, b]).filter("_da <= _db")
         rows = rows.withColumn("_up", F.col(b))
-        return self.lifted(rows, "_up", F.col("_db") - F.col("_da")).filter(F.col("_up") == F.col(a)).select(given)
+        rows = self.lifted(rows, "_up", F.col("_db") - F.col("_da")).filter(F.col("_up") == F.col(a)).select(given)
+        return keep(rows, self.dealt) if self.dealt else rows
 
     def meet(self, pairs: DataFrame, a: str, b: str) -> DataFrame:
         """``pairs`` with ``meet``, the nearest common ancestor of nodes ``a`` and ``b`` (null where they share no root), and ``meet_depth``."""
         given = pairs.columns
-        rows = self.deal(pairs).withColumns({"_a": F.col(a), "_b": F.col(b)})
-        nodes = self.deal(self.nodes.select(GROUP, "node", "depth"))
+        rows = pairs.withColumns({"_a": F.col(a), "_b": F.col(b)})
+        nodes = self.nodes.select(GROUP, "node", "depth")
         for side in ("a", "b"):
             rows = rows.join(nodes.select(GROUP, F.col("node").alias(f"_{side}"), F.col("depth").alias(f"_d{side}")), [GROUP, f"_{side}"])
         deeper = F.col("_da") > F.col("_db")
@@ -105,7 +107,6 @@ class Forest:
 
     def common(self, groups: DataFrame, by: list[str], node: str) -> DataFrame:
         """(*by, meet, meet_depth): the nearest common ancestor of all ``node`` of a group, null where they share no root."""
-        groups = self.deal(groups)
         first = groups.groupBy(*by).agg(F.min(node).alias("_first"))
         rows = self.meet(groups.join(first, by), "_first", node)
         # all of these lie above the first node, so the highest one lies above all
@@ -148,7 +149,7 @@ class Forest:
 
     def relation(self) -> DataFrame:
         """(func_id, node, dom, pos): every node with itself and all its ancestors; ``pos`` counts from the root at 0."""
-        rows = self.deal(self.nodes.select(GROUP, "node", F.col("node").alias("dom"), (F.col("depth") - 1).alias("pos")))
+        rows = self.nodes.select(GROUP, "node", F.col("node").alias("dom"), (F.col("depth") - 1).alias("pos"))
         names = [f"_u{i}" for i in range(1, RADIX)]
         for digit in range(len(self.levels)):
             here = [F.struct(F.col(n).alias("dom"), (F.col("pos") - i * RADIX**digit).alias("pos")) for i, n in enumerate(["dom", *names])]
@@ -157,33 +158,30 @@ class Forest:
         return rows
 
 
-def _searched(between: DataFrame, roots: DataFrame, rounds: int | None = None, small: bool = False) -> DataFrame | None:
+def _searched(between: DataFrame, roots: DataFrame, rounds: int | None = None) -> DataFrame | None:
     """(func_id, node, parent): by breadth from the roots along ``between(func_id, src, dst, p)``, where ``p`` names the parent to note; None if that
     takes more rounds. A round makes several hops while little is found."""
-    spark = between.sparkSession
+    dealt = getattr(between, "_dealt", 0)
     stays = between.select(GROUP, F.col("dst").alias("src"), "dst").distinct().withColumn("p", F.lit(None).cast(between.schema["p"].dataType))
-    along = keep(between.unionByName(stays))
+    along = keep(between.unionByName(stays), dealt)
 
     def hop(rows: DataFrame, edges: DataFrame) -> DataFrame:
-        step = rows.withColumnRenamed("node", "src").join(deal(edges), [GROUP, "src"])
+        step = rows.withColumnRenamed("node", "src").join(edges, [GROUP, "src"])
         stay = F.col("src") == F.col("dst")
         way = F.struct(F.when(stay, F.col("depth")).otherwise(F.col("depth") + 1).alias("depth"), F.when(stay, F.col("parent")).otherwise(F.col("p")).alias("parent"))
         return step.groupBy(GROUP, F.col("dst").alias("node")).agg(F.min(way).alias("w")).select(GROUP, "node", "w.parent", "w.depth")
 
     start = roots.select(GROUP, "node", F.lit(None).cast(between.schema["p"].dataType).alias("parent"), F.lit(0).alias("depth"))
-    frontier, n, path = cut(start)
-    schema, paths = frontier.schema, [path]
+    done = Rounds(dealt)
+    frontier, n = done.add(start)
     while n:
-        if rounds is not None and len(paths) > rounds:
+        if rounds is not None and done.n > rounds:
             return None
-        dealt = small and n > DEAL
-        deal = dealer(dealt)
-        found = hop(deal(frontier), between)
+        found = hop(frontier, between)
         for _ in range(hops(n, dealt) - 1):
             found = hop(found, along)
-        frontier, n, path = cut(found.join(deal(stored(spark, schema, paths).select(GROUP, "node")), [GROUP, "node"], "left_anti"), dealt=dealt)
-        paths.append(path)
-    return stored(spark, schema, paths).drop("depth")
+        frontier, n = done.add(found.join(done.all().select(GROUP, "node"), [GROUP, "node"], "left_anti"))
+    return done.all().drop("depth")
 
 
 def spanning_tree(edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, bool]:
@@ -192,8 +190,8 @@ def spanning_tree(edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, bool]:
     A search by breadth, if it ends soon. In graphs with long ways nodes with a single predecessor are first taken into it, whole chains at a time by pointer
     jumping, and again what then has a single predecessor, as long as that concerns half of the nodes: long chains and nested loops shrink in few rounds.
     """
-    between = keep(edges.filter("src <> dst").select(GROUP, "src", "dst", F.col("src").alias("p")))
-    found = _searched(between, roots, SHALLOW, getattr(edges, "_small_graphs", False))
+    between = keep(edges.filter("src <> dst").select(GROUP, "src", "dst", F.col("src").alias("p")), getattr(edges, "_dealt", 0))
+    found = _searched(between, roots, SHALLOW)
     if found is not None:
         return found, True
     heads, chosen = None, None
@@ -235,20 +233,19 @@ def dominator_tree(edges: DataFrame, roots: DataFrame) -> Forest:
     the candidate itself. In a deep one nothing is listed, see ``_narrowed``.
     """
     edges = edge_table(edges)
-    roots = keep(roots.select(GROUP, F.col("root").alias("node")).distinct())
+    roots = keep(roots.select(GROUP, F.col("root").alias("node")).distinct(), edges._dealt)
     parents, shallow = spanning_tree(edges, roots)
-    dealt = shallow and edges._small_graphs
-    deal = dealer(dealt)
-    into = deal(edges).filter("src <> dst").join(deal(parents.select(GROUP, F.col("node").alias("src"))), [GROUP, "src"], "left_semi")
+    dealt = edges._dealt if shallow else 0
+    into = edges.filter("src <> dst").join(parents.select(GROUP, F.col("node").alias("src")), [GROUP, "src"], "left_semi")
     if not shallow:
         return _narrowed(into, roots, parents)
     first = keep(Forest(parents, dealt).relation(), dealt)
-    first = deal(first)
     strict = first.filter("node <> dom").select(GROUP, "node", "dom")
+    strict._dealt = dealt
     held = first.select(GROUP, F.col("node").alias("src"), "dom")
     failed = into.withColumnRenamed("dst", "node").join(strict, [GROUP, "node"]).join(held, [GROUP, "src", "dom"], "left_anti").select(GROUP, "node", "dom")
     failed = propagate(failed, edges, tags=["dom"], within=strict)
-    up = first.filter("node <> dom").join(deal(failed), [GROUP, "node", "dom"], "left_anti").groupBy(GROUP, "node").agg(F.max_by("dom", "pos").alias("parent"))
+    up = first.filter("node <> dom").join(failed, [GROUP, "node", "dom"], "left_anti").groupBy(GROUP, "node").agg(F.max_by("dom", "pos").alias("parent"))
     parents = keep(first.filter("node = dom").select(GROUP, "node").join(up, [GROUP, "node"], "left"), dealt)
     return Forest(parents, dealt)
 
