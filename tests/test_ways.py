@@ -259,3 +259,12 @@ def test_labels_follow_the_largest_too(edges, table):
     start = table("func_id bigint, node string, label string", [(1, "a", "k"), (1, "d", "z"), (1, "b", "m")])
     assert got(least(e, start), "node", "label") == {("a", "k"), ("b", "k"), ("c", "k"), ("d", "z")}
     assert got(least(e, start, largest=True), "node", "label") == {("a", "z"), ("b", "z"), ("c", "z"), ("d", "z")}
+
+
+def test_shortcuts_over_two_edges_need_no_labels(table, monkeypatch):
+    tree = [(0, f"n{(i - 1) // 3}", f"n{i}") for i in range(1, 60)]
+    up = {b: a for _, a, b in tree}
+    rows = tree + [(0, up[a], b) for _, a, b in tree if a in up]
+    monkeypatch.setattr(orders, "WayLabels", None)
+    out = graph.reduce_dag(table("func_id bigint, src string, dst string", rows))
+    assert got(out, "func_id", "src", "dst") == set(tree)

@@ -144,11 +144,27 @@ def longer_ways(edges: DataFrame, level: DataFrame) -> DataFrame:
     asked, n, _ = cut(asked.select(GROUP, "a", "b"))
     if not n:
         return asked
-    labels = WayLabels(edges, level)
     out = edges.groupBy(GROUP, F.col("src").alias("a")).agg(F.count(F.lit(1)).alias("n_out"))
     into = edges.groupBy(GROUP, F.col("dst").alias("b")).agg(F.count(F.lit(1)).alias("n_in"))
     asked = keep(asked.join(out, [GROUP, "a"]).join(into, [GROUP, "b"]))
+    short = keep(_two_edges(edges, asked))
+    asked, n, _ = cut(asked.join(short, [GROUP, "a", "b"], "left_anti"))
+    if not n:
+        return short
+    labels = WayLabels(edges, level)
     back = edge_table(edges.select(GROUP, F.col("dst").alias("src"), F.col("src").alias("dst")))
     forward = _search(edges, asked.filter("n_out <= n_in"), labels, "a", "b", WayLabels.possible)
     backward = _search(back, asked.filter("n_out > n_in"), labels, "b", "a", lambda n, t: WayLabels.possible(t, n))
-    return forward.select(GROUP, "a", "b").unionByName(backward.select(GROUP, "a", "b"))
+    return short.unionByName(forward.select(GROUP, "a", "b")).unionByName(backward.select(GROUP, "a", "b"))
+
+
+def _two_edges(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """(func_id, a, b): of ``asked(func_id, a, b, n_out, n_in)`` what a way of two edges answers, looked for from the end with fewer edges. That takes the
+    rows of a search's first step, and what it answers needs no labels."""
+    key = [GROUP, "a", "b"]
+    ahead = asked.filter("n_out <= n_in").select(*key).join(edges.select(GROUP, F.col("src").alias("a"), F.col("dst").alias("mid")), [GROUP, "a"])
+    behind = asked.filter("n_out > n_in").select(*key).join(edges.select(GROUP, F.col("src").alias("mid"), F.col("dst").alias("b")), [GROUP, "b"])
+    last = edges.select(GROUP, F.col("src").alias("mid"), F.col("dst").alias("b"))
+    first = edges.select(GROUP, F.col("src").alias("a"), F.col("dst").alias("mid"))
+    found = ahead.join(last, [GROUP, "mid", "b"], "left_semi").unionByName(behind.join(first, [GROUP, "a", "mid"], "left_semi").select(*ahead.columns))
+    return found.select(*key).distinct()
