@@ -9,6 +9,7 @@ from tributary import fixpoint
 from tributary.operators import dataflow as f
 from tributary.operators import dominance as d
 from tributary.operators import graph as g
+from tributary.operators import trees
 from tributary.operators.cycles import strong_components
 from tributary.tables import _as_dealt
 
@@ -55,3 +56,23 @@ def test_buckets_change_no_result(table, monkeypatch):
     want = all_of()
     monkeypatch.setattr(fixpoint, "DEAL", 0)
     assert all_of() == want
+
+
+def test_trees_and_jumps_in_buckets(table, monkeypatch):
+    nodes = [(s, "r", None, 0, "plus", None) for s in range(9)]
+    nodes += [(s, f"{i}", "r", i, None if i else "minus", None if i == 0 else f"v{i}") for s in range(9) for i in range(s % 3 + 2)]
+    nodes += [(s, "x", "0", 0, None, "v1") for s in range(9)]
+    nodes = table("func_id bigint, node string, parent string, pos int, op string, var string", nodes)
+    edges, roots = graphs(table)
+
+    def all_of():
+        done = trees.complexity(nodes)
+        e = fixpoint.edge_table(edges.select("*"))
+        sizes = d.dom_sizes(d.dominators(e, roots))
+        return getattr(done, "_dealt", 0), got(done, "func_id", "node", "complexity"), got(trees.dependency_scores(nodes), "func_id", "root", "var", "score"), got(sizes, "func_id", "head", "n_nodes"), got(g.levels(e), "func_id", "node", "level")
+
+    want = all_of()
+    monkeypatch.setattr(fixpoint, "DEAL", 0)
+    dealt = all_of()
+    assert (want[0], dealt[0] > 0) == (0, True)
+    assert dealt[1:] == want[1:]

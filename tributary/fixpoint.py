@@ -21,6 +21,8 @@ FEW, SMALL = 2_000, 200_000
 #: Tables above so many rows are dealt out by graph, if no graph has more edges than this: they are stored in buckets by graph, and what is joined
 #: with them on (graph, node) and stored likewise needs no shuffle, however many rounds there are.
 DEAL, GRAPH = 50_000, 10_000
+#: Rows of a bucket.
+BUCKET = 500_000
 
 
 def hops(n: int, dealt: int = 0) -> int:
@@ -29,9 +31,9 @@ def hops(n: int, dealt: int = 0) -> int:
     return 3 if n <= SMALL or dealt else 1
 
 
-def buckets(spark) -> int:
-    """Buckets of what is dealt out by graph: as many as a shuffle of the session has partitions."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def buckets(spark, rows: int = 0) -> int:
+    """Buckets of what is dealt out by graph: as many as a shuffle of the session has partitions, or more where these would be large."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // BUCKET)
 
 
 def small_graphs(table: DataFrame, n: int) -> bool:
@@ -49,7 +51,7 @@ def edge_table(edges: DataFrame, like: DataFrame | None = None) -> DataFrame:
     dealt = getattr(like, "_dealt", 0)
     out, n, _ = cut(edges.select(GROUP, "src", "dst").distinct(), dealt=dealt)
     if not dealt and small_graphs(out, n):
-        dealt = buckets(edges.sparkSession)
+        dealt = buckets(edges.sparkSession, n)
         last, out = out, keep(out, dealt)
         drop(last)
     out._edge_table, out._small_graphs, out._dealt = True, bool(dealt), dealt
@@ -176,15 +178,15 @@ def closure(edges: DataFrame) -> DataFrame:
     return stored(spark, fresh.schema, paths)
 
 
-def jump(parents: DataFrame) -> DataFrame:
+def jump(parents: DataFrame, dealt: int = 0) -> DataFrame:
     """(func_id, node, parent, steps): the last parent of every node and the way to it. Pointer jumping, logarithmic rounds.
 
     ``parents(func_id, node, parent)`` holds each node once; a parent that is no node, or its own, ends the walk. A cycle ends at its smallest
-    node, for the nodes on it as for those behind it.
+    node, for the nodes on it as for those behind it. ``dealt``: the buckets to store the rounds in, where graphs are small.
     """
     parents = parents.select(GROUP, "node", "parent")
     own = F.col("node").eqNullSafe(F.col("parent"))
-    now, n, _ = cut(parents.withColumns({"steps": F.when(own, 0).otherwise(1), "own": own, "moved": ~own}))
+    now, n, _ = cut(parents.withColumns({"steps": F.when(own, 0).otherwise(1), "own": own, "moved": ~own}), dealt=dealt)
     before = size = None
     length = 1  # every parent is so many steps away, or the last one
     while n:
@@ -193,12 +195,12 @@ def jump(parents: DataFrame) -> DataFrame:
             if length >= size:
                 break
         before, last = n, now
-        now, n, _ = cut(_doubled(_doubled(now)), F.col("moved"))
+        now, n, _ = cut(_doubled(_doubled(now)), F.col("moved"), dealt)
         drop(last)
         length *= 4
     if not n:
         out = now.drop("moved", "own")
-        out._path = now._path
+        out._path, out._name, out._dealt = now._path, getattr(now, "_name", None), dealt
         return out
     stuck = now.filter("moved").select(GROUP, "node")
     ring = keep(parents.join(now.filter("moved").select(GROUP, F.col("parent").alias("node")).distinct(), [GROUP, "node"], "left_semi"))
@@ -212,7 +214,7 @@ def jump(parents: DataFrame) -> DataFrame:
     ends = low.filter("node = low").select(GROUP, "node", F.lit(True).alias("ends"))
     opened = parents.join(stuck, [GROUP, "node"], "left_semi").join(ends, [GROUP, "node"], "left")
     opened = opened.select(GROUP, "node", F.when(F.col("ends"), F.col("node")).otherwise(F.col("parent")).alias("parent"))
-    return now.filter("NOT moved").drop("moved", "own").unionByName(jump(opened))
+    return now.filter("NOT moved").drop("moved", "own").unionByName(jump(opened, dealt))
 
 
 def _doubled(now: DataFrame) -> DataFrame:

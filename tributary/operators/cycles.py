@@ -31,7 +31,7 @@ def trimmed(edges: DataFrame, dealt: int = 0) -> tuple[DataFrame, int]:
     """The edges on cycles or on ways between them, hardly more, and their number."""
     edges, n, _ = cut(edges.select(GROUP, "src", "dst").filter("src <> dst").distinct(), dealt=dealt)
     if not dealt and small_graphs(edges, n):
-        dealt = buckets(edges.sparkSession)
+        dealt = buckets(edges.sparkSession, n)
         edges = keep(edges, dealt)
     before = None
     while n and (before is None or n < WORTH * before):

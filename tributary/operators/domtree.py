@@ -116,7 +116,7 @@ class Forest:
     def places(self) -> DataFrame:
         """(func_id, node, place, leave): subtrees as intervals."""
         if self._places is None:
-            self._places = keep(orders.places(self.nodes.select(GROUP, "node", "parent")))
+            self._places = keep(orders.places(self.nodes.select(GROUP, "node", "parent"), self.dealt), self.dealt)
         return self._places
 
     def nearest(self, points: DataFrame, marks: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -128,24 +128,25 @@ class Forest:
         """
         key = [GROUP, *by]
         place = self.places()
-        marks = keep(marks.select(*key, "node").join(place, [GROUP, "node"]))
-        points = points.select(*key, "node").join(place.drop("leave"), [GROUP, "node"])
+        marks = keep(marks.select(*key, "node").join(place, [GROUP, "node"]), self.dealt)
+        points = keep(points.select(*key, "node").join(place.drop("leave"), [GROUP, "node"]), self.dealt)
         none = F.lit(None).cast("boolean")
         opened = marks.select(*key, "node", F.col("place").alias("t"), F.lit(0).alias("turn"), F.lit(False).alias("closes"))
         closed = marks.select(*key, "node", F.col("leave").alias("t"), F.lit(0).alias("turn"), F.lit(True).alias("closes"))
         asking = points.select(*key, "node", F.col("place").alias("t"), F.lit(1).alias("turn"), none.alias("closes"))
         event = F.when(F.col("closes").isNotNull(), F.struct(F.col("node").alias("mark"), F.col("closes").alias("gone")))
-        seen = keep(Ordered(opened.unionByName(closed).unionByName(asking), key, ["t", "turn"]).last_known(event, "before", False))
+        seen = keep(Ordered(opened.unionByName(closed).unionByName(asking), key, ["t", "turn"]).last_known(event, "before", False), self.dealt)
         around = seen.filter("closes = false").select(*key, "node", "before")
         tag = F.struct(*by, "node")
         beside = F.when(F.col("before.gone"), F.struct(*by, F.col("before.mark").alias("node"))).otherwise(tag)
-        first = jump(around.select(GROUP, tag.alias("node"), beside.alias("parent"))).select(GROUP, "node", F.col("parent").alias("first"))
+        first = jump(around.select(GROUP, tag.alias("node"), beside.alias("parent")), self.dealt).select(GROUP, "node", F.col("parent").alias("first"))
         direct = around.select(GROUP, tag.alias("first"), F.when(~F.col("before.gone"), F.col("before.mark")).alias("above"))
-        above = keep(first.join(direct, [GROUP, "first"]).select(GROUP, *[F.col(f"node.{c}").alias(c) for c in [*by, "node"]], "above"))
+        above = keep(first.join(direct, [GROUP, "first"]).select(GROUP, *[F.col(f"node.{c}").alias(c) for c in [*by, "node"]], "above"), self.dealt)
         asked = seen.filter("turn = 1").withColumn("_mark", F.col("before.mark"))
         asked = asked.join(above.select(*key, F.col("node").alias("_mark"), F.col("above").alias("_above")), [*key, "_mark"], "left")
         at = F.when(F.col("before.gone"), F.col("_above")).otherwise(F.col("_mark"))
-        return asked.select(*key, "node", at.alias("at")), above
+        asked = asked.select(*key, "node", at.alias("at"))
+        return keep(asked, self.dealt) if self.dealt else asked, above
 
     def relation(self) -> DataFrame:
         """(func_id, node, dom, pos): every node with itself and all its ancestors; ``pos`` counts from the root at 0."""

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tributary.fixpoint import GROUP, LOGS, edge_table, jump, least
 from tributary.functions.ordered import Ordered
-from tributary.tables import cut, keep, stored
+from tributary.tables import Rounds, cut, keep, stored
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -22,35 +22,33 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Every round logs the edges that came in from nodes done just before, per node, and looks up only the nodes that got some.
     """
     edges = edge_table(edges)
-    spark = edges.sparkSession
-    need = keep(edges.groupBy(GROUP, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("need")))
-    ready, n, path = cut(nodes.join(need, [GROUP, "node"], "left_anti").select(GROUP, "node", F.lit(0).alias("level")))
-    schema, paths, logs, level, log_schema = ready.schema, [path], [], 0, None
+    dealt = edges._dealt
+    need = keep(edges.groupBy(GROUP, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("need")), dealt)
+    done, logs, level = Rounds(dealt), Rounds(dealt), 0
+    ready, n = done.add(nodes.join(need, [GROUP, "node"], "left_anti").select(GROUP, "node", F.lit(0).alias("level")))
     while n:
         level += 1
         came = edges.join(ready.select(GROUP, F.col("node").alias("src")), [GROUP, "src"]).groupBy(GROUP, F.col("dst").alias("node"))
-        came, n, path = cut(came.agg(F.count(F.lit(1)).alias("have")))
+        came, n = logs.add(came.agg(F.count(F.lit(1)).alias("have")))
         if not n:
             break
-        logs.append(path)
-        log_schema = came.schema
-        if len(logs) > LOGS:
-            logs = [cut(stored(spark, log_schema, logs).groupBy(GROUP, "node").agg(F.sum("have").alias("have")))[2]]
-        have = stored(spark, log_schema, logs).join(came.select(GROUP, "node"), [GROUP, "node"], "left_semi")
+        if logs.n > LOGS:
+            last, logs = logs, Rounds(dealt)
+            logs.add(last.all().groupBy(GROUP, "node").agg(F.sum("have").alias("have")))
+        have = logs.all().join(came.select(GROUP, "node"), [GROUP, "node"], "left_semi")
         have = have.groupBy(GROUP, "node").agg(F.sum("have").alias("have")).join(need, [GROUP, "node"]).filter("have = need")
-        ready, n, path = cut(have.select(GROUP, "node", F.lit(level).alias("level")))
-        paths.append(path)
-    return nodes.join(stored(spark, schema, paths), [GROUP, "node"], "left")
+        ready, n = done.add(have.select(GROUP, "node", F.lit(level).alias("level")))
+    return nodes.join(done.all(), [GROUP, "node"], "left")
 
 
-def places(parents: DataFrame) -> DataFrame:
+def places(parents: DataFrame, dealt: int = 0) -> DataFrame:
     """(func_id, node, place, leave): nodes of a forest ``parents(func_id, node, parent)`` numbered so that a subtree is the interval ``place .. leave``.
 
     A walk around the forest enters and leaves each node; whom it meets next is known per node, and pointer jumping counts the steps to the end.
     All numbers of a graph differ; the interval of a subtree of n nodes holds 2 n of them.
     """
     kids = parents.select(GROUP, F.struct("parent").alias("up"), "node")
-    rows = keep(Ordered(kids, [GROUP, "up"], ["node"]).previous("node", "prev").select(GROUP, F.col("up.parent").alias("parent"), "node", "prev"))
+    rows = keep(Ordered(kids, [GROUP, "up"], ["node"]).previous("node", "prev").select(GROUP, F.col("up.parent").alias("parent"), "node", "prev"), dealt)
 
     def at(column: str, leave: int) -> Column:
         return F.struct(F.lit(leave).alias("leave"), F.col(column).alias("of"))
@@ -65,7 +63,7 @@ def places(parents: DataFrame) -> DataFrame:
         .unionByName(leaves.select(GROUP, at("node", 0).alias("node"), at("node", 1).alias("parent")))
         .unionByName(ends.filter("parent IS NULL").select(GROUP, at("last", 1).alias("node"), at("last", 1).alias("parent")))
     )
-    ranked = jump(steps).groupBy(GROUP, F.col("node.of").alias("node"))
+    ranked = jump(steps, dealt).groupBy(GROUP, F.col("node.of").alias("node"))
     sides = [F.max(F.when(F.col("node.leave") == i, -F.col("steps"))).cast("bigint").alias(n) for i, n in enumerate(("place", "leave"))]
     return ranked.agg(*sides)
 

@@ -10,9 +10,10 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tributary.fixpoint import GROUP
+from tributary import fixpoint
+from tributary.fixpoint import GROUP, buckets
 from tributary.functions.scalar import BIG, fold_constants
-from tributary.tables import cut, keep, stored
+from tributary.tables import Rounds, cut, keep
 
 
 def fold_tree(
@@ -23,24 +24,28 @@ def fold_tree(
     ``leaf`` and ``inner`` name the same results; ``inner`` may be a function that adds them in several steps. ``aggs`` see the
     children's columns and results.
     """
+    total, most = nodes.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    # small trees are stored in buckets, and folded without a further shuffle
+    dealt = buckets(nodes.sparkSession, total) if total and total > fixpoint.DEAL and most <= fixpoint.GRAPH else 0
+    nodes = keep(nodes, dealt) if dealt else nodes
     counts = nodes.filter("parent IS NOT NULL").groupBy(GROUP, F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("_need"))
     columns = nodes.columns
-    nodes = keep(nodes.join(counts, [GROUP, "node"], "left"))
+    nodes = keep(nodes.join(counts, [GROUP, "node"], "left"), dealt)
     inner_nodes = nodes.filter("_need IS NOT NULL")
-    done, n, path = cut(nodes.filter("_need IS NULL").select(*columns, *leaf))
-    schema, paths, pending = done.schema, [path], done
+    rounds = Rounds(dealt)
+    done, n = rounds.add(nodes.filter("_need IS NULL").select(*columns, *leaf))
+    schema, pending = done.schema, done
     while n:
         kids = pending.filter("parent IS NOT NULL").groupBy(GROUP, F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("_have"), *aggs)
         now = inner_nodes.join(kids, [GROUP, "node"])
         ready = now.filter("_need = _have").drop("_need", "_have")
         ready = inner(ready) if callable(inner) else ready.select(*columns, *inner)
         # the written rounds share one schema, whatever type an expression widens to
-        done, n, path = cut(ready.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]))
-        paths.append(path)
+        done, n = rounds.add(ready.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]))
         # children whose parent still waits for others stay for the next round
-        late, n_late, _ = cut(now.filter("_need <> _have").select(GROUP, F.col("node").alias("parent")))
+        late, n_late, _ = cut(now.filter("_need <> _have").select(GROUP, F.col("node").alias("parent")), dealt=dealt)
         pending = done.unionByName(pending.join(late, [GROUP, "parent"], "left_semi").select(*done.columns)) if n_late else done
-    return stored(nodes.sparkSession, schema, paths)
+    return rounds.all()
 
 
 def complexity(nodes: DataFrame) -> DataFrame:
@@ -90,18 +95,18 @@ def dependency_scores(nodes: DataFrame) -> DataFrame:
         [F.count_if("holds").alias("_w")],
         [((F.col("_w") > 0) & ~opaque).alias("holds"), F.col("_w").alias("ways")],
     )
-    shares = keep(shares.filter("holds"))
+    dealt = getattr(shares, "_dealt", 0)
+    shares = keep(shares.filter("holds"), dealt)
     # every share moves up on its own; equal ones meet and add up
-    frontier, n, path = cut(shares.filter("var IS NOT NULL").select(GROUP, "node", "parent", "var", F.lit(1.0).alias("score")))
-    schema, paths = frontier.schema, [path]
+    rounds = Rounds(dealt)
+    frontier, n = rounds.add(shares.filter("var IS NOT NULL").select(GROUP, "node", "parent", "var", F.lit(1.0).alias("score")))
     up = shares.select(GROUP, F.col("node").alias("parent"), F.col("parent").alias("next"), "ways")
     while n:
         step = frontier.filter("parent IS NOT NULL").join(up, [GROUP, "parent"])
         step = step.select(GROUP, F.col("parent").alias("node"), F.col("next").alias("parent"), "var", (F.col("score") / F.col("ways") * PENALTY).alias("score"))
         step = step.groupBy(GROUP, "node", "parent", "var").agg(F.sum("score").alias("score"))
-        frontier, n, path = cut(step)
-        paths.append(path)
-    ends = stored(frontier.sparkSession, schema, paths).filter("parent IS NULL")
+        frontier, n = rounds.add(step)
+    ends = rounds.all().filter("parent IS NULL")
     return ends.groupBy(GROUP, F.col("node").alias("root"), "var").agg(F.sum("score").alias("score"))
 
 

@@ -151,7 +151,7 @@ def reuse_pairs(edges: DataFrame, dom: DataFrame, rows: DataFrame, danger: DataF
     first = keep(first)
     asked = rows.select(GROUP, F.col("block").alias("node"), "fp").distinct()
     near, above = tree_of(dom).nearest(asked, first.select(GROUP, F.col("def_block").alias("node"), "fp"), ["fp"])
-    top = jump(above.select(GROUP, F.struct("fp", "node").alias("node"), F.struct("fp", F.coalesce("above", "node").alias("node")).alias("parent")))
+    top = jump(above.select(GROUP, F.struct("fp", "node").alias("node"), F.struct("fp", F.coalesce("above", "node").alias("node")).alias("parent")), tree_of(dom).dealt)
     top = top.select(GROUP, "node.fp", F.col("node.node").alias("at"), F.col("parent.node").alias("def_block"))
     near = near.join(top, [GROUP, "fp", "at"]).select(GROUP, "fp", F.col("node").alias("block"), "def_block")
     met = rows.join(near, [GROUP, "fp", "block"]).join(first, [GROUP, "def_block", "fp"]).filter("def_block <> block OR def_idx < idx")
