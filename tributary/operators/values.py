@@ -55,13 +55,14 @@ def identity_groups(edges: DataFrame, phis: DataFrame, defined: DataFrame, confl
     ``conflicts(func_id, a, b)`` also counts undefined leaves in components that hold a conflicting pair.
     """
     edges = edge_table(edges)
-    phis, defined = keep(phis.select(GROUP, "node").distinct()), keep(defined.select(GROUP, "node").distinct())
-    cutoff = keep(defined.limit(0))
+    dealt = edges._dealt
+    phis, defined = keep(phis.select(GROUP, "node").distinct(), dealt), keep(defined.select(GROUP, "node").distinct(), dealt)
+    cutoff = keep(defined.limit(0), dealt)
     for late in (False, True):
         if late and conflicts is None:
             break
         while True:
-            left = edge_table(edges.join(cutoff.withColumnRenamed("node", "src"), [GROUP, "src"], "left_anti"))
+            left = edge_table(edges.join(cutoff.withColumnRenamed("node", "src"), [GROUP, "src"], "left_anti"), edges)
             nodes = edges.select(GROUP, F.explode(F.array("src", "dst")).alias("node")).distinct()
             leaves = nodes.join(left.select(GROUP, F.col("src").alias("node")).distinct(), [GROUP, "node"], "left_anti")
             counted = leaves.join(defined, [GROUP, "node"], "left_semi").unionByName(cutoff)
@@ -72,13 +73,13 @@ def identity_groups(edges: DataFrame, phis: DataFrame, defined: DataFrame, confl
                 counted = counted.unionByName(leaves.join(named.join(clash, [GROUP, "component"], "left_semi"), [GROUP, "node"], "left_semi").select(GROUP, "node"))
             counted = counted.distinct()
             back = flipped(left).unionByName(counted.select(GROUP, F.lit(LEAF).alias("src"), F.col("node").alias("dst")))
-            tree = dominator_tree(back, counted.select(GROUP, F.lit(LEAF).alias("root")).distinct())
+            tree = dominator_tree(edge_table(back, edges), counted.select(GROUP, F.lit(LEAF).alias("root")).distinct())
             several = left.groupBy(GROUP, F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
             split = tree.nodes.filter(F.col("parent") == LEAF).join(phis, [GROUP, "node"], "left_semi").join(several, [GROUP, "node"], "left_semi")
-            new, n, _ = cut(split.select(GROUP, "node").join(cutoff, [GROUP, "node"], "left_anti"))
+            new, n, _ = cut(split.select(GROUP, "node").join(cutoff, [GROUP, "node"], "left_anti"), dealt=dealt)
             if not n:
                 break
-            cutoff = keep(cutoff.unionByName(new))
+            cutoff = keep(cutoff.unionByName(new), dealt)
     left = edges.join(cutoff.withColumnRenamed("node", "src"), [GROUP, "src"], "left_anti")
     named = keep(components(left))
     ends = named.join(left.select(GROUP, F.col("src").alias("node")).distinct(), [GROUP, "node"], "left_anti")
