@@ -83,6 +83,25 @@ def test_noreturn_boundary(edges, table):
     assert got(d.noreturn_boundary(e, nodes, bad), "src", "dst") == {("r", "a"), ("b", "y")}
 
 
+def test_noreturn_boundary_by_brute_force(table):
+    """Graphs with rings and nodes that are named as the virtual ones once were."""
+    names = ["<end>", "<no return>", *"abcdefg"]
+    rows, nodes, lost, want = [], [], [], set()
+    for f in range(20):
+        pick = random.Random(f)
+        pairs = {(a, b) for i, a in enumerate(names[:6]) for b in pick.sample(names, pick.randrange(3)) if i % 3 or a != b}
+        ends = {n for n in names if not any(a == n for a, _ in pairs)}
+        bad = set(pick.sample(sorted(ends), len(ends) // 2))
+        reach = closure_of(pairs) | {(n, n) for n in names}
+        doomed = {n for n in names if any((n, b) in reach for b in bad) and not any((n, g) in reach for g in ends - bad)}
+        want |= {(f, a, b) for a, b in pairs if b in doomed and a not in doomed}
+        rows += [(f, a, b) for a, b in pairs]
+        nodes += [(f, n) for n in names]
+        lost += [(f, n) for n in bad]
+    found = got(d.noreturn_boundary(table("func_id bigint, src string, dst string", rows), table(NODE, nodes), table(NODE, lost)), "func_id", "src", "dst")
+    assert found == want and len(want) >= 10
+
+
 def random_graph(seed, n=9, m=16):
     rnd = random.Random(seed)
     out = {(str(i), str(rnd.randrange(i, n))) for i in range(n - 1)} | {("0", "1")}

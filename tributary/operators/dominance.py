@@ -189,29 +189,23 @@ def regions(edges: DataFrame, dom: DataFrame) -> DataFrame:
     return _stored(simple.select(GROUP, "head", "n_nodes").unionByName(exact.select(GROUP, "head", "n_nodes")), edges)
 
 
-MERGED, END = "<no return>", "<end>"
-
-
 def noreturn_boundary(edges: DataFrame, nodes: DataFrame, noreturn: DataFrame) -> DataFrame:
     """(func_id, src, dst): edges after which a way can only end in a leaf that does not return.
 
     All such leaves hang on one virtual node under a virtual end; the edges lead from its post-dominance frontier into nodes that it
-    post-dominates. Graphs of a single node stay out.
+    post-dominates. These are the nodes with a way to the end, but none around the virtual node: one search back from the other leaves and one from
+    its own, as no tree is needed to ask about a single dominator. Graphs of a single node stay out.
     """
     edges = edge_table(edges)
+    dealt = edges._dealt
     several = nodes.groupBy(GROUP).count().filter("count > 1").select(GROUP)
     leaves = nodes.join(several, GROUP, "left_semi").join(edges.select(GROUP, F.col("src").alias("node")).distinct(), [GROUP, "node"], "left_anti")
-    bad = keep(leaves.join(noreturn, [GROUP, "node"], "left_semi"))
-    good = leaves.join(noreturn, [GROUP, "node"], "left_anti")
-    back = (
-        flipped(edges)
-        .unionByName(bad.select(GROUP, F.lit(MERGED).alias("src"), F.col("node").alias("dst")))
-        .unionByName(bad.select(GROUP, F.lit(END).alias("src"), F.lit(MERGED).alias("dst")).distinct())
-        .unionByName(good.select(GROUP, F.lit(END).alias("src"), F.col("node").alias("dst")))
-    )
-    tree = dominator_tree(back, leaves.select(GROUP, F.lit(END).alias("root")).distinct())
-    merged = tree.nodes.select(GROUP, F.lit(MERGED).alias("above"), F.col("node").alias("dst"))
-    doomed = keep(tree.above(merged, "above", "dst").select(GROUP, "dst"))
-    into = edges.join(doomed, [GROUP, "dst"], "left_semi")
+    leaves = keep(leaves.join(noreturn.select(GROUP, "node", F.lit(True).alias("lost")).distinct(), [GROUP, "node"], "left"), dealt)
+    back = edge_table(flipped(edges), edges)
+    around = propagate(leaves.filter("lost IS NULL"), back)
+    # whoever has a way into ``around`` is in it, so ways to the virtual node never lead through it
+    doomed = propagate(leaves.filter("lost"), back, never=around)
+    into = edges.join(doomed.withColumnRenamed("node", "dst"), [GROUP, "dst"], "left_semi")
     # a doomed successor but not doomed itself: such a node is the frontier
-    return into.join(doomed.withColumnRenamed("dst", "src"), [GROUP, "src"], "left_anti")
+    out = into.join(doomed.withColumnRenamed("node", "src"), [GROUP, "src"], "left_anti")
+    return _stored(out, edges)
