@@ -9,7 +9,7 @@ from tributary import fixpoint
 from tributary.operators import dataflow as f
 from tributary.operators import dominance as d
 from tributary.operators import graph as g
-from tributary.operators import trees
+from tributary.operators import mining, trees
 from tributary.operators.cycles import strong_components
 from tributary.tables import _as_dealt
 
@@ -76,3 +76,21 @@ def test_trees_and_jumps_in_buckets(table, monkeypatch):
     dealt = all_of()
     assert (want[0], dealt[0] > 0) == (0, True)
     assert dealt[1:] == want[1:]
+
+
+def test_greedy_choice_in_buckets(table, monkeypatch):
+    """Small functions are dealt out, also where their parts are not; the choice is the same."""
+    rng = random.Random(14)
+    rows = [(f, None if fp == 9 else f"e{fp}", idx, rng.randrange(1, 4), fp + 1, None, fp == 5) for f in (1, 2, None) for idx in range(6) for fp in rng.sample(range(10), 6)]
+    parts = [(f, f"e{a}", f"e{b}", rng.randrange(1, 3)) for f in (1, 2, None) for a in range(9) for b in rng.sample(range(a + 1), min(a, 2))]
+    uses = lambda: table("func_id bigint, fp string, idx int, n int, complexity int, text string, barred boolean", rows)
+    parts = table("func_id bigint, fp string, part string, n int", parts)
+    plain = mining.common_expr_greedy(uses(), parts)
+    want = sorted(map(str, plain.collect()))
+    monkeypatch.setattr(fixpoint, "DEAL", 0)
+    out = mining.common_expr_greedy(uses(), parts)
+    assert sorted(map(str, out.collect())) == want and len(want) > 8
+    assert out._dealt
+    monkeypatch.setattr(fixpoint, "GRAPH", 40)
+    more = parts.unionByName(table("func_id bigint, fp string, part string, n int", [(3, f"x{i}", "y", 1) for i in range(50)]))
+    assert sorted(map(str, mining.common_expr_greedy(uses(), more).collect())) == want

@@ -38,9 +38,21 @@ def buckets(spark, rows: int = 0) -> int:
 
 def small_graphs(table: DataFrame, n: int) -> bool:
     """Whether a stored table of ``n`` rows is worth dealing out by graph, and none is too large for that."""
-    if n <= DEAL:
-        return False
-    return table.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] <= GRAPH
+    return n > DEAL and largest(table) <= GRAPH
+
+
+def largest(table: DataFrame) -> int:
+    """The rows of the largest graph."""
+    return table.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def dealt_out(rows: DataFrame) -> DataFrame:
+    """``rows`` (func_id, …) stored in buckets by graph where that is worth it and no graph has too many; else as they are."""
+    if not hasattr(rows, "_dealt"):
+        n = rows.count()
+        rows = settled(rows, buckets(rows.sparkSession, n) if small_graphs(rows, n) else 0)
+        rows._dealt = getattr(rows, "_dealt", 0)
+    return rows
 
 
 def edge_table(edges: DataFrame, like: DataFrame | None = None) -> DataFrame:

@@ -109,7 +109,7 @@ def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_h
 def levels(edges: DataFrame) -> DataFrame:
     """(func_id, node, level): length of a longest path from a root; null for nodes on or behind a cycle."""
     edges = edge_table(edges)
-    return orders.levels(edges, keep(nodes_of(edges)))
+    return orders.levels(edges, keep(nodes_of(edges), edges._dealt))
 
 
 def is_acyclic(edges: DataFrame) -> DataFrame:

@@ -8,10 +8,11 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tributary.fixpoint import GROUP, edge_table
+from tributary import fixpoint
+from tributary.fixpoint import GROUP, dealt_out, edge_table, largest
 from tributary.functions.ordered import MAX_ROWS, Ordered
 from tributary.operators.graph import levels
-from tributary.tables import cut, keep, stored
+from tributary.tables import Rounds, cut, keep, settled, stored
 
 
 def var_registry(occurrences: DataFrame) -> DataFrame:
@@ -65,30 +66,31 @@ def common_expr_greedy(
     """As ``common_expr``, the most complex first: what is chosen takes its uses away from the expressions inside it.
 
     ``parts(func_id, fp, part, n)``: how often an expression holds a part. An expression is decided when all that hold it are, so there are as many
-    rounds as expressions are nested. What is taken away is logged, and looked up by the round that needs it.
+    rounds as expressions are nested. What is taken away is logged, and looked up by the round that needs it. Where functions are small all tables
+    are dealt out by function, and no round shuffles.
     """
-    spark = uses.sparkSession
+    uses = dealt_out(uses)
     left = uses.filter("NOT barred").groupBy(GROUP, "fp", "idx").agg(F.sum("n").alias("n"), F.max("complexity").alias("complexity"), F.max("text").alias("text"))
-    inside = edge_table(parts.select(GROUP, F.col("fp").alias("src"), F.col("part").alias("dst")).filter("src <> dst"))
+    parts = settled(parts.select(GROUP, "fp", "part", F.col("n").alias("per")), uses._dealt)
+    dealt = uses._dealt if uses._dealt and largest(parts) <= fixpoint.GRAPH else 0
+    inside = edge_table(parts.select(GROUP, F.col("fp").alias("src"), F.col("part").alias("dst")).filter("src <> dst"), uses if dealt else None)
     nested = levels(inside).select(GROUP, F.col("node").alias("fp"), "level")
-    left = keep(left.join(nested, [GROUP, "fp"], "left").withColumn("level", F.coalesce("level", F.lit(0))))
+    left = keep(left.join(nested, [GROUP, "fp"], "left").withColumn("level", F.coalesce("level", F.lit(0))), dealt)
     deepest = left.agg(F.max("level")).first()[0]
-    chosen, logs, log_schema = [], [], None
+    chosen, logs = Rounds(dealt), Rounds(dealt)
     for level in range(-1 if deepest is None else deepest + 1):
         here = left.filter(F.col("level") == level).drop("level").withColumn("barred", F.lit(False))
-        if logs:
-            minus = stored(spark, log_schema, logs).groupBy(GROUP, "fp", "idx").agg(F.sum("minus").alias("minus"))
+        if logs.n:
+            minus = logs.all().groupBy(GROUP, "fp", "idx").agg(F.sum("minus").alias("minus"))
             here = here.join(minus, [GROUP, "fp", "idx"], "left").withColumn("n", F.col("n") - F.coalesce("minus", F.lit(0))).drop("minus")
-        found, n, _ = cut(_candidates(_per_expr(here), threshold, intra, string_threshold, min_length).select(GROUP, "fp", "n_rows", "n"))
-        chosen.append(found)
+        found, n = chosen.add(_candidates(_per_expr(here), threshold, intra, string_threshold, min_length).select(GROUP, "fp", "n_rows", "n"))
         if n and level < deepest:
             taken = here.join(found.select(GROUP, "fp"), [GROUP, "fp"], "left_semi").select(GROUP, "fp", "idx", F.col("n").alias("times"))
-            taken = taken.join(parts.withColumnRenamed("n", "per"), [GROUP, "fp"]).groupBy(GROUP, F.col("part").alias("fp"), "idx").agg(F.sum(F.col("times") * F.col("per")).alias("minus"))
-            taken, n, path = cut(taken)
-            logs, log_schema = [*logs, path], taken.schema
-    if not chosen:
+            taken = taken.join(parts, [GROUP, "fp"]).groupBy(GROUP, F.col("part").alias("fp"), "idx")
+            logs.add(taken.agg(F.sum(F.col("times") * F.col("per")).alias("minus")))
+    if not chosen.n:
         return left.select(GROUP, "fp", F.col("n").alias("n_rows"), "n").limit(0)
-    return reduce(DataFrame.unionByName, chosen)
+    return chosen.all()
 
 
 def hot_expr(uses: DataFrame) -> DataFrame:
