@@ -170,7 +170,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the discriminant takes for good; it learns from the labelled documents as they were given."""
     given = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = train(features(given.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")), labels)
+    # vectors are joined with labels, not texts: many labels make this a shuffle
+    model = train(features(given.filter(~held_out(F.col("doc_id")))), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score(docs.withColumn("features", F.pandas_udf(_vectors, "array<double>")(F.coalesce(F.col("text"), F.lit("")))), model)
     return scored.filter("predicted = 1").select(*docs.columns)

@@ -45,7 +45,7 @@ WIDTH = 5
 LONGS = 32
 BITS = 64 * LONGS
 #: Nodes below a node, and levels of chunks between roots and leaves.
-FAN, HEIGHT = 8, 2
+FAN, HEIGHT, KINDS = 8, 2, 8
 #: Part of the hash range that makes a route: LIMIT + LIMIT_SMALL / size.
 LIMIT, LIMIT_SMALL = 0.34, 25.0
 #: Clusters that a token may bring together without more ado, and the part of them that a further comparison may at most leave.
@@ -224,8 +224,13 @@ def _crowded(members: DataFrame, questions: DataFrame, clusters: DataFrame) -> D
 
 
 def _drawn_links(rows: DataFrame, classes: DataFrame, names: DataFrame, docs: DataFrame, turn: int) -> DataFrame:
-    """Links of every class of ``rows(token, rep, root)`` with the best of the classes of other clusters that were drawn for its tokens, one or two each."""
-    rows = rows.withColumn("draw", F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "root"))
+    """Links of every class of ``rows(token, rep, root)`` with the best of the classes of other clusters that were drawn for its tokens, one or two each.
+
+    The first turn draws the classes with the most common tokens: the others of a crowd are variants of these.
+    """
+    first = F.xxhash64("rep", F.lit(turn)) if turn else F.col("usual")
+    rows = rows if turn else rows.join(classes.select("rep", "usual"), "rep")
+    rows = rows.select("token", "rep", "root", F.struct(first.alias("first"), "rep", "root").alias("draw"))
     one = rows.groupBy("token").agg(F.max("draw").alias("one"))
     rows = keep(rows.join(one, "token"))
     two = rows.filter("root <> one.root").groupBy("token").agg(F.max("draw").alias("two"))
@@ -267,15 +272,17 @@ def _questions(routes: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _prefixes(routes: DataFrame) -> DataFrame:
-    """(token, rep, n, most, asks): of all tokens of a set the rarest ones, by which it is found.
+    """(token, rep, n, limit, asks): of all tokens of a set the rarest ones, by which it is found, and the size that a set which links and shares none
+    before this one may have at most.
 
     Sets of n tokens and m >= n that link share 3/7 of n + m tokens at least, which is 6/7 of n and 3/4 of m. In any one order of all tokens the first
-    ``n - 6/7 n + 1`` of the one and the first ``m - 3/4 m + 1`` of the other then have one in common. Tokens of one set only come first in the order of
-    rarity, and need no row.
+    ``n - 6/7 n + 1`` of the one and the first ``m - 3/4 m + 1`` of the other then have one in common. From the first common token on, either set must have
+    as many tokens as both share. Tokens of one set only come first in the order of rarity, and need no row.
     """
     at = F.row_number().over(Window.partitionBy("rep").orderBy("df", "token")) + F.col("n") - F.col("most")
     rows = routes.withColumn("_at", at).filter(F.col("_at") <= F.floor(F.col("n") / 4) + 1)
-    return rows.select("token", "rep", "n", "most", (F.col("_at") <= F.floor(F.col("n") / 7) + 1).alias("asks"))
+    limit = F.expr("(7 * (n - _at + 1) - 3 * n) div 3").alias("limit")
+    return rows.select("token", "rep", "n", limit, (F.col("_at") <= F.floor(F.col("n") / 7) + 1).alias("asks"))
 
 
 def _or(column: str = "bits") -> Column:
@@ -289,12 +296,14 @@ def _ones(bits: str) -> Column:
 def tree(classes: DataFrame, clusters: DataFrame) -> list[DataFrame]:
     """Stored levels, roots first: (node, up, lo, hi, most, slack, bits). A node's name is unique in its level, ``up`` names it above."""
     leaves = classes.join(clusters, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    sizes = leaves.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    leaves = leaves.join(sizes, "root")
-    # chunks are numbered within their root; FAN of them in a row are one of the next level
+    # members that lack as many tokens in all others stand together, in KINDS ranges from none to a quarter
+    leaves = leaves.withColumn("kind", F.floor(4 * KINDS * (F.col("n") - F.col("most")) / (F.col("n") + 1)))
+    sizes = leaves.groupBy("root", "kind").agg(F.count(F.lit(1)).alias("members"))
+    leaves = leaves.join(sizes, ["root", "kind"])
+    # chunks are numbered within their root and kind; FAN of them in a row are one of the next level
     place = F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / FAN))
     root = F.col("root").cast("string")
-    names = [F.concat_ws("/", "root", F.lit(height), F.floor(place / FAN ** (height - 1))) for height in range(1, HEIGHT + 1)] + [root]
+    names = [F.concat_ws("/", "root", "kind", F.lit(height), F.floor(place / FAN ** (height - 1))) for height in range(1, HEIGHT + 1)] + [root]
     slack = (F.col("n") - _ones("bits")).alias("slack")
     above = [name.alias(f"up_{i}") for i, name in enumerate(names)]
     level = F.col("rep").cast("string").alias("node"), F.col("n").alias("lo"), F.col("n").alias("hi"), "most", slack, "bits", *above
@@ -329,17 +338,15 @@ def traverse(pairs: DataFrame, levels: list[DataFrame]) -> DataFrame:
     return pairs.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
 
 
-def _root_pairs(routes: DataFrame, questions: DataFrame, classes: DataFrame, clusters: DataFrame) -> DataFrame:
+def _root_pairs(routes: DataFrame, clusters: DataFrame) -> DataFrame:
     """(a, b) of different clusters, a < b, one of which asks for a route that the other has."""
     named = lambda df: df.join(clusters, "rep", "left").withColumn("root", F.coalesce("root", "rep")).drop("rep")
-    asked = named(questions.join(classes.select("rep", F.col("n").alias("lo")), "rep"))
-    asked = asked.groupBy("token", "root").agg(F.min("lo").alias("lo"), F.max("lo").alias("hi"))
-    # what others have of the larger set must reach 3/7 of both sizes together
-    have = named(routes.select("token", "rep", "n", F.expr("(7 * most - 3 * n) div 3").alias("limit")))
+    have = named(routes)
+    asked = have.filter("asks").groupBy("token", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("limit").alias("far"))
     have = have.groupBy("token", "root").agg(F.min("n").alias("from"), F.max(F.least("n", "limit")).alias("to"))
     met = asked.join(have.withColumnRenamed("root", "other"), "token").filter("root <> other")
     # the one that asks is not the larger
-    met = met.filter("to >= lo AND 3 * from <= 4 * hi").select(F.least("root", "other").alias("a"), F.greatest("root", "other").alias("b"))
+    met = met.filter("to >= lo AND 3 * from <= 4 * hi AND from <= far").select(F.least("root", "other").alias("a"), F.greatest("root", "other").alias("b"))
     return met.distinct().select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
 
 
@@ -385,7 +392,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         met = met.groupBy("rep", "doc_id", "h").agg(F.min("text").alias("text"))
     last, routes = routes, keep(shared_routes(token_sets(met, float("inf")).select("rep", "n", "inner", "routes")))
     drop(last)
-    shared = routes.groupBy("rep").agg(F.count(F.lit(1)).alias("most"))
+    shared = routes.groupBy("rep").agg(F.count(F.lit(1)).alias("most"), (F.sum("df") / F.first("n")).alias("usual"))
     last, known = known, keep(known.drop("shared").withColumn("inner", F.col("n").cast("int")).join(shared, "rep").filter("4 * most >= 3 * n"))
     drop(last)
     release(docs.sparkSession)
@@ -394,7 +401,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     questions = keep(routes.filter("asks").select("token", "rep"))
     near, clusters = _joined_crowds(near, routes, questions, known, classes, docs)
     levels = tree(known, clusters)
-    met = traverse(_root_pairs(routes, questions, known, clusters), levels)
+    met = traverse(_root_pairs(routes, clusters), levels)
     drop(routes, questions, *levels)
     return sets, classes, near.unionByName(verify(met, classes, docs))
 
