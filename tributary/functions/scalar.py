@@ -71,7 +71,7 @@ def fold_constants(df: DataFrame, op: str, left: str, right: str, name: str, siz
         "modulo": f"IF(_a < 0, -1, 1) * {floor('_a', '_b')[1]}",
         "modulo_us": floor("_ua", "_ub")[1],
         # a shift by the size or more leaves nothing but the sign
-        "left_shift": f"CASE WHEN {far} THEN 0 WHEN _n >= 0 THEN _own * _p END" if size < 64 else f"CASE WHEN {far} THEN 0 WHEN _n > 62 THEN _own % 2 * _p * 2 WHEN _n >= 0 THEN (_own % CAST(pow(2, 64 - _n) AS DECIMAL(38,0))) * _p END",
+        "left_shift": f"CASE WHEN {far} THEN 0 WHEN _n >= 0 THEN _own * _p END" if size < 64 else f"CASE WHEN {far} THEN 0 WHEN _n > 62 THEN _own % 2 * _p * 2 WHEN _n >= 0 THEN (_own % (CAST(shiftleft(1L, CAST(62 - _n AS INT)) AS DECIMAL(38,0)) * 4)) * _p END",
         "right_shift": f"CASE WHEN {far} THEN IF(_own < 0, -1, 0) WHEN {beyond} THEN IF(_own < 0, -1, CAST((_own - _own % {double}) / {double} AS {number})) WHEN _n >= 0 THEN {floor('_own', '_p')[0]} END",
         "right_shift_us": f"CASE WHEN {far} THEN 0 WHEN {beyond} THEN CAST((_ua - _ua % {double}) / {double} AS {number}) WHEN _n >= 0 THEN {floor('_ua', '_p')[0]} END",
         "negate": "-_a",

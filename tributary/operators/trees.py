@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tributary import fixpoint
 from tributary.fixpoint import GROUP, buckets
 from tributary.functions.scalar import BIG, fold_constants
+from tributary.operators import forms
+from tributary.operators.forms import COMMUTATIVE, LOGICAL, SHIFTS
 from tributary.tables import Rounds, cut, keep
 
 
@@ -110,9 +112,8 @@ def dependency_scores(nodes: DataFrame) -> DataFrame:
     return ends.groupBy(GROUP, F.col("node").alias("root"), "var").agg(F.sum("score").alias("score"))
 
 
-COMMUTATIVE = ("plus", "multiply", "bitwise_and", "bitwise_or", "bitwise_xor")
-LOGICAL = ("logical_and", "logical_or")
-SHIFTS = ("left_shift", "right_shift", "right_shift_us")
+#: Groups up to so many nodes are simplified where they lie, whole groups at a time; larger ones level by level.
+TOGETHER = 10_000
 
 # what is known of a simplified expression: its value if constant, its text, and, for ``base op constant``, these three
 FORM = "struct<c:decimal(38,0),print:string,chain:string,base:string,k:decimal(38,0)>"
@@ -126,7 +127,7 @@ def _among(names: Sequence[str]) -> str:
     return "(" + ", ".join(f"'{n}'" for n in names) + ")"
 
 
-def canonical_expressions(nodes: DataFrame, size: int = 32, signed: bool = True) -> DataFrame:
+def canonical_expressions(nodes: DataFrame, size: int = 32, signed: bool = True, counts: DataFrame | None = None, roots: bool = False) -> DataFrame:
     """Nodes with ``print`` and ``fp``: the same for computations that simplify to the same form.
 
     ``nodes(func_id, node, parent, pos, op, var, value)``: leaves have ``var`` or ``value``, operations any number of operands from 0 on.
@@ -134,7 +135,25 @@ def canonical_expressions(nodes: DataFrame, size: int = 32, signed: bool = True)
     could be taken for a number or an operation are quoted.
     Constants go to the right of commutative operations and are folded, along chains too; a - b is a + (-b); double negation, neutral
     and absorbing constants, operations of a value with itself, and a dereferenced address vanish.
+
+    A row may also hold some nodes of a group, ``nodes(func_id, nodes array<struct<node, parent, …>>)``; the result has one row per node.
+    ``counts(func_id, n)``: the nodes of every group, where the caller knows them without making all nodes. ``roots``: only nodes without
+    parent are wanted.
     """
+    many = forms.packed(nodes)
+    if counts is None:
+        counts = nodes.groupBy(GROUP).agg(F.sum(F.size(forms.NODES) if many else F.lit(1)).alias("n"))
+    large, n_large, _ = cut(counts.filter(F.col("n") > TOGETHER).select(GROUP))
+    out = forms.fold(nodes.join(large, GROUP, "left_anti") if n_large else nodes, size, signed, roots)
+    if n_large:
+        rest = nodes.join(large, GROUP, "left_semi")
+        rest = _by_levels(rest.select(GROUP, F.inline(forms.NODES)) if many else rest, size, signed)
+        out = out.unionByName(rest.filter("parent IS NULL") if roots else rest)
+    return out.withColumn("fp", F.sha2("print", 256))
+
+
+def _by_levels(nodes: DataFrame, size: int, signed: bool) -> DataFrame:
+    """Nodes with ``print``, folded from the leaves: the rules of ``forms.simplified`` as columns."""
     commuting = f"_op IN {_among(COMMUTATIVE)}"
 
     def const(value: str) -> str:
@@ -214,4 +233,4 @@ def canonical_expressions(nodes: DataFrame, size: int = 32, signed: bool = True)
         [F.max_by("form", F.when(F.col("pos") == 0, 1)).alias("_l"), F.max_by("form", F.when(F.col("pos") == 1, 1)).alias("_r"), F.count_if(behind).alias("_more"), *rest],
         simplified,
     )
-    return out.select(*nodes.columns, F.col("form.print").alias("print"), F.sha2(F.col("form.print"), 256).alias("fp"))
+    return out.select(*nodes.columns, F.col("form.print").alias("print"))

@@ -397,6 +397,7 @@ def canonical_expressions(t):
         node("x", "i", F.lit(0), none, F.lower("l_returnflag"), none),
         node("c", "i", F.lit(1), none, none, F.col("l_linenumber") % 3),
     )
-    nodes = t.line_rows.select(F.col("l_orderkey").alias("func_id"), F.explode(parts).alias("n")).select("func_id", "n.*")
-    done = tr.canonical_expressions(nodes).filter("parent IS NULL")
+    nodes = t.line_rows.select(F.col("l_orderkey").alias("func_id"), parts.alias("nodes"))
+    counts = t.lineitem.groupBy(F.col("l_orderkey").alias("func_id")).agg((F.count(F.lit(1)) * 5).alias("n"))
+    done = tr.canonical_expressions(nodes, counts=counts, roots=True).filter("parent IS NULL")
     return done.select(F.col("func_id").alias("l_orderkey"), F.substring_index("node", ":", 1).cast("bigint").alias("idx"), "print", "fp")
